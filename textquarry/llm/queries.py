@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, simhash
+from . import bpe, exact_dedup, line_dedup, mixing, simhash, substring_dedup
 from .common import documents
 
 
@@ -21,6 +21,18 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
 
 
+def _kept_digest(rows: DataFrame, counted: str) -> DataFrame:
+    return rows.select(F.col("id").alias("doc_id"), F.col("n_tokens").alias(counted), "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept_digest(substring_dedup.substring_deduplicated(documents(spark, sf_dir)), "n_words")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept_digest(line_dedup.line_deduplicated(documents(spark, sf_dir)), "n_lines")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -68,9 +80,49 @@ SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least
 """
 
 
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d
+), f AS (
+  SELECT doc_id, i, w[i] AS word, len(w) - i >= 19 AS whole, CASE WHEN len(w) - i >= 19 THEN array_to_string(w[i : i + 19], ' ') END AS run FROM p
+), r AS (
+  SELECT doc_id, i, word, CASE WHEN whole AND row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1 THEN 1 ELSE 0 END AS later FROM f
+), c AS (
+  SELECT doc_id, i, word, max(later) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r
+), a AS (
+  SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(CASE WHEN gone = 0 THEN word END, ' ' ORDER BY i) AS kept FROM c GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN a ON d.doc_id = a.doc_id
+"""
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), p AS (
+  SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d
+), t AS (
+  SELECT doc_id, i, l[i] AS line, regexp_matches(l[i], '[^\x20\x09-\x0D]') AS token FROM p
+), n AS (
+  SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM t WHERE token
+), r AS (
+  SELECT doc_id, i, CASE WHEN next IS NOT NULL AND row_number() OVER (PARTITION BY line, next ORDER BY doc_id, i) > 1 THEN 1 ELSE 0 END AS later FROM n
+), c AS (
+  SELECT doc_id, i, max(later) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS gone FROM r
+), a AS (
+  SELECT t.doc_id, count(c.i) AS n_lines, CAST(coalesce(sum(c.gone), 0) AS BIGINT) AS n_removed,
+         string_agg(CASE WHEN coalesce(c.gone, 0) = 0 THEN line END, chr(10) ORDER BY t.i) AS kept
+  FROM t LEFT JOIN c ON t.doc_id = c.doc_id AND t.i = c.i GROUP BY t.doc_id
+)
+SELECT doc_id, n_lines, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM a
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op7_simhash, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op5_substring_dedup, op6_line_dedup, op7_simhash, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_source_mixing": OP2_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_source_mixing": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL}
