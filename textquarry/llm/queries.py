@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, mixing, simhash, substring_dedup
+from . import bpe, exact_dedup, line_dedup, mixing, secrets, simhash, substring_dedup
 from .common import documents
 
 
@@ -38,6 +38,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.secrets(documents(spark, sf_dir))
+    counts = [F.size(F.filter("base", lambda p, k=k: p["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return rows.select(F.col("id").alias("doc_id"), *counts, F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe.encode(documents(spark, sf_dir), ("n_tokens", "ids_sha256", "decoded_sha256"))
     return rows.withColumnRenamed("id", "doc_id")
@@ -121,7 +127,7 @@ SELECT doc_id, n_lines, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FRO
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op5_substring_dedup, op6_line_dedup, op7_simhash, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op5_substring_dedup, op6_line_dedup, op7_simhash, op9_secrets, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
