@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, mixing, secrets, simhash, substring_dedup
+from . import bpe, exact_dedup, line_dedup, mixing, pu_quality, quality_rules, secrets, simhash, substring_dedup
 from .common import documents
 
 
@@ -21,6 +21,22 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
 
 
+def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+
+
+def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rows = pu_quality.scored(docs, pu_quality.fit(docs, quality_labels(spark, sf_dir)))
+    held = pu_quality.held_out(F.col("id")).alias("held_out")
+    return rows.select(F.col("id").alias("doc_id"), held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = quality_labels(spark, sf_dir).where("label = 1")
+    return quality_rules.quality_rules(documents(spark, sf_dir), trusted).withColumnRenamed("id", "doc_id")
+
+
 def _kept_digest(rows: DataFrame, counted: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.col("n_tokens").alias(counted), "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
@@ -127,7 +143,7 @@ SELECT doc_id, n_lines, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FRO
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op5_substring_dedup, op6_line_dedup, op7_simhash, op9_secrets, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_pu_quality, op4_quality_rules, op5_substring_dedup, op6_line_dedup, op7_simhash, op9_secrets, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
