@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, mixing, pu_quality, quality_rules, secrets, simhash, substring_dedup
+from . import bpe, exact_dedup, line_dedup, mixing, pu_quality, quality_rules, secrets, simhash, substring_dedup, warc
 from .common import documents
 
 
@@ -21,6 +21,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
 
 
+#: The table of pages has no dates; a crawl's own date goes here.
+CAPTURED = "2024-01-01T00:00:00Z"
+
+
 def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
 
@@ -54,6 +58,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    records = warc.derivatives(warc.responses(pages, CAPTURED))
+    columns = "record_type record_id refers_to concurrent_to target_uri date source_headers source_digest content_type block_digest content_length"
+    return records.select(F.col("id").alias("page_id"), *columns.split())
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.secrets(documents(spark, sf_dir))
     counts = [F.size(F.filter("base", lambda p, k=k: p["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
@@ -142,9 +153,48 @@ SELECT doc_id, n_lines, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FRO
 """
 
 
+OP8_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS h,
+         sha256(concat('response|', coalesce(CAST(page_id AS VARCHAR), ''), '|', coalesce(url, ''))) AS d
+  FROM pages
+), r AS (
+  SELECT *, concat('urn:uuid:', substr(d, 1, 8), '-', substr(d, 9, 4), '-', substr(d, 13, 4), '-', substr(d, 17, 4), '-', substr(d, 21, 12)) AS refers_to,
+         concat('HTTP/1.1 200 OK', chr(13), chr(10), 'Content-Type: text/html; charset=utf-8', chr(13), chr(10), 'Content-Length: ', strlen(h)) AS source_headers,
+         concat('sha256:', sha256(h)) AS source_digest,
+         regexp_replace(regexp_replace(regexp_replace(h, '(?is)<script\b[^<>]*>.*?(?:</script\s*>|\z)|<style\b[^<>]*>.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)', ' ', 'g'),
+           '(?i)</?(?:p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|nav|article|aside|footer|header|main|section|title|blockquote|pre|form)\b[^<>]*>', chr(10), 'g'),
+           '<[a-zA-Z/!?][^<>]*>', '', 'g') AS bare,
+         regexp_extract(h, '(?is)<title\b[^<>]*>(.*?)</title\s*>', 1) AS title,
+         regexp_extract_all(h, '(?i)<a\b[^<>]*?\bhref\s*=\s*"([^"<>]*)"', 1) AS links
+  FROM p
+), u AS (
+  SELECT *, replace(replace(replace(replace(replace(replace(bare, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS shown,
+         replace(replace(title, '&quot;', '"'), '&amp;', '&') AS heading,
+         concat('title: ', trim(regexp_replace(replace(replace(replace(title, '&quot;', '"'), '&amp;', '&'), chr(10), ' '), '[\x20\t\r\x0b\x0c]+', ' ', 'g')),
+           coalesce(array_to_string(list_transform(links, lambda x: concat(chr(13), chr(10), 'outlink: ', replace(replace(x, '&quot;', '"'), '&amp;', '&'))), ''), ''),
+           chr(13), chr(10), 'source-payload-digest: ', source_digest) AS described
+  FROM r
+), t AS (
+  SELECT *, array_to_string(list_filter(list_transform(string_split(shown, chr(10)), lambda x: trim(regexp_replace(x, '[\x20\t\r\x0b\x0c]+', ' ', 'g'), ' ')), lambda x: x <> ''), chr(10)) AS plain,
+         sha256(concat('metadata|', refers_to)) AS m, sha256(concat('conversion|', refers_to)) AS c
+  FROM u
+), n AS (
+  SELECT *, concat('urn:uuid:', substr(m, 1, 8), '-', substr(m, 9, 4), '-', substr(m, 13, 4), '-', substr(m, 17, 4), '-', substr(m, 21, 12)) AS mid,
+         concat('urn:uuid:', substr(c, 1, 8), '-', substr(c, 9, 4), '-', substr(c, 13, 4), '-', substr(c, 17, 4), '-', substr(c, 21, 12)) AS cid
+  FROM t
+)
+SELECT page_id, 'metadata' AS record_type, mid AS record_id, refers_to, cid AS concurrent_to, url AS target_uri, '2024-01-01T00:00:00Z' AS date, source_headers, source_digest,
+       'application/warc-fields' AS content_type, concat('sha256:', sha256(described)) AS block_digest, CAST(strlen(described) AS BIGINT) AS content_length FROM n
+UNION ALL
+SELECT page_id, 'conversion', cid, refers_to, mid, url, '2024-01-01T00:00:00Z', source_headers, source_digest,
+       'text/plain', concat('sha256:', sha256(plain)), CAST(strlen(plain) AS BIGINT) FROM n
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_pu_quality, op4_quality_rules, op5_substring_dedup, op6_line_dedup, op7_simhash, op9_secrets, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_pu_quality, op4_quality_rules, op5_substring_dedup, op6_line_dedup, op7_simhash, op8_warc_derivatives, op9_secrets, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_source_mixing": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_source_mixing": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_warc_derivatives": OP8_SQL}
