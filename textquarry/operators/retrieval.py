@@ -22,42 +22,48 @@ def tokens(text: Column) -> Column:
 
 
 def query_phrases(questions: DataFrame) -> DataFrame:
-    """``q, phrase, place, term, n_terms`` of each word of ``questions(q, question)``.
+    """``q, phrase, times``: the words of ``questions(q, question)`` as arrays of terms.
 
     A word may fall into several terms (``get_user`` does), which then count as a phrase.  Words that a
     question repeats count each time.
     """
-    words = questions.select("q", F.posexplode(F.regexp_extract_all(F.lower("question"), F.lit(QUERY_WORD), F.lit(1))).alias("phrase", "word"))
-    terms = words.select("q", "phrase", tokens(F.col("word")).alias("terms")).where(F.size("terms") > 0)
-    return terms.select("q", "phrase", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("place", "term"))
+    words = questions.select("q", F.explode(F.regexp_extract_all(F.lower("question"), F.lit(QUERY_WORD), F.lit(1))).alias("word"))
+    phrases = words.select("q", tokens(F.col("word")).alias("phrase")).where(F.size("phrase") > 0)
+    return phrases.groupBy("q", "phrase").agg(F.count(F.lit(1)).alias("times"))
 
 
 def bm25(rows: DataFrame, questions: DataFrame, k: int = 10, weights: dict[str, float] | None = None) -> DataFrame:
     """``q, rank, id, score`` of the best ``k`` of ``rows(id, ...)``; higher is better, ties by ``id``.
 
-    The corpus is tokenised once; only terms that some question has leave the scan's stage.
+    The corpus is tokenised once, and only terms that some question has leave that stage.  What a phrase
+    adds to a row's score does not depend on the question, so it is computed once per phrase and row, and
+    questions meet these numbers, not the tokens.
     """
     weights = weights or WEIGHTS
     columns = [c for c in weights if c in rows.columns]
 
     def posted_terms(column: str) -> Column:
         found = tokens(F.coalesce(F.col(column), F.lit("")))
-        return F.transform(found, lambda t, i: F.struct(F.lit(column).alias("column"), t.alias("term"), i.alias("at")))
+        return F.transform(found, lambda t, i: F.struct(F.lit(float(weights[column])).alias("w"), F.lit(column).alias("column"), t.alias("term"), i.alias("at")))
 
     rows = rows.select("id", F.concat(*map(posted_terms, columns)).alias("terms"))
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avgdl"))
-    phrases = query_phrases(questions)
-    posted = rows.select("id", F.size("terms").alias("len"), F.explode("terms").alias("t")).select("id", "len", "t.column", "t.term", "t.at")
-    hits = posted.join(phrases, "term")
-    whole = hits.groupBy("q", "phrase", "id", "len", "column", (F.col("at") - F.col("place")).alias("from"), "n_terms").agg(F.count(F.lit(1)).alias("found"))
-    weight = F.coalesce(*[F.when(F.col("column") == c, F.lit(float(w))) for c, w in weights.items()])
-    tf = whole.where("found = n_terms").groupBy("q", "phrase", "id", "len").agg(F.sum(weight).alias("tf"))
-    df = tf.groupBy("q", "phrase").agg(F.count(F.lit(1)).alias("df"))
-    scored = tf.join(df, ["q", "phrase"]).crossJoin(F.broadcast(stats))  # one row of two numbers
+    asked = query_phrases(questions)
+    phrases = asked.select("phrase").distinct()
+    posted = rows.select("id", F.size("terms").alias("len"), F.explode("terms").alias("t")).select("id", "len", "t.w", "t.column", "t.term", "t.at")
+    # Single terms are summed as they are; longer phrases must stand at consecutive places of one column.
+    single = phrases.where(F.size("phrase") == 1).select("phrase", F.col("phrase")[0].alias("term"))
+    one = posted.join(single, "term").groupBy("phrase", "id", "len").agg(F.sum("w").alias("tf"))
+    longer = phrases.where(F.size("phrase") > 1).select("phrase", F.posexplode("phrase").alias("place", "term"))
+    runs = posted.join(longer, "term").groupBy("phrase", "id", "len", "column", "w", (F.col("at") - F.col("place")).alias("from")).agg(F.count(F.lit(1)).alias("found"))
+    many = runs.where(F.col("found") == F.size("phrase")).groupBy("phrase", "id", "len").agg(F.sum("w").alias("tf"))
+    tf = one.unionByName(many)
+    df = tf.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
+    scored = tf.join(df, "phrase").crossJoin(F.broadcast(stats))  # one row of two numbers
     odds = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(odds > 0, odds).otherwise(F.lit(1e-6))
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    total = scored.groupBy("q", "id").agg(F.sum(gain).alias("score"))
+    total = scored.select("phrase", "id", gain.alias("gain")).join(asked, "phrase").groupBy("q", "id").agg(F.sum(F.col("gain") * F.col("times")).alias("score"))
     best = Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "id")
     return total.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("q", F.col("rank").cast("long").alias("rank"), "id", "score")
 

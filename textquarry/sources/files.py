@@ -53,8 +53,8 @@ def ignore_pattern(line: str) -> tuple[str, bool] | None:
     line = line.rstrip("/")
     anchored = "/" in line
     out = ""
-    for part in re.findall(r"\*\*/|/\*\*|\*|\?|\[[^\]]*\]|.", line.lstrip("/")):
-        out += {"**/": "(?:.*/)?", "/**": "/.*", "*": "[^/]*", "?": "[^/]"}.get(part) or (part if part[0] == "[" and len(part) > 1 else re.escape(part))
+    for part in re.findall(r"/\*\*/|^\*\*/|/\*\*$|\*|\?|\[[^\]]*\]|.", line.lstrip("/")):
+        out += {"/**/": "/(?:.*/)?", "**/": "(?:.*/)?", "/**": "/.*", "*": "[^/]*", "?": "[^/]"}.get(part) or (part if part[0] == "[" and len(part) > 1 else re.escape(part))
     return ("^" if anchored else "(?:^|/)") + out + ("/" if below else "(?:/|$)"), ignores
 
 
@@ -94,7 +94,10 @@ def in_skipped_directory(path: Column, migrations: bool = False) -> Column:
 
 
 def read_tree(spark: SparkSession, root: str, ignore: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(kept, skipped)`` of a tree that Spark can read.  Names and sizes are judged before bytes are read."""
+    """``(kept, skipped)`` of a tree that Spark can read.  Names and sizes are judged before bytes are read.
+
+    Spark's reader lists no file without bytes, so empty files are in neither.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = re.sub(r"^(?:file:)?/*", "", root.rstrip("/"))
     path = F.regexp_replace(F.regexp_replace("path", r"^(?:[a-z]+:)?/*", ""), "^" + re.escape(base) + "/", "")
