@@ -1,13 +1,14 @@
 """Byte-level BPE over Arrow batches, with offsets, and its inverse.
 
-The ``tokenizers`` library does the merges.  Byte-level vocabularies spell each byte as one printable
-character; the table between the two is built from its rule.  Encoding maps offsets back to characters of
-the text; decoding maps a token's characters back to bytes, so a character split over several tokens comes
-together again when the bytes of the whole text are joined.
+The ``tokenizers`` library does the merges, one match of the pattern at a time.  Byte-level vocabularies
+spell each byte as one printable character; the table between the two is built from its rule.  A match is
+mapped to those characters, so the lengths of its tokens count bytes, and the places of the match's characters
+turn them into offsets in characters of the text.  Decoding maps a token's characters back to bytes, so a character
+split over several tokens comes together again when the bytes of the whole text are joined.
 
-A text is cut before single spaces that stand between two other characters that are no white space: the
-pattern never matches across such a place.  The pieces bound what the library holds for a very long text;
-ids and offsets are those of the whole text.
+A worker keeps the tokens of matches that it has met, up to a bound.  A text is cut before single spaces that
+stand between two other characters that are no white space: the pattern never matches across such a place.
+The pieces bound what is held for a very long text; ids and offsets are those of the whole text.
 
 Defined cases: a null text counts as empty and has no tokens; special tokens' spellings are ordinary text;
 an empty table gives an empty result; rows may repeat; other columns are ignored, whatever their names;
@@ -18,17 +19,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-#: Characters of a text that are encoded at a time, and of texts in one call of the library.
-PIECE, CALL = 1 << 17, 1 << 20
+#: Characters of a text that are encoded at a time, and matches that a worker remembers.
+PIECE, REMEMBERED = 1 << 17, 400_000
 
 OUTPUTS = {"n_tokens": "long", "ids": "array<int>", "starts": "array<int>", "ends": "array<int>", "ids_sha256": "string", "decoded": "binary", "decoded_sha256": "string"}
 
@@ -63,28 +66,42 @@ def pieces(text: str, size: int = PIECE) -> list[tuple[int, str]]:
     return [*cut, (start, text[start:])]
 
 
-def _encoded(tokenizer: Tokenizer, texts: list[str], offsets: bool) -> Iterator[list[tuple[int, list[int], list[tuple[int, int]]]]]:
-    """Per text its pieces' offset, ids and offsets, a bounded number of characters at a time."""
-    run = tokenizer.encode_batch if offsets else tokenizer.encode_batch_fast
-    held: list[list[tuple[int, str]]] = []
-    size = 0
-
-    def flush() -> Iterator[list[tuple[int, list[int], list[tuple[int, int]]]]]:
-        done = iter(run([p for parts in held for _, p in parts], add_special_tokens=False))
-        for parts in held:
-            yield [(at, e.ids, e.offsets if offsets else []) for (at, _), e in zip(parts, done)]
-
-    for text in texts:
-        if size + len(text) > CALL and held:
-            yield from flush()
-            held, size = [], 0
-        if len(text) > CALL:
-            yield [(at, e.ids, e.offsets if offsets else []) for at, p in pieces(text) for e in run([p], add_special_tokens=False)]
-        else:
-            held.append(pieces(text))
-            size += len(text)
-    if held:
-        yield from flush()
+class Matches(dict):
+    """Of each match of the pattern its ids, or its ids and offsets; filled as they are met."""
+
+    def __init__(self, tokenizer: Tokenizer, offsets: bool):
+        self.model, self.offsets = tokenizer.model, offsets
+        self.spelling = str.maketrans({b: c for b, c in enumerate(byte_characters())})
+
+    def __missing__(self, match: str):
+        if len(self) >= REMEMBERED:
+            self.clear()
+        data = match.encode()
+        tokens = self.model.tokenize(data.decode("latin-1").translate(self.spelling))
+        found = [t.id for t in tokens]
+        if self.offsets:
+            char = list(accumulate(b & 0xC0 != 0x80 for b in data))  # of each byte its character, from 1
+            ends = list(accumulate(len(t.value) for t in tokens))  # a character of the spelling is a byte
+            found = (found, [char[e - len(t.value)] - 1 for e, t in zip(ends, tokens)], [char[e - 1] for e in ends])
+        self[match] = found
+        return found
+
+
+def _encoded(text: str, pattern: regex.Pattern, matches: Matches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, first characters and ends of a whole text; without offsets the last two are empty."""
+    parts: list[tuple[np.ndarray, ...]] = []
+    for at, piece in pieces(text):
+        words = pattern.findall(piece)
+        if not matches.offsets:
+            parts.append((np.fromiter(chain.from_iterable(map(matches.__getitem__, words)), "<u4"), np.zeros(0, "i4"), np.zeros(0, "i4")))
+            continue
+        found = list(map(matches.__getitem__, words))
+        counts = np.fromiter((len(f[0]) for f in found), "i8", len(found))
+        lengths = np.fromiter(map(len, words), "i8", len(words))
+        start = np.repeat(at + np.cumsum(lengths) - lengths, counts)
+        columns = [np.fromiter(chain.from_iterable(f[i] for f in found), "i8", counts.sum()) for i in range(3)]
+        parts.append((columns[0].astype("<u4"), (columns[1] + start).astype("i4"), (columns[2] + start).astype("i4")))
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def encode(docs: DataFrame, outputs: tuple[str, ...] = ("n_tokens", "ids", "starts", "ends"), vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,22 +113,15 @@ def encode(docs: DataFrame, outputs: tuple[str, ...] = ("n_tokens", "ids", "star
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         tokenizer = Tokenizer.from_file(vocabulary)
-        tokenizer.encode_special_tokens = True
+        pattern = regex.compile(public_tokenizers.PATTERN)
         spelled = token_bytes(tokenizer) if {"decoded", "decoded_sha256"} & {*outputs} else []
-        wants_offsets = bool({"starts", "ends"} & {*outputs})
+        matches = Matches(tokenizer, bool({"starts", "ends"} & {*outputs}))
         for batch in batches:
             rows: dict[str, list] = {o: [] for o in outputs}
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for parts in _encoded(tokenizer, texts, wants_offsets):
-                ids = np.concatenate([np.asarray(i, "<u4") for _, i, _ in parts]) if parts else np.zeros(0, "<u4")
-                made = {"n_tokens": len(ids), "ids": ids.astype("int32"), "ids_sha256": None, "decoded": None, "decoded_sha256": None}
-                if wants_offsets:
-                    spans = np.concatenate([np.asarray(o, "int64").reshape(-1, 2) + at for at, _, o in parts]).astype("int32")
-                    made |= {"starts": spans[:, 0], "ends": spans[:, 1]}
+            for text in batch.column(1):
+                ids, starts, ends = _encoded(text.as_py() or "", pattern, matches)
+                made = {"n_tokens": len(ids), "ids": ids.astype("int32"), "starts": starts, "ends": ends}
                 if "ids_sha256" in rows:
                     made["ids_sha256"] = hashlib.sha256(ids.tobytes()).hexdigest()
                 if spelled:
