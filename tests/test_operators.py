@@ -220,3 +220,24 @@ def test_directory_summaries(spark):
         below = sorted(r.source_hash for r in files if r.target_path.split("/")[0] == d.target_path)
         assert d.source_hash == hashlib.sha256("".join(h + "\0" for h in below).encode()).hexdigest()
     assert [r.target_path for r in rows_ if r.scope == "repo"] == ["."]
+
+
+def test_answers_cite_the_files_they_come_from(spark, tmp_path):
+    from textquarry.operators.index import Index, within_cap
+    from textquarry.plans.corpus import as_files
+
+    files = as_files(spark.read.parquet(f"{SF}/documents.parquet"))
+    index = Index.build(files).saved(str(tmp_path))
+    questions = spark.createDataFrame([(1, "How does " + files.where("doc_id = 7").first().text[:200])], "q long, question string")
+    got = index.answered(questions).first()
+    assert got.route == "explain" and got.n_valid > 0 and got.n_invalid == 0 and not got.unsupported_claim
+    assert "/doc7.md:" in index.answered(questions).first().text
+    changed = files.withColumn("text", F.when(F.col("doc_id") == 7, "new words only").otherwise(F.col("text"))).withColumn("content_hash", F.sha2("text", 256))
+    fresh, anew = index.refreshed(changed), Index.build(changed)
+    key = lambda df: sorted((r.path, r.k, r.content) for r in df.collect())
+    assert key(fresh.chunks) == key(anew.chunks)
+    try:
+        within_cap(index.chunks, 3)
+        raise AssertionError("the cap must hold")
+    except ValueError:
+        pass
