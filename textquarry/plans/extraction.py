@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import code_chunks as cc
 from ..operators import extraction as ex
 from .catalogue import Tables, query
 
@@ -116,3 +117,12 @@ def python_endpoints(t: Tables) -> DataFrame:
 @query("""SELECT concat(p_brand, '/app.py') AS path, 1 AS line, 'fastapi' AS module FROM (SELECT DISTINCT p_brand FROM part) UNION ALL SELECT concat(p_brand, '/app.py'), 2, 'os' FROM (SELECT DISTINCT p_brand FROM part)""")
 def import_edges(t: Tables) -> DataFrame:
     return ex.import_edges(_python(t))
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, concat(p_brand, '/app.py') AS path, 4 + 8 * (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) AS s FROM part)
+SELECT path, concat('get_', k) AS symbol_name, 'function' AS symbol_kind, CAST(NULL AS VARCHAR) AS parent_symbol, s AS start_line, s + 2 AS end_line FROM p UNION ALL SELECT path, concat('Part', k), 'class', NULL, s + 4, s + 4 FROM p
+UNION ALL SELECT path, '_size', 'method', concat('Part', k), s + 5, s + 6 FROM p UNION ALL SELECT DISTINCT path, NULL, 'module', NULL, 1, 3 FROM p""")
+def python_chunks(t: Tables) -> DataFrame:
+    files = _python(t)
+    return cc.python_chunks(files, ex.python_facts(files)).select("path", "symbol_name", "symbol_kind", "parent_symbol", "start_line", "end_line")
