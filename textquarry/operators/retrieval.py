@@ -35,9 +35,8 @@ def query_phrases(questions: DataFrame) -> DataFrame:
 def bm25(rows: DataFrame, questions: DataFrame, k: int = 10, weights: dict[str, float] | None = None) -> DataFrame:
     """``q, rank, id, score`` of the best ``k`` of ``rows(id, ...)``; higher is better, ties by ``id``.
 
-    The corpus is tokenised once, and only terms that some question has leave that stage.  What a phrase
-    adds to a row's score does not depend on the question, so it is computed once per phrase and row, and
-    questions meet these numbers, not the tokens.
+    Only terms that some question has leave the stage that tokenises the corpus.  What a phrase to a row's score does not depend on the question, so it is computed once per phrase and row, and questions
+    meet these numbers, not the tokens.
     """
     weights = weights or WEIGHTS
     columns = [c for c in weights if c in rows.columns]
@@ -50,14 +49,14 @@ def bm25(rows: DataFrame, questions: DataFrame, k: int = 10, weights: dict[str,
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avgdl"))
     asked = query_phrases(questions)
     phrases = asked.select("phrase").distinct()
-    posted = rows.select("id", F.size("terms").alias("len"), F.explode("terms").alias("t")).select("id", "len", "t.w", "t.column", "t.term", "t.at")
+    posted = rows.select("id", F.size("terms").alias("len"), F.explode_outer("terms").alias("t")).select("id", "len", "t.w", "t.column", "t.term", "t.at")
     # Single terms are summed as they are; longer phrases must stand at consecutive places of one column.
     single = phrases.where(F.size("phrase") == 1).select("phrase", F.col("phrase")[0].alias("term"))
     one = posted.join(single, "term").groupBy("phrase", "id", "len").agg(F.sum("w").alias("tf"))
     longer = phrases.where(F.size("phrase") > 1).select("phrase", F.posexplode("phrase").alias("place", "term"))
     runs = posted.join(longer, "term").groupBy("phrase", "id", "len", "column", "w", (F.col("at") - F.col("place")).alias("from")).agg(F.count(F.lit(1)).alias("found"))
     many = runs.where(F.col("found") == F.size("phrase")).groupBy("phrase", "id", "len").agg(F.sum("w").alias("tf"))
-    tf = one.unionByName(many)
+    tf = one.unionByName(many).where("tf > 0")  # always so; with it both uses below share one shuffle
     df = tf.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     scored = tf.join(df, "phrase").crossJoin(F.broadcast(stats))  # one row of two numbers
     odds = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -100,7 +99,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 10
 
 def hash_embedding(texts: DataFrame, key: str, dimensions: int = 32) -> DataFrame:
     """``key, dim, value``: signed counts of hashed words, of length one; zeros are left out."""
-    words = texts.select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([^\s]+)"), F.lit(1))).alias("word"))
+    words = texts.select(key, F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(r"([^\s]+)"), F.lit(1))).alias("word")).where("word IS NOT NULL")
     tail = F.conv(F.substring(F.sha2("word", 256), -4, 4), 16, 10).cast("long")  # the last bits decide both
     sign = F.when(F.floor(tail / dimensions) % 2 == 0, 1).otherwise(-1)
     dims = words.groupBy(key, (tail % dimensions).alias("dim")).agg(F.sum(sign).cast("double").alias("raw")).where("raw <> 0")
