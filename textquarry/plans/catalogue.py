@@ -33,7 +33,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import corpus, events, extraction, ranking, relational  # noqa: F401  they register their queries
+    from . import corpus, events, extraction, maintenance, ranking, relational  # noqa: F401  they register their queries
 
     return dict(_QUERIES)
 
