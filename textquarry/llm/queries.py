@@ -67,7 +67,8 @@ def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.secrets(documents(spark, sf_dir))
-    counts = [F.size(F.filter("base", lambda p, k=k: p["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    count = lambda kind: F.size(F.filter("base", lambda p: p["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in ("assign", "access", "hex")]
     return rows.select(F.col("id").alias("doc_id"), *counts, F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
@@ -192,9 +193,36 @@ SELECT page_id, 'conversion', cid, refers_to, mid, url, '2024-01-01T00:00:00Z',
 """
 
 
+def _op9_sql() -> str:
+    """Every kind of part with its place, then weak parts by an inequality join on their document."""
+    kinds = [(k, p, g, least, 1 << 30, False) for k, p, g, least in secrets.STRONG] + [(*w, True) for w in secrets.WEAK]
+    parts = []
+    for kind, pattern, group, least, most, weak in kinds:
+        quoted = pattern.replace("'", "''")
+        mixed = "".join(f" AND regexp_matches(h[i], '{x}')" for x in secrets.MIXED) if (kind, group) == ("secret", 1) else ""
+        parts.append(f"""
+SELECT r, '{kind}' AS kind, {secrets.ORDER[kind]} AS ord, {weak} AS weak, start, start + len(h[i]) AS stop FROM (
+  SELECT r, h, o, i, CAST(list_sum(list_transform(g[1 : i], lambda x: len(x))) + coalesce(list_sum(list_transform(h[1 : i - 1], lambda x: len(x))), 0) AS BIGINT) AS start FROM (
+    SELECT r, h, o, g, unnest(range(1, len(h) + 1)) AS i FROM (
+      SELECT r, regexp_extract_all(t, '{quoted}', 0) AS h, regexp_extract_all(t, '{quoted}', {group}) AS o, string_split_regex(t, '{quoted}') AS g FROM d)))
+WHERE len(o[i]) BETWEEN {least} AND {most}{mixed}""")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), p AS ({" UNION ALL ".join(parts)}),
+c AS (SELECT *, CASE kind WHEN 'assign' THEN 'secret' WHEN 'hex' THEN 'secret' WHEN 'access' THEN 'ident' ELSE kind END AS role FROM p),
+n AS (SELECT w.r, w.kind, w.ord, w.start, w.stop, bool_or(c.role = 'ident') AS i, bool_or(c.role = 'secret') AS s
+      FROM c w JOIN c ON w.r = c.r AND c.start <= w.stop + {secrets.SCOPE} AND c.stop >= w.start - {secrets.SCOPE} WHERE w.weak GROUP BY ALL),
+a AS (SELECT r, kind, ord, start, stop, true AS base FROM p WHERE NOT weak
+      UNION ALL SELECT DISTINCT r, kind, ord, start, stop, false FROM n WHERE CASE kind WHEN 'ident' THEN s WHEN 'secret' THEN i ELSE i AND s END),
+l AS (SELECT r, count(*) FILTER (base AND kind = 'assign') AS n_assign, count(*) FILTER (base AND kind = 'access') AS n_access, count(*) FILTER (base AND kind = 'hex') AS n_hex,
+             string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, ord, stop) FILTER (base) AS b, string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, ord, stop) AS s FROM a GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans
+FROM d LEFT JOIN l ON d.r = l.r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_pu_quality, op4_quality_rules, op5_substring_dedup, op6_line_dedup, op7_simhash, op8_warc_derivatives, op9_secrets, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_source_mixing": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_warc_derivatives": OP8_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_source_mixing": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_warc_derivatives": OP8_SQL, "op9_secrets": _op9_sql()}
