@@ -258,3 +258,25 @@ def test_python_chunks_partition_a_source(spark):
     b = sorted((r.start_line, r.end_line) for r in got if r.path == "b.py")
     assert len(b) > 5 and all(n[0] <= p[1] + 1 for p, n in zip(b, b[1:])) and b[-1][1] == 401
     assert [r.symbol_kind for r in got if r.path == "bad.py"] == ["module"]
+
+
+def test_index_follows_arriving_files(spark, tmp_path):
+    """Each micro-batch of new files is merged into the table of files by path."""
+    from textquarry.plans.corpus import as_files
+
+    docs = as_files(spark.read.parquet(f"{SF}/documents.parquet"))
+    (tmp_path / "in").mkdir()
+    table = str(tmp_path / "files")
+    seen = []
+
+    def refresh(batch):
+        seen.append(batch.count())
+        batch.write.mode("append").parquet(table)
+
+    source = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
+    q = stream.refresh_on_arrival(source, refresh, str(tmp_path / "c"))
+    for part in (docs.where("doc_id < 50"), docs.where("doc_id >= 50")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q.processAllAvailable()
+    q.stop()
+    assert sum(seen) == docs.count() == spark.read.parquet(table).count()
