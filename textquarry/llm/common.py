@@ -52,3 +52,40 @@ def whole_rows(docs: DataFrame, **keys: Column) -> DataFrame:
     """
     packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     return docs.select(packed.alias("row"), *[c.alias(k) for k, c in keys.items()])
+
+
+#: Rows and bytes up to which a table of sources or the like is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 10_000, 4 << 20
+
+
+def broadcast_if_small(table: DataFrame) -> DataFrame:
+    """Mark a *written* table for broadcast if it is small now; otherwise leave the join to Spark.
+
+    The size is counted, not assumed: one pass over the table's rows as JSON.
+    """
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+    rows, used = table.agg(F.count(F.lit(1)), size).first()
+    return F.broadcast(table) if rows <= BROADCAST_ROWS and used <= BROADCAST_BYTES else table
+
+
+#: Bits of a membership filter: 1 MiB whatever the input, so it may be broadcast.  More members than bits
+#: only let more rows through to the exact step behind it.
+FILTER_BITS = 1 << 23
+
+
+def filter_bit(member: Column) -> Column:
+    return F.pmod(F.xxhash64(member), F.lit(FILTER_BITS))
+
+
+def membership(bits: DataFrame) -> DataFrame:
+    """Bitmaps of the column ``bit``: at most ``FILTER_BITS / 32768`` rows of 4 KiB."""
+    at = bits.select(F.bitmap_bucket_number("bit").alias("bucket"), F.bitmap_bit_position("bit").alias("at"))
+    return at.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+
+
+def possible_members(rows: DataFrame, filter_: DataFrame) -> DataFrame:
+    """The rows whose column ``bit`` is set in a ``membership``: all members, and few others."""
+    byte = F.expr("cast(conv(hex(substring(bits, cast(bitmap_bit_position(bit) div 8 as int) + 1, 1)), 16, 10) as int)")
+    mask = F.expr("shiftleft(1, cast(bitmap_bit_position(bit) % 8 as int))")
+    met = rows.withColumn("bucket", F.bitmap_bucket_number("bit")).join(F.broadcast(filter_), "bucket")  # proven bound: FILTER_BITS / 8 bytes
+    return met.where(byte.bitwiseAND(mask) != 0).drop("bucket", "bits", "bit")

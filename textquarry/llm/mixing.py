@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_rows, word_count, written
+from .common import broadcast_if_small, whole_rows, word_count, written
 
 #: Keys are this many bits of an MD5 digest.
 KEY_BITS = 60
@@ -60,9 +60,9 @@ def cuts(keyed: DataFrame, targets: DataFrame) -> DataFrame:
     t = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     t = t.withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
     t = t.withColumn("bits", F.ceil(F.log2(F.col("source_rows")) / 2).cast("int"))
-    t = t.withColumnRenamed("source", "of")
+    t = written(t.withColumnRenamed("source", "of"), "budgets")
     block = F.expr(f"shiftright(key, {KEY_BITS} - bits)")
-    rows = keyed.join(t.select("of", "bits", "rest"), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("block", block)
+    rows = keyed.join(broadcast_if_small(t.select("of", "bits", "rest")), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("block", block)
     sums = rows.groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     upto = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     ends = sums.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
@@ -73,7 +73,8 @@ def cuts(keyed: DataFrame, targets: DataFrame) -> DataFrame:
     same = same.withColumn("start", F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0)))
     cut = same.where("start <= rest and rest < start + size * n")
     cut = cut.select(F.col("source").alias("cut_of"), F.col("key").alias("cut_key"), F.col("id").alias("cut_id"), F.col("size").alias("cut_size"), F.floor((F.col("rest") - F.col("start")) / F.col("n")).alias("part"))
-    return t.join(cut, F.col("of").eqNullSafe(F.col("cut_of")), "left").drop("cut_of", "bits", "rest", "source_rows")
+    found = t.join(cut, F.col("of").eqNullSafe(F.col("cut_of")), "left").drop("cut_of", "bits", "rest", "source_rows")
+    return broadcast_if_small(written(found, "cuts"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
