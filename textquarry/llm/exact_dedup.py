@@ -24,11 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_rows, written
-
-#: Bits of the filter of hit digests: 1 MiB whatever the input, so it may be broadcast.  More hits than
-#: bits only let more rows through to the verification.
-FILTER_BITS = 1 << 23
+from .common import filter_bit, membership, possible_members, whole_rows, written
 
 
 def sha256_bytes(text: Column) -> Column:
@@ -49,29 +45,13 @@ def compact(runs: DataFrame, largest: bool) -> DataFrame:
     return written(runs.groupBy("digest").agg(keep.alias("keep_id"), F.count(F.lit(1)).alias("n")), "level")
 
 
-def _bit(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS))
-
-
-def hit_filter(level: DataFrame) -> DataFrame:
-    """Bitmaps of the digests that several rows have: at most ``FILTER_BITS / 32768`` rows of 4 KiB."""
-    bit = _bit(F.col("digest"))
-    hits = level.where("n > 1").select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("bit"))
-    return hits.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-
-
 def texts_of_hits(docs: DataFrame, level: DataFrame, digest: Callable[[Column], Column], id_col: str, text_col: str, largest: bool) -> DataFrame:
     """``(digest, text, keep_id, n)`` of every row that the filter lets through, grouped by bytes."""
     keep = F.max("id") if largest else F.min("id")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("digest", digest(F.col("text"))).withColumn("h", _bit(F.col("digest")))
-    byte = F.expr("cast(conv(hex(substring(bits, cast(bitmap_bit_position(h) div 8 as int) + 1, 1)), 16, 10) as int)")
-    mask = F.expr("shiftleft(1, cast(bitmap_bit_position(h) % 8 as int))")
-    passed = (
-        rows.withColumn("bucket", F.bitmap_bucket_number("h"))
-        .join(F.broadcast(hit_filter(level)), "bucket")  # proven bound: FILTER_BITS / 8 bytes
-        .where(byte.bitwiseAND(mask) != 0)
-    )
+    rows = rows.withColumn("digest", digest(F.col("text"))).withColumn("bit", filter_bit(F.col("digest")))
+    hits = level.where("n > 1").select(filter_bit(F.col("digest")).alias("bit"))
+    passed = possible_members(rows, membership(hits))
     return passed.groupBy("digest", "text").agg(keep.alias("keep_id"), F.count(F.lit(1)).alias("n"))
 
 

@@ -6,8 +6,10 @@ mean over its n-grams of ``log((c_t + s) / (r * c + s))``: ``c_t`` and ``c`` are
 trusted share of all n-grams, ``s`` a smoothing count.  The mean is the length normalisation.  A document
 passes if its score is at least ``THRESHOLD``; nothing is drawn at random.
 
-Counting adds up within tasks first, at most one number per bucket and task.  The finished table has
-``2**BITS`` entries whatever the input, so it may go to the driver and back to the workers.
+Counting adds up within tasks first, at most one number per bucket and task.  Raw counts take one pass in
+which nothing moves.  For the target only texts that a filter of fixed size takes for trusted are joined
+with the trusted identifiers, which then decide.  The finished table has ``2**BITS`` entries whatever the
+input, so it may go to the driver and back to the workers.
 
 Defined cases: a null text counts as empty; a text shorter than an n-gram scores zero; without trusted
 documents every score is zero; a document is trusted if any of its label rows says so, and rows that repeat
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import filter_bit, membership, possible_members
 from .textstats import base_counts, gram_buckets
 
 GRAM, BITS, SMOOTHING, THRESHOLD = 4, 16, 4.0, -0.25
@@ -32,22 +35,23 @@ MIN_WORDS, MAX_REPEATED = 50, 50
 
 def gram_counts(docs: DataFrame, trusted: DataFrame, gram: int = GRAM, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``bucket, raw, target``: n-grams of all texts and of those whose ``id`` is in ``trusted``."""
-    sure = trusted.where("id IS NOT NULL").select(F.col("id").alias("of")).distinct().withColumn("sure", F.lit(True))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(sure, F.col("id") == F.col("of"), "left")
+    sure = trusted.where("id IS NOT NULL").select(F.col("id").alias("of")).distinct()
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, 1 << bits), "i8")
+        counts = np.zeros(1 << bits, "i8")
         for batch in batches:
-            for text, known in zip(batch.column(0).cast(pa.binary()), batch.column(1)):
-                seen = np.bincount(gram_buckets(text.as_py() or b"", gram, bits), minlength=1 << bits)
-                counts[0] += seen
-                if known.as_py():
-                    counts[1] += seen
-        at = np.flatnonzero(counts[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0, at]), pa.array(counts[1, at])], ["bucket", "raw", "target"])
-
-    parts = rows.select("text", "sure").mapInArrow(run, "bucket long, raw long, target long")
-    return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+            for text in batch.column(0).cast(pa.binary()):
+                counts += np.bincount(gram_buckets(text.as_py() or b"", gram, bits), minlength=1 << bits)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["bucket", "n"])
+
+    likely = possible_members(rows.withColumn("bit", filter_bit(F.col("id"))), membership(sure.select(filter_bit(F.col("of")).alias("bit"))))
+    known = likely.join(sure.hint("merge"), F.col("id") == F.col("of"))  # labels grow with the corpus: never broadcast
+    none = F.lit(0).cast("long")
+    raw = rows.select("text").mapInArrow(run, "bucket long, n long").select("bucket", F.col("n").alias("raw"), none.alias("target"))
+    target = known.select("text").mapInArrow(run, "bucket long, n long").select("bucket", none.alias("raw"), F.col("n").alias("target"))
+    return raw.unionByName(target).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def ratios(counts: DataFrame, bits: int = BITS, smoothing: float = SMOOTHING) -> np.ndarray:
