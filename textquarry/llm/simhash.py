@@ -124,7 +124,7 @@ def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
     masks = band_masks(distance)
     bands = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("band", "key")
     rows = nodes.select("fp", bands)
-    groups = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = written(rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
     parts = F.ceil(F.col("n") / GROUP).cast("int")
     own = F.pmod(F.xxhash64("fp"), parts).cast("int")
     rows = rows.join(groups, ["band", "key"]).select("band", "key", "fp", parts.alias("parts"), own.alias("own"))
@@ -158,7 +158,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col
     prints = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     roots = stars(links(prints.select("fp").distinct(), distance))
     rooted = prints.join(roots, prints.fp == roots.node, "left").select("id", "fp", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    # Written, so that the join has two plain shuffles and Spark can split it at a very large component.
+    least = written(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "least")
     return rooted.join(least, "root").select("id", "fp", "component_id")
 
 
