@@ -31,35 +31,52 @@ from .textstats import base_counts, gram_buckets
 
 GRAM, BITS, SMOOTHING, THRESHOLD = 4, 16, 4.0, -0.25
 MIN_WORDS, MAX_REPEATED = 50, 50
+#: Buckets that travel in one row.
+BLOCK = 1024
 
 
-def gram_counts(docs: DataFrame, trusted: DataFrame, gram: int = GRAM, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``bucket, raw, target``: n-grams of all texts and of those whose ``id`` is in ``trusted``."""
-    sure = trusted.where("id IS NOT NULL").select(F.col("id").alias("of")).distinct()
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+def _added(rows: DataFrame, gram: int, bits: int) -> DataFrame:
+    """``block, counts`` of the column ``text``: each task's counts of n-grams, ``BLOCK`` buckets to a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, "i8")
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()):
                 counts += np.bincount(gram_buckets(text.as_py() or b"", gram, bits), minlength=1 << bits)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["bucket", "n"])
+        blocks = counts.reshape(-1, BLOCK)
+        at = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(list(blocks[at]), pa.list_(pa.int64()))], ["block", "counts"])
 
+    return rows.select("text").mapInArrow(run, "block int, counts array<long>")
+
+
+def gram_counts(docs: DataFrame, trusted: DataFrame, gram: int = GRAM, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``target, block, counts``: n-grams of all texts, and (``target``) of those whose ``id`` is in ``trusted``."""
+    sure = trusted.where("id IS NOT NULL").select(F.col("id").alias("of")).distinct()
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     likely = possible_members(rows.withColumn("bit", filter_bit(F.col("id"))), membership(sure.select(filter_bit(F.col("of")).alias("bit"))))
     known = likely.join(sure.hint("merge"), F.col("id") == F.col("of"))  # labels grow with the corpus: never broadcast
-    none = F.lit(0).cast("long")
-    raw = rows.select("text").mapInArrow(run, "bucket long, n long").select("bucket", F.col("n").alias("raw"), none.alias("target"))
-    target = known.select("text").mapInArrow(run, "bucket long, n long").select("bucket", none.alias("raw"), F.col("n").alias("target"))
-    return raw.unionByName(target).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    parts = _added(rows, gram, bits).withColumn("target", F.lit(False)).unionByName(_added(known, gram, bits).withColumn("target", F.lit(True)))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[bool, int], np.ndarray] = {}
+        for batch in batches:
+            for target, block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                total[target, block] = total.get((target, block), 0) + counts.values.to_numpy()
+        keys = list(total)
+        columns = [pa.array([k[0] for k in keys], pa.bool_()), pa.array([k[1] for k in keys], pa.int32()), pa.array([total[k] for k in keys], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["target", "block", "counts"])
+
+    # Every key has one row per task at most; there are 2 * 2**bits / BLOCK keys.
+    return parts.select("target", "block", "counts").repartition("target", "block").mapInArrow(add, "target boolean, block int, counts array<long>")
 
 
 def ratios(counts: DataFrame, bits: int = BITS, smoothing: float = SMOOTHING) -> np.ndarray:
     """The log-likelihood ratio of each bucket; the table's size does not depend on the input."""
-    table = np.zeros((2, 1 << bits))
-    for row in counts.collect():  # at most 2**bits rows
-        table[:, row.bucket] = row.raw, row.target
-    raw, target = table
+    table = np.zeros((2, (1 << bits) // BLOCK, BLOCK))
+    for row in counts.collect():  # 2 * 2**bits counts at most
+        table[int(row.target), row.block] = row.counts
+    raw, target = table.reshape(2, -1)
     share = target.sum() / max(raw.sum(), 1)
     return np.log((target + smoothing) / (share * raw + smoothing))
 
