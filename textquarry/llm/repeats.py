@@ -13,7 +13,7 @@ document.  Maximal runs of repeated tokens are the maximal repeats of at least `
    text and is extended window by window, and equal windows are matched by 128-bit hashes.
 
 Counts and minima combine before they move.  A group is never expanded into pairs: its rows join its first
-row.  Joins are equi-joins that Spark can split at a hot anchor.  Texts move twice, joined by document key.
+row.  Joins are equi-joins that Spark can split at a hot anchor, as what is aggregated is written before.  Texts move twice, joined by document key.
 
 Defined cases: a null text counts as empty; shorter documents have no window and stay whole; rows without
 an identifier come after all others, and rows that repeat an identifier are ordered by their text; an empty
@@ -165,15 +165,15 @@ def repeated_windows(keyed: DataFrame, tokens: str, length: int, gram: int) -> D
     """``key, lo, hi``: runs of windows that start earlier too.  Runs may overlap."""
     seeds = written(_seed_rows(keyed, tokens, length, gram), "seeds")
     shared = seeds.where("anchor IS NOT NULL").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = written(seeds.join(shared, "anchor").drop("n"), "shared")
+    rows = written(seeds.join(written(shared.select("anchor"), "anchors"), "anchor"), "shared")
     spans = rows.groupBy("anchor", "span").agg(F.min("key").alias("first"))
     kinds = spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    spans = spans.join(kinds, "anchor")
+    spans = written(spans.join(kinds, "anchor"), "spans")
     told = rows.join(spans, ["anchor", "span"]).where("key > first OR kinds > 1")
     told = written(told.select("key", "lo", "hi", (F.col("key") > F.col("first")).alias("later")), "told")
     windows = written(_window_rows(keyed, told.where("NOT later"), tokens, length), "windows")
     firsts = windows.where("w1 IS NOT NULL").groupBy("w1", "w2").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = windows.join(firsts, ["w1", "w2"]).where("key > first")
+    later = windows.join(written(firsts.drop("n"), "firsts"), ["w1", "w2"]).where("key > first")
     one = F.col("lo").alias("hi")
     return (
         seeds.where("anchor IS NULL").select("key", "lo", "hi")
