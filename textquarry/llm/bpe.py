@@ -31,7 +31,7 @@ from tokenizers import Tokenizer
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Characters of a text that are encoded at a time, and matches that a worker remembers.
-PIECE, REMEMBERED = 1 << 17, 400_000
+PIECE, REMEMBERED = 1 << 17, 150_000
 
 OUTPUTS = {"n_tokens": "long", "ids": "array<int>", "starts": "array<int>", "ends": "array<int>", "ids_sha256": "string", "decoded": "binary", "decoded_sha256": "string"}
 
