@@ -9,7 +9,7 @@ import re
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as fn
-from textquarry.operators import answers, extraction, graph, retrieval, structured
+from textquarry.operators import answers, digests, extraction, graph, retrieval, structured, summaries
 from textquarry.plans import catalogue
 from textquarry.sources import files as src
 from textquarry.streaming import events as stream
@@ -222,6 +222,22 @@ def test_directory_summaries(spark):
     assert [r.target_path for r in rows_ if r.scope == "repo"] == ["."]
 
 
+def test_directories_are_hashed_without_being_gathered(spark):
+    """More parts than a block has, a part that repeats more often than is hashed at a time, rows without a part."""
+    parts = [("a", f"{i:05d}" * 3) for i in range(300)] + [("a", "x")] * 2500 + [("b", None), ("b", "y"), ("c", None), (None, "z")]
+    df = spark.createDataFrame(parts, "dir string, part string")
+    got = {r.dir: (r.n, r.hash) for r in digests.combined(df, "part").collect()}
+    for d in ("a", "b", "c", None):
+        own = sorted(p for g, p in parts if g == d and p is not None)
+        assert got[d] == (sum(g == d for g, _ in parts), hashlib.sha256("".join(p + "\0" for p in own).encode()).hexdigest())
+    files = spark.createDataFrame([("file", f"d/{i}.md", "" if i < 2 else f"Text {i}. More", f"h{i}") for i in range(9)], "scope string, target_path string, content string, source_hash string")
+    made = summaries.hierarchy(files, depth=1)
+    assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.target_path: r.content for r in made.where("scope <> 'file'").collect()} == {"d": "d/2.md: Text 2.", ".": "d: d/2.md: Text 2."}
+    whole = summaries.hierarchy(files, 1, lambda text: F.length(text).cast("string")).where("scope = 'directory'").first()
+    assert whole.content == str(len("\n".join(f"d/{i}.md: " + ("" if i < 2 else f"Text {i}. More") for i in range(9))))
+
+
 def test_answers_cite_the_files_they_come_from(spark, tmp_path):
     from textquarry.operators.index import Index, within_cap
     from textquarry.plans.corpus import as_files

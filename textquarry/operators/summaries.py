@@ -1,6 +1,7 @@
 """Summaries from files up: each directory from its children's, the deepest first, cached by content.
 
-The summarizer is a column expression over what it may read; the default is extractive, the first sentence.
+The summarizer is a column expression over what it may read; the default is extractive, the first sentence.  A
+directory's is that of its first child, by path, that has one.  No directory's children are gathered for it.
 """
 
 from __future__ import annotations
@@ -10,13 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import combined_hash, parent_directory
+from ..functions.text import parent_directory
+from .digests import combined
 
 MIN_LINES, MAX_CHARS = 20, 6000
+SENTENCE = r"(?s)^\s*(.*?[.!?])(?:\s|$)"
 
 
 def first_sentence(text: Column) -> Column:
-    return F.trim(F.regexp_extract(text, r"(?s)^\s*(.*?[.!?])(?:\s|$)", 1))
+    return F.trim(F.regexp_extract(text, SENTENCE, 1))
 
 
 def file_summaries(files: DataFrame, summarise: Callable[[Column], Column] = first_sentence, least: int = MIN_LINES) -> DataFrame:
@@ -24,18 +27,25 @@ def file_summaries(files: DataFrame, summarise: Callable[[Column], Column] = fir
     return files.where(F.col("loc") >= least).select(F.lit("file").alias("scope"), F.col("path").alias("target_path"), summarise(F.substring("text", 1, MAX_CHARS)).alias("content"), F.col("content_hash").alias("source_hash"))
 
 
-def hierarchy(summaries: DataFrame, depth: int, summarise: Callable[[Column], Column] = first_sentence) -> DataFrame:
-    """File summaries with those of all directories up to ``depth`` levels and of the root ``.``."""
-    found, level = summaries, summaries
+def hierarchy(summaries: DataFrame, depth: int, summarise: Callable[[Column], Column] | None = None) -> DataFrame:
+    """File summaries with those of all directories up to ``depth`` levels and of the root ``.``.
+
+    A ``summarise`` of the user's reads the lines of all children in order, as one text, which is then gathered.
+    """
+    found = summaries
     for d in range(depth, -1, -1):
         below = found.where(F.col("target_path") != ".").withColumn("dir", parent_directory(F.col("target_path")))
         at = F.when(F.col("dir") == ".", 0).otherwise(F.size(F.split("dir", "/")))
-        child = F.struct("target_path", "content", "source_hash")
-        level = below.where(at == d).groupBy("dir").agg(F.array_sort(F.collect_list(child)).alias("children"))
-        body = F.array_join(F.transform("children", lambda c: F.concat_ws(": ", c["target_path"], c["content"])), "\n")
+        below = below.where(at == d).withColumn("line", F.concat_ws(": ", "target_path", "content"))
+        level = combined(below, "source_hash", F.col("target_path"), F.when(F.col("line").rlike(SENTENCE), F.col("line")))
+        content = F.coalesce(first_sentence(F.col("note")), F.lit(""))
+        if summarise is not None:
+            child = F.struct("target_path", "content", "source_hash", "line")
+            body = F.array_join(F.transform(F.array_sort(F.collect_list(child)), lambda c: c["line"]), "\n")
+            level = level.join(below.groupBy("dir").agg(body.alias("body")), "dir")
+            content = summarise(F.col("body"))
         scope = F.when(F.col("dir") == ".", "repo").otherwise("directory")
-        hashed = combined_hash(F.transform("children", lambda c: c["source_hash"]))
-        found = found.unionByName(level.select(scope.alias("scope"), F.col("dir").alias("target_path"), summarise(body).alias("content"), hashed.alias("source_hash")))
+        found = found.unionByName(level.select(scope.alias("scope"), F.col("dir").alias("target_path"), content.alias("content"), F.col("hash").alias("source_hash")))
     return found
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import chunking, incremental, summaries
+from ..operators import chunking, digests, incremental, summaries
 from ..sources import files as src
 from .catalogue import Tables, query
 
@@ -187,7 +187,7 @@ def token_entropy(t: Tables) -> DataFrame:
 @query("SELECT source AS dir, count(*) AS n_children, sha256(string_agg(concat(sha256(text), chr(0)), '' ORDER BY sha256(text))) AS hash FROM documents GROUP BY source")
 def directory_hashes(t: Tables) -> DataFrame:
     files = as_files(t.documents).select(fn.parent_directory(F.col("path")).alias("dir"), "content_hash")
-    return files.groupBy("dir").agg(F.count(F.lit(1)).alias("n_children"), fn.combined_hash(F.collect_list("content_hash")).alias("hash"))
+    return digests.combined(files, "content_hash").select("dir", F.col("n").alias("n_children"), "hash")
 
 
 @query("SELECT a.dir, count(*) AS n FROM (SELECT unnest(['deep', concat('deep/', source), concat('deep/', source, '/', lang)]) AS dir FROM documents) a GROUP BY a.dir")
