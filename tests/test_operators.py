@@ -136,6 +136,29 @@ def test_rate_limit_batch_and_stream(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.table("limited").collect()) == sorted(want)
 
 
+def test_rate_limit_of_a_run_that_never_ends(spark):
+    """A user whose events are seldom a window apart, some at one time, before the epoch too; others without key or time."""
+    import datetime as dt
+
+    rng, t, made = random.Random(5), -40_000_000_000, []
+    for i in range(12_000):
+        t += rng.choice([0, 1, 999_999, 5_000_000, 7_000_000, 20_000_000, 59_999_999, 60_000_000 if i % 97 == 0 else 3])
+        made.append((i, rng.choice([1, 1, 1, None]), t))
+    made += [(20_000 + i, 3, 60_000_000 * i) for i in range(5)] + [(30_000, 1, None), (30_001, 1, None), (30_002, None, None)]
+    at = lambda t: None if t is None else dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(microseconds=t)
+    df = spark.createDataFrame([(i, u, at(t)) for i, u, t in made], "event_id long, user_id long, ts timestamp")
+    want, since, n, user = [], None, 0, "none yet"
+    for u, t, i in sorted(((u, t, i) for i, u, t in made if t is not None), key=lambda r: (r[0] or 0, r[1], r[2])):
+        if u != user or t - since >= 60_000_000:
+            user, since, n = u, t, 0
+        n += 1
+        want.append((i, u or 0, n, n <= 10))
+    want += [(i, u or 0, 1, True) for i, u, t in made if t is None]
+    got = stream.rate_limited(df, limit=10)
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.event_id, r.user_id or 0, r.place, r.allowed) for r in got.collect()) == sorted(want)
+
+
 def test_windows_over_a_stream(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events.coalesce(1).write.parquet(str(tmp_path / "in"))

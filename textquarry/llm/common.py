@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_folder, written  # noqa: F401  the operators take them from here
+
 #: A word is a run of characters other than the six ASCII white-space ones.  ``bytes.split()`` cuts
 #: UTF-8 at exactly these characters, so Python workers use that instead of a pattern.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,29 +21,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a session without that setting (a local test) gets a folder of its own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="textquarry-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    The files cut the lineage: a lost executor costs the tasks that ran on it, never a recomputation of
-    everything before, and what depends on row order or partition numbers is fixed from here on.
-    """
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def whole_rows(docs: DataFrame, **keys: Column) -> DataFrame:
     """The rows of ``docs`` packed in one struct ``row`` beside the given key columns.
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.scratch import written
+
 WINDOW, LIMIT = 60, 30
 
 
@@ -31,29 +33,65 @@ def sessions(events: DataFrame, gap: str = "30 minutes", **how) -> DataFrame:
     return counted(events, F.session_window("ts", gap), "user_id", **how)
 
 
+def _window_starts(times: DataFrame, window: int) -> DataFrame:
+    """``u, b, start`` of the windows over ``times(u, b, t)``, distinct and with ``b`` the minute (or whatever
+    ``window`` is) that ``t`` lies in.
+
+    An event ``window`` or more after the one before it opens a window whatever came earlier.  Every other event may
+    be one that opens the next window after some event: each has a pointer to the first event ``window`` or more after
+    it, which lies in one of the next two minutes unless it opens one anyway.  From the windows known, pointers are
+    followed, and pointers that double in length reach all windows of a run in as many rounds as its number of
+    windows has bits.  No step holds more than a minute of a user in one task.
+    """
+    ends = written(times.groupBy("u", "b").agg(F.min("t").alias("low"), F.max("t").alias("high")), "minutes")
+    minute = Window.partitionBy("u", "b").orderBy("t")
+    last = ends.select("u", (F.col("b") + 1).alias("b"), F.col("high").alias("last"))
+    before = F.coalesce(F.lag("t").over(minute), F.col("last"))
+    marked = times.join(last, ["u", "b"], "left").select("u", "b", "t", F.coalesce(F.col("t") - before >= window, F.lit(True)).alias("opens"))
+    marked = written(marked, "opens")
+    # Every event asks for the first one from a window later on, within the minute of that time.
+    asked = times.select("u", (F.col("b") + 1).alias("b"), (F.col("t") + window).alias("t"), F.lit(True).alias("asks"))
+    given = times.select("u", "b", "t", F.lit(False).alias("asks"))
+    following = F.min(F.when(~F.col("asks"), F.col("t"))).over(Window.partitionBy("u", "b").orderBy(F.desc("t")))
+    found = asked.unionByName(given).select("u", "b", "t", "asks", following.alias("to")).where("asks")
+    after = ends.select("u", (F.col("b") - 1).alias("b"), F.col("low").alias("low"))
+    found = found.join(after, ["u", "b"], "left").select("u", (F.col("t") - window).alias("t"), F.coalesce("to", "low").alias("to"))
+    rest = marked.where("NOT opens").select("u", F.col("t").alias("to"))
+    jumps = written(found.where("to IS NOT NULL").join(rest, ["u", "to"]).select("u", "t", "to"), "jumps")
+    starts = written(marked.where("opens").select("u", "t"), "starts")
+    while not jumps.isEmpty():
+        reached = starts.join(jumps, ["u", "t"]).select("u", F.col("to").alias("t"))
+        starts = written(starts.unionByName(reached).distinct(), "starts")
+        onward = jumps.select("u", F.col("t").alias("to"), F.col("to").alias("end"))
+        jumps = written(jumps.join(onward, ["u", "to"]).select("u", "t", F.col("end").alias("to")), "jumps")
+    return starts.select("u", _minute(F.col("t"), window).alias("b"), F.col("t").alias("start"))
+
+
+def _minute(t: Column, window: int) -> Column:
+    return ((t - F.pmod(t, F.lit(window))) / window).cast("long")
+
+
 def rate_limited(events: DataFrame, limit: int = LIMIT, window: int = WINDOW) -> DataFrame:
     """``event_id, user_id, place, allowed``: windows start at a key's first event that is not in one.
 
-    An event at least ``window`` after the one before it opens a window whatever came earlier, so a key's
-    events are cut into runs there, and only a run's times are folded in order.  ``place`` counts within the
-    window.  Limits of 0 or less allow all.
+    ``place`` counts within the window.  Limits of 0 or less allow all.  A minute has one window's start at most, so
+    an event's window is that of its minute, if it starts by then, or that of the minute before.
     """
-    times = events.select("event_id", "user_id", F.unix_micros("ts").alias("t"))
-    order = Window.partitionBy("user_id").orderBy("t", "event_id")
-    opens = F.coalesce(F.col("t") - F.lag("t").over(order) >= window * 1_000_000, F.lit(True)).cast("int")
-    runs = times.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    listed = runs.groupBy("user_id", "run").agg(F.array_sort(F.collect_list(F.struct("t", "event_id"))).alias("e"))
-    start = F.struct(F.lit(None).cast("bigint").alias("from"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("places"))
-
-    def step(s: Column, x: Column) -> Column:
-        opens = s["from"].isNull() | (x["t"] - s["from"] >= window * 1_000_000)
-        n = F.when(opens, F.lit(1)).otherwise(s["n"] + 1)
-        return F.struct(F.when(opens, x["t"]).otherwise(s["from"]).alias("from"), n.alias("n"), F.array_append(s["places"], n).alias("places"))
-
-    places = F.aggregate("e", start, step, lambda s: s["places"])
-    rows = listed.select("user_id", F.explode(F.arrays_zip(F.col("e").alias("e"), places.alias("p"))).alias("x"))
-    allowed = F.lit(True) if limit <= 0 else F.col("x.p") <= limit
-    return rows.select(F.col("x.e.event_id").alias("event_id"), "user_id", F.col("x.p").cast("long").alias("place"), allowed.alias("allowed"))
+    size = window * 1_000_000
+    # A struct, so that rows without a key are one key.
+    rows = events.select("event_id", F.struct("user_id").alias("u"), F.unix_micros("ts").alias("t")).withColumn("b", _minute(F.col("t"), size))
+    rows = written(rows, "events")
+    timed = rows.where("t IS NOT NULL")
+    starts = written(_window_starts(timed.select("u", "b", "t").distinct(), size), "windows")
+    own = starts.withColumnRenamed("start", "own")
+    earlier = starts.select("u", (F.col("b") + 1).alias("b"), F.col("start").alias("earlier"))
+    timed = timed.join(own, ["u", "b"], "left").join(earlier, ["u", "b"], "left")
+    start = F.when(F.col("own") <= F.col("t"), F.col("own")).otherwise(F.col("earlier"))
+    place = F.row_number().over(Window.partitionBy("u", "start").orderBy("t", "event_id"))
+    placed = timed.withColumn("start", start).select("event_id", "u.user_id", place.cast("long").alias("place"))
+    # An event without a time is in no other's window.
+    placed = placed.unionByName(rows.where("t IS NULL").select("event_id", "u.user_id", F.lit(1).cast("long").alias("place")))
+    return placed.select("event_id", "user_id", "place", (F.lit(True) if limit <= 0 else F.col("place") <= limit).alias("allowed"))
 
 
 def rate_limited_stream(events: DataFrame, limit: int = LIMIT, window: int = WINDOW) -> DataFrame:
