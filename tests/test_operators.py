@@ -245,6 +245,13 @@ def test_directory_summaries(spark):
     assert [r.target_path for r in rows_ if r.scope == "repo"] == ["."]
 
 
+def test_a_summary_reads_the_whole_text_unless_told_otherwise(spark):
+    text = "word " * 1500 + "end. More."
+    files = spark.createDataFrame([("a.md", text, "h", 20)], "path string, text string, content_hash string, loc int")
+    assert summaries.file_summaries(files).first().content == "word " * 1500 + "end."
+    assert summaries.file_summaries(files, most=summaries.MAX_CHARS).first().content == ""
+
+
 def test_directories_are_hashed_without_being_gathered(spark):
     """More parts than a block has, a part that repeats more often than is hashed at a time, rows without a part."""
     parts = [("a", f"{i:05d}" * 3) for i in range(300)] + [("a", "x")] * 2500 + [("b", None), ("b", "y"), ("c", None), (None, "z")]

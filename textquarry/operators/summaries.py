@@ -22,9 +22,13 @@ def first_sentence(text: Column) -> Column:
     return F.trim(F.regexp_extract(text, SENTENCE, 1))
 
 
-def file_summaries(files: DataFrame, summarise: Callable[[Column], Column] = first_sentence, least: int = MIN_LINES) -> DataFrame:
-    """``scope, target_path, content, source_hash`` of ``files(path, text, content_hash, loc)`` long enough."""
-    return files.where(F.col("loc") >= least).select(F.lit("file").alias("scope"), F.col("path").alias("target_path"), summarise(F.substring("text", 1, MAX_CHARS)).alias("content"), F.col("content_hash").alias("source_hash"))
+def file_summaries(files: DataFrame, summarise: Callable[[Column], Column] = first_sentence, least: int = MIN_LINES, most: int | None = None) -> DataFrame:
+    """``scope, target_path, content, source_hash`` of ``files(path, text, content_hash, loc)`` long enough.
+
+    ``most`` is for a model whose input costs, such as ``MAX_CHARS``: what a summary may read of a text.
+    """
+    text = F.col("text") if most is None else F.substring("text", 1, most)
+    return files.where(F.col("loc") >= least).select(F.lit("file").alias("scope"), F.col("path").alias("target_path"), summarise(text).alias("content"), F.col("content_hash").alias("source_hash"))
 
 
 def hierarchy(summaries: DataFrame, depth: int, summarise: Callable[[Column], Column] | None = None) -> DataFrame:
