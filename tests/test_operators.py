@@ -47,7 +47,8 @@ def test_names_and_routes(spark):
     assert one(spark, fn.route_question(F.col("t")), t="trace the request from route to database") == "explain"
     assert one(spark, fn.parse_route(F.col("t")), t="It is Endpoints, I think") == "endpoints"
     assert one(spark, fn.join_route(F.col("a"), F.col("b")), a="/v1/", b="users") == "/v1/users"
-    assert one(spark, fn.join_segments(F.col("a"), F.col("b")), a="/v1/", b="") == "/v1"
+    assert one(spark, fn.controller_route(F.col("a"), F.col("b"), False), a="/v1/", b="") == "/v1"
+    assert one(spark, fn.controller_route(F.col("a"), F.col("b"), True), a="v1", b="") == "/v1/"
     assert one(spark, fn.pep508_version(F.col("t")), t="requests[socks] >=2") == "[socks] >=2"
 
 
@@ -183,7 +184,7 @@ def test_endpoints_of_other_frameworks(spark):
     got = rows(extraction.endpoints(files), "framework", F.coalesce("method", F.lit("-")), "route", F.coalesce("handler", F.lit("-")), F.col("auth").isNotNull())
     assert got == sorted([
         ("express", "GET", "/health", "ok", False), ("express", "POST", "/login", "login", True), ("express", "-", "/x", "h", False),
-        ("nestjs", "GET", "/cats/:id", "findOne", True), ("nestjs", "POST", "/cats", "create", False),
+        ("nestjs", "GET", "/cats/:id", "findOne", True), ("nestjs", "POST", "/cats/", "create", False),
         ("spring", "GET", "/api/users/{id}", "get", False), ("spring", "POST", "/api", "add", True),
         ("django", "-", "/users/", "index", False), ("django", "-", "/old/", "old", False),
         ("fastapi/flask", "GET", "/posts/<int:i>", "post", False), ("fastapi/flask", "DELETE", "/posts/<int:i>", "post", False),

@@ -22,16 +22,31 @@ KNOWN_SECRETS = [
 REDACTED = "[REDACTED]"
 TOKEN_RUN, MIN_ENTROPY = r"[A-Za-z0-9+/=_.-]{20,}", 4.2
 
-# Cues of question routes, in order of precedence.
-ROUTE_CUES = [
-    ("explain", r"\btrace\b|\bwalk me through\b"),
-    ("dependencies", r"\b(?:library|libraries|packages?|dependency|dependencies|npm|pypi|gems?|crates?)\b"),
-    ("endpoints", r"\b(?:endpoints?|routes?)\b|\bapi\s+(?:does|expose|surface|look)|\brest api\b|\bhttp\s+(?:api|endpoints?)\b"),
-    ("locate", r"^\s*where\s+(?:is|are|does)\b|\bwhich file\b|\bwhich (?:module|class|function) handles\b"),
-    ("overview", r"\bwhat does this (?:repo|project|codebase|application|app|service) do\b|\bwhat is this (?:repo|project|codebase|application|app|service) (?:for|about)\b|\bgive me an? overview\b|\bsummar(?:y|ize)\b"),
-    ("explain", r"\bhow does\b|\bhow is .*implemented\b"),
+# The phrases that tell a question's route, in the order in which they are tried.  A phrase starts
+# and ends at a word's edge (``^``: at the question's start), and any white space may stand between its words.
+SUBJECTS = ["repo", "project", "codebase", "application", "app", "service"]
+ROUTE_PHRASES = [
+    ("explain", ["trace", "walk me through"]),
+    ("dependencies", "library libraries package packages dependency dependencies npm pypi gem gems crate crates".split()),
+    ("endpoints", ["endpoint", "endpoints", "route", "routes", "api does", "api expose", "api surface", "api look", "rest api", "http api", "http endpoint", "http endpoints"]),
+    ("locate", ["^ where is", "^ where are", "^ where does", "which file", "which module handles", "which class handles", "which function handles"]),
+    ("overview", [f"what does this {x} do" for x in SUBJECTS]),
+    ("overview", [f"what is this {x} {y}" for x in SUBJECTS for y in ("for", "about")]),
+    ("overview", ["give me a overview", "give me an overview", "summary", "summarize"]),
+    ("explain", ["how does", "how is ... implemented"]),
 ]
-ROUTES = ["locate", "explain", "dependencies", "endpoints", "overview"]
+#: The routes, in the order in which a model's answer is searched for them.
+ROUTES = ["dependencies", "endpoints", "locate", "explain", "overview"]
+
+
+def phrase_pattern(phrase: str) -> str:
+    """A phrase as a pattern; ``...`` stands for any words of the same line."""
+    start = r"^\s*" if phrase.startswith("^ ") else r"\b"
+    parts = [r"\s+".join(part.split()) for part in phrase.removeprefix("^ ").split("...")]
+    return start + r"\b.*\b".join(parts) + r"\b"
+
+
+ROUTE_CUES = [(route, "|".join(map(phrase_pattern, phrases))) for route, phrases in ROUTE_PHRASES]
 FOLLOW_UP = r"(?i)\b(?:it|its|it's|this|that|these|those|they|them|their|the same|that one|the above|the previous one)\b"
 LOCATE_STOPWORDS = "where is are does do the a an defined define implemented located file files which handles handle module function class method for in of this code codebase repo project find locate what and or to".split()
 LINE_BREAKS = r"\r\n|[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
@@ -79,11 +94,21 @@ def redact_known(text: Column) -> Column:
 
 
 def shannon_entropy(text: Column) -> Column:
-    """Bits per character."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
-    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
-    return -F.aggregate(F.transform(F.array_distinct(chars), share), F.lit(0.0), lambda s, p: s + p * F.log2(p))
+    """Bits per character: ``log2(n) - sum(k * log2(k)) / n`` over the counts ``k`` of the ``n`` characters.
+
+    The characters are sorted once; a run's counter restarts where the character changes, and each further
+    character of a run adds the growth of ``k * log2(k)``.
+    """
+    n = F.length(text).cast("double")
+    zero = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("k"), F.lit(0.0).alias("sum"))
+
+    def step(s: Column, c: Column) -> Column:
+        k = F.when(c == s["last"], s["k"] + 1).otherwise(F.lit(1.0))
+        grown = F.when(k == 1, F.lit(0.0)).otherwise(k * F.log2(k) - s["k"] * F.log2(F.greatest(s["k"], F.lit(1.0))))
+        return F.struct(c.alias("last"), k.alias("k"), (s["sum"] + grown).alias("sum"))
+
+    done = F.aggregate(F.array_sort(F.filter(F.split(text, ""), lambda c: c != "")), zero, step, lambda s: s["sum"])
+    return F.when(n > 0, F.log2(n) - done / n).otherwise(F.lit(0.0))
 
 
 def redact_entropy(text: Column) -> Column:
@@ -119,11 +144,11 @@ def is_follow_up(question: Column) -> Column:
 
 def candidate_names(question: Column) -> Column:
     """Names a question may be about: quoted in back-ticks, then looking like symbols, then other words."""
-    ticked = F.regexp_extract_all(question, F.lit(r"`([A-Za-z_][A-Za-z0-9_.]*)`"), F.lit(1))
-    bare = F.regexp_extract_all(question, F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\b"), F.lit(1))
+    ticked = F.regexp_extract_all(question, F.lit(r"`([A-Za-z_][A-Za-z0-9_]*)`"), F.lit(1))
+    words = F.regexp_extract_all(question, F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\b"), F.lit(1))
+    bare = F.filter(words, lambda w: ~F.lower(w).isin(LOCATE_STOPWORDS))
     symbol = lambda w: w.rlike(r"^[A-Z][a-zA-Z0-9]*[A-Z]|_")
-    plain = F.filter(bare, lambda w: ~symbol(w) & ~F.lower(w).isin(LOCATE_STOPWORDS))
-    return F.array_distinct(F.concat(ticked, F.filter(bare, symbol), plain))
+    return F.array_distinct(F.concat(ticked, F.filter(bare, symbol), F.filter(bare, lambda w: ~symbol(w))))
 
 
 def permalink(owner: Column, repo: Column, sha: Column, path: Column, start: Column, end: Column) -> Column:
@@ -170,11 +195,6 @@ def pep508_version(spec: Column) -> Column:
     return F.nullif(rest, F.lit(""))
 
 
-def call_target(name: Column) -> Column:
-    """What follows the last dot, if it is an identifier."""
-    last = F.element_at(F.split(name, r"\."), -1)
-    return F.when(last.rlike(r"^[A-Za-z_$][A-Za-z0-9_$]*$"), last)
-
 
 def join_route(prefix: Column, path: Column) -> Column:
     """A path below a prefix; without a prefix only a leading slash is added."""
@@ -182,14 +202,13 @@ def join_route(prefix: Column, path: Column) -> Column:
     return F.concat(F.regexp_replace(F.coalesce(prefix, F.lit("")), "/+$", ""), own)
 
 
-def join_segments(*parts: Column) -> Column:
-    """Segments with single slashes between them and none at the end, ``/`` if nothing is left."""
-    kept = F.filter(F.array(*[F.regexp_replace(F.coalesce(p, F.lit("")), "^/+|/+$", "") for p in parts]), lambda p: p != "")
-    return F.concat(F.lit("/"), F.array_join(kept, "/"))
-
+def controller_route(prefix: Column, path: Column, slash: bool) -> Column:
+    """A method's path below its controller's.  An empty path is a slash, or with ``slash`` false nothing."""
+    rooted = lambda p: F.when(F.startswith(p, F.lit("/")), p).otherwise(F.concat(F.lit("/"), p))
+    own = rooted(path) if slash else F.when(path == "", F.lit("")).otherwise(rooted(path))
+    above = F.when(prefix == "", F.lit("")).otherwise(F.regexp_replace(rooted(prefix), "/+$", ""))
+    return F.coalesce(F.nullif(F.concat(above, own), F.lit("")), F.lit("/"))
 
-def django_route(pattern: Column) -> Column:
-    return F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(pattern, r"^/*\^*", ""), r"\$+$", ""))
 
 
 def scrubbed(text: Column, secret: Column) -> Column:

@@ -11,11 +11,12 @@ import tomllib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import join_route, one_break, pep508_name, pep508_version
-from ..sources.files import base_name, detect_language, lines_of
+from ..functions.text import controller_route, join_route, one_break, pep508_name, pep508_version, redact_secrets
+from ..sources.files import base_name, detect_language, lines_of, safe_path
+from ..sources.yaml_files import yaml_as_json
 
 # How languages spell imports, one line at a time.
 IMPORTS = {
@@ -28,6 +29,8 @@ IMPORTS = {
     "rust": r"^use\s+([\w:]+)",
     "ruby": r"""require(?:_relative)?\s*["'](\S+?)["']""",
 }
+
+# How routes and dependencies are spelled, and what Rails makes of a resource.
 RAILS_VERB = r"""^\s*(get|post|put|patch|delete)\s+['"]([^'"]+)['"](?:.*?to:\s*['"]([^'"]+)['"])?"""
 RAILS_RESOURCES = r"^\s*(resources?)\s+:(\w+)"
 PLURAL = [("GET", "", "index"), ("GET", "/new", "new"), ("POST", "", "create"), ("GET", "/:id", "show"), ("GET", "/:id/edit", "edit"), ("PATCH", "/:id", "update"), ("DELETE", "/:id", "destroy")]
@@ -66,13 +69,12 @@ def import_edges(files: DataFrame) -> DataFrame:
 def import_targets(edges: DataFrame, files: DataFrame) -> DataFrame:
     """``path, line, module, target``: the file an import means, null where it is none of these files."""
     python, dots = F.col("path").rlike(r"\.py$"), F.replace(F.col("module"), F.lit("."), F.lit("/"))
-    beside = F.concat(F.regexp_replace("path", "[^/]*$", ""), F.col("module"))
-    for _ in range(8):  # a relative path folds one level at a time
-        beside = F.regexp_replace(F.regexp_replace(beside, r"(^|/)\./", "$1"), r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
+    # ``safe_path`` folds any number of levels; what leaves the root is none of these files.
+    beside = safe_path(F.concat(F.regexp_replace("path", "[^/]*$", ""), F.col("module")))
     ends = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
     none = F.array().cast("array<string>")
     guesses = F.when(python & ~F.startswith("module", F.lit(".")), F.array(F.concat(dots, F.lit(".py")), F.concat(dots, F.lit("/__init__.py"))))
-    guesses = guesses.when(~python & F.startswith("module", F.lit(".")), F.array(*[F.concat(beside, F.lit(e)) for e in ends])).otherwise(none)
+    guesses = guesses.when(~python & F.startswith("module", F.lit(".")) & beside.isNotNull(), F.array(*[F.concat(beside, F.lit(e)) for e in ends])).otherwise(none)
     rows = edges.select("path", "line", "module", F.posexplode_outer(guesses).alias("order", "guess"))
     known = files.select(F.col("path").alias("target"))
     rows = rows.join(known, F.col("guess") == F.col("target"), "left")
@@ -207,58 +209,82 @@ def next_endpoints(files: DataFrame) -> DataFrame:
 
 
 def openapi_endpoints(files: DataFrame) -> DataFrame:
-    rows = files.where(base_name(F.col("path")).rlike(r"^(?:openapi|swagger)\.json$"))
+    """OpenAPI and Swagger files in JSON and in YAML, which is first put as JSON; what does not parse has none."""
+    json = files.where(base_name(F.col("path")).rlike(r"^(?:openapi|swagger)\.json$")).select("path", "text")
+    rows = json.unionByName(yaml_as_json(files.where(base_name(F.col("path")).rlike(r"^(?:openapi|swagger)\.ya?ml$"))))
     paths = F.from_json(F.get_json_object("text", "$.paths"), "map<string,map<string,string>>")
     rows = rows.select("path", F.explode(paths).alias("route", "item")).select("path", "route", F.explode("item").alias("method", "op")).where(F.lower("method").isin(HTTP_METHODS) & F.startswith(F.trim("op"), F.lit("{")))
     secured = F.coalesce(F.get_json_object("op", "$.security"), F.lit("[]")) != "[]"
-    return _endpoints(rows, "openapi", F.upper("method"), F.col("route"), F.get_json_object("op", "$.operationId"), F.lit(1), F.when(secured, F.lit("security")))
+    return _endpoints(rows, "openapi", F.upper("method"), F.col("route"), F.get_json_object("op", "$.operationId"), F.lit(1), F.when(secured, F.lit("auth")))
 
 
 def express_endpoints(files: DataFrame) -> DataFrame:
-    """``app.get('/x', [middleware ...,] handler)`` on one line; ``all`` has no method."""
-    call = r"""\b\w+\.(get|post|put|patch|delete|options|head|all)\(\s*(['"`])(/[^'"`]*)\2\s*,\s*(.+)"""
-    rows = lines_of(files.where(detect_language(F.col("path")).isin("javascript", "typescript", "tsx")), "path").where(F.col("text").rlike(call))
-    part = lambda i: F.regexp_extract("text", call, i)
+    """``app.get('/x', [middleware ...,] handler)`` over any number of lines; ``all`` has no method.
+
+    A text is cut where such a call begins.  Of each piece the arguments are read up to the first function written
+    in place or the closing parenthesis of the call: the last name is the handler, one that holds ``auth`` the guard.
+    """
+    head = r"""\b\w+\.(get|post|put|patch|delete|options|head|all)\(\s*(['"`])(/[^'"`]*)\2\s*,\s*"""
+    cut = "(?=" + head.replace("(get|", "(?:get|").replace("""(['"`])(/[^'"`]*)\\2""", """['"`]/[^'"`]*['"`]""") + ")"
+    rows = files.where(detect_language(F.col("path")).isin("javascript", "typescript", "tsx"))
+    rows = rows.select("path", F.posexplode(F.split(one_break(F.col("text")), cut, -1)).alias("at", "piece"))
+    breaks = F.length("piece") - F.length(F.replace("piece", F.lit("\n"), F.lit("")))
+    before = F.sum(breaks).over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("line", F.coalesce(before, F.lit(0)) + 1).where(F.col("piece").rlike("^" + head))
+    part = lambda i: F.regexp_extract("piece", "^" + head, i)
+    # Arguments up to a function in place, or to the parenthesis that ends the statement.
+    args = F.regexp_extract("piece", r"(?s)^" + head + r"(.*?)(?:(?:async\s*)?(?:\([^()]*\)|\w+)\s*=>|\bfunction\b|\)\s*(?:;|\n|$))", 4)
+    named = F.regexp_extract_all(F.regexp_replace(args, r"\([^()]*\)", ""), F.lit(r"([A-Za-z_$][\w$.]*)"), F.lit(1))
+    in_place = F.col("piece").rlike(r"(?s)^" + head + r"[^;]*?(?:=>|\bfunction\b)") & ~args.rlike(r"^\s*[\w$.]+\s*$")
     method = F.when(part(1) == "all", F.lit(None)).otherwise(F.upper(part(1)))
-    return _endpoints(rows, "express", method, part(3), _given(F.regexp_extract(part(4), r"(?:^|,\s*)([A-Za-z_$][\w$.]*)\s*\)\s*;?\s*$", 1)), F.col("line"), _given(F.regexp_extract(part(4), r"(?i)\b(\w*auth\w*)\b", 1)))
+    handler = F.when(~in_place & (F.size(named) > 0), F.element_at(named, -1))
+    auth = _given(F.regexp_extract(args, r"(?i)\b(\w*auth\w*)\b", 1))
+    return _endpoints(rows, "express", method, part(3), handler, F.col("line"), auth)
 
 
-def _annotated(files: DataFrame, languages: list[str], framework: str, prefix: str, verb: str, guard: str, handler: str, path_of) -> DataFrame:
-    """Routes by annotations: a controller's prefix holds for the methods after it in its file."""
-    from pyspark.sql import Window
+def _annotated(files: DataFrame, languages: list[str], framework: str, prefix: str, verb: str, guard: str, handler: str, slash: bool) -> DataFrame:
+    """Routes by annotations: a controller's prefix holds for the methods of its class.
 
+    A block of lines ends with a method's own line or that of a class, so what a block holds before it are the
+    annotations of that method alone; those of a class are not those of its first method.
+    """
     rows = lines_of(files.where(detect_language(F.col("path")).isin(languages)), "path")
     upto = Window.partitionBy("path").orderBy("line")
-    rows = rows.withColumn("prefix", F.last(F.when(F.col("text").rlike(prefix), F.regexp_extract("text", prefix, 1)), ignorenulls=True).over(upto))
-    after = Window.partitionBy("path").orderBy("line").rowsBetween(1, 12)
-    rows = rows.withColumn("handler", F.first(F.when(F.col("text").rlike(handler), F.regexp_extract("text", handler, 1)), ignorenulls=True).over(after))
-    near = Window.partitionBy("path").orderBy("line").rowsBetween(-3, 3)
-    rows = rows.withColumn("auth", F.max(F.when(F.col("text").rlike(guard), F.regexp_extract("text", guard, 1))).over(near))
-    found = rows.where(F.col("text").rlike(verb) & F.col("prefix").isNotNull() & ~F.col("text").rlike(prefix))
+    is_class = F.col("text").rlike(r"^(?!\s*(?://|\*|/\*)).*\bclass\s+\w+")
+    ends = F.col("text").rlike(handler) | is_class
+    rows = rows.withColumn("block", F.coalesce(F.sum(ends.cast("int")).over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    block = Window.partitionBy("path", "block")
+    given = F.max(F.when(F.col("text").rlike(prefix), F.regexp_extract("text", prefix, 1))).over(block)
+    rows = rows.withColumn("given", F.when(is_class, F.struct(given.alias("prefix"))))
+    rows = rows.withColumn("prefix", F.last("given", ignorenulls=True).over(upto)["prefix"])
+    rows = rows.withColumn("handler", F.max(F.when(F.col("text").rlike(handler), F.regexp_extract("text", handler, 1))).over(block))
+    rows = rows.withColumn("auth", F.max(F.when(F.col("text").rlike(guard), F.lit("auth"))).over(block))
+    found = rows.where(F.col("text").rlike(verb) & F.col("prefix").isNotNull() & F.col("handler").isNotNull())
     name = F.upper(F.regexp_extract("text", verb, 1))
-    return _endpoints(found, framework, F.when(~name.isin("ALL", "REQUEST"), name), path_of(F.col("prefix"), F.regexp_extract("text", verb, 2)), F.col("handler"), F.col("line"), F.col("auth"))
+    route = controller_route(F.col("prefix"), F.regexp_extract("text", verb, 2), slash)
+    return _endpoints(found, framework, F.when(~name.isin("ALL", "REQUEST"), name), route, F.col("handler"), F.col("line"), F.col("auth"))
 
 
 def nest_endpoints(files: DataFrame) -> DataFrame:
-    from ..functions.text import join_segments
-
+    """A method without a path of its own is at the controller's prefix and a slash."""
     quoted = r"""\(\s*(?:['"`]([^'"`]*)['"`])?"""
-    return _annotated(files, ["typescript", "tsx"], "nestjs", "@Controller" + quoted, "@(Get|Post|Put|Patch|Delete|Options|Head|All)" + quoted, r"@(UseGuards|Auth)\b", r"^\s*(?:async\s+)?(\w+)\s*\(", join_segments)
+    method = r"^\s*(?:@\w+\([^()]*\)\s+)*(?:public\s+|private\s+|protected\s+)?(?:async\s+)?(?!if\b|for\b|while\b|switch\b|catch\b|return\b|super\b)(\w+)\s*\("
+    return _annotated(files, ["typescript", "tsx"], "nestjs", "@Controller" + quoted, "@(Get|Post|Put|Patch|Delete|Options|Head|All)" + quoted, r"@(UseGuards|Auth)\b", method, slash=True)
 
 
 def spring_endpoints(files: DataFrame) -> DataFrame:
-    from ..functions.text import join_segments
-
+    """A method without a path of its own is at the controller's prefix."""
     quoted = r"""(?:\(\s*(?:(?:value|path)\s*=\s*)?(?:"([^"]*)")?)?"""
     prefix = r"""@(?:RestController|Controller|RequestMapping)\b(?:\(\s*(?:(?:value|path)\s*=\s*)?"([^"]*)")?"""
-    return _annotated(files, ["java"], "spring", prefix, "@(Get|Post|Put|Patch|Delete)Mapping" + quoted, r"@(PreAuthorize|Secured|RolesAllowed)\b", r"^\s*(?:public|protected|private)\s+[\w<>\[\], ?]+\s+(\w+)\s*\(", join_segments)
+    method = r"^\s*(?:@\w+(?:\([^()]*\))?\s+)*(?:public|protected|private)\s+[\w<>\[\], ?]+\s+(\w+)\s*\("
+    return _annotated(files, ["java"], "spring", prefix, "@(Get|Post|Put|Patch|Delete|Request)Mapping" + quoted, r"@(PreAuthorize|Secured|RolesAllowed)\b", method, slash=False)
 
 
 VERBS = {"get", "post", "put", "patch", "delete", "options", "head"}
 
 
 def _python_facts(text: str) -> Iterator[tuple]:
-    """``fact, kind, name, parent, start, end, extra, exported`` of one source: symbols, calls, endpoints."""
+    """``fact, kind, name, parent, start, end, extra, exported, docstring`` of one source: symbols, calls, endpoints."""
     tree = ast.parse(text)
     source = text.split("\n")
     prefixes: dict[str, str] = {}
@@ -276,18 +302,18 @@ def _python_facts(text: str) -> Iterator[tuple]:
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) and inside is None:
                 start = min([child.lineno, *(d.lineno for d in child.decorator_list)])
                 kind = "class" if isinstance(child, ast.ClassDef) else "method" if parent else "function"
-                yield ("symbol", kind, child.name, parent, start, child.end_lineno, source[child.lineno - 1].strip(), not child.name.startswith("_"))
+                yield ("symbol", kind, child.name, parent, start, child.end_lineno, source[child.lineno - 1].strip(), not child.name.startswith("_"), ast.get_docstring(child))
                 yield from routes(child)
                 if kind == "class":
                     yield from walk(child, child.name, None)
                     continue
                 scope = child.name
             if isinstance(child, ast.Call) and named(child.func):
-                yield ("call", None, named(child.func), inside, child.lineno, child.end_lineno, None, None)
+                yield ("call", None, named(child.func), inside, child.lineno, child.end_lineno, None, None, None)
                 first = literal(child.args[0]) if child.args else None
                 if named(child.func) in ("path", "re_path", "url") and first is not None:
                     view = named(child.args[1]) if len(child.args) > 1 else None
-                    yield ("endpoint", "django", view, None, child.lineno, child.lineno, "/" + first.lstrip("/").lstrip("^").rstrip("$"), None)
+                    yield ("endpoint", "django", view, None, child.lineno, child.lineno, "/" + first.lstrip("/").lstrip("^").rstrip("$"), None, None)
             yield from walk(child, parent, scope)
 
     def routes(function: ast.AST) -> Iterator[tuple]:
@@ -300,15 +326,15 @@ def _python_facts(text: str) -> Iterator[tuple]:
             listed = keyword(d, "methods")
             methods = [literal(e) for e in listed.elts] if isinstance(listed, (ast.List, ast.Tuple)) else ["GET"]
             for method in methods if d.func.attr == "route" else [d.func.attr] if d.func.attr in VERBS else []:
-                yield ("endpoint", (method or "").upper(), function.name, prefix, d.lineno, d.lineno, path, keyword(d, "dependencies") is not None)
+                yield ("endpoint", (method or "").upper(), function.name, prefix, d.lineno, d.lineno, path, keyword(d, "dependencies") is not None, None)
 
     yield from walk(tree, None, None)
 
 
 def python_facts(files: DataFrame) -> DataFrame:
     """All facts of Python sources in one parse; a source that does not parse has none."""
-    names = ["path", "fact", "kind", "name", "parent", "start", "end", "extra", "flag"]
-    types = [pa.string()] * 5 + [pa.int64()] * 2 + [pa.string(), pa.bool_()]
+    names = ["path", "fact", "kind", "name", "parent", "start", "end", "extra", "flag", "doc"]
+    types = [pa.string()] * 5 + [pa.int64()] * 2 + [pa.string(), pa.bool_(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,14 +344,14 @@ def python_facts(files: DataFrame) -> DataFrame:
                     rows += [(path, *fact) for fact in _python_facts(text)]
                 except (SyntaxError, ValueError, RecursionError):
                     continue
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, types)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 10, types)], names)
 
     rows = files.where(detect_language(F.col("path")) == "python").select("path", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "path string, fact string, kind string, name string, parent string, start long, `end` long, extra string, flag boolean")
+    return rows.mapInArrow(run, "path string, fact string, kind string, name string, parent string, start long, `end` long, extra string, flag boolean, doc string")
 
 
 def python_symbols(facts: DataFrame) -> DataFrame:
-    return facts.where("fact = 'symbol'").select("path", "name", "kind", F.col("parent").alias("parent_symbol"), F.col("extra").alias("signature"), F.col("start").alias("start_line"), F.col("end").alias("end_line"), F.col("flag").alias("is_exported"))
+    return facts.where("fact = 'symbol'").select("path", "name", "kind", F.col("parent").alias("parent_symbol"), F.col("extra").alias("signature"), F.col("start").alias("start_line"), F.col("end").alias("end_line"), F.col("flag").alias("is_exported"), redact_secrets(F.col("doc")).alias("docstring"))
 
 
 def python_calls(facts: DataFrame) -> DataFrame:
@@ -337,7 +363,7 @@ def python_endpoints(facts: DataFrame) -> DataFrame:
     django = F.col("kind") == "django"
     framework = F.when(django, "django").otherwise("fastapi/flask")
     route = F.when(django, F.col("extra")).otherwise(join_route(F.col("parent"), F.col("extra")))
-    return rows.select("path", framework.alias("framework"), F.when(~django, F.col("kind")).alias("method"), route.alias("route"), F.col("name").alias("handler"), F.col("start").alias("line"), F.when(F.col("flag"), F.lit("dependencies")).alias("auth"))
+    return rows.select("path", framework.alias("framework"), F.when(~django, F.col("kind")).alias("method"), route.alias("route"), F.col("name").alias("handler"), F.col("start").alias("line"), F.when(F.col("flag"), F.lit("auth")).alias("auth"))
 
 
 def endpoints(files: DataFrame) -> DataFrame:

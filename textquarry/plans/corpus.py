@@ -37,7 +37,7 @@ def _odd_path() -> Column:
 @query(f"""
 WITH p AS (SELECT doc_id, text, CASE doc_id % 10 WHEN 0 THEN 'lockfile' WHEN 1 THEN 'minified' WHEN 2 THEN 'generated' WHEN 3 THEN 'binary_ext' WHEN 4 THEN 'gitignored' END AS named FROM documents)
 SELECT doc_id, coalesce(named, CASE WHEN strlen(text) = 0 THEN 'empty' WHEN strlen(text) > 1048576 THEN 'too_large' WHEN {LOC} > 5000 THEN 'too_many_lines'
-       WHEN len(text) / greatest({LOC}, 1) > 200 THEN 'avg_line_too_long' END) AS reason, doc_id % 10 = 5 AS is_test,
+       WHEN len(replace(text, chr(10), '')) / greatest({LOC}, 1) > 200 THEN 'avg_line_too_long' END) AS reason, doc_id % 10 = 5 AS is_test,
        CASE doc_id % 10 WHEN 0 THEN NULL WHEN 1 THEN 'javascript' WHEN 2 THEN 'python' WHEN 3 THEN NULL WHEN 4 THEN NULL WHEN 5 THEN 'python' ELSE 'markdown' END AS language
 FROM p""")
 def file_filter_reasons(t: Tables) -> DataFrame:
@@ -89,6 +89,14 @@ def grep_lines(t: Tables) -> DataFrame:
     return src.grep(as_files(t.documents), r"\b(?:the|der) (?:and|und)\b")
 
 
+@query(rf"""
+WITH l AS (SELECT {PATH} AS path, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS l FROM documents), p AS (SELECT path, l, unnest(range(1, len(l) + 1)) AS line FROM l)
+SELECT path, line, substr(trim(l[line]), 1, 200) AS text FROM p WHERE regexp_matches(l[line], '^(?:The|Der|Le|El) .*[a-z]\.$') AND path LIKE '%doc1%' ORDER BY path, line LIMIT 50""")
+def grep_anchored(t: Tables) -> DataFrame:
+    """Lines found by their ends; the group is named as in Python."""
+    return src.grep(as_files(t.documents), r"^(?P<first_word>The|Der|Le|El) .*[a-z]\.$", glob="*doc1*")
+
+
 @query(rf"""
 WITH r AS (SELECT {PATH} AS path, doc_id % 7 AS s, doc_id % 7 + 3 AS e, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS l FROM documents),
 c AS (SELECT *, greatest(1, least(s, len(l))) AS first FROM r), d AS (SELECT *, greatest(first, least(len(l), e, first + 399)) AS last FROM c),
@@ -98,7 +106,7 @@ SELECT path, start, "end", reason, line, l[line] AS text FROM x""")
 def read_slice(t: Tables) -> DataFrame:
     files = as_files(t.documents)
     requests = files.select("path", (F.col("doc_id") % 7).alias("start"), (F.col("doc_id") % 7 + 3).alias("end"))
-    return src.read_slices(files, requests)
+    return src.read_slices(files, requests, redact=None)
 
 
 @query("""

@@ -115,7 +115,7 @@ CASE_SQL = "CASE (conv_id + turn) % 8 " + " ".join("WHEN {} THEN concat('{}', te
 WITH q AS (SELECT conv_id, turn, {CASE_SQL} AS q FROM conversations)
 SELECT conv_id, turn, CASE WHEN regexp_matches(q, '(?i)\btrace\b|\bwalk me through\b') THEN 'explain'
   WHEN regexp_matches(q, '(?i)\b(?:library|libraries|packages?|dependency|dependencies|npm|pypi|gems?|crates?)\b') THEN 'dependencies'
-  WHEN regexp_matches(q, '(?i)\b(?:endpoints?|routes?)\b|\bapi\s+(?:does|expose|surface|look)|\brest api\b|\bhttp\s+(?:api|endpoints?)\b') THEN 'endpoints'
+  WHEN regexp_matches(q, '(?i)\b(?:endpoints?|routes?)\b|\bapi\s+(?:does|expose|surface|look)\b|\brest\s+api\b|\bhttp\s+(?:api|endpoints?)\b') THEN 'endpoints'
   WHEN regexp_matches(q, '(?i)^\s*where\s+(?:is|are|does)\b|\bwhich file\b') THEN 'locate' WHEN regexp_matches(q, '(?i)\bwhat does this (?:repo|project|codebase|application|app|service) do\b|\bsummar(?:y|ize)\b') THEN 'overview'
   WHEN regexp_matches(q, '(?i)\bhow does\b|\bhow is .*implemented\b') THEN 'explain' END AS route FROM q""")
 def route_questions(t: Tables) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import line_count, one_break
+from ..functions.text import line_count, one_break, redact_secrets
 
 # Names and endings by which files are left out.
 SKIP_DIRS = ".git node_modules vendor dist build target .venv venv __pycache__ .next .nuxt coverage .mypy_cache .pytest_cache".split()
@@ -18,7 +19,7 @@ BINARY = "png jpg jpeg gif bmp ico svg webp avif pdf zip tar gz tgz 7z rar exe d
 MAX_BYTES, MAX_LINES, MAX_MEAN_LINE = 1 << 20, 5000, 200
 LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "tsx", "go": "go", "java": "java", "rs": "rust", "rb": "ruby", "md": "markdown", "markdown": "markdown"}
 MANIFESTS = ["package.json", "pyproject.toml", "Pipfile", "go.mod", "Cargo.toml", "pom.xml", "build.gradle", "build.gradle.kts", "Gemfile"]
-TEST_PATH = r"(?:^|/)(?:test|tests|__tests__|spec)/|(?:^|/)test_[^/]*\.[^/]+$|_test\.[^/.]+$|\.(?:test|spec)\.[^/.]+$"
+TEST_FOLDERS = ["test", "tests", "__tests__", "spec"]
 
 
 def base_name(path: Column) -> Column:
@@ -35,7 +36,9 @@ def detect_language(path: Column) -> Column:
 
 
 def is_test_path(path: Column) -> Column:
-    return path.rlike(TEST_PATH)
+    """A part of the path is a test folder's name or begins ``test_`` and has an ending, or the file's name says so."""
+    named = F.exists(F.split(path, "/"), lambda p: p.isin(TEST_FOLDERS) | p.rlike(r"^test_.+\."))
+    return named | base_name(path).rlike(r"(?:_test|\.test|\.spec)\.[^.]+$")
 
 
 def is_manifest(path: Column) -> Column:
@@ -43,18 +46,26 @@ def is_manifest(path: Column) -> Column:
 
 
 def ignore_pattern(line: str) -> tuple[str, bool] | None:
-    """A line of an ignore file as a pattern over paths, and whether it ignores or takes back."""
-    line = line.rstrip()
+    """A line of an ignore file as a pattern over paths, and whether it ignores or takes back.
+
+    ``!`` takes back, a backslash makes the next character plain, classes in brackets may be negated by ``!`` or ``^``.
+    """
+    line = re.sub(r"(?<!\\) +$", "", line.rstrip("\r\n"))
     if not line or line.startswith("#"):
         return None
     ignores = not line.startswith("!")
-    line = line.lstrip("!").replace("\\#", "#")
+    line = line if ignores else line[1:]
     below = line.endswith("/")
     line = line.rstrip("/")
     anchored = "/" in line
     out = ""
-    for part in re.findall(r"/\*\*/|^\*\*/|/\*\*$|\*|\?|\[[^\]]*\]|.", line.lstrip("/")):
-        out += {"/**/": "/(?:.*/)?", "**/": "(?:.*/)?", "/**": "/.*", "*": "[^/]*", "?": "[^/]"}.get(part) or (part if part[0] == "[" and len(part) > 1 else re.escape(part))
+    for part in re.findall(r"/\*\*/|^\*\*/|/\*\*$|\*+|\?|\[[!^]?\]?[^\]]*\]|\\.|.", line.lstrip("/")):
+        if part[0] == "[" and len(part) > 1:
+            out += "(?!/)" + re.sub(r"^\[[!^]", "[^", part).replace("&&", r"&\&")
+        elif part[0] == "*":
+            out += "[^/]*"
+        else:
+            out += {"/**/": "/(?:.*/)?", "**/": "(?:.*/)?", "/**": "/.*", "?": "[^/]"}.get(part) or re.escape(part[-1])
     return ("^" if anchored else "(?:^|/)") + out + ("/" if below else "(?:/|$)"), ignores
 
 
@@ -80,7 +91,9 @@ def skip_reason(path: Column, size: Column, content: Column | None = None, ignor
         text = one_break(content.cast("string"))
         lines = line_count(text)
         reasons += [("non_utf8", ~F.is_valid_utf8(content.cast("string"))), ("too_many_lines", lines > MAX_LINES)]
-        reasons.append(("avg_line_too_long", F.length(text) / F.greatest(lines, F.lit(1)) > MAX_MEAN_LINE))
+        # The mean is over what stands on the lines: breaks are no part of it.
+        shown = F.length(F.replace(text, F.lit("\n"), F.lit("")))
+        reasons.append(("avg_line_too_long", shown / F.greatest(lines, F.lit(1)) > MAX_MEAN_LINE))
     chosen = F.lit(None).cast("string")
     for label, holds in reversed(reasons):
         chosen = F.when(holds, F.lit(label)).otherwise(chosen)
@@ -93,14 +106,37 @@ def in_skipped_directory(path: Column, migrations: bool = False) -> Column:
     return F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, names)))
 
 
-def read_tree(spark: SparkSession, root: str, ignore: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def ignore_lines(spark: SparkSession, root: str) -> list[str]:
+    """The lines of the ignore file at the root of a tree, none if there is no such file.
+
+    Spark's readers pass over names that begin with a dot, so the file system that they use is asked.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.gitignore")
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    stream = system.open(path)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8", "ignore").splitlines()
+    finally:
+        stream.close()
+
+
+def read_tree(spark: SparkSession, root: str, ignore: list[str] | None = None, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``(kept, skipped)`` of a tree that Spark can read.  Names and sizes are judged before bytes are read.
 
-    Spark's reader lists no file without bytes, so empty files are in neither.
+    ``ignore`` are lines of an ignore file, by default those of the root's own.  A tree whose files have more than
+    ``max_bytes`` in all is refused.  Spark's reader lists no file without bytes, so empty files are in neither.
     """
+    ignore = ignore_lines(spark, root) if ignore is None else ignore
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = re.sub(r"^(?:file:)?/*", "", root.rstrip("/"))
     path = F.regexp_replace(F.regexp_replace("path", r"^(?:[a-z]+:)?/*", ""), "^" + re.escape(base) + "/", "")
+    if max_bytes is not None:
+        total = files.agg(F.sum("length")).first()[0] or 0
+        if total > max_bytes:
+            raise ValueError(f"{root} has {total} bytes, more than {max_bytes}")
     files = files.withColumn("path", path).where(~in_skipped_directory(F.col("path")))
     named = files.withColumn("reason", skip_reason(F.col("path"), F.col("length"), ignore=ignore))
     by_name = named.where("reason IS NOT NULL").select("path", "reason")
@@ -120,9 +156,14 @@ def source_parts(source: Column) -> Column:
 
 
 def glob_pattern(glob: str) -> str:
-    """A shell pattern whose ``*`` crosses directories."""
-    out = "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in glob)
-    return f"^(?s:{out})$"
+    """A shell pattern whose ``*`` crosses directories, with classes such as ``[ab]`` and ``[!ab]``."""
+    out = ""
+    for part in re.findall(r"\[!?\]?[^\]]*\]|.", glob, re.S):
+        if part[0] == "[" and len(part) > 1:
+            out += re.sub(r"^\[!", "[^", part.replace("\\", r"\\")).replace("&&", r"&\&")
+        else:
+            out += {"*": ".*", "?": "."}.get(part) or re.escape(part)
+    return rf"^(?s:{out})\z"
 
 
 def find_files(files: DataFrame, glob: str, limit: int = 200) -> DataFrame:
@@ -144,19 +185,30 @@ def lines_of(files: DataFrame, *keys: str) -> DataFrame:
     return files.select(*keys, F.posexplode(F.split(F.regexp_replace(body, "\n$", ""), "\n", -1)).alias("at", "text")).select(*keys, (F.col("at") + 1).cast("long").alias("line"), "text")
 
 
-def grep(files: DataFrame, pattern: str, limit: int = 50, redact=None) -> DataFrame:
-    """First matching lines in the order of paths; a pattern that does not compile is taken literally."""
+def line_pattern(spark: SparkSession, pattern: str) -> str:
+    """A pattern as Spark's own engine takes it: Python's named groups are respelled, and one that does not compile
+    there is taken literally."""
+    respelled = re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\k<{m[1].replace('_', '')}>", pattern)
+    respelled = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', '')}>", respelled)
     try:
-        re.compile(pattern)
-    except re.error:
-        pattern = re.escape(pattern)
-    text = F.col("text") if redact is None else redact(F.col("text"))
-    found = lines_of(files.where(F.col("text").rlike(pattern)), "path").where(F.col("text").rlike(pattern))
-    return found.select("path", "line", F.substring(F.trim(text), 1, 200).alias("text")).orderBy("path", "line").limit(limit)
+        spark.range(1).select(F.lit("").rlike(respelled)).collect()
+    except Exception:  # whatever the engine says of a pattern, it cannot be run
+        return re.escape(pattern)
+    return respelled
+
+
+def grep(files: DataFrame, pattern: str, limit: int = 50, glob: str | None = None, redact: Callable[[Column], Column] | None = redact_secrets) -> DataFrame:
+    """First matching lines in the order of paths, at most 50.  Each line is searched by itself, so ``^`` and ``$``
+    are its ends; a pattern that does not compile is taken literally; secrets in what is shown are redacted."""
+    pattern = line_pattern(files.sparkSession, pattern)
+    chosen = files if glob is None else files.where(F.col("path").rlike(glob_pattern(glob)))
+    found = lines_of(chosen, "path").where(F.col("text").rlike(pattern))
+    found = found.select("path", "line", F.substring(F.trim("text"), 1, 200).alias("text")).orderBy("path", "line").limit(min(limit, 50))
+    return found if redact is None else found.withColumn("text", redact(F.col("text")))
 
 
-def read_slices(files: DataFrame, requests: DataFrame, most: int = 400) -> DataFrame:
-    """For ``requests(path, start, end)`` the lines asked for, clamped to the file and to ``most`` lines."""
+def read_slices(files: DataFrame, requests: DataFrame, most: int = 400, redact: Callable[[Column], Column] | None = redact_secrets) -> DataFrame:
+    """For ``requests(path, start, end)`` the lines asked for, clamped to the file and to ``most`` lines, redacted."""
     rows = requests.join(files.select("path", F.split(F.regexp_replace(one_break(F.col("text")), "\n$", ""), "\n", -1).alias("all")), "path", "left")
     total = F.size("all")
     first = F.greatest(F.lit(1), F.least(F.col("start"), total))
@@ -164,7 +216,7 @@ def read_slices(files: DataFrame, requests: DataFrame, most: int = 400) -> DataF
     reason = F.when(F.col("all").isNull(), "not_found").when(F.col("start") > total, "start_beyond_end")
     rows = rows.withColumn("reason", reason).withColumn("first", first.cast("int")).withColumn("last", last.cast("int"))
     cut = F.when(F.col("reason").isNull(), F.expr("slice(`all`, first, last - first + 1)"))
-    return rows.select("path", "start", "end", "reason", "first", F.posexplode_outer(cut).alias("at", "text")).select("path", "start", "end", "reason", (F.col("first") + F.col("at")).cast("long").alias("line"), "text")
+    return rows.select("path", "start", "end", "reason", "first", F.posexplode_outer(cut).alias("at", "text")).select("path", "start", "end", "reason", (F.col("first") + F.col("at")).cast("long").alias("line"), (F.col("text") if redact is None else redact(F.col("text"))).alias("text"))
 
 
 def safe_path(path: Column) -> Column:

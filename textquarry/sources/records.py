@@ -7,14 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ROUTES
 from ..operators.evaluation import deltas
+from .yaml_files import yaml_as_json
 
 GOLDEN = "id string, question string, route string, expected_files array<string>, expected_substrings array<string>, notes string"
 REPORTED = ["recall", "validity", "correctness", "p50", "p95", "cost_usd"]
 
 
 def golden(spark: SparkSession, path: str) -> DataFrame:
-    """A question set from JSON; it must not be empty, and each question needs an id of its own, a text and a route."""
-    rows = spark.read.schema(GOLDEN).option("multiLine", True).json(path)
+    """A question set from JSON or YAML (a list, or a mapping with ``questions``); it must not be empty, and each
+    question needs an id of its own, a text and a route."""
+    if path.endswith((".yaml", ".yml")):
+        text = yaml_as_json(spark.read.text(path, wholetext=True).select(F.lit(path).alias("path"), F.col("value").alias("text")))
+        listed = F.coalesce(F.get_json_object("text", "$.questions"), F.col("text"))
+        rows = text.select(F.explode(F.from_json(listed, f"array<struct<{GOLDEN.replace(' string', ':string').replace(' array', ':array')}>>")).alias("g")).select("g.*")
+    else:
+        rows = spark.read.schema(GOLDEN).option("multiLine", True).json(path)
     bad = F.col("id").isNull() | F.col("question").isNull() | ~F.coalesce(F.col("route").isin(ROUTES), F.lit(False))
     n, faults, ids = rows.agg(F.count(F.lit(1)), F.count_if(bad), F.count_distinct("id")).first()
     if not n:
