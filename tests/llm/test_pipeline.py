@@ -31,7 +31,7 @@ def test_stages_against_brute_force(spark):
     assert Counter(r.doc_id for r in unique.collect()) == Counter(last.values()) and unique.columns == docs.columns
 
     apart = stages["near_duplicates"](spark, unique, SF).cache()
-    groups = brute([(r.doc_id, r.text) for r in unique.collect()])
+    groups = brute([(r.doc_id, r.text) for r in unique.collect()], **simhash.WIDE)
     assert Counter(r.doc_id for r in apart.collect()) == Counter({c: 1 for _, _, c in groups}) and apart.columns == docs.columns
 
     mixed = stages["source_mixture"](spark, apart, SF).cache()

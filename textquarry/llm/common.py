@@ -44,17 +44,24 @@ def broadcast_if_small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if rows <= BROADCAST_ROWS and used <= BROADCAST_BYTES else table
 
 
-#: Bits of a membership filter: 1 MiB whatever the input, so it may be broadcast.  More members than bits
-#: only let more rows through to the exact step behind it.
-FILTER_BITS = 1 << 23
+#: Least and greatest number of bits of a membership filter, 8 KiB and 128 MiB, so it may be broadcast at any input.
+FILTER_LEAST, FILTER_MOST = 16, 30
 
 
-def filter_bit(member: Column) -> Column:
-    return F.pmod(F.xxhash64(member), F.lit(FILTER_BITS))
+def filter_bits(members: int) -> int:
+    """Bits of a filter for so many members: about sixteen for each, a power of two within the bounds.
+
+    More members than it is made for only let more rows through to the exact step behind the filter.
+    """
+    return 1 << min(max((16 * members).bit_length(), FILTER_LEAST), FILTER_MOST)
+
+
+def filter_bit(member: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(member), F.lit(bits).cast("long"))
 
 
 def membership(bits: DataFrame) -> DataFrame:
-    """Bitmaps of the column ``bit``: at most ``FILTER_BITS / 32768`` rows of 4 KiB."""
+    """Bitmaps of the column ``bit``: at most ``2 ** FILTER_MOST / 32768`` rows of 4 KiB."""
     at = bits.select(F.bitmap_bucket_number("bit").alias("bucket"), F.bitmap_bit_position("bit").alias("at"))
     return at.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
 
@@ -63,5 +70,5 @@ def possible_members(rows: DataFrame, filter_: DataFrame) -> DataFrame:
     """The rows whose column ``bit`` is set in a ``membership``: all members, and few others."""
     byte = F.expr("cast(conv(hex(substring(bits, cast(bitmap_bit_position(bit) div 8 as int) + 1, 1)), 16, 10) as int)")
     mask = F.expr("shiftleft(1, cast(bitmap_bit_position(bit) % 8 as int))")
-    met = rows.withColumn("bucket", F.bitmap_bucket_number("bit")).join(F.broadcast(filter_), "bucket")  # proven bound: FILTER_BITS / 8 bytes
+    met = rows.withColumn("bucket", F.bitmap_bucket_number("bit")).join(F.broadcast(filter_), "bucket")  # proven bound: FILTER_MOST
     return met.where(byte.bitwiseAND(mask) != 0).drop("bucket", "bits", "bit")

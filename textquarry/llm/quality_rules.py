@@ -26,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_bit, membership, possible_members
-from .textstats import base_counts, gram_buckets
+from .common import filter_bit, filter_bits, membership, possible_members
+from .textstats import SLICE, base_counts, gram_buckets, slices
 
+#: A mean of -0.25 a gram: a text as likely under the trusted grams as under all of them, but for a quarter of a nat a
+#: gram.  Trusted text scores about zero or more by construction, whatever its share of the corpus.
 GRAM, BITS, SMOOTHING, THRESHOLD = 4, 16, 4.0, -0.25
 MIN_WORDS, MAX_REPEATED = 50, 50
 #: Buckets that travel in one row.
@@ -40,9 +42,18 @@ def _added(rows: DataFrame, gram: int, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, "i8")
+        held: list[np.ndarray] = []
+        waiting = 0
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()):
-                counts += np.bincount(gram_buckets(text.as_py() or b"", gram, bits), minlength=1 << bits)
+                for part in slices(text.as_py() or b"", gram):
+                    held.append(gram_buckets(part, gram, bits))
+                    waiting += len(held[-1])
+                    if waiting >= SLICE:  # dense counting once for many short texts
+                        counts += np.bincount(np.concatenate(held), minlength=1 << bits)
+                        held, waiting = [], 0
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=1 << bits)
         blocks = counts.reshape(-1, BLOCK)
         at = np.flatnonzero(blocks.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(list(blocks[at]), pa.list_(pa.int64()))], ["block", "counts"])
@@ -54,7 +65,8 @@ def gram_counts(docs: DataFrame, trusted: DataFrame, gram: int = GRAM, bits: int
     """``target, block, counts``: n-grams of all texts, and (``target``) of those whose ``id`` is in ``trusted``."""
     sure = trusted.where("id IS NOT NULL").select(F.col("id").alias("of")).distinct()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    likely = possible_members(rows.withColumn("bit", filter_bit(F.col("id"))), membership(sure.select(filter_bit(F.col("of")).alias("bit"))))
+    size = filter_bits(sure.count())
+    likely = possible_members(rows.withColumn("bit", filter_bit(F.col("id"), size)), membership(sure.select(filter_bit(F.col("of"), size).alias("bit"))))
     known = likely.join(sure.hint("merge"), F.col("id") == F.col("of"))  # labels grow with the corpus: never broadcast
     parts = _added(rows, gram, bits).withColumn("target", F.lit(False)).unionByName(_added(known, gram, bits).withColumn("target", F.lit(True)))
 
@@ -93,8 +105,11 @@ def judged(docs: DataFrame, table: np.ndarray, gram: int = GRAM, threshold: floa
             for text in batch.column(1):
                 text = text.as_py() or ""
                 base.append(base_counts(text))
-                at = gram_buckets(text.encode(), gram, bits)
-                scores.append(float(table[at].mean()) if len(at) else 0.0)
+                total, n = 0.0, 0
+                for part in slices(text.encode(), gram):
+                    found = table[gram_buckets(part, gram, bits)]
+                    total, n = total + float(found.sum()), n + len(found)
+                scores.append(total / n if n else 0.0)
             columns = np.array(base, "i8").reshape(-1, 5).T
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns), pa.array(scores, pa.float64())], ["id", *names, "llr"])
 

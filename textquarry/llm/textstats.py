@@ -39,6 +39,15 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_window_words(codes, distinct)
 
 
+#: Bytes of a text whose grams are held at a time.
+SLICE = 1 << 20
+
+
+def slices(text: bytes, length: int) -> list[bytes]:
+    """Parts of a text whose grams of ``length`` bytes are together those of the text."""
+    return [text[at : at + SLICE + length - 1] for at in range(0, max(len(text) - length + 1, 1), SLICE)]
+
+
 def gram_buckets(text: bytes, length: int, bits: int) -> np.ndarray:
     """Hash buckets of every run of ``length`` bytes of ``text``."""
     data = np.frombuffer(text, "u1").astype("u4")
