@@ -6,8 +6,9 @@ from textquarry.llm.line_dedup import line_deduplicated
 from textquarry.llm.substring_dedup import substring_deduplicated
 
 
-def brute(rows, split, join, length):
-    """Every window against all earlier ones, rows in the order of identifiers, then texts."""
+def brute(rows, split, join, length, alone=None):
+    """Every window against all earlier ones, rows in the order of identifiers, then texts; so too tokens of ``alone``
+    words or more."""
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
     seen, found = set(), Counter()
     for i, text in order:
@@ -17,6 +18,11 @@ def brute(rows, split, join, length):
             if w in seen:
                 gone.update(range(s, s + length))
             seen.add(w)
+        for s, token in enumerate(tokens):
+            if alone and len(words(token)) >= alone:
+                if token in seen:
+                    gone.add(s)
+                seen.add(token)
         found[(i, len(tokens), len(gone), join(text or "", tokens, gone))] += 1
     return found
 
@@ -66,15 +72,23 @@ def test_words_against_brute_force(spark):
 def test_lines_against_brute_force(spark):
     rows = [(i, t and t.replace(" ", "\n")) for i, t in texts()]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert found(line_deduplicated(df)) == brute(rows, lines, join_lines, 2)
-    assert found(line_deduplicated(df, length=5)) == brute(rows, lines, join_lines, 5)
+    assert found(line_deduplicated(df)) == brute(rows, lines, join_lines, 2, 5)
+    assert found(line_deduplicated(df, length=5, alone=None)) == brute(rows, lines, join_lines, 5)
+    rng = random.Random(7)
+    pool = [" ".join(rng.choices("abcdefgh", k=rng.randrange(1, 9))) for _ in range(25)] + ["", " "]
+    rows = [(i, "\n".join(rng.choices(pool, k=rng.randrange(0, 12)))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(line_deduplicated(df)) == brute(rows, lines, join_lines, 2, 5)
+    assert found(line_deduplicated(df, length=3, alone=4)) == brute(rows, lines, join_lines, 3, 4)
+    single = [(1, "one line of five words"), (2, "one line of five words"), (3, "short\nshort"), (4, "short")]
+    assert {r.id: r.n_removed for r in line_deduplicated(spark.createDataFrame(single, "doc_id long, text string")).collect()} == {1: 0, 2: 1, 3: 0, 4: 0}
 
 
 def test_odd_rows(odd, clashing, none):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert substring_deduplicated(none).collect() == [] and line_deduplicated(none).collect() == []
     assert found(substring_deduplicated(odd)) == found(substring_deduplicated(clashing)) == brute(rows, words, join_words, 20)
-    assert found(line_deduplicated(clashing)) == brute(rows, lines, join_lines, 2)
+    assert found(line_deduplicated(clashing)) == brute(rows, lines, join_lines, 2, 5)
 
 
 def test_repeats_are_maximal_runs(spark):

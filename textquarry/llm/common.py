@@ -66,9 +66,14 @@ def membership(bits: DataFrame) -> DataFrame:
     return at.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
 
 
-def possible_members(rows: DataFrame, filter_: DataFrame) -> DataFrame:
-    """The rows whose column ``bit`` is set in a ``membership``: all members, and few others."""
+def told_members(rows: DataFrame, filter_: DataFrame) -> DataFrame:
+    """All rows, with ``maybe``: whether their column ``bit`` is set in a ``membership``, as it is for all members."""
     byte = F.expr("cast(conv(hex(substring(bits, cast(bitmap_bit_position(bit) div 8 as int) + 1, 1)), 16, 10) as int)")
     mask = F.expr("shiftleft(1, cast(bitmap_bit_position(bit) % 8 as int))")
-    met = rows.withColumn("bucket", F.bitmap_bucket_number("bit")).join(F.broadcast(filter_), "bucket")  # proven bound: FILTER_MOST
-    return met.where(byte.bitwiseAND(mask) != 0).drop("bucket", "bits", "bit")
+    met = rows.withColumn("bucket", F.bitmap_bucket_number("bit")).join(F.broadcast(filter_), "bucket", "left")  # proven bound: FILTER_MOST
+    return met.withColumn("maybe", F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False))).drop("bucket", "bits", "bit")
+
+
+def possible_members(rows: DataFrame, filter_: DataFrame) -> DataFrame:
+    """The rows whose column ``bit`` is set in a ``membership``: all members, and few others."""
+    return told_members(rows, filter_).where("maybe").drop("maybe")

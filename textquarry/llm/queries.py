@@ -140,11 +140,12 @@ WITH d AS (
 ), t AS (
   SELECT doc_id, i, l[i] AS line, regexp_matches(l[i], '[^\x20\x09-\x0D]') AS token FROM p
 ), n AS (
-  SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM t WHERE token
+  SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 5 AS alone FROM t WHERE token
 ), r AS (
-  SELECT doc_id, i, CASE WHEN next IS NOT NULL AND row_number() OVER (PARTITION BY line, next ORDER BY doc_id, i) > 1 THEN 1 ELSE 0 END AS later FROM n
+  SELECT doc_id, i, CASE WHEN next IS NOT NULL AND row_number() OVER (PARTITION BY line, next ORDER BY doc_id, i) > 1 THEN 1 ELSE 0 END AS later,
+         CASE WHEN alone AND row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1 THEN 1 ELSE 0 END AS itself FROM n
 ), c AS (
-  SELECT doc_id, i, max(later) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS gone FROM r
+  SELECT doc_id, i, greatest(itself, max(later) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)) AS gone FROM r
 ), a AS (
   SELECT t.doc_id, count(c.i) AS n_lines, CAST(coalesce(sum(c.gone), 0) AS BIGINT) AS n_removed,
          string_agg(CASE WHEN coalesce(c.gone, 0) = 0 THEN line END, chr(10) ORDER BY t.i) AS kept

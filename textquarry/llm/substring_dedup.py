@@ -11,4 +11,4 @@ LENGTH, GRAM = 20, 6
 
 
 def substring_deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return without_repeats(docs, "words", length, gram, id_col, text_col)
+    return without_repeats(docs, "words", length, gram, None, id_col, text_col)
