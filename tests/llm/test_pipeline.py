@@ -1,13 +1,14 @@
 from collections import Counter, defaultdict
 
-import numpy as np
-import tiktoken  # noqa: F401  the peer of the last stage is tested in test_bpe
+import public_tokenizers
+import tiktoken
 
 import corpus_pipeline as pipeline
 from textquarry.llm import mixing, pu_quality, simhash
 from textquarry.llm.queries import quality_labels
 
 from test_mixing import targets
+from test_quality import brute_features
 from test_simhash import brute
 
 SF = "/root/testdata/sf0.001"
@@ -20,8 +21,7 @@ def test_stages_against_brute_force(spark):
 
     model = pu_quality.fit(docs, quality_labels(spark, SF))
     good = stages["quality_classifier"](spark, docs, SF).cache()
-    stats = {r.doc_id: np.array([pu_quality.text_stats(r.text.encode())]) for r in docs.collect()}
-    want = {i for i, s in stats.items() if (1 + (pu_quality.features(s) @ model.weights)[0]) / 2 >= 0.5}
+    want = {r.doc_id for r in docs.collect() if brute_features(r.text, model.known) @ model.weights >= 0}
     assert {r.doc_id for r in good.collect()} == want and good.columns == docs.columns
 
     unique = stages["exact_duplicates"](spark, good, SF).cache()
@@ -50,9 +50,28 @@ def test_stages_against_brute_force(spark):
     assert Counter(r.doc_id for r in done.collect()) == Counter(r.doc_id for r in mixed.collect())
 
 
-def test_stages_stand_odd_rows(spark, odd, none):
-    for docs in (odd, none):
-        for name, stage in pipeline.STAGES[1:]:
+def test_stages_stand_odd_rows(spark, odd, clashing, none):
+    for docs in (odd, clashing, none):
+        for name, stage in pipeline.STAGES:
             rows = stage(spark, docs, SF)
             assert name == "byte_bpe" or rows.columns == docs.columns
             rows.collect()
+
+
+def test_run_is_the_stages_one_after_another(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+    want = Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in pipeline.STAGES[-1][1](spark, docs, SF).collect())
+    rows = pipeline.run(spark, SF).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in rows) == want
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    encoding = tiktoken.Encoding("b", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(), special_tokens={})
+    assert all(list(r.ids) == encoding.encode_ordinary(texts[r.doc_id]) for r in rows)
+
+
+def ranks():
+    import base64
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        return {base64.b64decode(line.split()[0]): int(line.split()[1]) for line in f if line.strip()}
