@@ -56,8 +56,52 @@ def test_file_round_trip(spark, tmp_path):
         head, _, rest = data.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
+        own = [x.removeprefix("WARC-Source-Header: ") for x in lines if x.startswith("WARC-Source-Header: ")]
+        assert own[0] == "HTTP/1.1 200 OK" and len(own) == 3 and own[1] == "Content-Type: text/html; charset=utf-8"
         n = int(fields["Content-Length"])
         assert lines[0] == "WARC/1.1" and rest[n : n + 4] == b"\r\n\r\n"
         got.append((fields["WARC-Record-ID"].strip("<>"), fields["WARC-Refers-To"].strip("<>"), rest[:n].decode()))
         data = rest[n + 4 :]
     assert sorted(got) == sorted((r.record_id, r.refers_to, r.block) for r in records.collect())
+
+
+def test_scans_of_megabyte_pages_are_linear():
+    import time
+
+    pages = ["<title>" * 150_000, "<title>x</title" * 70_000, "<a " * 350_000, "<a href=" * 130_000, "<a href = " * 100_000, "<script>" * 130_000, "<!--" * 250_000, "</script " * 120_000, "<" * 1_000_000, "&" * 1_000_000, "<p" * 500_000, "<a href" + " " * 1_000_000]
+    began = time.time()
+    for page in pages:
+        warc.page_fields(page)
+        warc.plain_text(page)
+    assert time.time() - began < 20
+    assert warc.page_fields("<title>a<title>b</title>c</title>") == "title: a<title>b" and warc.page_fields("<title>a") == "title: "
+
+
+def test_read_derive_write_read(spark, tmp_path):
+    made = warc.responses(pages(spark), DATE).withColumn("payload", F.when(F.col("id") == 1, F.concat("payload", F.lit("<p>WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nxyz WARC/1."))).otherwise(F.col("payload")))
+    warc.write_text(warc.serialised_responses(made), f"file://{tmp_path}/in")
+    read = warc.read_responses(spark, f"file://{tmp_path}/in")
+    columns = ["record_id", "target_uri", "date", "http_headers", "payload_digest", "payload"]
+    assert sorted(map(str, read.select(*columns).collect())) == sorted(map(str, made.select(*columns).collect()))
+    assert read.where("truncated").count() == 0
+    records = warc.derivatives(read)
+    warc.write_warc(records, f"file://{tmp_path}/out")
+    assert warc.read_responses(spark, f"file://{tmp_path}/out").collect() == []  # derivatives are no responses
+    assert sorted((r.refers_to, r.block_digest) for r in records.collect()) == sorted((r.refers_to, r.block_digest) for r in warc.derivatives(made).collect())
+
+
+def test_reading_members_and_broken_records(spark, tmp_path):
+    def record(kind, name, block, length=None, version=b"WARC/1.0", more=b""):
+        return version + b"\r\nWARC-Type: " + kind + b"\r\nWARC-Record-ID: <" + name + b">\r\n" + more + b"Content-Length: " + str(len(block) if length is None else length).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 404 Not Found\r\nServer: x\r\n\r\n"
+    one = [record(b"warcinfo", b"i", b"software: x"), record(b"response", b"a", http + b"<p>\xff\xe9 WARC/1.0\r\n", more=b"WARC-Target-URI: http://a/\r\nWARC-Payload-Digest: sha1:X\r\n"), record(b"request", b"q", b"GET /\r\n\r\n"), record(b"response", b"b", b"no header")]
+    two = [record(b"response", b"c", http + b"cut", length=1000)]
+    (tmp_path / "one.warc.gz").write_bytes(b"".join(map(gzip.compress, one)))
+    (tmp_path / "two.warc.gz").write_bytes(gzip.compress(b"junk WARC/1.x" + b"".join(two)))
+    (tmp_path / "none.warc.gz").write_bytes(gzip.compress(b""))
+    got = {r.record_id: r for r in warc.read_responses(spark, f"file://{tmp_path}").collect()}
+    assert set(got) == {"a", "b", "c"}
+    assert got["a"].payload == "<p>\ufffd\ufffd WARC/1.0\r\n" and got["a"].payload_digest == "sha1:X" and got["a"].http_headers == "HTTP/1.1 404 Not Found\r\nServer: x"
+    assert (got["b"].http_headers, got["b"].payload, got["b"].truncated) == ("no header", "", False)
+    assert got["c"].truncated and got["c"].payload.startswith("cut")

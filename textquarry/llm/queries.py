@@ -69,7 +69,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.secrets(documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("base", lambda p: p["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(kind) for kind in ("assign", "access", "hex")]
-    return rows.select(F.col("id").alias("doc_id"), *counts, F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+    return rows.select(F.col("id").alias("doc_id"), *counts, F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"), secrets.listed_credentials(F.col("credentials")).alias("credentials"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +196,7 @@ SELECT page_id, 'conversion', cid, refers_to, mid, url, '2024-01-01T00:00:00Z',
 
 def _op9_sql() -> str:
     """Every kind of part with its place, then weak parts by an inequality join on their document."""
-    kinds = [(k, p, g, least, 1 << 30, False) for k, p, g, least in secrets.STRONG] + [(*w, True) for w in secrets.WEAK]
+    kinds = [(k, p, g, least, 1 << 30, False) for k, p, g, least in secrets.STRONG] + [(*w[:4], w[4] or 1 << 30, True) for w in secrets.WEAK]
     parts = []
     for kind, pattern, group, least, most, weak in kinds:
         quoted = pattern.replace("'", "''")
@@ -214,10 +214,14 @@ n AS (SELECT w.r, w.kind, w.ord, w.start, w.stop, bool_or(c.role = 'ident') AS i
       FROM c w JOIN c ON w.r = c.r AND c.start <= w.stop + {secrets.SCOPE} AND c.stop >= w.start - {secrets.SCOPE} WHERE w.weak GROUP BY ALL),
 a AS (SELECT r, kind, ord, start, stop, true AS base FROM p WHERE NOT weak
       UNION ALL SELECT DISTINCT r, kind, ord, start, stop, false FROM n WHERE CASE kind WHEN 'ident' THEN s WHEN 'secret' THEN i ELSE i AND s END),
+e AS (SELECT i.r, i.kind, i.ord, i.start, i.stop, c.role, arg_min(concat(c.kind, ':', c.start, ':', c.stop), (greatest(0, c.start - i.stop, i.start - c.stop), c.start, c.ord, c.stop)) AS near
+      FROM (SELECT DISTINCT * FROM c WHERE role = 'ident') i JOIN c ON i.r = c.r AND c.role <> 'ident' AND greatest(0, c.start - i.stop, i.start - c.stop) <= {secrets.SCOPE} GROUP BY ALL),
+b AS (SELECT r, kind, ord, start, stop, max(near) FILTER (role = 'secret') AS secret, max(near) FILTER (role = 'endpoint') AS endpoint FROM e GROUP BY ALL),
+k AS (SELECT r, string_agg(concat_ws('+', concat(kind, ':', start, ':', stop), secret, endpoint), ',' ORDER BY start, ord, stop) AS credentials FROM b WHERE secret IS NOT NULL GROUP BY r),
 l AS (SELECT r, count(*) FILTER (base AND kind = 'assign') AS n_assign, count(*) FILTER (base AND kind = 'access') AS n_access, count(*) FILTER (base AND kind = 'hex') AS n_hex,
              string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, ord, stop) FILTER (base) AS b, string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, ord, stop) AS s FROM a GROUP BY r)
-SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans
-FROM d LEFT JOIN l ON d.r = l.r
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans, coalesce(credentials, '') AS credentials
+FROM d LEFT JOIN l ON d.r = l.r LEFT JOIN k ON d.r = k.r
 """
 
 

@@ -3,13 +3,19 @@
 Both refer to the response by its identifier and name each other; they carry the response's target, date,
 HTTP headers and payload digest unchanged, and a digest and a length of their own block.  Identifiers follow
 from digests, so a task that runs again makes the same records.  Every page is worked on by itself and
-nothing moves between tasks.  ``serialised`` writes records out as WARC/1.1 text.
+nothing moves between tasks; every scan of a page is linear in its length.  ``serialised`` writes records out as
+WARC/1.1 text, the response's HTTP header lines among their named fields as ``WARC-Source-Header``.
+
+``read_responses`` reads the response records of gzipped WARC files (one gzip member a record, or one a file).  Spark
+decompresses a file as a stream and cuts it where a record's version line may begin; each record's own length then
+decides where it ends, so pages that hold such a line stay whole, and no file is held in memory.
 
 Plain text: scripts, styles and comments go (to the end of the page where they are not closed), block
 elements break lines, other tags go, entities are decoded, white space is collapsed, empty lines go.
 
 Defined cases: null addresses and pages count as empty; an empty page has an empty text and a digest of
-it; repeated rows give repeated records with equal identifiers; null identifiers of pages stay null; an
+it; a record that its file cuts short is read as far as it goes and marked ``truncated``; bytes that are no UTF-8 are
+replaced; a record without a length or an identifier, and what stands between records, is no record; repeated rows give repeated records with equal identifiers; null identifiers of pages stay null; an
 empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
@@ -20,13 +26,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HIDDEN = re.compile(r"<script\b[^<>]*>.*?(?:</script\s*>|\Z)|<style\b[^<>]*>.*?(?:</style\s*>|\Z)|<!--.*?(?:-->|\Z)", re.I | re.S | re.A)
 BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|nav|article|aside|footer|header|main|section|title|blockquote|pre|form)\b[^<>]*>", re.I | re.A)
 TAG = re.compile(r"<[a-zA-Z/!?][^<>]*>")
-TITLE = re.compile(r"<title\b[^<>]*>(.*?)</title\s*>", re.I | re.S | re.A)
+TITLE, TITLE_END = re.compile(r"<title\b[^<>]*>", re.I | re.A), re.compile(r"</title\s*>", re.I | re.A)
 LINK = re.compile(r"""<a\b[^<>]*?\bhref\s*=\s*"([^"<>]*)\"""", re.I | re.A)
 SPACE = re.compile(r"[\x20\t\r\x0b\x0c]+")
 
@@ -39,8 +45,10 @@ def plain_text(page: str) -> str:
 
 def page_fields(page: str) -> str:
     """``application/warc-fields``: the page's title and its links in order, repeats included."""
-    title = TITLE.search(page)
-    shown = SPACE.sub(" ", html.unescape(title[1]).replace("\n", " ")).strip(" ") if title else ""
+    start = TITLE.search(page)
+    # If nothing closes the first title, nothing closes a later one either.
+    end = TITLE_END.search(page, start.end()) if start else None
+    shown = SPACE.sub(" ", html.unescape(page[start.end() : end.start()]).replace("\n", " ")).strip(" ") if end else ""
     links = [f"outlink: {html.unescape(x)}" for x in LINK.findall(page)]
     return "\r\n".join([f"title: {shown}", *links])
 
@@ -89,12 +97,96 @@ def derivatives(found: DataFrame) -> DataFrame:
 
 
 def serialised(records: DataFrame) -> DataFrame:
-    """One string per record, header and block.  Written with ``lineSep="\\r\\n\\r\\n"`` they form a WARC file."""
+    """One string per record, header and block.  Written with ``lineSep="\\r\\n\\r\\n"`` they form a WARC file.
+
+    Named fields may come any number of times, so each line of the response's HTTP header is one.
+    """
     fields = {"WARC-Type": "record_type", "WARC-Record-ID": "record_id", "WARC-Refers-To": "refers_to", "WARC-Concurrent-To": "concurrent_to", "WARC-Target-URI": "target_uri", "WARC-Date": "date", "WARC-Refers-To-Payload-Digest": "source_digest", "WARC-Block-Digest": "block_digest", "Content-Type": "content_type", "Content-Length": "content_length"}
     ids = {"record_id", "refers_to", "concurrent_to"}
     head = [F.concat(F.lit(f"{k}: <" if c in ids else f"{k}: "), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">" if c in ids else "")) for k, c in fields.items()]
-    return records.select(F.concat(F.concat_ws("\r\n", F.lit("WARC/1.1"), *head), F.lit("\r\n\r\n"), F.col("block")).alias("value"))
+    source = F.transform(F.split(F.coalesce("source_headers", F.lit("")), "\r?\n"), lambda line: F.concat(F.lit("WARC-Source-Header: "), line))
+    return records.select(F.concat(F.concat_ws("\r\n", F.lit("WARC/1.1"), *head, source), F.lit("\r\n\r\n"), F.col("block")).alias("value"))
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    serialised(records).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    """Derivatives as gzipped WARC files, one gzip stream a file as Spark's writer makes them."""
+    write_text(serialised(records), path)
+
+
+def write_text(lines: DataFrame, path: str) -> None:
+    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+
+
+#: What a record's version line begins with.
+VERSION = b"WARC/1."
+#: The named fields of a response that are read, and the least that must be there.
+FIELDS = ["record_id", "target_uri", "date", "http_headers", "payload_digest", "payload"]
+
+
+def _header(piece: bytes) -> tuple[dict[bytes, bytes], int] | None:
+    """Named fields of a record that begins after ``VERSION``, and where its block begins; null if it has none."""
+    end = piece.find(b"\r\n\r\n")
+    lines = piece[:end].split(b"\r\n") if end >= 0 else []
+    if not lines or not re.fullmatch(rb"\d+", lines[0]):
+        return None
+    fields = {k.strip().lower(): v.strip() for k, colon, v in (line.partition(b":") for line in lines[1:]) if colon}
+    return (fields, end + 4) if fields.get(b"content-length", b"").isdigit() and fields.get(b"warc-record-id") else None
+
+
+def _records(pieces: Iterator[tuple[str, bytes]]) -> Iterator[tuple[str, dict[bytes, bytes], bytes, bool]]:
+    """``file, fields, block, truncated`` from the pieces of each file in order.
+
+    A piece that is shorter than its record's length goes on with the next one: the cut was within its block.
+    """
+    held, file, want = bytearray(), None, 0
+    fields: dict[bytes, bytes] | None = None
+
+    def done() -> Iterator[tuple[str, dict[bytes, bytes], bytes, bool]]:
+        if fields is not None:
+            yield file, fields, bytes(held[:want]), len(held) < want
+
+    for name, piece in pieces:
+        if fields is not None and name == file and len(held) < want:
+            held += VERSION + piece
+            continue
+        yield from done()
+        file, found = name, _header(piece)
+        fields, at = found if found else (None, 0)
+        if fields is not None:
+            held, want = bytearray(piece[at:]), int(fields[b"content-length"])
+    yield from done()
+
+
+def _response(fields: dict[bytes, bytes], block: bytes) -> list[str | None]:
+    head, blank, body = block.partition(b"\r\n\r\n")
+    told = lambda name: fields[name].decode("utf-8", "replace") if name in fields else None
+    return [told(b"warc-record-id").strip("<>"), told(b"warc-target-uri"), told(b"warc-date"), head.decode("utf-8", "replace"), told(b"warc-payload-digest"), body.decode("utf-8", "replace") if blank else ""]
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """Response records of gzipped WARC files: ``id`` (the record's identifier), ``record_id, target_uri, date,
+    http_headers, payload_digest, payload, truncated``, as ``derivatives`` takes them.
+
+    A digest that the record lacks is taken of its payload.  Bodies are read as they are stored.
+    """
+    pieces = spark.read.option("lineSep", VERSION.decode()).option("pathGlobFilter", "*.gz").text(path)
+    pieces = pieces.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flow = ((f.as_py(), p.as_py()) for batch in batches for f, p in zip(batch.column(0), batch.column(1)))
+        for _, fields, block, truncated in _records(flow):
+            if fields.get(b"warc-type", b"").lower() == b"response":
+                made = [pa.array([x], pa.string()) for x in _response(fields, block)]
+                yield pa.RecordBatch.from_arrays([*made, pa.array([truncated])], [*FIELDS, "truncated"])
+
+    # A gzipped file is read by one task from its start to its end, so its pieces come in order.
+    found = pieces.mapInArrow(run, ", ".join(f"{f} string" for f in FIELDS) + ", truncated boolean")
+    digest = F.coalesce("payload_digest", _digest(F.col("payload")))
+    return found.select(F.col("record_id").alias("id"), "record_id", "target_uri", "date", "http_headers", digest.alias("payload_digest"), "payload", "truncated")
+
+
+def serialised_responses(found: DataFrame) -> DataFrame:
+    """The same records as WARC text, as ``serialised`` gives derivatives."""
+    body = F.concat("http_headers", F.lit("\r\n\r\n"), "payload")
+    head = [F.lit("WARC/1.1"), F.lit("WARC-Type: response"), F.concat(F.lit("WARC-Record-ID: <"), "record_id", F.lit(">")), F.concat(F.lit("WARC-Target-URI: "), "target_uri"), F.concat(F.lit("WARC-Date: "), "date"), F.concat(F.lit("WARC-Payload-Digest: "), "payload_digest"), F.lit("Content-Type: application/http; msgtype=response"), F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string"))]
+    return found.select(F.concat(F.concat_ws("\r\n", *head), F.lit("\r\n\r\n"), body).alias("value"))
