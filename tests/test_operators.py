@@ -281,8 +281,12 @@ def test_answers_cite_the_files_they_come_from(spark, tmp_path):
     assert "/doc7.md:" in index.answered(questions).first().text
     changed = files.withColumn("text", F.when(F.col("doc_id") == 7, "new words only").otherwise(F.col("text"))).withColumn("content_hash", F.sha2("text", 256))
     fresh, anew = index.refreshed(changed), Index.build(changed)
-    key = lambda df: sorted((r.path, r.k, r.content) for r in df.collect())
+    key = lambda df: sorted((r.path, r.start_line, r.content) for r in df.collect())
     assert key(fresh.chunks) == key(anew.chunks)
+    again = fresh.saved(str(tmp_path))  # into the folder it is read from
+    assert key(again.chunks) == key(anew.chunks) and key(index.chunks) != key(anew.chunks)
+    vectors = lambda df: sorted((r.id, [round(x, 9) for x in r.v]) for r in df.collect())
+    assert vectors(again.vectors) == vectors(anew.vectors) and key(Index.opened(spark, str(tmp_path)).chunks) == key(anew.chunks)
     try:
         within_cap(index.chunks, 3)
         raise AssertionError("the cap must hold")

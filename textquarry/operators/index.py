@@ -1,53 +1,105 @@
-"""The whole index of a set of files, and batches of questions answered from it."""
+"""The whole index of a set of files, and batches of questions answered from it.
+
+Building cuts each file by what it is (sections, definitions, windows), reads symbols, calls, endpoints and
+dependencies out of it, links chunks by calls and headers, and lays out postings by term and vectors by chunk.
+Questions come in batches keyed by ``q``; each goes the way of its route.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from . import answers, chunking, extraction, incremental, retrieval
+from ..sources.files import detect_language
+from ..sources.scratch import written
+from . import answers, chunking, code_chunks, extraction, graph, incremental, retrieval, structured, summaries
 
 MAX_CHUNKS = 50_000
+#: Lines of a listed answer; its heading gives the number of all.
+LISTED = 1000
+#: How many of a file's imports its chunks' headers name, and where they are looked for.
+HEADER_IMPORTS, HEADER_CHARS = 6, 2000
+CHUNK = ["path", "symbol_name", "symbol_kind", "parent_symbol", "start_line", "end_line", "content"]
 
 
 @dataclass
 class Index:
-    """Tables of one snapshot: ``files``, ``chunks`` and ``vectors``; facts are read from files when asked for.
+    """Tables of one snapshot.
 
-    ``files`` has ``path, text, content_hash, loc``; ``chunks`` has ``chunk_id, path, k, start_line, end_line,
-    content, tokens``; ``vectors`` has ``id, v``.
+    ``files`` has ``path, text, content_hash, loc``; ``chunks`` has ``chunk_id``, the columns of ``CHUNK``, ``header``
+    and ``tokens``; ``vectors`` has ``id, v``; ``posted`` and ``stats`` are those of ``retrieval``; ``facts`` are those
+    of Python sources; ``edges`` has ``src, dst, kind, ord`` over chunks.
     """
 
     files: DataFrame
     chunks: DataFrame
     vectors: DataFrame
+    posted: DataFrame
+    stats: DataFrame
+    facts: DataFrame
+    edges: DataFrame
 
     @classmethod
     def build(cls, files: DataFrame, redact: Callable[[Column], Column] | None = fn.redact_secrets) -> Index:
         """Secrets are redacted in whole texts before anything is cut, so none is split over two chunks."""
         clean = files if redact is None else files.withColumn("text", redact(F.col("text")))
-        return cls(files, chunks_of(clean), vectors_of(chunks_of(clean)))
+        facts = written(extraction.python_facts(clean), "facts")
+        chunks = written(chunks_of(clean, facts), "chunks")
+        return cls._over(files, chunks, vectors_of(chunks), facts)
+
+    @classmethod
+    def _over(cls, files: DataFrame, chunks: DataFrame, vectors: DataFrame, facts: DataFrame) -> Index:
+        rows = _searched(chunks)
+        return cls(files, chunks, vectors, retrieval.postings(rows), retrieval.collection_stats(rows), facts, written(edges_of(chunks, facts), "edges"))
 
-    def refreshed(self, files: DataFrame) -> Index:
-        """The index of a new snapshot; chunks of unchanged files are kept."""
+    def refreshed(self, files: DataFrame, redact: Callable[[Column], Column] | None = fn.redact_secrets) -> Index:
+        """The index of a new snapshot.  Chunks, vectors and facts of unchanged files are kept; postings follow from
+        chunks, and references are resolved anew over all files, so none dangles."""
         status = incremental.diff(self.files, files)
-        build = lambda f: chunks_of(f.withColumn("text", fn.redact_secrets(F.col("text"))))
-        chunks = incremental.refreshed(self.chunks, files, status, build)
-        return Index(files, chunks, vectors_of(chunks))
+        clean = files if redact is None else files.withColumn("text", redact(F.col("text")))
+        facts = written(incremental.refreshed(self.facts, clean, status, extraction.python_facts), "facts")
+        chunks = written(incremental.refreshed(self.chunks, clean, status, lambda f: chunks_of(f, extraction.python_facts(f))), "chunks")
+        kept = self.vectors.join(chunks.select(F.col("chunk_id").alias("id")), "id", "left_semi")
+        fresh = vectors_of(chunks.join(self.vectors.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti"))
+        return self._over(files, chunks, kept.unionByName(fresh), facts)
 
     def saved(self, folder: str) -> Index:
-        """Written as Parquet and read back."""
-        spark: SparkSession = self.files.sparkSession
-        tables = {"files": self.files, "chunks": self.chunks, "vectors": self.vectors}
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        return Index(*[spark.read.parquet(f"{folder}/{name}") for name in tables])
-
-    def stats(self) -> DataFrame:
+        """Written as Parquet in a folder of its own and read back.
+
+        The version's name is added to ``versions`` when all its tables are there, so an index may be saved to the
+        folder that it was read from, and a job that fails leaves the version before it in place.
+        """
+        spark = self.files.sparkSession
+        path = f"{folder.rstrip('/')}/version-{uuid.uuid4().hex}"
+        self.files.write.parquet(f"{path}/files")
+        self.facts.write.parquet(f"{path}/facts")
+        self.chunks.write.parquet(f"{path}/chunks")
+        # What follows from chunks is made from the written ones: they are cut once.
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        rows = _searched(read("chunks"))
+        self.vectors.write.parquet(f"{path}/vectors")
+        retrieval.postings(rows).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/posted")
+        retrieval.collection_stats(rows).write.parquet(f"{path}/stats")
+        edges_of(read("chunks"), read("facts")).write.parquet(f"{path}/edges")
+        number = len(_versions(spark, folder)) + 1
+        spark.createDataFrame([(number, path)], "number long, path string").coalesce(1).write.mode("append").parquet(f"{folder.rstrip('/')}/versions")
+        return Index.opened(spark, folder)
+
+    @classmethod
+    def opened(cls, spark: SparkSession, folder: str) -> Index:
+        """The last version that was saved."""
+        found = _versions(spark, folder)
+        if not found:
+            raise ValueError(f"{folder} holds no index")
+        return cls(*[spark.read.parquet(f"{found[-1]}/{f.name}") for f in fields(cls)])
+
+    def counts(self) -> DataFrame:
         return self.files.agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.octet_length("text")).alias("size_bytes"), F.sum("loc").alias("loc"))
 
     def endpoints(self) -> DataFrame:
@@ -56,49 +108,159 @@ class Index:
     def dependencies(self) -> DataFrame:
         return extraction.dependencies(self.files)
 
+    def summaries(self, depth: int = 1) -> DataFrame:
+        return summaries.hierarchy(summaries.file_summaries(self.files), depth)
+
     def search(self, questions: DataFrame, k: int = 10, top: int = 30) -> DataFrame:
-        """``q, rank, id, score``: BM25 and nearest hashed vectors of ``questions(q, question)``, fused."""
-        rows = self.chunks.select(F.col("chunk_id").alias("id"), "content", "path")
-        lexical = retrieval.bm25(rows, questions, k)
-        asked = vectors_of(questions.select(F.col("q").alias("chunk_id"), F.col("question").alias("content"))).select(F.col("id").alias("q"), "v")
-        dense = retrieval.nearest(self.vectors, asked, k)
-        return retrieval.reciprocal_rank_fusion([dense, lexical], top)
+        """``q, rank, id, score``: BM25 over stored postings and nearest hashed vectors, fused."""
+        lexical = retrieval.bm25_over(self.posted, self.stats, questions, k, prune=True)
+        asked = retrieval.hash_vectors(questions.select("q", F.col("question").alias("text")), "q")
+        return retrieval.reciprocal_rank_fusion([retrieval.nearest(self.vectors, asked, k), lexical], top)
+
+    def contexts(self, questions: DataFrame, k: int = 10, hops: int = graph.HOPS, budget: int = graph.BUDGET) -> DataFrame:
+        """``q, rank, id``: what is found, and after it the chunks that calls and headers link to it, within a budget."""
+        found = written(self.search(questions, k).select("q", "rank", "id"), "found")
+        tokens = self.chunks.select(F.col("chunk_id").alias("id"), "tokens")
+        more = graph.expand(found, self.edges, tokens, hops, budget).select("q", (F.col("hop") * 1_000_000 + F.col("rank")).alias("rank"), "id")
+        return graph.ranked_union(found, more)
 
     def spans(self, questions: DataFrame, k: int = 10) -> DataFrame:
-        """The best chunks of each question, adjacent ones merged: ``q, file_rank, path, start, end, content``."""
-        found = self.search(questions, k).join(self.chunks, F.col("id") == F.col("chunk_id"))
-        rows = found.select("q", "rank", "id", "path", F.col("start_line").alias("start"), F.col("end_line").alias("end"), F.lit(None).cast("string").alias("symbol"), "content")
+        """The context of each question, adjacent chunks merged: ``q, file_rank, path, start, end, content``."""
+        found = self.contexts(questions, k).join(self.chunks, F.col("id") == F.col("chunk_id"))
+        rows = found.select("q", "rank", "id", "path", F.col("start_line").alias("start"), F.col("end_line").alias("end"), F.col("symbol_name").alias("symbol"), "content")
         return retrieval.merge_adjacent(rows)
 
+    def definitions(self, questions: DataFrame) -> DataFrame:
+        """``q, text``: where the first name of a question that is defined is defined; other questions have no row."""
+        names = questions.select("q", F.posexplode(fn.candidate_names(F.col("question"))).alias("priority", "name"))
+        found = structured.located(names, extraction.python_symbols(self.facts))
+        line = F.concat(F.format_string("`%s` (%s) is defined in [%s:%d-%d]", "name", "kind", "path", "start_line", "end_line"), F.coalesce(F.concat(F.lit(" — "), F.split("docstring", "\n")[0]), F.lit("")))
+        item = F.struct((~F.col("is_exported")).alias("hidden"), "path", "start_line", line.alias("line"))
+        return found.groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["line"]), "\n").alias("text"))
+
+    def listed(self, route: str) -> DataFrame:
+        """One row ``text``: the answer that lists all dependencies or endpoints, its first ``LISTED`` lines written out."""
+        if route == "dependencies":
+            spec = F.when(F.coalesce("version", F.lit("")) == "", F.col("name")).otherwise(F.concat("name", F.lit(" ("), "version", F.lit(")")))
+            names = F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("name", spec.alias("spec")))), 1, LISTED), lambda x: x["spec"]), ", ")
+            rows = self.dependencies().groupBy("path").agg(F.count(F.lit(1)).alias("n"), names.alias("names"))
+            line, order, none = F.concat(F.format_string("**%s** [%s:1-1] — %d dependencies: ", "path", "path", "n"), "names"), ["path"], "No dependency manifest was found."
+        else:
+            rows = self.endpoints()
+            told = F.format_string("- `%s %s`", F.coalesce("method", F.lit("ANY")), "route")
+            handler = F.coalesce(F.concat(F.lit(" -> `"), "handler", F.lit("`")), F.lit(""))
+            auth = F.coalesce(F.concat(F.lit(" (requires auth: "), "auth", F.lit(")")), F.lit(""))
+            line, order, none = F.concat(told, handler, auth, F.format_string(" [%s:%d-%d]", "path", "line", "line")), ["path", "line", "route", "method"], "No API endpoints were found."
+        shown = rows.select(*order, line.alias("text_line")).orderBy(*order).limit(LISTED)
+        item = F.struct(*order, "text_line")
+        body = shown.agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["text_line"]), "\n").alias("body"))
+        total = rows.agg(F.count(F.lit(1)).alias("total"))
+        head = F.lit("") if route == "dependencies" else F.format_string("%d endpoint(s):\n\n", "total")
+        # Both sides are one row.
+        return body.crossJoin(F.broadcast(total)).select(F.when(F.col("total") == 0, F.lit(none)).otherwise(F.concat(head, "body")).alias("text"))
+
     def answered(self, questions: DataFrame, k: int = 10) -> DataFrame:
-        """``q, route, text, n_valid, n_invalid``: an extractive answer that cites its spans, checked against the files."""
-        spans = self.spans(questions, k)
-        mark = F.format_string("[%s:%d-%d]", "path", "start", "end")
-        line = F.concat(fn_first(F.col("content")), F.lit(" "), mark)
+        """``q, route, text, n_valid, n_invalid, validity, unsupported_claim`` of ``questions(q, question)``.
+
+        Dependencies and endpoints are listed, names are located, an overview is the root's summary; whatever has no
+        such answer is answered from its context, sentence by sentence with its place.  Answers are checked.
+        """
+        routed = questions.withColumn("route", F.coalesce(fn.route_question(F.col("question")), F.lit("explain")))
+        of = lambda route: routed.where(F.col("route") == route)
+        made = self.definitions(of("locate")).select("q", "text")
+        root = self.summaries().where("scope = 'repo' AND content <> ''").select(F.col("content").alias("text"))
+        for route, text in (("dependencies", self.listed("dependencies")), ("endpoints", self.listed("endpoints")), ("overview", root)):
+            made = made.unionByName(of(route).select("q").crossJoin(F.broadcast(text)))  # one row
+        made = written(made, "structured")
+        rest = written(routed.join(made.select("q"), "q", "left_anti"), "rest")
+        spans = self.spans(rest.select("q", "question"), k)
+        line = F.concat(first_sentence(F.col("content")), F.lit(" "), F.format_string("[%s:%d-%d]", "path", "start", "end"))
         body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_rank", "start", line.alias("line")))), lambda x: x["line"]), "\n")
-        made = spans.groupBy("q").agg(body.alias("text"))
-        rows = questions.join(made, "q", "left").select("q", F.coalesce(fn.route_question(F.col("question")), F.lit("explain")).alias("route"), F.coalesce("text", F.lit("")).alias("text"))
+        made = made.unionByName(spans.groupBy("q").agg(body.alias("text")))
+        rows = written(routed.join(made, "q", "left").select("q", "route", F.coalesce("text", F.lit("")).alias("text")), "answers")
         checked = answers.verification(rows.select(F.col("q").alias("answer_id"), "text"), self.files.select("path", "loc"))
         return rows.join(checked.withColumnRenamed("answer_id", "q"), "q")
 
+    def evaluated(self, golden: DataFrame, k: int = 10) -> DataFrame:
+        """``question_id, route, recall_hit, citation_validity`` of a question set: whether an expected file is in a
+        question's context or among its citations."""
+        asked = golden.select(F.col("id").alias("q"), "question")
+        answered = self.answered(asked, k)
+        seen = self.contexts(asked, k).join(self.chunks.select(F.col("chunk_id").alias("id"), "path"), "id").select("q", "path")
+        cited = answers.citations(answered.select(F.col("q").alias("answer_id"), "text")).select(F.col("answer_id").alias("q"), "path")
+        paths = seen.unionByName(cited).groupBy("q").agg(F.collect_set("path").alias("paths"))
+        rows = golden.select(F.col("id").alias("q"), F.col("route").alias("expected_route"), "expected_files").join(answered, "q").join(paths, "q", "left")
+        hit = F.when(F.size("expected_files") > 0, F.arrays_overlap("expected_files", F.coalesce("paths", F.array().cast("array<string>"))))
+        return rows.select(F.col("q").alias("question_id"), "route", (F.col("route") == F.col("expected_route")).alias("route_hit"), hit.alias("recall_hit"), F.col("validity").alias("citation_validity"))
+
+
+def _versions(spark: SparkSession, folder: str) -> list[str]:
+    try:
+        return [r.path for r in spark.read.parquet(f"{folder.rstrip('/')}/versions").orderBy("number").collect()]  # a row a save
+    except AnalysisException:
+        return []
+
+
+def _searched(chunks: DataFrame) -> DataFrame:
+    return chunks.select(F.col("chunk_id").alias("id"), "content", fn.searchable_name(F.col("symbol_name")).alias("symbol_name"), "path")
 
-def fn_first(content: Column) -> Column:
+
+def first_sentence(content: Column) -> Column:
     """The first sentence of a chunk, or its start; brackets go, so that it holds no citation."""
     first = F.regexp_extract(content, r"(?s)^\s*(.*?[.!?])(?:\s|$)", 1)
     return F.regexp_replace(F.when(first == "", F.substring(content, 1, 120)).otherwise(first), r"[\[\]\n]", " ")
 
 
-def chunks_of(files: DataFrame) -> DataFrame:
-    rows = chunking.window_chunks(files, "path")
-    return rows.select(F.xxhash64("path", "k").alias("chunk_id"), "path", "k", "start_line", "end_line", "content", "tokens")
+def header_imports(files: DataFrame) -> DataFrame:
+    """``path, imports``: the first few modules that a file's beginning imports, each once."""
+    heads = files.withColumn("text", F.substring("text", 1, HEADER_CHARS))
+    found = extraction.import_edges(heads).groupBy("path", "module").agg(F.min("line").alias("line"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line", "module"))), lambda x: x["module"])
+    return found.groupBy("path").agg(F.slice(ordered, 1, HEADER_IMPORTS).alias("imports"))
+
+
+def chunks_of(files: DataFrame, facts: DataFrame) -> DataFrame:
+    """Chunks by what a file is: markdown by sections, Python by definitions, anything else by windows."""
+    none = F.lit(None).cast("string")
+    language = F.coalesce(detect_language(F.col("path")), F.lit(""))
+    sections = chunking.markdown_sections(files.where(language == "markdown").select("path", "text"), "path")
+    # What stands after a text's last break is no line of the file.
+    last = F.when(F.endswith("content", F.lit("\n")) & (F.col("end_line") > F.col("start_line")), F.col("end_line") - 1).otherwise(F.col("end_line"))
+    sections = sections.select("path", F.col("heading").alias("symbol_name"), F.lit("section").alias("symbol_kind"), none.alias("parent_symbol"), "start_line", last.alias("end_line"), "content")
+    code = code_chunks.python_chunks(files.where(language == "python").select("path", "text"), facts)
+    windows = chunking.window_chunks(files.where(~language.isin("markdown", "python")), "path")
+    windows = windows.select("path", none.alias("symbol_name"), F.lit("module").alias("symbol_kind"), none.alias("parent_symbol"), "start_line", "end_line", "content")
+    rows = sections.select(*CHUNK).unionByName(code.select(*CHUNK)).unionByName(windows)
+    rows = rows.join(header_imports(files), "path", "left")
+    name = F.xxhash64("path", "start_line", "end_line", F.coalesce("symbol_name", F.lit("")), F.md5("content"))
+    header = fn.chunk_header(F.col("path"), F.col("parent_symbol"), F.coalesce("imports", F.array().cast("array<string>")))
+    return rows.select(name.alias("chunk_id"), *CHUNK, header.alias("header"), fn.token_estimate(F.col("content")).alias("tokens"))
+
+
+def edges_of(chunks: DataFrame, facts: DataFrame) -> DataFrame:
+    """``src, dst, kind, ord``: to the head of a chunk's file (0), to what it calls (1), to what calls it (2)."""
+    head = chunks.where("symbol_kind = 'module'").groupBy(F.col("path").alias("of")).agg(F.min(F.struct("start_line", "chunk_id"))["chunk_id"].alias("dst"))
+    heads = chunks.join(head, F.col("path") == F.col("of")).where("chunk_id <> dst").select(F.col("chunk_id").alias("src"), "dst", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("ord"))
+    symbols = extraction.python_symbols(facts)
+    # A symbol's chunk is the shortest of its name in its file.
+    owner = chunks.where("symbol_name IS NOT NULL").groupBy(F.col("path").alias("p"), F.col("symbol_name").alias("s")).agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("size"), "start_line", "chunk_id"))["chunk_id"].alias("chunk"))
+    named = symbols.select(F.col("path").alias("file"), "name", F.xxhash64("path", "name", "start_line").alias("symbol_id"))
+    placed = named.join(owner, (F.col("file") == F.col("p")) & (F.col("name") == F.col("s"))).select("symbol_id", F.col("chunk").alias("dst"))
+    calls = extraction.python_calls(facts).where("caller IS NOT NULL").select(F.col("path").alias("file"), F.col("target_name").alias("name"), "caller", "line")
+    found = structured.resolved(calls, named).where("resolved IS NOT NULL")
+    found = found.join(placed, F.col("resolved") == F.col("symbol_id"))
+    callers = owner.select(F.col("p").alias("from_file"), F.col("s").alias("from_name"), F.col("chunk").alias("src"))
+    found = found.join(callers, (F.col("file") == F.col("from_file")) & (F.col("caller") == F.col("from_name"))).where("src <> dst")
+    found = found.groupBy("src", "dst").agg(F.min("line").cast("long").alias("ord"))
+    there = found.select("src", "dst", F.lit(1).alias("kind"), "ord")
+    back = found.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(2).alias("kind"), "ord")
+    return heads.unionByName(there).unionByName(back)
 
 
 def vectors_of(chunks: DataFrame, dimensions: int = 32) -> DataFrame:
-    """Hashed vectors as arrays; a chunk without words has none."""
-    values = retrieval.hash_embedding(chunks.select(F.col("chunk_id").alias("id"), F.col("content").alias("text")), "id", dimensions)
-    filled = F.map_from_entries(F.collect_list(F.struct(F.col("dim").cast("int"), "value")))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)))
-    return values.groupBy("id").agg(filled.alias("m")).select("id", dense.alias("v"))
+    """Hashed vectors of headers and contents; a chunk without words has none."""
+    text = F.concat_ws("\n", "header", "content")
+    return retrieval.hash_vectors(chunks.select(F.col("chunk_id").alias("id"), text.alias("text")), "id", dimensions)
 
 
 def within_cap(chunks: DataFrame, most: int = MAX_CHUNKS) -> None:

@@ -32,11 +32,10 @@ def query_phrases(questions: DataFrame) -> DataFrame:
     return phrases.groupBy("q", "phrase").agg(F.count(F.lit(1)).alias("times"))
 
 
-def bm25(rows: DataFrame, questions: DataFrame, k: int = 10, weights: dict[str, float] | None = None) -> DataFrame:
-    """``q, rank, id, score`` of the best ``k`` of ``rows(id, ...)``; higher is better, ties by ``id``.
+def postings(rows: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """``term, id, len, w, column, at``: every term of ``rows(id, ...)`` with its place, and its row's length in terms.
 
-    Only terms that some question has leave the stage that tokenises the corpus.  What a phrase to a row's score does not depend on the question, so it is computed once per phrase and row, and questions
-    meet these numbers, not the tokens.
+    Rows without a term have one posting with a null term, so that they are counted.
     """
     weights = weights or WEIGHTS
     columns = [c for c in weights if c in rows.columns]
@@ -45,11 +44,34 @@ def bm25(rows: DataFrame, questions: DataFrame, k: int = 10, weights: dict[str,
         found = tokens(F.coalesce(F.col(column), F.lit("")))
         return F.transform(found, lambda t, i: F.struct(F.lit(float(weights[column])).alias("w"), F.lit(column).alias("column"), t.alias("term"), i.alias("at")))
 
-    rows = rows.select("id", F.concat(*map(posted_terms, columns)).alias("terms"))
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avgdl"))
+    terms = rows.select("id", F.concat(*map(posted_terms, columns)).alias("terms"))
+    return terms.select("id", F.size("terms").alias("len"), F.explode_outer("terms").alias("t")).select("t.term", "id", "len", "t.w", "t.column", "t.at")
+
+
+def collection_stats(rows: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """One row ``n, avgdl``: how many rows there are, and their mean length in terms."""
+    columns = [c for c in weights or WEIGHTS if c in rows.columns]
+    lengths = [F.regexp_count(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(TOKEN)) for c in columns]
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.avg(sum(lengths, F.lit(0))).alias("avgdl"))
+
+
+#: Terms of a batch of questions that are pushed down to stored postings at most; more are joined.
+PUSHED_TERMS = 2000
+
+
+def bm25_over(posted: DataFrame, stats: DataFrame, questions: DataFrame, k: int = 10, prune: bool = False) -> DataFrame:
+    """``q, rank, id, score`` of the best ``k`` by ``postings`` and ``collection_stats``; ties by ``id``.
+
+    What a phrase adds to a row's score does not depend on the question, so it is computed once per phrase and row,
+    and questions meet these numbers, not the tokens.  With ``prune`` the questions' terms, if there are few, are
+    pushed down, so that postings stored in the order of terms are read for these alone.
+    """
     asked = query_phrases(questions)
     phrases = asked.select("phrase").distinct()
-    posted = rows.select("id", F.size("terms").alias("len"), F.explode_outer("terms").alias("t")).select("id", "len", "t.w", "t.column", "t.term", "t.at")
+    if prune:
+        few = phrases.select(F.explode("phrase").alias("term")).distinct().limit(PUSHED_TERMS + 1).collect()
+        if len(few) <= PUSHED_TERMS:
+            posted = posted.where(F.col("term").isin([r.term for r in few]))
     # Single terms are summed as they are; longer phrases must stand at consecutive places of one column.
     single = phrases.where(F.size("phrase") == 1).select("phrase", F.col("phrase")[0].alias("term"))
     one = posted.join(single, "term").groupBy("phrase", "id", "len").agg(F.sum("w").alias("tf"))
@@ -67,11 +89,18 @@ def bm25(rows: DataFrame, questions: DataFrame, k: int = 10, weights: dict[str,
     return total.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("q", F.col("rank").cast("long").alias("rank"), "id", "score")
 
 
+def bm25(rows: DataFrame, questions: DataFrame, k: int = 10, weights: dict[str, float] | None = None) -> DataFrame:
+    """The same over ``rows(id, ...)`` that have no stored postings; only terms that some question has move."""
+    return bm25_over(postings(rows, weights), collection_stats(rows, weights), questions, k)
+
+
 def normalised(vector: Column) -> Column:
     """A vector of length one, in doubles; a zero vector stays as it is."""
     wide = F.transform(vector, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(wide, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
+    # The norm goes into an array of one, over which the outer lambda runs: it is evaluated once, not per element.
+    divided = F.transform(F.array(F.when(norm == 0, F.lit(1.0)).otherwise(norm)), lambda n: F.transform(wide, lambda x: x / n))
+    return divided[0]
 
 
 def l2(a: Column, b: Column) -> Column:
@@ -97,14 +126,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 10
     return found.select("q", F.col("rank").cast("long").alias("rank"), "id", "distance")
 
 
-def hash_embedding(texts: DataFrame, key: str, dimensions: int = 32) -> DataFrame:
-    """``key, dim, value``: signed counts of hashed words, of length one; zeros are left out."""
-    words = texts.select(key, F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(r"([^\s]+)"), F.lit(1))).alias("word")).where("word IS NOT NULL")
+def hash_vectors(texts: DataFrame, key: str, dimensions: int = 32) -> DataFrame:
+    """``key, v``: signed counts of hashed words as a vector of length one; keys without a word have none.
+
+    A key's sums are columns of one row, so that little more than the vectors moves.
+    """
+    words = texts.select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([^\s]+)"), F.lit(1))).alias("word"))
     tail = F.conv(F.substring(F.sha2("word", 256), -4, 4), 16, 10).cast("long")  # the last bits decide both
-    sign = F.when(F.floor(tail / dimensions) % 2 == 0, 1).otherwise(-1)
-    dims = words.groupBy(key, (tail % dimensions).alias("dim")).agg(F.sum(sign).cast("double").alias("raw")).where("raw <> 0")
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return dims.select(key, "dim", (F.col("raw") / norm).alias("value"))
+    hashed = words.select(key, (tail % dimensions).cast("int").alias("dim"), F.when(F.floor(tail / dimensions) % 2 == 0, 1).otherwise(-1).alias("sign"))
+    sums = [F.sum(F.when(F.col("dim") == i, F.col("sign")).otherwise(0)).cast("double").alias(f"d{i}") for i in range(dimensions)]
+    rows = hashed.groupBy(key).agg(*sums).select(key, F.array(*[f"d{i}" for i in range(dimensions)]).alias("raw"))
+    return rows.select(key, normalised(F.col("raw")).alias("v"))
+
+
+def hash_embedding(texts: DataFrame, key: str, dimensions: int = 32) -> DataFrame:
+    """``key, dim, value``: the same with a row per value; zeros are left out."""
+    rows = hash_vectors(texts, key, dimensions).select(key, F.posexplode("v").alias("dim", "value"))
+    return rows.select(key, F.col("dim").cast("long").alias("dim"), "value").where("value <> 0")
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], top: int = 30, k: int = RRF_K) -> DataFrame:

@@ -6,11 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def hydrate(ranked: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:
-    """Chunks of ``ranked(q, rank, id)`` with their files; ids without a chunk drop out, order is kept by ``rank``."""
-    return ranked.join(chunks.withColumnRenamed("chunk_id", "id"), "id").join(files.select("file_id", "path"), "file_id")
-
-
 def definitions(symbols: DataFrame, files: DataFrame, names: DataFrame) -> DataFrame:
     """All definitions of ``names(q, name)``, ranked: exported first, then by path and line."""
     found = names.join(symbols, "name").join(files.select("file_id", "path"), "file_id")
@@ -35,13 +30,12 @@ def references(refs: DataFrame, symbols: DataFrame, files: DataFrame, names: Dat
 def smallest_enclosing(points: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
     """For ``points(key, point_id, line)`` the smallest of ``ranges(key, range_id, start, end)`` around it.
 
-    The equi-key keeps this a hash or merge join; the line bounds are its condition.
+    Ranges are laid out over their lines, of which each keeps the smallest, so the join is by key and line: a file
+    with very many lines and ranges is as many groups, and no point meets a range that does not hold it.
     """
-    r = ranges.select(F.col(key).alias("of"), "range_id", "start", "end")
-    held = (F.col(key) == F.col("of")) & (F.col("start") <= F.col("line")) & (F.col("line") <= F.col("end"))
-    both = points.join(r, held, "left")
-    best = F.min_by("range_id", F.when(F.col("range_id").isNotNull(), F.struct(F.col("end") - F.col("start"), "start", "range_id")))
-    return both.groupBy(key, "point_id", "line").agg(best.alias("range_id"))
+    laid = ranges.where("start <= end").select(F.col(key).alias("of"), F.explode(F.sequence("start", "end")).alias("at"), F.struct((F.col("end") - F.col("start")).alias("size"), "start", "range_id").alias("r"))
+    best = laid.groupBy("of", "at").agg(F.min("r").alias("r"))
+    return points.join(best, (F.col(key) == F.col("of")) & (F.col("line") == F.col("at")), "left").select(key, "point_id", "line", F.col("r.range_id").alias("range_id"))
 
 
 def resolved(calls: DataFrame, symbols: DataFrame) -> DataFrame:

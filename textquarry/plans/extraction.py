@@ -7,7 +7,19 @@ from pyspark.sql import functions as F
 
 from ..operators import code_chunks as cc
 from ..operators import extraction as ex
-from .catalogue import Tables, query
+from .catalogue import Tables
+from .catalogue import query as registered
+
+#: Parts by the file that they go to: one for each brand and fifty keys, so files grow in number, not in length.
+FILES = "(SELECT * REPLACE (concat(p_brand, '/f', p_partkey // 50) AS p_brand) FROM part)"
+
+
+def query(sql: str):
+    return registered(sql.replace("FROM part", f"FROM {FILES}"))
+
+
+def _parts(t: Tables) -> DataFrame:
+    return t.part.withColumn("p_brand", F.concat("p_brand", F.lit("/f"), F.floor(F.col("p_partkey") / 50).cast("string")))
 
 
 def _joined(rows: DataFrame, key: str, line: Column, order: str) -> DataFrame:
@@ -20,7 +32,7 @@ def _joined(rows: DataFrame, key: str, line: Column, order: str) -> DataFrame:
 CASE WHEN p_brand LIKE '%5' THEN 'dev' ELSE 'runtime' END AS kind FROM part""")
 def dependencies_requirements(t: Tables) -> DataFrame:
     spec = F.concat(F.lit("part-"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit("=="), F.col("p_size").cast("string"), F.lit(".0"))), F.lit("  # "), "p_type")
-    files = _joined(t.part, "p_brand", F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("-r other.txt\n# note\n"), spec)).otherwise(spec), "p_partkey")
+    files = _joined(_parts(t), "p_brand", F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("-r other.txt\n# note\n"), spec)).otherwise(spec), "p_partkey")
     dev = F.when(F.endswith("p_brand", F.lit("5")), "-dev").otherwise("")
     return ex.requirements(files.select(F.concat("p_brand", F.lit("/requirements"), dev, F.lit(".txt")).alias("path"), "text"))
 
@@ -30,7 +42,7 @@ def dependencies_npm(t: Tables) -> DataFrame:
     sections = list(ex.NPM_SECTIONS)
     item = F.struct(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("name"), F.concat(F.lit("^"), F.col("p_size").cast("string"), F.lit(".0")).alias("version"))
     maps = [F.map_from_entries(F.collect_list(F.when(F.col("p_partkey") % 4 == i, item))).alias(s) for i, s in enumerate(sections)]
-    return ex.npm_dependencies(t.part.groupBy("p_brand").agg(*maps).select(F.concat("p_brand", F.lit("/package.json")).alias("path"), F.to_json(F.struct(*sections)).alias("text")))
+    return ex.npm_dependencies(_parts(t).groupBy("p_brand").agg(*maps).select(F.concat("p_brand", F.lit("/package.json")).alias("path"), F.to_json(F.struct(*sections)).alias("text")))
 
 
 @query("""SELECT concat(p_brand, '/go.mod') AS path, 'go' AS ecosystem, concat('example.com/p', p_partkey) AS name, concat('v1.', p_size, '.0') AS version, CASE WHEN p_partkey % 3 = 0 THEN 'optional' ELSE 'runtime' END AS kind FROM part""")
@@ -38,7 +50,7 @@ def dependencies_go(t: Tables) -> DataFrame:
     """Every other brand lists its parts in one block, the rest line by line."""
     block = F.substring("p_brand", -1, 1).isin("1", "3", "5")
     spec = F.concat(F.lit("example.com/p"), F.col("p_partkey").cast("string"), F.lit(" v1."), F.col("p_size").cast("string"), F.lit(".0"), F.when(F.col("p_partkey") % 3 == 0, " // indirect").otherwise(""))
-    files = _joined(t.part, "p_brand", F.when(block, F.concat(F.lit("\t"), spec)).otherwise(F.concat(F.lit("require "), spec)), "p_partkey")
+    files = _joined(_parts(t), "p_brand", F.when(block, F.concat(F.lit("\t"), spec)).otherwise(F.concat(F.lit("require "), spec)), "p_partkey")
     text = F.when(block, F.concat(F.lit("module x\nrequire (\n"), "text", F.lit("\n)\n"))).otherwise(F.concat(F.lit("module x\n"), "text"))
     return ex.go_dependencies(files.select(F.concat("p_brand", F.lit("/go.mod")).alias("path"), text.alias("text")))
 
@@ -47,25 +59,25 @@ def dependencies_go(t: Tables) -> DataFrame:
 UNION ALL SELECT concat(p_brand, '/pyproject.toml'), 'pypi', concat('part', p_partkey), CONCAT('>=', p_size), 'runtime' FROM part""")
 def dependencies_toml(t: Tables) -> DataFrame:
     name, size = F.concat(F.lit("part"), F.col("p_partkey").cast("string")), F.col("p_size").cast("string")
-    cargo = _joined(t.part, "p_brand", F.when(F.col("p_partkey") % 2 == 0, F.concat(name, F.lit(' = "'), size, F.lit('.1"'))).otherwise(F.concat(name, F.lit(' = { path = "x" }'))), "p_partkey")
+    cargo = _joined(_parts(t), "p_brand", F.when(F.col("p_partkey") % 2 == 0, F.concat(name, F.lit(' = "'), size, F.lit('.1"'))).otherwise(F.concat(name, F.lit(' = { path = "x" }'))), "p_partkey")
     cargo = cargo.select(F.concat("p_brand", F.lit("/Cargo.toml")).alias("path"), F.concat(F.lit("[dependencies]\n"), "text").alias("text"))
-    project = _joined(t.part, "p_brand", F.concat(F.lit('  "'), name, F.lit(" >="), size, F.lit('",')), "p_partkey")
+    project = _joined(_parts(t), "p_brand", F.concat(F.lit('  "'), name, F.lit(" >="), size, F.lit('",')), "p_partkey")
     project = project.select(F.concat("p_brand", F.lit("/pyproject.toml")).alias("path"), F.concat(F.lit("[project]\ndependencies = [\n"), "text", F.lit("\n]\n")).alias("text"))
     return ex.toml_dependencies(cargo.unionByName(project))
 
 
 @query("""
-WITH n AS (SELECT n_nationkey AS k, lower(replace(n_name, ' ', '_')) AS name, concat('r', n_regionkey, '/routes.rb') AS path FROM nation),
+WITH n AS (SELECT p_partkey AS k, concat('m', p_partkey) AS name, concat(p_brand, '/routes.rb') AS path FROM part),
 a AS (SELECT * FROM (VALUES ('GET', '', 'index'), ('GET', '/new', 'new'), ('POST', '', 'create'), ('GET', '/:id', 'show'), ('GET', '/:id/edit', 'edit'), ('PATCH', '/:id', 'update'), ('DELETE', '/:id', 'destroy')) v(m, s, a)),
 b AS (SELECT * FROM (VALUES ('GET', '/new', 'new'), ('POST', '', 'create'), ('GET', '', 'show'), ('GET', '/edit', 'edit'), ('PATCH', '', 'update'), ('DELETE', '', 'destroy')) v(m, s, a))
 SELECT path, m AS method, concat('/', name, s) AS route, concat(name, '#', a) AS handler FROM n, a WHERE k % 3 = 0
 UNION ALL SELECT path, m, concat('/', name, s), concat(name, '#', a) FROM n, b WHERE k % 3 = 1
 UNION ALL SELECT path, 'POST', concat('/x/', name), concat(name, '#go') FROM n WHERE k % 3 = 2""")
 def rails_routes(t: Tables) -> DataFrame:
-    name = F.lower(F.replace("n_name", F.lit(" "), F.lit("_")))
+    name, kind = F.concat(F.lit("m"), F.col("p_partkey").cast("string")), F.col("p_partkey") % 3
     verb = F.concat(F.lit("  post '/x/"), name, F.lit("', to: '"), name, F.lit("#go'"))
-    line = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("  resources :"), name)).when(F.col("n_nationkey") % 3 == 1, F.concat(F.lit("  resource :"), name)).otherwise(verb)
-    files = _joined(t.nation, "n_regionkey", line, "n_nationkey").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit("/routes.rb")).alias("path"), "text")
+    line = F.when(kind == 0, F.concat(F.lit("  resources :"), name)).when(kind == 1, F.concat(F.lit("  resource :"), name)).otherwise(verb)
+    files = _joined(_parts(t), "p_brand", line, "p_partkey").select(F.concat("p_brand", F.lit("/routes.rb")).alias("path"), "text")
     return ex.rails_endpoints(files).select("path", "method", "route", "handler")
 
 
@@ -80,20 +92,21 @@ def next_routes(t: Tables) -> DataFrame:
     return ex.next_endpoints(t.supplier.select(path.alias("path"), text.alias("text"))).select("path", "method", "route", "line")
 
 
-@query("""SELECT concat('r', n_regionkey, '/openapi.json') AS path, 'GET' AS method, concat('/', n_nationkey, '/{id}') AS route, concat('get', n_nationkey) AS handler, CASE WHEN n_nationkey % 2 = 0 THEN 'security' END AS auth FROM nation""")
+@query("""SELECT concat(p_brand, '/openapi.json') AS path, 'GET' AS method, concat('/', p_partkey, '/{id}') AS route, concat('get', p_partkey) AS handler, CASE WHEN p_partkey % 2 = 0 THEN 'auth' END AS auth FROM part""")
 def openapi_routes(t: Tables) -> DataFrame:
-    security = F.when(F.col("n_nationkey") % 2 == 0, F.array(F.create_map(F.lit("key"), F.array().cast("array<string>"))))
-    op = F.struct(F.concat(F.lit("get"), F.col("n_nationkey").cast("string")).alias("operationId"), security.alias("security"))
-    item = F.struct(F.concat(F.lit("/"), F.col("n_nationkey").cast("string"), F.lit("/{id}")).alias("route"), F.struct(op.alias("get"), F.lit("text").alias("summary")).alias("item"))
-    files = t.nation.groupBy("n_regionkey").agg(F.to_json(F.struct(F.lit("3.0.0").alias("openapi"), F.map_from_entries(F.collect_list(item)).alias("paths"))).alias("text"))
-    return ex.openapi_endpoints(files.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit("/openapi.json")).alias("path"), "text")).select("path", "method", "route", "handler", "auth")
+    key = F.col("p_partkey").cast("string")
+    security = F.when(F.col("p_partkey") % 2 == 0, F.array(F.create_map(F.lit("key"), F.array().cast("array<string>"))))
+    op = F.struct(F.concat(F.lit("get"), key).alias("operationId"), security.alias("security"))
+    item = F.struct(F.concat(F.lit("/"), key, F.lit("/{id}")).alias("route"), F.struct(op.alias("get"), F.lit("text").alias("summary")).alias("item"))
+    files = _parts(t).groupBy("p_brand").agg(F.to_json(F.struct(F.lit("3.0.0").alias("openapi"), F.map_from_entries(F.collect_list(item)).alias("paths"))).alias("text"))
+    return ex.openapi_endpoints(files.select(F.concat("p_brand", F.lit("/openapi.json")).alias("path"), "text")).select("path", "method", "route", "handler", "auth")
 
 
 def _python(t: Tables) -> DataFrame:
     """A module per brand: an application, and for each part a route, a class with a method, a call."""
     k = F.col("p_partkey").cast("string")
     body = F.concat(F.lit("@app.get('/p"), k, F.lit("/{i}')\ndef get_"), k, F.lit("(i):\n    return make_"), k, F.lit("(i)\n\nclass Part"), k, F.lit(":\n    def _size(self):\n        return "), F.col("p_size").cast("string"), F.lit("\n"))
-    files = _joined(t.part, "p_brand", body, "p_partkey")
+    files = _joined(_parts(t), "p_brand", body, "p_partkey")
     return files.select(F.concat("p_brand", F.lit("/app.py")).alias("path"), F.concat(F.lit("from fastapi import APIRouter\nimport os\napp = APIRouter(prefix='/v1')\n"), "text").alias("text"))
 
 
