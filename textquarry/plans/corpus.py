@@ -138,7 +138,22 @@ def markdown_sections(t: Tables) -> DataFrame:
     return rows.select("doc_id", "section", "heading", "start_line", "end_line", F.sha2("content", 256).alias("content_hash"))
 
 
-@query()
+@query(r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> ''),
+p AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d),
+s AS (SELECT doc_id, i, CASE WHEN i % 4 = 0 THEN concat('## ', l[i]) ELSE l[i] END AS line, i // 4 AS section FROM p),
+g AS (SELECT doc_id, section, min(i) AS first, string_agg(line, chr(10) ORDER BY i) AS text FROM s GROUP BY doc_id, section),
+k AS (SELECT * FROM g WHERE regexp_replace(text, '[ \t\n\r\f\v]+', '', 'g') <> ''),
+w AS (SELECT *, unnest(range(0, CASE WHEN len(text) > 800 THEN CAST(greatest(0, ceil((len(text) - 1500) / 1300.0)) AS BIGINT) + 1 ELSE 1 END)) AS part FROM k),
+c AS (
+    SELECT doc_id, section, part, first, substr(text, 1, part * 1300) AS before,
+           CASE WHEN len(text) > 800 THEN substr(text, part * 1300 + 1, 1500) ELSE text END AS content, len(text) > 800 AS cut
+    FROM w),
+n AS (
+    SELECT *, first + len(before) - len(replace(before, chr(10), '')) AS start_line,
+           CASE WHEN cut THEN substr(content, 1, len(content) - 1) ELSE content END AS upto
+    FROM c)
+SELECT doc_id, section, part, start_line, start_line + len(upto) - len(replace(upto, chr(10), '')) AS end_line, sha256(content) AS content_hash FROM n""")
 def markdown_section_windows(t: Tables) -> DataFrame:
     """With the usual bound: sections too large for it come in windows."""
     rows = chunking.markdown_sections(_marked(t.documents), "doc_id", max_tokens=200)
@@ -177,7 +192,27 @@ def redact_known(t: Tables) -> DataFrame:
     return rows.select("doc_id", F.sha2("t", 256).alias("redacted_hash"), hits.cast("long").alias("n_hits"))
 
 
-@query()
+def _replaced(text: str, patterns: list[str]) -> str:
+    """Patterns replaced one after the other, as SQL."""
+    for pattern in patterns:
+        text = f"regexp_replace({text}, '{pattern}', '{fn.REDACTED}', 'g')"
+    return text
+
+
+@query(rf"""
+WITH t AS (
+    SELECT doc_id, concat(text, ' x ', rtrim(to_base64(unhex(sha256(text))), '='), chr(10), 'end') AS t FROM documents),
+k AS (SELECT doc_id, {_replaced("t", fn.KNOWN_SECRETS)} AS t FROM t),
+r AS (SELECT doc_id, regexp_split_to_array(t, '{fn.TOKEN_RUN}') AS gaps, regexp_extract_all(t, '{fn.TOKEN_RUN}') AS runs FROM k),
+u AS (SELECT doc_id, i, gaps[i] AS gap, coalesce(runs[i], '') AS run FROM (SELECT *, unnest(range(1, len(gaps) + 1)) AS i FROM r)),
+c AS (SELECT run, unnest(string_split(run, '')) AS c FROM (SELECT DISTINCT run FROM u WHERE run <> '')),
+n AS (SELECT run, c, count(*) AS n FROM c WHERE c <> '' GROUP BY run, c),
+e AS (SELECT run, -sum(n / len(run) * log2(n / len(run))) AS entropy FROM n GROUP BY run),
+h AS (
+    SELECT doc_id, i, concat(gap, CASE WHEN regexp_matches(run, '[0-9]') AND entropy >= {fn.MIN_ENTROPY} THEN '{fn.REDACTED}' ELSE run END) AS part
+    FROM u LEFT JOIN e USING (run)),
+d AS (SELECT doc_id, string_agg(part, '' ORDER BY i) AS t FROM h GROUP BY doc_id)
+SELECT doc_id, sha256(t) AS redacted_hash, contains(t, '{fn.REDACTED}') AS hit FROM d""")
 def redact_entropy(t: Tables) -> DataFrame:
     """Texts followed by the base64 of their digest, which only its entropy gives away."""
     token = F.regexp_replace(F.base64(F.unhex(F.sha2("text", 256))), "=", "")
@@ -204,7 +239,23 @@ def ancestor_directories(t: Tables) -> DataFrame:
     return t.documents.select(F.explode(fn.ancestors(path)).alias("dir")).groupBy("dir").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(rf"""
+WITH f AS (
+    SELECT {PATH} AS path, source AS dir, sha256(text) AS h, trim(regexp_extract(text, '{summaries.SENTENCE}', 1)) AS content
+    FROM documents WHERE {LOC} >= 5),
+fl AS (SELECT *, concat(path, ': ', content) AS line FROM f),
+d AS (
+    SELECT dir, sha256(string_agg(concat(h, chr(0)), '' ORDER BY h)) AS h,
+           trim(regexp_extract(coalesce(min_by(line, path) FILTER (regexp_matches(line, '{summaries.SENTENCE}')), ''), '{summaries.SENTENCE}', 1)) AS content
+    FROM fl GROUP BY dir),
+dl AS (SELECT *, concat(dir, ': ', content) AS line FROM d),
+r AS (
+    SELECT sha256(string_agg(concat(h, chr(0)), '' ORDER BY h)) AS h,
+           trim(regexp_extract(coalesce(min_by(line, dir) FILTER (regexp_matches(line, '{summaries.SENTENCE}')), ''), '{summaries.SENTENCE}', 1)) AS content
+    FROM dl HAVING count(*) > 0)
+SELECT 'file' AS scope, path AS target_path, content, h AS source_hash FROM f
+UNION ALL SELECT 'directory', dir, content, h FROM d
+UNION ALL SELECT 'repo', '.', content, h FROM r""")
 def directory_summaries(t: Tables) -> DataFrame:
     """File summaries, their directories' and the root's."""
     files = as_files(t.documents)

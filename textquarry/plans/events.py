@@ -38,7 +38,20 @@ def events_sessions(t: Tables) -> DataFrame:
     return _shown(stream.sessions(_events(t)))
 
 
-@query()
+@query("""
+WITH RECURSIVE t AS (SELECT DISTINCT user_id, ts FROM events),
+n AS (
+    SELECT user_id, ts, min(ts) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 MINUTE FOLLOWING AND UNBOUNDED FOLLOWING) AS following
+    FROM t),
+w AS (
+    SELECT user_id, min(ts) AS start FROM t GROUP BY user_id
+    UNION ALL
+    SELECT w.user_id, n.following FROM w JOIN n ON w.user_id = n.user_id AND w.start = n.ts WHERE n.following IS NOT NULL),
+s AS (SELECT user_id, start, coalesce(lead(start) OVER (PARTITION BY user_id ORDER BY start), TIMESTAMP 'infinity') AS ends FROM w),
+p AS (
+    SELECT e.event_id, e.user_id, row_number() OVER (PARTITION BY e.user_id, s.start ORDER BY e.ts, e.event_id) AS place
+    FROM events e JOIN s ON e.user_id = s.user_id AND e.ts >= s.start AND e.ts < s.ends)
+SELECT event_id, user_id, place, place <= 10 AS allowed FROM p""")
 def rate_limit(t: Tables) -> DataFrame:
     """Windows of a minute anchored at a user's first event, ten events each."""
     return stream.rate_limited(_events(t), limit=10)
