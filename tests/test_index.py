@@ -47,7 +47,7 @@ def test_contexts_follow_calls_both_ways(spark):
 def test_chunks_by_kind_of_file(spark):
     rows = {(r.path, r.symbol_kind, r.symbol_name, r.start_line): r for r in build(spark).chunks.collect()}
     assert {k for k in rows if k[0] == "README.md"} == {("README.md", "section", "Keys", 1), ("README.md", "section", "Use", 4)}
-    assert ("web/a.js", "module", None, 1) in rows
+    assert ("web/a.js", "function", "zebraLine", 1) in rows
     assert rows["src/auth.py", "function", "verify_password", 5].header == "# src/auth.py | imports: os, src"
 
 

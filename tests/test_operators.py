@@ -295,14 +295,14 @@ def test_answers_cite_the_files_they_come_from(spark, tmp_path):
 
 
 def test_python_chunks_partition_a_source(spark):
-    from textquarry.operators.code_chunks import python_chunks
+    from textquarry.operators.code_chunks import definition_chunks
 
     source = "import os\n\nX = 1\n\n@deco\ndef f(a):\n    def inner():\n        pass\n    return a\n\n\nclass C(B):\n    'doc'\n    y = 1\n\n    def m(self):\n        return 2\n\n    z = 3\n\nif X:\n    pass\n"
     long = "def g():\n" + "".join(f"    x{i} = {i}\n" for i in range(400))
     files = spark.createDataFrame([("a.py", source), ("b.py", long), ("bad.py", "def (\nx"), ("n.md", "no")], "path string, text string")
-    got = python_chunks(files, extraction.python_facts(files), max_tokens=100).collect()
+    got = definition_chunks(files, extraction.python_facts(files), max_tokens=100).collect()
     a = sorted((r.start_line, r.end_line, r.symbol_kind, r.symbol_name, r.parent_symbol) for r in got if r.path == "a.py")
-    assert a == [(1, 3, "module", None, None), (5, 9, "function", "f", None), (12, 14, "class", "C", None), (16, 17, "method", "m", "C"), (21, 22, "module", None, None)]
+    assert a == [(1, 3, "module", None, None), (5, 9, "function", "f", None), (12, 14, "class", "C", None), (16, 17, "function", "m", "C"), (21, 22, "module", None, None)]
     for r in got:
         if r.path == "a.py":
             assert r.content == "\n".join(source.split("\n")[r.start_line - 1 : r.end_line])

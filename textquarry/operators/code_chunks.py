@@ -1,6 +1,6 @@
-"""Chunks of Python sources by definition, from the facts of one parse and the lines of the file.
+"""Chunks of sources by definition, from the facts of one parse and the lines of the file.
 
-A function or method is a chunk, decorators included; a class gives a shell, its lines before the first
+A function or method is a chunk, decorators included; a class or the like gives a shell, its lines before the first
 definition in it; what stands at the top level between definitions gives ``module`` chunks.  Blank ends are
 cut and blank chunks dropped.  A chunk above ``max_tokens`` comes in windows.  Files that do not parse have
 no facts and are cut into plain windows.
@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from ..functions.text import line_count
 from ..sources.files import detect_language, lines_of
 from .chunking import MAX_TOKENS, window_chunks
+from .source_facts import CONTAINERS, SCANNED
 from .structured import smallest_enclosing
 
+#: Languages whose sources are cut by definitions.
+DEFINED = ["python", *SCANNED]
 COLUMNS = ["path", "symbol_name", "symbol_kind", "parent_symbol", "start_line", "end_line", "content"]
 
 
@@ -29,16 +32,19 @@ def _pieces(lines: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("start_line", start.cast("long")).withColumn("end_line", (start + line_count(F.col("content")) - 1).cast("long")).drop("first", "body")
 
 
-def python_chunks(files: DataFrame, facts: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """``path, symbol_name, symbol_kind, parent_symbol, start_line, end_line, content`` of all Python files."""
-    python = files.where(detect_language(F.col("path")) == "python")
+def definition_chunks(files: DataFrame, facts: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """``path, symbol_name, symbol_kind, parent_symbol, start_line, end_line, content`` of all sources."""
+    sources = files.where(detect_language(F.col("path")).isin(DEFINED))
     symbols = facts.where("fact = 'symbol'").select("path", "kind", "name", "parent", "start", "end").withColumn("range_id", F.xxhash64("path", "start", "end", "name"))
-    lines = lines_of(python.join(symbols.select("path").distinct(), "path", "left_semi"), "path")
+    lines = lines_of(sources.join(symbols.select("path").distinct(), "path", "left_semi"), "path")
     owned = smallest_enclosing(lines.select("path", F.col("line").alias("point_id"), "line"), symbols, "path").select("path", "line", "range_id")
-    inner = symbols.where("parent IS NOT NULL").groupBy("path", "parent").agg(F.min("start").alias("inner"))
-    known = symbols.join(inner.select(F.col("path").alias("p"), F.col("parent").alias("n"), "inner"), (F.col("path") == F.col("p")) & (F.col("name") == F.col("n")) & (F.col("kind") == "class"), "left").drop("p", "n", "path")
+    # Blocks of one file may share a name: what lies in a block is its own.
+    child = symbols.select(F.col("path").alias("p"), F.col("parent").alias("n"), F.col("start").alias("at"))
+    holds = (F.col("path") == F.col("p")) & (F.col("name") == F.col("n")) & F.col("at").between(F.col("start"), F.col("end"))
+    inner = symbols.where(F.col("kind").isin(CONTAINERS)).join(child, holds).groupBy("range_id").agg(F.min("at").alias("inner"))
+    known = symbols.join(inner, "range_id", "left").drop("path")
     rows = lines.join(owned, ["path", "line"]).join(known, "range_id", "left")
-    defined = rows.where("range_id IS NOT NULL AND (kind <> 'class' OR inner IS NULL OR line < inner)")
+    defined = rows.where("range_id IS NOT NULL AND (inner IS NULL OR line < inner)")
     named = _pieces(defined, "path", "range_id", "name", "kind", "parent").select("path", F.col("name").alias("symbol_name"), F.col("kind").alias("symbol_kind"), F.col("parent").alias("parent_symbol"), "start_line", "end_line", "content")
     rest = rows.where("range_id IS NULL").withColumn("island", F.col("line") - F.row_number().over(Window.partitionBy("path").orderBy("line")))
     none = F.lit(None).cast("string")
@@ -48,6 +54,6 @@ def python_chunks(files: DataFrame, facts: DataFrame, max_tokens: int = MAX_TOKE
     large = whole.where(F.length("content") > 4 * max_tokens).withColumnsRenamed({"content": "text", "start_line": "top"})
     cut = window_chunks(large, "path", "symbol_name", "symbol_kind", "parent_symbol", "top", size=4 * max_tokens)
     cut = cut.withColumn("start_line", F.col("start_line") + F.col("top") - 1).withColumn("end_line", F.col("end_line") + F.col("top") - 1)
-    plain = window_chunks(python.join(symbols.select("path").distinct(), "path", "left_anti"), "path")
+    plain = window_chunks(sources.join(symbols.select("path").distinct(), "path", "left_anti"), "path")
     plain = plain.select("path", none.alias("symbol_name"), F.lit("module").alias("symbol_kind"), none.alias("parent_symbol"), "start_line", "end_line", "content")
     return small.unionByName(cut.select(*COLUMNS)).unionByName(plain)

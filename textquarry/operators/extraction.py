@@ -280,6 +280,9 @@ def spring_endpoints(files: DataFrame) -> DataFrame:
     return _annotated(files, ["java"], "spring", prefix, "@(Get|Post|Put|Patch|Delete|Request)Mapping" + quoted, r"@(PreAuthorize|Secured|RolesAllowed)\b", method, slash=False)
 
 
+#: Columns of facts: what a symbol's, a call's and an endpoint's rows hold.
+FACTS = {"path": "string", "fact": "string", "kind": "string", "name": "string", "parent": "string", "start": "long", "end": "long", "extra": "string", "flag": "boolean", "doc": "string"}
+FACT_TYPES = [pa.string()] * 5 + [pa.int64()] * 2 + [pa.string(), pa.bool_(), pa.string()]
 VERBS = {"get", "post", "put", "patch", "delete", "options", "head"}
 
 
@@ -301,7 +304,7 @@ def _python_facts(text: str) -> Iterator[tuple]:
             scope = inside
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) and inside is None:
                 start = min([child.lineno, *(d.lineno for d in child.decorator_list)])
-                kind = "class" if isinstance(child, ast.ClassDef) else "method" if parent else "function"
+                kind = "class" if isinstance(child, ast.ClassDef) else "function"
                 yield ("symbol", kind, child.name, parent, start, child.end_lineno, source[child.lineno - 1].strip(), not child.name.startswith("_"), ast.get_docstring(child))
                 yield from routes(child)
                 if kind == "class":
@@ -333,9 +336,6 @@ def _python_facts(text: str) -> Iterator[tuple]:
 
 def python_facts(files: DataFrame) -> DataFrame:
     """All facts of Python sources in one parse; a source that does not parse has none."""
-    names = ["path", "fact", "kind", "name", "parent", "start", "end", "extra", "flag", "doc"]
-    types = [pa.string()] * 5 + [pa.int64()] * 2 + [pa.string(), pa.bool_(), pa.string()]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -344,17 +344,17 @@ def python_facts(files: DataFrame) -> DataFrame:
                     rows += [(path, *fact) for fact in _python_facts(text)]
                 except (SyntaxError, ValueError, RecursionError):
                     continue
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 10, types)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(FACT_TYPES), FACT_TYPES)], list(FACTS))
 
     rows = files.where(detect_language(F.col("path")) == "python").select("path", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "path string, fact string, kind string, name string, parent string, start long, `end` long, extra string, flag boolean, doc string")
+    return rows.mapInArrow(run, ", ".join(f"`{name}` {type_}" for name, type_ in FACTS.items()))
 
 
-def python_symbols(facts: DataFrame) -> DataFrame:
+def symbols(facts: DataFrame) -> DataFrame:
     return facts.where("fact = 'symbol'").select("path", "name", "kind", F.col("parent").alias("parent_symbol"), F.col("extra").alias("signature"), F.col("start").alias("start_line"), F.col("end").alias("end_line"), F.col("flag").alias("is_exported"), redact_secrets(F.col("doc")).alias("docstring"))
 
 
-def python_calls(facts: DataFrame) -> DataFrame:
+def calls(facts: DataFrame) -> DataFrame:
     return facts.where("fact = 'call'").select("path", F.col("name").alias("target_name"), F.col("parent").alias("caller"), F.col("start").alias("line"))
 
 

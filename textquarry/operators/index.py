@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fn
 from ..sources.files import detect_language
 from ..sources.scratch import written
-from . import answers, chunking, code_chunks, extraction, graph, incremental, retrieval, structured, summaries
+from . import answers, chunking, code_chunks, extraction, graph, incremental, retrieval, source_facts, structured, summaries
 
 MAX_CHUNKS = 50_000
 #: Lines of a listed answer; its heading gives the number of all.
@@ -34,7 +34,7 @@ class Index:
 
     ``files`` has ``path, text, content_hash, loc``; ``chunks`` has ``chunk_id``, the columns of ``CHUNK``, ``header``
     and ``tokens``; ``vectors`` has ``id, v``; ``posted`` and ``stats`` are those of ``retrieval``; ``facts`` are those
-    of Python sources; ``edges`` has ``src, dst, kind, ord`` over chunks.
+    of sources in all languages that are known; ``edges`` has ``src, dst, kind, ord`` over chunks.
     """
 
     files: DataFrame
@@ -49,7 +49,7 @@ class Index:
     def build(cls, files: DataFrame, redact: Callable[[Column], Column] | None = fn.redact_secrets) -> Index:
         """Secrets are redacted in whole texts before anything is cut, so none is split over two chunks."""
         clean = files if redact is None else files.withColumn("text", redact(F.col("text")))
-        facts = written(extraction.python_facts(clean), "facts")
+        facts = written(source_facts.source_facts(clean), "facts")
         chunks = written(chunks_of(clean, facts), "chunks")
         return cls._over(files, chunks, vectors_of(chunks), facts)
 
@@ -63,8 +63,8 @@ class Index:
         chunks, and references are resolved anew over all files, so none dangles."""
         status = incremental.diff(self.files, files)
         clean = files if redact is None else files.withColumn("text", redact(F.col("text")))
-        facts = written(incremental.refreshed(self.facts, clean, status, extraction.python_facts), "facts")
-        chunks = written(incremental.refreshed(self.chunks, clean, status, lambda f: chunks_of(f, extraction.python_facts(f))), "chunks")
+        facts = written(incremental.refreshed(self.facts, clean, status, source_facts.source_facts), "facts")
+        chunks = written(incremental.refreshed(self.chunks, clean, status, lambda f: chunks_of(f, source_facts.source_facts(f))), "chunks")
         kept = self.vectors.join(chunks.select(F.col("chunk_id").alias("id")), "id", "left_semi")
         fresh = vectors_of(chunks.join(self.vectors.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti"))
         return self._over(files, chunks, kept.unionByName(fresh), facts)
@@ -133,7 +133,7 @@ class Index:
     def definitions(self, questions: DataFrame) -> DataFrame:
         """``q, text``: where the first name of a question that is defined is defined; other questions have no row."""
         names = questions.select("q", F.posexplode(fn.candidate_names(F.col("question"))).alias("priority", "name"))
-        found = structured.located(names, extraction.python_symbols(self.facts))
+        found = structured.located(names, extraction.symbols(self.facts))
         line = F.concat(F.format_string("`%s` (%s) is defined in [%s:%d-%d]", "name", "kind", "path", "start_line", "end_line"), F.coalesce(F.concat(F.lit(" — "), F.split("docstring", "\n")[0]), F.lit("")))
         item = F.struct((~F.col("is_exported")).alias("hidden"), "path", "start_line", line.alias("line"))
         return found.groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["line"]), "\n").alias("text"))
@@ -220,15 +220,15 @@ def header_imports(files: DataFrame) -> DataFrame:
 
 
 def chunks_of(files: DataFrame, facts: DataFrame) -> DataFrame:
-    """Chunks by what a file is: markdown by sections, Python by definitions, anything else by windows."""
+    """Chunks by what a file is: markdown by sections, sources by definitions, anything else by windows."""
     none = F.lit(None).cast("string")
     language = F.coalesce(detect_language(F.col("path")), F.lit(""))
     sections = chunking.markdown_sections(files.where(language == "markdown").select("path", "text"), "path")
     # What stands after a text's last break is no line of the file.
     last = F.when(F.endswith("content", F.lit("\n")) & (F.col("end_line") > F.col("start_line")), F.col("end_line") - 1).otherwise(F.col("end_line"))
     sections = sections.select("path", F.col("heading").alias("symbol_name"), F.lit("section").alias("symbol_kind"), none.alias("parent_symbol"), "start_line", last.alias("end_line"), "content")
-    code = code_chunks.python_chunks(files.where(language == "python").select("path", "text"), facts)
-    windows = chunking.window_chunks(files.where(~language.isin("markdown", "python")), "path")
+    code = code_chunks.definition_chunks(files.where(language.isin(code_chunks.DEFINED)).select("path", "text"), facts)
+    windows = chunking.window_chunks(files.where(~language.isin("markdown", *code_chunks.DEFINED)), "path")
     windows = windows.select("path", none.alias("symbol_name"), F.lit("module").alias("symbol_kind"), none.alias("parent_symbol"), "start_line", "end_line", "content")
     rows = sections.select(*CHUNK).unionByName(code.select(*CHUNK)).unionByName(windows)
     rows = rows.join(header_imports(files), "path", "left")
@@ -241,12 +241,12 @@ def edges_of(chunks: DataFrame, facts: DataFrame) -> DataFrame:
     """``src, dst, kind, ord``: to the head of a chunk's file (0), to what it calls (1), to what calls it (2)."""
     head = chunks.where("symbol_kind = 'module'").groupBy(F.col("path").alias("of")).agg(F.min(F.struct("start_line", "chunk_id"))["chunk_id"].alias("dst"))
     heads = chunks.join(head, F.col("path") == F.col("of")).where("chunk_id <> dst").select(F.col("chunk_id").alias("src"), "dst", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("ord"))
-    symbols = extraction.python_symbols(facts)
+    symbols = extraction.symbols(facts)
     # A symbol's chunk is the shortest of its name in its file.
     owner = chunks.where("symbol_name IS NOT NULL").groupBy(F.col("path").alias("p"), F.col("symbol_name").alias("s")).agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("size"), "start_line", "chunk_id"))["chunk_id"].alias("chunk"))
     named = symbols.select(F.col("path").alias("file"), "name", F.xxhash64("path", "name", "start_line").alias("symbol_id"))
     placed = named.join(owner, (F.col("file") == F.col("p")) & (F.col("name") == F.col("s"))).select("symbol_id", F.col("chunk").alias("dst"))
-    calls = extraction.python_calls(facts).where("caller IS NOT NULL").select(F.col("path").alias("file"), F.col("target_name").alias("name"), "caller", "line")
+    calls = extraction.calls(facts).where("caller IS NOT NULL").select(F.col("path").alias("file"), F.col("target_name").alias("name"), "caller", "line")
     found = structured.resolved(calls, named).where("resolved IS NOT NULL")
     found = found.join(placed, F.col("resolved") == F.col("symbol_id"))
     callers = owner.select(F.col("p").alias("from_file"), F.col("s").alias("from_name"), F.col("chunk").alias("src"))

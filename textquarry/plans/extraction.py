@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import code_chunks as cc
 from ..operators import extraction as ex
+from ..operators import source_facts as sf
 from .catalogue import Tables
 from .catalogue import query as registered
 
@@ -111,15 +112,15 @@ def _python(t: Tables) -> DataFrame:
 
 
 @query("""SELECT concat(p_brand, '/app.py') AS path, concat('get_', p_partkey) AS name, 'function' AS kind, CAST(NULL AS VARCHAR) AS parent_symbol, true AS is_exported FROM part
-UNION ALL SELECT concat(p_brand, '/app.py'), concat('Part', p_partkey), 'class', NULL, true FROM part UNION ALL SELECT concat(p_brand, '/app.py'), '_size', 'method', concat('Part', p_partkey), false FROM part""")
+UNION ALL SELECT concat(p_brand, '/app.py'), concat('Part', p_partkey), 'class', NULL, true FROM part UNION ALL SELECT concat(p_brand, '/app.py'), '_size', 'function', concat('Part', p_partkey), false FROM part""")
 def python_symbols(t: Tables) -> DataFrame:
-    return ex.python_symbols(ex.python_facts(_python(t))).select("path", "name", "kind", "parent_symbol", "is_exported")
+    return ex.symbols(ex.python_facts(_python(t))).select("path", "name", "kind", "parent_symbol", "is_exported")
 
 
 @query("""SELECT concat(p_brand, '/app.py') AS path, concat('make_', p_partkey) AS target_name, concat('get_', p_partkey) AS caller FROM part UNION ALL SELECT concat(p_brand, '/app.py'), 'get', NULL FROM part
 UNION ALL SELECT DISTINCT concat(p_brand, '/app.py'), 'APIRouter', NULL FROM part""")
 def python_calls(t: Tables) -> DataFrame:
-    return ex.python_calls(ex.python_facts(_python(t))).select("path", "target_name", F.when(F.col("target_name") != "get", F.col("caller")).alias("caller"))
+    return ex.calls(ex.python_facts(_python(t))).select("path", "target_name", F.when(F.col("target_name") != "get", F.col("caller")).alias("caller"))
 
 
 @query("SELECT concat(p_brand, '/app.py') AS path, 'fastapi/flask' AS framework, 'GET' AS method, concat('/v1/p', p_partkey, '/{i}') AS route, concat('get_', p_partkey) AS handler FROM part")
@@ -135,7 +136,62 @@ def import_edges(t: Tables) -> DataFrame:
 @query("""
 WITH p AS (SELECT p_partkey AS k, concat(p_brand, '/app.py') AS path, 4 + 8 * (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) AS s FROM part)
 SELECT path, concat('get_', k) AS symbol_name, 'function' AS symbol_kind, CAST(NULL AS VARCHAR) AS parent_symbol, s AS start_line, s + 2 AS end_line FROM p UNION ALL SELECT path, concat('Part', k), 'class', NULL, s + 4, s + 4 FROM p
-UNION ALL SELECT path, '_size', 'method', concat('Part', k), s + 5, s + 6 FROM p UNION ALL SELECT DISTINCT path, NULL, 'module', NULL, 1, 3 FROM p""")
+UNION ALL SELECT path, '_size', 'function', concat('Part', k), s + 5, s + 6 FROM p UNION ALL SELECT DISTINCT path, NULL, 'module', NULL, 1, 3 FROM p""")
 def python_chunks(t: Tables) -> DataFrame:
     files = _python(t)
-    return cc.python_chunks(files, ex.python_facts(files)).select("path", "symbol_name", "symbol_kind", "parent_symbol", "start_line", "end_line")
+    return cc.definition_chunks(files, ex.python_facts(files)).select("path", "symbol_name", "symbol_kind", "parent_symbol", "start_line", "end_line")
+
+
+#: A source in each language; ``K`` stands for a part's key.
+SOURCES = {
+    "ts": "export class CK {\n  // function no() {\n  run(a) {\n    return helpK(a)\n  }\n}\nfunction helpK(a) { return `}` }\n",
+    "go": "package p\n\ntype TK struct {\n\tn int\n}\n\nfunc (t *TK) RunK() int {\n\treturn helpK(t.n)\n}\n",
+    "java": "package p;\n@Service\npublic class CK {\n    public int run(String a) {\n        return this.helpK(\"}\");\n    }\n    abstract void later();\n}\n",
+    "rs": "pub struct SK;\nimpl SK {\n    pub fn run(&self) -> i32 { helpK('{') }\n}\n",
+    "rb": "class CK\n  def run(a)\n    a.each do |x|\n      helpK(x)\n    end\n  end\nend\n",
+}
+
+
+def _sources(t: Tables) -> DataFrame:
+    """A file for each part, in one language after the other."""
+    kinds, key = list(SOURCES.items()), F.col("p_partkey").cast("string")
+    choice = (F.col("p_partkey") % len(kinds)).cast("int")
+    ending, text = (F.element_at(F.array(*[F.lit(k[i]) for k in kinds]), choice + 1) for i in (0, 1))
+    return t.part.select(F.concat(F.lit("src/p"), key, F.lit("."), ending).alias("path"), F.replace(text, F.lit("K"), key).alias("text"))
+
+
+@registered("""
+WITH v AS (SELECT * FROM (VALUES
+(0, 'ts', 'CK', 'class', NULL, 1, 6, true), (0, 'ts', 'run', 'method', 'CK', 3, 5, true), (0, 'ts', 'helpK', 'function', NULL, 7, 7, false),
+(1, 'go', 'TK', 'type', NULL, 3, 5, true), (1, 'go', 'RunK', 'method', NULL, 7, 9, true),
+(2, 'java', 'CK', 'class', NULL, 2, 8, true), (2, 'java', 'run', 'method', 'CK', 4, 6, true), (2, 'java', 'later', 'method', 'CK', 7, 7, false),
+(3, 'rs', 'SK', 'struct', NULL, 1, 1, true), (3, 'rs', 'SK', 'impl', NULL, 2, 4, false), (3, 'rs', 'run', 'function', 'SK', 3, 3, true),
+(4, 'rb', 'CK', 'class', NULL, 1, 7, true), (4, 'rb', 'run', 'method', 'CK', 2, 6, true)) v(l, ending, name, kind, parent, s, e, shown))
+SELECT concat('src/p', p_partkey, '.', ending) AS path, replace(name, 'K', p_partkey::VARCHAR) AS name, kind, replace(parent, 'K', p_partkey::VARCHAR) AS parent_symbol,
+       s AS start_line, e AS end_line, shown AS is_exported
+FROM part JOIN v ON p_partkey % 5 = l""")
+def source_symbols(t: Tables) -> DataFrame:
+    return ex.symbols(sf.source_facts(_sources(t))).select("path", "name", "kind", "parent_symbol", "start_line", "end_line", "is_exported")
+
+
+@registered("""
+WITH v AS (SELECT * FROM (VALUES (0, 'ts', 'helpK', 'run', 4), (1, 'go', 'helpK', 'RunK', 8), (2, 'java', 'helpK', 'run', 5), (3, 'rs', 'helpK', 'run', 3), (4, 'rb', 'each', 'run', 3), (4, 'rb', 'helpK', 'run', 4)) v(l, ending, name, caller, line))
+SELECT concat('src/p', p_partkey, '.', ending) AS path, replace(name, 'K', p_partkey::VARCHAR) AS target_name, replace(caller, 'K', p_partkey::VARCHAR) AS caller, line
+FROM part JOIN v ON p_partkey % 5 = l""")
+def source_calls(t: Tables) -> DataFrame:
+    return ex.calls(sf.source_facts(_sources(t)))
+
+
+@registered("""
+WITH v AS (SELECT * FROM (VALUES
+(0, 'ts', 'CK', 'class', NULL, 1, 2), (0, 'ts', 'run', 'method', 'CK', 3, 5), (0, 'ts', 'helpK', 'function', NULL, 7, 7),
+(1, 'go', NULL, 'module', NULL, 1, 1), (1, 'go', 'TK', 'type', NULL, 3, 5), (1, 'go', 'RunK', 'method', NULL, 7, 9),
+(2, 'java', NULL, 'module', NULL, 1, 1), (2, 'java', 'CK', 'class', NULL, 2, 3), (2, 'java', 'run', 'method', 'CK', 4, 6), (2, 'java', 'later', 'method', 'CK', 7, 7),
+(3, 'rs', 'SK', 'struct', NULL, 1, 1), (3, 'rs', 'SK', 'impl', NULL, 2, 2), (3, 'rs', 'run', 'function', 'SK', 3, 3),
+(4, 'rb', 'CK', 'class', NULL, 1, 1), (4, 'rb', 'run', 'method', 'CK', 2, 6)) v(l, ending, name, kind, parent, s, e))
+SELECT concat('src/p', p_partkey, '.', ending) AS path, replace(name, 'K', p_partkey::VARCHAR) AS symbol_name, kind AS symbol_kind, replace(parent, 'K', p_partkey::VARCHAR) AS parent_symbol,
+       s AS start_line, e AS end_line
+FROM part JOIN v ON p_partkey % 5 = l""")
+def source_chunks(t: Tables) -> DataFrame:
+    files = _sources(t)
+    return cc.definition_chunks(files, sf.source_facts(files)).select("path", "symbol_name", "symbol_kind", "parent_symbol", "start_line", "end_line")
