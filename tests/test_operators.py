@@ -307,10 +307,43 @@ def test_python_chunks_partition_a_source(spark):
         if r.path == "a.py":
             assert r.content == "\n".join(source.split("\n")[r.start_line - 1 : r.end_line])
     b = sorted((r.start_line, r.end_line) for r in got if r.path == "b.py")
-    assert len(b) > 5 and all(n[0] <= p[1] + 1 for p, n in zip(b, b[1:])) and b[-1][1] == 401
+    assert len(b) > 5 and all(n[0] == p[1] for p, n in zip(b, b[1:])) and b[-1][1] == 401
     assert [r.symbol_kind for r in got if r.path == "bad.py"] == ["module"]
 
 
+def test_large_functions_are_packed_by_statements(spark):
+    from textquarry.operators.code_chunks import definition_chunks
+
+    def packs(spans, most):
+        """Greedy windows with one statement of overlap; ``spans`` has (first line, last line, size)."""
+        windows, i = [], 0
+        while True:
+            j, size = i, 0
+            while j < len(spans) and (j == i or size + spans[j][2] <= most):
+                size, j = size + spans[j][2], j + 1
+            windows.append((spans[i][0], spans[j - 1][1]))
+            if j == len(spans):
+                return windows
+            i = max(j - 1, i + 1)
+
+    body = ["    x = 1", "    # told apart", "", "    if x:", "        y = 2", "    z = [", *["        11111111," for _ in range(9)], "    ]", "    a = 1; b = 2", "    c = 3", "    d = '" + "x" * 30 + "'", "    e = '" + "y" * 30 + "'", "    return x"]
+    head = ["@deco", "def f(a,", "      b):"]
+    lines = ["import os", "", *head, *body]
+    files = spark.createDataFrame([("a.py", "\n".join(lines) + "\n\n\ny = 2\n"), ("b.py", "class K:\n" + "\n".join("    " + x for x in body[:5]) + "\n    def f(self):\n        return 1\n")], "path string, text string")
+    # Statements of ``f`` by their lines, each with what stands above it; the function begins at line 3.
+    ends = [6, 10, 21, 22, 23, 24, 25, 26]
+    spans = [(a, b, sum(len(x) + 1 for x in lines[a - 1 : b])) for a, b in zip([3, *(e + 1 for e in ends)], ends)]
+    for tokens in (5, 15, 30, 60):
+        got = [r for r in definition_chunks(files, extraction.python_facts(files), max_tokens=tokens).collect() if r.symbol_name == "f" and r.path == "a.py"]
+        want = []
+        for a, b in packs(spans, 4 * tokens):
+            while not lines[a - 1].strip():
+                a += 1
+            want.append((a, b))
+        assert sorted((r.start_line, r.end_line) for r in got) == sorted(want) and len(want) > 1
+        assert all(r.content == "\n".join(lines[r.start_line - 1 : r.end_line]) for r in got)
+
+
 def test_index_follows_arriving_files(spark, tmp_path):
     """Each micro-batch of new files is merged into the table of files by path."""
     from textquarry.plans.corpus import as_files

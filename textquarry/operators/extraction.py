@@ -287,7 +287,8 @@ VERBS = {"get", "post", "put", "patch", "delete", "options", "head"}
 
 
 def _python_facts(text: str) -> Iterator[tuple]:
-    """``fact, kind, name, parent, start, end, extra, exported, docstring`` of one source: symbols, calls, endpoints."""
+    """``fact, kind, name, parent, start, end, extra, exported, docstring`` of one source: symbols, calls, endpoints, and the
+    statements that make up a function's body."""
     tree = ast.parse(text)
     source = text.split("\n")
     prefixes: dict[str, str] = {}
@@ -310,6 +311,8 @@ def _python_facts(text: str) -> Iterator[tuple]:
                 if kind == "class":
                     yield from walk(child, child.name, None)
                     continue
+                for part in child.body:
+                    yield ("statement", None, child.name, parent, part.lineno, part.end_lineno, None, None, None)
                 scope = child.name
             if isinstance(child, ast.Call) and named(child.func):
                 yield ("call", None, named(child.func), inside, child.lineno, child.end_lineno, None, None, None)
