@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CITATION, is_follow_up
+from ..functions.text import CITATION, cost, is_follow_up
 
 
 def recent_turns(turns: DataFrame, n: int = 3) -> DataFrame:
@@ -65,6 +65,14 @@ def events(answers: DataFrame) -> DataFrame:
     return answers.select("q", F.posexplode(steps).alias("seq", "e")).select("q", "seq", "e.event", "e.data")
 
 
+def usage(turns: DataFrame, *keys: str) -> DataFrame:
+    """Per answer the calls of a model, their tokens and what these cost; ``turns`` has ``input_tokens`` and
+    ``output_tokens``, null where a call reported none."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    rows = turns.groupBy(*keys).agg(F.count(F.lit(1)).alias("calls"), total("input_tokens"), total("output_tokens"))
+    return rows.withColumn("cost", cost(F.col("input_tokens"), F.col("output_tokens")))
+
+
 def listed_answer(rows: DataFrame, key: str, title: Column, line: Column, order: list[str]) -> DataFrame:
     """A markdown answer per ``key``: a title, then a line per row in order."""
     items = F.array_sort(F.collect_list(F.struct(*order, line.alias("line"))))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import line_count
 from ..sources.files import detect_language, lines_of
+from ..sources.scratch import written
 from .chunking import MAX_TOKENS, window_chunks
 from .source_facts import CONTAINERS, SCANNED
 from .structured import smallest_enclosing
@@ -104,7 +105,7 @@ def definition_chunks(files: DataFrame, facts: DataFrame, max_tokens: int = MAX_
     rest = rows.where("range_id IS NULL").withColumn("island", F.col("line") - F.row_number().over(Window.partitionBy("path").orderBy("line")))
     none = F.lit(None).cast("string")
     module = _pieces(rest, "path", "island").select("path", F.lit(None).cast("long").alias("range_id"), none.alias("symbol_name"), F.lit("module").alias("symbol_kind"), none.alias("parent_symbol"), "start_line", "end_line", "content")
-    whole = named.unionByName(module)
+    whole = written(named.unionByName(module), "pieces")  # read several times below
     most = 4 * max_tokens
     small = whole.where(F.length("content") <= most).select(*COLUMNS)
     large = _with_statements(whole.where(F.length("content") > most), facts)

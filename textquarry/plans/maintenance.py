@@ -37,13 +37,13 @@ def stale_summaries(t: Tables) -> DataFrame:
     return summaries.stale(make(new), make(old)).select("scope", "target_path", "source_hash")
 
 
-@query("SELECT lang, sha256(substr(text, 1, 6000)) AS head_hash, count(*) AS n FROM documents WHERE text <> '' GROUP BY ALL")
+@query("SELECT lang, sha256(text) AS text_hash, count(*) AS n FROM documents WHERE text <> '' GROUP BY ALL")
 def reassembled_files(t: Tables) -> DataFrame:
-    """Texts put together again from chunks without overlap, in order, up to what a summary reads."""
+    """Whole texts put together again from chunks without overlap, in order."""
     chunks = chunking.window_chunks(t.documents, "doc_id", "lang", size=500, overlap=0)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "content"))), lambda x: x["content"]), "")
-    files = chunks.groupBy("doc_id", "lang").agg(F.substring(body, 1, summaries.MAX_CHARS).alias("head"))
-    return files.groupBy("lang", F.sha2("head", 256).alias("head_hash")).agg(F.count(F.lit(1)).alias("n"))
+    files = chunks.groupBy("doc_id", "lang").agg(body.alias("text"))
+    return files.groupBy("lang", F.sha2("text", 256).alias("text_hash")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""

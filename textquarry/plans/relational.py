@@ -107,6 +107,18 @@ def recent_turns(t: Tables) -> DataFrame:
     return rows.select("session", "place", "turn", F.sha2("question", 256).alias("question_hash"), F.sha2("answer", 256).alias("answer_hash"), "follow_up")
 
 
+@query("""
+WITH p AS (SELECT u.conv_id AS session, CASE WHEN u.text IS NOT NULL THEN greatest(1, length(u.text) // 4) END AS i, CASE WHEN a.text IS NOT NULL THEN greatest(1, length(a.text) // 4) END AS o FROM conversations u
+LEFT JOIN conversations a ON a.role = 'assistant' AND a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user'),
+s AS (SELECT session, count(*) AS calls, CAST(coalesce(sum(i), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(o), 0) AS BIGINT) AS output_tokens FROM p GROUP BY session)
+SELECT session, calls, input_tokens, output_tokens, round(input_tokens / 1000 * 0.003 + output_tokens / 1000 * 0.015, 9) AS cost FROM s""")
+def answer_usage(t: Tables) -> DataFrame:
+    """Tokens that the turns of each conversation take and give, and their cost."""
+    size = lambda c: F.when(F.col(c).isNotNull(), fn.token_estimate(F.col(c)))
+    rows = answers.usage(_turns(t).select("session", size("question").alias("input_tokens"), size("answer").alias("output_tokens")), "session")
+    return rows.withColumn("cost", F.round("cost", 9))
+
+
 CASES = ["where is %s", "how does %s work", "which npm packages use %s", "trace the route of %s", "what does this repo do with %s", "list all endpoints of %s", "%s", "how is %s implemented"]
 CASE_SQL = "CASE (conv_id + turn) % 8 " + " ".join("WHEN {} THEN concat('{}', text, '{}')".format(i, *c.split("%s")) for i, c in enumerate(CASES)) + " END"
 
