@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, mixing, pu_quality, quality_rules, secrets, simhash, substring_dedup, warc
+from . import bpe, exact_dedup, line_dedup, mixing, pu_quality, quality_rules, secrets, simhash, spelling, substring_dedup, warc
 from .common import documents
 
 
@@ -77,6 +77,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("id", "doc_id")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -225,9 +229,51 @@ FROM d LEFT JOIN l ON d.r = l.r LEFT JOIN k ON d.r = k.r
 """
 
 
+def _op11_sql() -> str:
+    """The checksum from its eight table entries of one bit; near words by shared deletions; forms followed recursively."""
+    bits = [1 << i for i in range(8)]
+    for i, v in enumerate(bits):
+        for _ in range(8):
+            v = v >> 1 ^ 0xEDB88320 * (v & 1)
+        bits[i] = v
+    step = "a >> 8"
+    for i, v in enumerate(bits):
+        step = f"xor({step}, ((xor(a, b) >> {i}) & 1) * {v})"
+    return f"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, w, count(*) AS c FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{spelling.UPPER}', '{spelling.LOWER}'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS w FROM documents)
+  GROUP BY ALL
+), x AS (
+  SELECT w, c, len(w) AS l, hex(encode(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', w))) AS x FROM r
+), h AS (
+  SELECT w, c, l, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda i: CAST(concat('0x', x[2 * i + 1 : 2 * i + 2]) AS BIGINT))), lambda a, b: {step})) AS h FROM x
+), u AS (
+  SELECT CASE WHEN h % {spelling.SLIP} = 0 THEN concat(w[1 : h % l], w[h % l + 2 :]) ELSE w END AS word, c FROM h
+), v AS (
+  SELECT * FROM (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM u GROUP BY word) WHERE len(word) >= {spelling.LEAST_LENGTH} AND n >= {spelling.LEAST_COUNT}
+), d AS (
+  SELECT word, n, i, concat(word[1 : i - 1], word[i + 1 :]) AS less FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM v)
+), p AS (
+  SELECT DISTINCT d.word, d.n, v.word AS near, v.n AS near_n FROM d JOIN v ON d.less = v.word
+  UNION SELECT v.word, v.n, d.word, d.n FROM d JOIN v ON d.less = v.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM d a JOIN d b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+), s AS (
+  SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM p GROUP BY word
+), f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= {spelling.TIMES} * v.n THEN near END AS form, CASE WHEN near_n >= {spelling.TIMES} * v.n THEN near_n END AS form_n
+  FROM v LEFT JOIN s ON v.word = s.word
+), g AS (
+  SELECT word, word AS at FROM f
+  UNION ALL SELECT g.word, f.form FROM g JOIN f ON g.at = f.word WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, g.at AS root, f.n, f.n_near, f.form_n FROM f JOIN g ON f.word = g.word JOIN f e ON g.at = e.word WHERE e.form IS NULL
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_pu_quality, op4_quality_rules, op5_substring_dedup, op6_line_dedup, op7_simhash, op8_warc_derivatives, op9_secrets, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_pu_quality, op4_quality_rules, op5_substring_dedup, op6_line_dedup, op7_simhash, op8_warc_derivatives, op9_secrets, op10_byte_bpe, op11_spelling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_source_mixing": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_warc_derivatives": OP8_SQL, "op9_secrets": _op9_sql()}
+    return {"op1_exact_dedup": OP1_SQL, "op2_source_mixing": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_warc_derivatives": OP8_SQL, "op9_secrets": _op9_sql(), "op11_spelling": _op11_sql()}
