@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, mixing, pu_quality, quality_rules, secrets, simhash, spelling, substring_dedup, warc
+from . import bpe, context_trees, exact_dedup, line_dedup, mixing, pu_quality, quality_rules, secrets, simhash, spelling, substring_dedup, warc
 from .common import documents
 
 
@@ -81,6 +81,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(documents(spark, sf_dir))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_trees.text_scores(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -272,7 +276,7 @@ SELECT f.word, f.form, g.at AS root, f.n, f.n_near, f.form_n FROM f JOIN g ON f.
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_pu_quality, op4_quality_rules, op5_substring_dedup, op6_line_dedup, op7_simhash, op8_warc_derivatives, op9_secrets, op10_byte_bpe, op11_spelling)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_pu_quality, op4_quality_rules, op5_substring_dedup, op6_line_dedup, op7_simhash, op8_warc_derivatives, op9_secrets, op10_byte_bpe, op11_spelling, op12_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
