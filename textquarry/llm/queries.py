@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, context_trees, exact_dedup, line_dedup, mixing, pu_quality, quality_rules, secrets, simhash, spelling, substring_dedup, warc
+from . import bpe, context_trees, exact_dedup, line_dedup, mixing, prefix_trie, pu_quality, quality_rules, secrets, simhash, spelling, substring_dedup, warc
 from .common import documents
 
 
@@ -85,6 +85,10 @@ def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_trees.text_scores(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -233,16 +237,20 @@ FROM d LEFT JOIN l ON d.r = l.r LEFT JOIN k ON d.r = k.r
 """
 
 
-def _op11_sql() -> str:
-    """The checksum from its eight table entries of one bit; near words by shared deletions; forms followed recursively."""
-    bits = [1 << i for i in range(8)]
-    for i, v in enumerate(bits):
+def _crc32(hexadecimal: str) -> str:
+    """The checksum of bytes in hexadecimal, from its eight table entries of one bit."""
+    step = "a >> 8"
+    for i in range(8):
+        v = 1 << i
         for _ in range(8):
             v = v >> 1 ^ 0xEDB88320 * (v & 1)
-        bits[i] = v
-    step = "a >> 8"
-    for i, v in enumerate(bits):
         step = f"xor({step}, ((xor(a, b) >> {i}) & 1) * {v})"
+    byte = f"CAST(concat('0x', {hexadecimal}[2 * i + 1 : 2 * i + 2]) AS BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, len({hexadecimal}) // 2), lambda i: {byte})), lambda a, b: {step}))"
+
+
+def _op11_sql() -> str:
+    """Near words by shared deletions; forms followed recursively."""
     return f"""
 WITH RECURSIVE r AS (
   SELECT doc_id, w, count(*) AS c FROM (
@@ -251,7 +259,7 @@ WITH RECURSIVE r AS (
 ), x AS (
   SELECT w, c, len(w) AS l, hex(encode(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', w))) AS x FROM r
 ), h AS (
-  SELECT w, c, l, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda i: CAST(concat('0x', x[2 * i + 1 : 2 * i + 2]) AS BIGINT))), lambda a, b: {step})) AS h FROM x
+  SELECT w, c, l, {_crc32('x')} AS h FROM x
 ), u AS (
   SELECT CASE WHEN h % {spelling.SLIP} = 0 THEN concat(w[1 : h % l], w[h % l + 2 :]) ELSE w END AS word, c FROM h
 ), v AS (
@@ -275,9 +283,43 @@ SELECT f.word, f.form, g.at AS root, f.n, f.n_near, f.form_n FROM f JOIN g ON f.
 """
 
 
+def _op13_sql() -> str:
+    """Prefixes by a digest of all their turns; a node's amounts go to every prefix of its smallest member."""
+    return f"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), x AS (
+  SELECT DISTINCT c, c - c % {prefix_trie.EVERY} AS base, hex(encode(CAST(c AS VARCHAR))) AS x FROM t
+), h AS (
+  SELECT c, base, {_crc32('x')} % {prefix_trie.HEAD} AS h FROM x
+), m AS (
+  SELECT h.c, t.i, 0 AS own, role, text FROM h JOIN t ON t.c = h.base AND t.i <= h.h
+  UNION ALL SELECT h.c, t.i, 1, role, text FROM h JOIN t ON t.c = h.c AND t.i > h.h
+), n AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, i) AS d, len(text) AS size, sha256(concat(len(role), ':', role, text)) AS turn FROM m
+), p AS (
+  SELECT c, d, size, sha256(string_agg(turn, '') OVER (PARTITION BY c ORDER BY d)) AS key FROM n UNION ALL SELECT c, 0, 0, '' FROM h
+), r AS (
+  SELECT *, lag(key) OVER (PARTITION BY c ORDER BY d) AS parent, lead(key) OVER (PARTITION BY c ORDER BY d) IS NULL AS last FROM p
+), v AS (
+  SELECT key, min(c) AS conv_id, min(d) AS depth, min(parent) AS parent, count(*) AS n_convs, (count(*) - 1) * min(size) AS saved,
+         sha256(coalesce(string_agg(CASE WHEN last THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends_sha256
+  FROM r GROUP BY key
+), k AS (
+  SELECT v.*, coalesce(n, 0) AS n_children FROM v LEFT JOIN (SELECT parent AS of, count(*) AS n FROM v GROUP BY parent) ON key = of
+), s AS (
+  SELECT r.key, CAST(sum(saved) AS BIGINT) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM k JOIN r ON r.c = k.conv_id AND r.d <= k.depth GROUP BY r.key
+)
+SELECT k.conv_id, k.depth, u.conv_id AS parent_conv_id, k.n_convs, k.n_children, n_leaves, saved_tokens, k.ends_sha256
+FROM k JOIN s ON k.key = s.key LEFT JOIN v u ON k.parent = u.key
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_pu_quality, op4_quality_rules, op5_substring_dedup, op6_line_dedup, op7_simhash, op8_warc_derivatives, op9_secrets, op10_byte_bpe, op11_spelling, op12_lm_scoring)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_pu_quality, op4_quality_rules, op5_substring_dedup, op6_line_dedup, op7_simhash, op8_warc_derivatives, op9_secrets, op10_byte_bpe, op11_spelling, op12_lm_scoring, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_source_mixing": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_warc_derivatives": OP8_SQL, "op9_secrets": _op9_sql(), "op11_spelling": _op11_sql()}
+    return {"op1_exact_dedup": OP1_SQL, "op2_source_mixing": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_warc_derivatives": OP8_SQL, "op9_secrets": _op9_sql(), "op11_spelling": _op11_sql(), "op13_prefix_trie": _op13_sql()}
