@@ -1,7 +1,7 @@
 from textquarry.llm import simhash
 
 
-def brute(rows, shingle=3, distance=3, words=1):
+def brute(rows, shingle=3, distance=3):
     """Fingerprints by the definition and components by comparing all pairs."""
     import xxhash
 
@@ -9,10 +9,8 @@ def brute(rows, shingle=3, distance=3, words=1):
     for _, text in rows:
         found = (text or "").encode().lower().split()
         grams = [b" ".join(found[i : i + shingle]) for i in range(max(1, len(found) - shingle + 1))] if found else []
-        made = 0
-        for j in range(words):
-            hashes = [xxhash.xxh64_intdigest(g, 42 + j) for g in grams]
-            made |= sum(1 << 64 * j + b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+        made = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
         prints.append(made)
     label = list(range(len(rows)))
     for i in range(len(rows)):
@@ -89,51 +87,6 @@ def test_exact_bands_are_cut_so_that_every_link_has_one():
         assert masks and all(m.bit_count() >= 48 for m in masks)
 
 
-def shingles(text, n=5):
-    words = text.lower().split()
-    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
-
-
-def jaccard(a, b):
-    a, b = shingles(a), shingles(b)
-    return len(a & b) / len(a | b)
-
-
-def near_copies(rng, n):
-    """Texts and copies of them with words replaced, and their similarity."""
-    made = []
-    for i in range(n):
-        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(120, 500))]
-        copy = list(words)
-        for at in rng.sample(range(len(words)), max(1, len(words) * rng.randrange(2, 32) // 1000)):
-            copy[at] = f"n{rng.randrange(5000)}"
-        made.append((" ".join(words), " ".join(copy)))
-    return made
-
-
-def test_wide_fingerprints_find_five_word_copies(spark, monkeypatch):
-    """Recall against exact similarity, with groups as they are and with groups far above what is searched at once."""
-    import random
-
-    pairs = near_copies(random.Random(6), 300)
-    texts = [(2 * i + j, t) for i, pair in enumerate(pairs) for j, t in enumerate(pair)]
-    df = spark.createDataFrame(texts, "doc_id long, text string")
-    alike = [i for i, (a, b) in enumerate(pairs) if jaccard(a, b) >= 0.8]
-    assert 150 < len(alike) < 300
-    component = {r.id: r.component_id for r in simhash.near_duplicates(df, **simhash.WIDE).collect()}
-    assert sum(component[2 * i + 1] == 2 * i for i in alike) / len(alike) > 0.9
-    assert all(c // 2 == i // 2 for i, c in component.items())
-    one = pairs[0][0].split()
-    many = []
-    for i in range(120):
-        copy = list(one)
-        copy[i % len(one)] = f"v{i}"
-        many.append((i, " ".join(copy)))
-    monkeypatch.setattr(simhash, "GROUP", 8)
-    kept = simhash.near_deduplicated(spark.createDataFrame(many, "doc_id long, text string"), **simhash.WIDE)
-    assert [r.doc_id for r in kept.collect()] == [0]
-
-
 def test_one_document_of_each_component_stays(odd):
     kept = simhash.near_deduplicated(odd)
     assert kept.columns == odd.columns

@@ -1,12 +1,12 @@
 """SimHash near-duplicates with pivot distance tables.
 
 * **Fingerprints.**  64 bits, or several words of 64, by majority over the XXH64 values of a text's word shingles;
-  each word has a seed of its own.  Arrow batches.
+  further words are mixed from those values.  Arrow batches.
 * **Candidates.**  Equal bits under a mask, a *band*, bring distinct fingerprints together.
   - ``exact_bands``: fingerprints that differ in at most ``distance`` of ``distance + 3`` blocks of bits agree in three
     blocks at least, and every choice of three blocks is a band.  No link can be missed.
-  - ``sampled_bands``, for distances too great for that: so many random choices of bits, growing with the number of
-    fingerprints, that a link at the full distance is missed with a probability of at most ``MISSED``.
+  - ``sampled_bands``, for distances too great for that (``alike``): so many random choices of bits, growing with the
+    number of fingerprints, that a link at the full distance is missed with a probability of at most ``MISSED``.
 * **Pivots.**  In each group a table of Hamming distances to many reference fingerprints is computed once.
   Distances to a reference differ by no more than the distance of two fingerprints, so a pair whose largest
   coordinate difference exceeds ``distance`` is discarded; the survivors are verified bit by bit.
@@ -14,8 +14,8 @@
   reached takes the ones it links to out of those left, which yields a spanning forest of the group's links.
 * **Large groups**, above ``GROUP``, are banded again by the bits that are left, at most ``DEPTH`` times, so a row has a
   bounded number of copies whatever its group's size.  Exact bands cut the bits left into ``distance + 1`` blocks, one of
-  which agrees in every link; at the last depth so few bits are left that no group can be large.  Sampled bands add
-  random bits; what is still large is dealt into parts, and all of it is compared with the group's first member.
+  which agrees in every link; at the last depth so few bits are left that no group can be large.  Groups of sampled
+  bands are not banded again: ``alike.block_links`` deals them in blocks without losing a link.
 * **Components** come from star contraction over the links.
 
 Why pivots do not find candidates: distances to a reference concentrate.  Of two unrelated fingerprints the distances
@@ -53,30 +53,46 @@ GROUP, DEPTH = 4096, 3
 PIVOTS = 16
 #: Shingles whose bits are counted at a time.
 SLICE = 1 << 14
-#: Sampled bands: the share of links at the full distance that may be missed, the least number of bits of a band, and
-#: into how many bands of how many further bits a large group is cut.
-MISSED, LEAST_BITS, AGAIN, FURTHER = 0.15, 20, 4, 8
-#: Near duplicates by five-word shingles and a Jaccard similarity of 0.8 or more: two texts at 0.8 differ in 78 of
-#: 512 bits in the mean, with a deviation of 8.
+#: Sampled bands: the share of links at the full distance that may be missed, and the least number of bits of a band.
+MISSED, LEAST_BITS = 0.15, 20
+#: Candidates for five-word shingles and a Jaccard similarity of 0.8 or more: two texts at 0.8 differ in 78 of 512 bits
+#: in the mean, with a deviation of 8.
 WIDE = {"shingle": 5, "words": 8, "distance": 92}
 
 
-def fingerprint(text: bytes, shingle: int = 3, words: int = 1) -> np.ndarray:
-    """The fingerprint of UTF-8 ``text`` as unsigned words.  ``bytes.lower`` changes A-Z only."""
+def shingles(text: bytes, shingle: int) -> list[bytes]:
+    """Word shingles of UTF-8 ``text``; a shorter text is one, an empty one has none.  ``bytes.lower`` changes A-Z only."""
     found = text.lower().split()
-    if not found:
-        return np.zeros(words, "<u8")
     if len(found) <= shingle:
-        grams: list[bytes] = [b" ".join(found)]
-    else:
-        grams = list(map(b" ".join, zip(*[found[i:] for i in range(shingle)])))
+        return [b" ".join(found)] if found else []
+    return list(map(b" ".join, zip(*[found[i:] for i in range(shingle)])))
+
+
+def hashed(grams: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), "<u8", len(grams))
+
+
+def further(hashes: np.ndarray, j: int) -> np.ndarray:
+    """The ``j``-th word after the first of each shingle's bits: its hash moved on and mixed (splitmix64)."""
+    x = hashes + np.uint64(j * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def majority(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Bits that more than half of the hashes, or of the words made from them, have set."""
     ones = np.zeros(64 * words, "int64")
-    for at in range(0, len(grams), SLICE):
-        part = grams[at : at + SLICE]
-        hashes = np.stack([np.fromiter(map(xxhash.xxh64_intdigest, part, repeat(SEED + j)), "<u8", len(part)) for j in range(words)], axis=1)
-        bits = np.unpackbits(hashes.view("uint8"), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype="int64")
-    return np.packbits(2 * ones > len(grams), bitorder="little").view("<u8")
+    for at in range(0, len(hashes), SLICE):
+        part = hashes[at : at + SLICE]
+        made = np.stack([part, *[further(part, j) for j in range(1, words)]], axis=1)
+        ones += np.unpackbits(made.view("uint8"), axis=1, bitorder="little").sum(axis=0, dtype="int64")
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
+
+def fingerprint(text: bytes, shingle: int = 3, words: int = 1) -> np.ndarray:
+    """The fingerprint of UTF-8 ``text`` as unsigned words."""
+    return majority(hashed(shingles(text, shingle)), words)
 
 
 def _words(words: int) -> list[str]:
@@ -104,8 +120,6 @@ class Bands:
 
     masks: list[int]
     again: Callable[[int], list[int]]
-    #: Whether no group can exceed ``GROUP`` by much at the last depth.
-    bounded: bool
 
 
 def _blocks(bits: list[int], n: int) -> list[int]:
@@ -117,16 +131,14 @@ def _blocks(bits: list[int], n: int) -> list[int]:
 def exact_bands(distance: int, size: int = 64) -> Bands:
     left = lambda mask: [b for b in range(size) if not mask >> b & 1]
     first = [sum(three) for three in combinations(_blocks(list(range(size)), distance + 3), 3)]
-    return Bands(first, lambda mask: [mask | block for block in _blocks(left(mask), distance + 1)], True)
+    return Bands(first, lambda mask: [mask | block for block in _blocks(left(mask), distance + 1)])
 
 
-def sampled_bands(distance: int, size: int, nodes: int) -> Bands:
+def sampled_bands(distance: int, size: int, nodes: int) -> list[int]:
     draw = np.random.default_rng(SEED)
     bits = max(LEAST_BITS, nodes.bit_length())
     bands = math.ceil(math.log(MISSED) / math.log1p(-((1 - distance / size) ** bits)))
-    pick = lambda given, n: sum(1 << int(b) for b in draw.choice(given, n, replace=False))
-    left = lambda mask: [b for b in range(size) if not mask >> b & 1]
-    return Bands([pick(size, bits) for _ in range(bands)], lambda mask: [mask | pick(left(mask), FURTHER) for _ in range(AGAIN)], False)
+    return [sum(1 << int(b) for b in draw.choice(size, bits, replace=False)) for _ in range(bands)]
 
 
 def _signed(mask: int, word: int) -> int:
@@ -220,15 +232,12 @@ def links(nodes: DataFrame, words: int, distance: int, bands: Bands) -> DataFram
         size = filter_bits(n)
         both = F.xxhash64("band", "key")
         rows = possible_members(rows.withColumn("bit", filter_bit(both, size)), membership(groups.select(filter_bit(both, size).alias("bit"))))
-        if not large or depth == DEPTH and bands.bounded:
+        if not large or depth == DEPTH:
             found.append(_linked(rows, words, distance))
             break
         hot = broadcast_if_small(written(groups.where(F.col("n") > GROUP), "hot"))
         found.append(_linked(rows.join(hot, ["band", "key"], "left_anti"), words, distance))
         rows = written(rows.join(hot, ["band", "key"]), "rows")
-        if depth == DEPTH:
-            found += _parts_and_first(rows, nodes, words, distance)
-            break
         children = [(parent, m) for parent, mask in enumerate(masks) for m in bands.again(mask)]
         masks = [m for _, m in children]
         # A fixed number of masks, at most the first depth's times that of ``again`` to the power of the depth.
@@ -241,41 +250,33 @@ def links(nodes: DataFrame, words: int, distance: int, bands: Bands) -> DataFram
     return whole
 
 
-def _parts_and_first(rows: DataFrame, nodes: DataFrame, words: int, distance: int) -> list[DataFrame]:
-    """Links within parts of groups that stayed large, and of all their rows to the group's first one."""
-    part = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / GROUP))
-    parts = rows.withColumn("key", F.xxhash64("key", part))
-    first = nodes.select(F.col("node").alias("first"), *[F.col(f).alias(f"g{j}") for j, f in enumerate(_words(words))])
-    apart = sum((F.bit_count(F.col(f"f{j}").bitwiseXOR(F.col(f"g{j}"))) for j in range(words)), F.lit(0))
-    near = rows.join(first, "first").where((apart <= distance) & (F.col("node") != F.col("first")))
-    return [_linked(parts, words, distance), near.select(F.col("node").alias("a"), F.col("first").alias("b"))]
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row ``id``, ``fp`` (of several words: their array) and ``component_id``, the smallest identifier that its
-    links reach."""
-    prints = written(fingerprints(docs, shingle, words, id_col, text_col), "fingerprints")
-    nodes = prints.groupBy("node").agg(*[F.first(f).alias(f) for f in _words(words)])
-    if words == 1 and distance <= 8:
-        bands = exact_bands(distance)
-    else:
-        nodes = written(nodes, "nodes")
-        bands = sampled_bands(distance, 64 * words, nodes.count())
-    roots = stars(links(nodes, words, distance, bands)).withColumnRenamed("node", "of")
-    fp = F.col("f0") if words == 1 else F.array(*_words(words))
+def named(prints: DataFrame, links: DataFrame, fp: Column) -> DataFrame:
+    """``id, fp, component_id`` for ``prints(id, node, ...)``: the smallest identifier that links of nodes reach."""
+    roots = stars(links).withColumnRenamed("node", "of")
     rooted = prints.join(roots, prints.node == roots.of, "left").select("id", fp.alias("fp"), F.coalesce("root", "node").alias("root"))
     # Written, so that the join has two plain shuffles and Spark can split it at a very large component.
     least = written(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "least")
     return rooted.join(least, "root").select("id", "fp", "component_id")
 
 
-def near_deduplicated(docs: DataFrame, shingle: int = 3, distance: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows and columns: of each component the document with the smallest identifier.
+def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row ``id``, the 64-bit ``fp`` and ``component_id``, the smallest identifier that its links reach."""
+    prints = written(fingerprints(docs, shingle, 1, id_col, text_col), "fingerprints")
+    nodes = prints.groupBy("node").agg(F.first("f0").alias("f0"))
+    return named(prints, links(nodes, 1, distance, exact_bands(distance)), F.col("f0"))
+
+
+def representatives(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The input's rows and columns: of each component of ``found`` the document with the smallest identifier.
 
     Rows that share an identifier are one document, and rows without one stay.
     """
-    found = near_duplicates(docs, shingle, distance, words, id_col, text_col)
     stay = found.where("id = component_id").select(F.col("id").alias("stay")).distinct()
     rows = whole_rows(docs, own=F.col(f"`{id_col}`"))
     with_id = rows.join(stay, rows.own == stay.stay, "left_semi")
     return with_id.union(rows.where("own IS NULL")).select("row.*")
+
+
+def near_deduplicated(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component of ``near_duplicates``."""
+    return representatives(docs, near_duplicates(docs, shingle, distance, id_col, text_col), id_col)
