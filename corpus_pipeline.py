@@ -3,6 +3,10 @@
 ``STAGES`` lists them in order.  A stage takes ``(spark, docs, sf_dir)`` and returns the documents that go on,
 with the columns of ``documents``; the last returns token ids.  ``run`` applies them to the table of documents,
 each stage's result written and read again, so a lost executor costs one stage's tasks at most.
+
+Defined cases, in every stage: a null text counts as empty; documents without an identifier are never grouped with others
+as near copies, and exact copies of them are one; rows that repeat are copies; texts may be of any length; an empty table
+gives an empty one; further columns, whatever their names, go through all stages but the last.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textquarry.llm import bpe, exact_dedup, mixing, pu_quality, simhash
+from textquarry.llm import alike, bpe, exact_dedup, mixing, pu_quality
 from textquarry.llm.common import documents, written
 from textquarry.llm.queries import quality_labels
 
@@ -29,9 +33,10 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that with the smallest identifier.
 
-    Documents are alike by five-word shingles and a Jaccard similarity of about 0.8 or more, as 512 bits tell it.
+    Candidates are SimHash fingerprints of 512 bits; of these only pairs count whose sets of five-word shingles have a
+    Jaccard similarity of 0.8 or more.
     """
-    return simhash.near_deduplicated(docs, **simhash.WIDE)
+    return alike.near_deduplicated(docs)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
