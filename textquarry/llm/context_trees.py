@@ -10,8 +10,8 @@
 * **Weights.**  The longest contexts are weighed in shards of one context of ``SHARD`` bytes, bottom-up; shards have at
   most ``256 ** (DEPTH + 1 - SHARD)`` runs.  Shorter contexts are grouped by Spark, level by level.  Then the mixture is
   resolved from the shortest contexts down, which leaves one probability for each run of bytes.
-* **Scoring.**  A block gets back the probabilities of just the runs it holds, by joins on the run and then on the block,
-  and its texts are read through once against them.  No table of the model is broadcast or collected.
+* **Scoring.**  A block gets back the code lengths of just the runs it holds, by joins on the run and then on the block,
+  and its texts are read through once against them.  Code lengths are fixed-point numbers, so sums do not depend on order.  No table of the model is broadcast or collected.
 
 Words travel in the same tables, as 63-bit hashes (negative keys), with their training counts.
 
@@ -44,6 +44,8 @@ BLOCK = 32 << 20
 SLICE = 1 << 21
 #: One identifier in so many, by its checksum, is held out: those with this remainder.
 FOLDS, HELD = 7, 2
+#: Fixed-point code lengths are multiples of one in so many of log10.
+UNIT = 1 << 24
 LN2, LN_PI = np.log(2), np.log(np.pi)
 
 READ = "block long, id {id}, held boolean, text binary, n_bytes long, keys array<long>, counts array<long>"
@@ -289,49 +291,70 @@ class _Words(dict):
 
     def __missing__(self, word: bytes) -> float:
         at = int(np.searchsorted(self.keys, word_key(word)))
-        found = self[word] = log10(self.counts[at] + 1)
+        found = self[word] = log10(int(self.counts[at]) + 1)
         return found
 
 
+class _Lengths:
+    """Code lengths of a block's runs, by a slot of each run's hash; runs that share a slot are searched for.
+
+    Only runs of the block are asked for, so a slot of one run needs no comparison."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.keys, self.values = keys, values
+        self.shift = np.uint64(64 - max(1, (8 * len(keys)).bit_length()))
+        slots = self._slot(keys)
+        self.table = np.zeros(1 << int(64 - self.shift), "i8")
+        self.table[slots] = values
+        self.table[slots[np.flatnonzero(np.bincount(slots, minlength=len(self.table))[slots] > 1)]] = -1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view("u8") * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view("i8")
+
+    def total(self, keys: np.ndarray) -> int:
+        found = self.table[self._slot(keys)]
+        shared = np.flatnonzero(found < 0)
+        return int(found.sum()) + len(shared) + int(self.values[np.searchsorted(self.keys, keys[shared])].sum())
+
+
+#: The key of texts, after those of all runs.
+LAST = (1 << 63) - 1
+
+
 def _scores(rows: DataFrame, id_type: str, depth: int, train: int, distinct: int) -> DataFrame:
-    """Rows ``(block, place, id, held, text, n_bytes, key, value)`` of each block together, its values before its texts."""
+    """Rows ``(block, key, value, row)`` of each block together, sorted: words, runs, texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, table, words = None, [], None, _Words(np.zeros(0, "i8"), np.zeros(0))
+        now, parts, lengths, words = None, [], None, _Words(np.zeros(0, "i8"), np.zeros(0, "i8"))
         unpack, one = zstandard.ZstdDecompressor().decompress, log10(train + distinct + 1)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            block = batch.column(0).to_numpy()
+            block, key, value, row = batch.columns
+            block, key = block.to_numpy(), key.to_numpy()
             edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
             for start, stop in zip(edges, edges[1:]):
-                part = batch.slice(start, stop - start)
                 if block[start] != now:
-                    now, parts, table = block[start], [], None
-                place = part.column(1).to_numpy()
-                cut = int(np.searchsorted(place, 1))
-                if cut:
-                    values = part.slice(0, cut)
-                    parts.append((values.column(6).to_numpy(zero_copy_only=False).astype("i8"), values.column(7).to_numpy(zero_copy_only=False)))
-                texts = part.slice(cut)
-                if not texts.num_rows:
+                    now, parts, lengths = block[start], [], None
+                cut = start + int(np.searchsorted(key[start:stop], LAST))
+                if cut > start:
+                    parts.append((key[start:cut].copy(), value.slice(start, cut - start).to_numpy(zero_copy_only=False).astype("i8")))
+                if cut == stop:
                     continue
-                if table is None:
-                    keys, value = (np.concatenate(x) for x in zip(*parts))
-                    order = np.argsort(keys)
-                    keys, value, parts = keys[order], value[order], []
-                    first = int(np.searchsorted(keys, 0))
-                    table, words = (keys[first:], value[first:]), _Words(keys[:first], value[:first])
+                if lengths is None:
+                    keys, values = (np.concatenate(x) for x in zip(*parts))
+                    first, parts = int(np.searchsorted(keys, 0)), []
+                    lengths, words = _Lengths(keys[first:], values[first:]), _Words(keys[:first], values[:first])
                 out = []
-                for text, n in zip(texts.column(4), texts.column(5).to_pylist()):
+                texts = row.slice(cut, stop - cut)
+                for text, n in zip(texts.field("text"), texts.field("n_bytes").to_pylist()):
                     text = unpack(text.as_py(), max_output_size=max(n, 1)) if n else b""
                     logs = [words[w] for w in text.split()] + [words[b""]]
-                    score = float(table[1][np.searchsorted(table[0], runs(text, depth))].sum())
-                    out.append((len(logs), sum(x > 0 for x in logs), train, sum(logs) - one * len(logs), score, n))
+                    out.append((len(logs), sum(x > 0 for x in logs), train, sum(logs) - one * len(logs), -lengths.total(runs(text, depth)) / UNIT, n))
                 columns = [pa.array(c) for c in zip(*out)]
-                yield pa.RecordBatch.from_arrays([texts.column(2), texts.column(3), *columns], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
+                yield pa.RecordBatch.from_arrays([texts.field("id"), texts.field("held"), *columns], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
 
-    return rows.repartition("block").sortWithinPartitions("block", "place").mapInArrow(run, f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
+    return rows.repartition("block").sortWithinPartitions("block", "key").mapInArrow(run, f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
 
 
 def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
@@ -347,9 +370,10 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = counts.where("key < 0")
     train, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     # Written, so that the join below has two plain shuffles and Spark can split it.
-    values = written(probabilities(counts.where("key >= 0"), depth, shard).union(words.select("key", F.col("n").cast("double"))), "values")
-    found = held.select("block", "key").join(values, "key")
-    lookups = found.select("block", F.lit(0).alias("place"), F.lit(None).cast(id_type).alias("id"), F.lit(None).cast("boolean").alias("held"), F.lit(None).cast("binary").alias("text"), F.lit(None).cast("long").alias("n_bytes"), "key", "value")
-    texts = blocks.where("keys IS NULL").select("block", F.lit(1), "id", "held", "text", "n_bytes", F.lit(None).cast("long"), F.lit(None).cast("double"))
+    lengths = probabilities(counts.where("key >= 0"), depth, shard).select("key", F.round(-F.col("value") * UNIT).cast("long").alias("value"))
+    values = written(lengths.union(words.select("key", "n")), "values")
+    row = F.struct("id", "held", "text", "n_bytes")
+    texts = blocks.where("keys IS NULL").select("block", F.lit(LAST).alias("key"), F.lit(0).cast("long").alias("value"), row.alias("row"))
+    lookups = held.select("block", "key").join(values, "key").select("block", "key", "value", F.lit(None).cast(texts.schema["row"].dataType).alias("row"))
     rows = _scores(lookups.union(texts), id_type, depth, train, distinct)
     return rows.withColumn("bits_per_byte", -F.col("score") / F.lit(log10(2)) / (F.col("n_bytes") + 1))
