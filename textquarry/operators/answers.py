@@ -65,6 +65,50 @@ def events(answers: DataFrame) -> DataFrame:
     return answers.select("q", F.posexplode(steps).alias("seq", "e")).select("q", "seq", "e.event", "e.data")
 
 
+def ordered_events(how: DataFrame, lines: DataFrame, files: DataFrame, tools: DataFrame | None = None, failures: DataFrame | None = None) -> DataFrame:
+    """``q, seq, event, data`` for ``how(q, route, searched, candidates, seeds)`` and ``lines(q, ord, line, path, start_line, end_line, symbol)``.
+
+    The order is: routing; for searched answers retrieving, expanding, generating; sources; generating again, tools with their
+    status; tokens; citations; done.  A failure ends an answer: its error follows what there was before the tokens.
+    Sources, citations and tokens are a row each, so no answer is gathered; ``ord`` puts the lines in order.
+    """
+    none = F.lit(None).cast("string")
+    empty = F.struct(none.alias("a"), none.alias("b"), F.lit(None).cast("long").alias("c"), none.alias("d"))
+    data = lambda *columns: F.to_json(F.struct(*columns))
+    shape = lambda df, step, event, told, order=empty, place=F.lit(0): df.select("q", F.lit(step).alias("step"), order.alias("ord"), place.cast("long").alias("place"), F.lit(event).alias("event"), told.alias("data"))
+    status = lambda df, step, stage, detail: shape(df, step, "status", data(F.lit(stage).alias("stage"), detail.alias("detail")))
+    searched = how.where("searched")
+    parts = [
+        status(how, 0, "routing", F.format_string("routed to '%s'", "route")),
+        status(searched, 1, "retrieving", F.lit("hybrid search (dense + BM25)")),
+        status(searched, 2, "expanding", F.lit("graph expansion (definitions, callers, imports)")),
+        status(searched, 3, "generating", F.format_string("reranking %d candidate(s)", "candidates")),
+        status(searched, 5, "generating", F.format_string("agent investigating with %d seed chunk(s)", "seeds")),
+        shape(lines.where("path IS NOT NULL"), 4, "sources", data("path", "start_line", "end_line", "symbol"), F.col("ord")),
+    ]
+    if tools is not None:
+        called = tools.join(searched.select("q"), "q", "left_semi")
+        parts.append(shape(called, 6, "tool", data("name", "input", "result_summary"), place=F.col("place") * 2))
+        parts.append(shape(called, 6, "status", data(F.lit("tool_call").alias("stage"), F.col("result_summary").alias("detail")), place=F.col("place") * 2 + 1))
+    told, ended = (how, lines), None
+    if failures is not None:
+        failed = failures.select("q", "message")
+        parts.append(shape(failed, 7, "error", data("message")))
+        told = tuple(df.join(failed.select("q"), "q", "left_anti") for df in (how, lines))
+    ended, said = told
+    words = said.select("q", "ord", F.posexplode(F.split("line", " ", -1)).alias("place", "word"))
+    parts.append(shape(words, 8, "token", data(F.concat("word", F.lit(" ")).alias("text")), F.col("ord"), F.col("place")))
+    cited = verified(said.select(F.struct("q", "ord").alias("answer_id"), F.col("line").alias("text")), files).where("valid")
+    cited = cited.select("answer_id.q", "answer_id.ord", (F.col("claim") * 10_000 + F.col("at")).alias("place"), "path", "start_line", "end_line")
+    parts.append(shape(cited, 9, "citations", data("path", "start_line", "end_line"), F.col("ord"), F.col("place")))
+    parts.append(shape(ended, 10, "done", data(F.when(F.col("searched"), "explain").otherwise(F.col("route")).alias("route"))))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    seq = F.row_number().over(Window.partitionBy("q").orderBy("step", "ord", "place")) - 1
+    return whole.select("q", seq.cast("long").alias("seq"), "event", "data")
+
+
 def usage(turns: DataFrame, *keys: str) -> DataFrame:
     """Per answer the calls of a model, their tokens and what these cost; ``turns`` has ``input_tokens`` and
     ``output_tokens``, null where a call reported none."""

@@ -7,97 +7,110 @@ Questions come in batches keyed by ``q``; each goes the way of its route.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..sources.files import detect_language
 from ..sources.scratch import written
-from . import answers, chunking, code_chunks, extraction, graph, incremental, retrieval, source_facts, structured, summaries
+from . import answers, chunking, code_chunks, extraction, graph, incremental, retrieval, source_facts, structured, summaries, vector_lists
+from .segments import Segments
 
-MAX_CHUNKS = 50_000
-#: Lines of a listed answer; its heading gives the number of all.
-LISTED = 1000
 #: How many of a file's imports its chunks' headers name, and where they are looked for.
 HEADER_IMPORTS, HEADER_CHARS = 6, 2000
+#: Names in a line of dependencies; characters of a chunk that a reranking model reads.
+NAMES, SNIPPET = 200, 400
+TABLES = ["files", "chunks", "facts", "edges"]
+#: From ``q, prompt`` to ``q, answer``.
+Rerank = Callable[[DataFrame], DataFrame]
 CHUNK = ["path", "symbol_name", "symbol_kind", "parent_symbol", "start_line", "end_line", "content"]
 
 
+@dataclass
+class Answers:
+    """``how(q, question, route, searched, candidates, seeds)`` and ``lines(q, ord, line, path, start_line, end_line, symbol)``."""
+
+    how: DataFrame
+    lines: DataFrame
+
+
 @dataclass
 class Index:
     """Tables of one snapshot.
 
     ``files`` has ``path, text, content_hash, loc``; ``chunks`` has ``chunk_id``, the columns of ``CHUNK``, ``header``
-    and ``tokens``; ``vectors`` has ``id, v``; ``posted`` and ``stats`` are those of ``retrieval``; ``facts`` are those
-    of sources in all languages that are known; ``edges`` has ``src, dst, kind, ord`` over chunks.
+    and ``tokens``; ``facts`` are those of sources in all languages that are known; ``edges`` has ``src, dst, kind, ord``
+    over chunks; ``lists`` are inverted lists of vectors, ``postings`` segments of words.
     """
 
     files: DataFrame
     chunks: DataFrame
-    vectors: DataFrame
-    posted: DataFrame
-    stats: DataFrame
     facts: DataFrame
     edges: DataFrame
+    lists: vector_lists.Lists
+    postings: Segments
 
     @classmethod
-    def build(cls, files: DataFrame, redact: Callable[[Column], Column] | None = fn.redact_secrets) -> Index:
-        """Secrets are redacted in whole texts before anything is cut, so none is split over two chunks."""
+    def build(cls, files: DataFrame, redact: Callable[[Column], Column] | None = fn.redact_secrets, most: int | None = None) -> Index:
+        """Secrets are redacted in whole texts before anything is cut, so none is split over two chunks.
+
+        With ``most`` an index of more chunks is refused before anything is made of them.
+        """
         clean = files if redact is None else files.withColumn("text", redact(F.col("text")))
         facts = written(source_facts.source_facts(clean), "facts")
         chunks = written(chunks_of(clean, facts), "chunks")
-        return cls._over(files, chunks, vectors_of(chunks), facts)
-
-    @classmethod
-    def _over(cls, files: DataFrame, chunks: DataFrame, vectors: DataFrame, facts: DataFrame) -> Index:
-        rows = _searched(chunks)
-        return cls(files, chunks, vectors, retrieval.postings(rows), retrieval.collection_stats(rows), facts, written(edges_of(chunks, facts), "edges"))
+        if most is not None:
+            within_cap(chunks, most)
+        edges = written(edges_of(chunks, facts), "edges")
+        return cls(files, chunks, facts, edges, vector_lists.built(vectors_of(chunks)), Segments.of(_searched(chunks)))
 
     def refreshed(self, files: DataFrame, redact: Callable[[Column], Column] | None = fn.redact_secrets) -> Index:
-        """The index of a new snapshot.  Chunks, vectors and facts of unchanged files are kept; postings follow from
-        chunks, and references are resolved anew over all files, so none dangles."""
+        """The index of a new snapshot.  Chunks, vectors and facts of unchanged files are kept; new chunks are a segment of
+        postings and are placed in the lists that are there; references are resolved anew over all files, so none dangles."""
         status = incremental.diff(self.files, files)
         clean = files if redact is None else files.withColumn("text", redact(F.col("text")))
         facts = written(incremental.refreshed(self.facts, clean, status, source_facts.source_facts), "facts")
         chunks = written(incremental.refreshed(self.chunks, clean, status, lambda f: chunks_of(f, source_facts.source_facts(f))), "chunks")
-        kept = self.vectors.join(chunks.select(F.col("chunk_id").alias("id")), "id", "left_semi")
-        fresh = vectors_of(chunks.join(self.vectors.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti"))
-        return self._over(files, chunks, kept.unionByName(fresh), facts)
+        vectors = self.lists.vectors
+        kept = vectors.join(chunks.select(F.col("chunk_id").alias("id")), "id", "left_semi").select("id", "v")
+        fresh = vectors_of(chunks.join(vectors.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti"))
+        centres = vector_lists.centres_of(self.lists)
+        lists = vector_lists.built(kept.unionByName(fresh), centres if len(centres) else None)
+        return Index(files, chunks, facts, written(edges_of(chunks, facts), "edges"), lists, self.postings.refreshed(_searched(chunks)))
 
     def saved(self, folder: str) -> Index:
-        """Written as Parquet in a folder of its own and read back.
+        """Written as Parquet in a folder of its own and read back; segments that are stored already stay where they are.
 
         The version's name is added to ``versions`` when all its tables are there, so an index may be saved to the
-        folder that it was read from, and a job that fails leaves the version before it in place.
+        folder that it was read from, and a job that fails leaves the version before it in place.  Of two savers the
+        later one's version counts.
         """
-        spark = self.files.sparkSession
-        path = f"{folder.rstrip('/')}/version-{uuid.uuid4().hex}"
-        self.files.write.parquet(f"{path}/files")
-        self.facts.write.parquet(f"{path}/facts")
-        self.chunks.write.parquet(f"{path}/chunks")
-        # What follows from chunks is made from the written ones: they are cut once.
-        read = lambda name: spark.read.parquet(f"{path}/{name}")
-        rows = _searched(read("chunks"))
-        self.vectors.write.parquet(f"{path}/vectors")
-        retrieval.postings(rows).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/posted")
-        retrieval.collection_stats(rows).write.parquet(f"{path}/stats")
-        edges_of(read("chunks"), read("facts")).write.parquet(f"{path}/edges")
-        number = len(_versions(spark, folder)) + 1
-        spark.createDataFrame([(number, path)], "number long, path string").coalesce(1).write.mode("append").parquet(f"{folder.rstrip('/')}/versions")
+        spark, folder = self.files.sparkSession, folder.rstrip("/")
+        path = f"{folder}/version-{uuid.uuid4().hex}"
+        for name in TABLES:
+            getattr(self, name).write.parquet(f"{path}/{name}")
+        self.lists.vectors.repartitionByRange("block").sortWithinPartitions("block").write.parquet(f"{path}/vectors")
+        self.lists.cells.write.parquet(f"{path}/cells")
+        self.lists.centroids.write.parquet(f"{path}/centroids")
+        version = [(time.time_ns(), path, self.postings.saved(folder))]
+        spark.createDataFrame(version, "at long, path string, postings string").coalesce(1).write.mode("append").parquet(f"{folder}/versions")
         return Index.opened(spark, folder)
 
     @classmethod
     def opened(cls, spark: SparkSession, folder: str) -> Index:
         """The last version that was saved."""
-        found = _versions(spark, folder)
-        if not found:
+        last = _last_version(spark, folder)
+        if last is None:
             raise ValueError(f"{folder} holds no index")
-        return cls(*[spark.read.parquet(f"{found[-1]}/{f.name}") for f in fields(cls)])
+        read = lambda name: spark.read.parquet(f"{last.path}/{name}")
+        lists = vector_lists.Lists(read("vectors"), read("cells"), read("centroids"))
+        return cls(*map(read, TABLES), lists, Segments.opened(spark, last.postings))
 
     def counts(self) -> DataFrame:
         return self.files.agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.octet_length("text")).alias("size_bytes"), F.sum("loc").alias("loc"))
@@ -113,9 +126,8 @@ class Index:
 
     def search(self, questions: DataFrame, k: int = 10, top: int = 30) -> DataFrame:
         """``q, rank, id, score``: BM25 over stored postings and nearest hashed vectors, fused."""
-        lexical = retrieval.bm25_over(self.posted, self.stats, questions, k, prune=True)
         asked = retrieval.hash_vectors(questions.select("q", F.col("question").alias("text")), "q")
-        return retrieval.reciprocal_rank_fusion([retrieval.nearest(self.vectors, asked, k), lexical], top)
+        return retrieval.reciprocal_rank_fusion([vector_lists.search(self.lists, asked, k), self.postings.bm25(questions, k)], top)
 
     def contexts(self, questions: DataFrame, k: int = 10, hops: int = graph.HOPS, budget: int = graph.BUDGET) -> DataFrame:
         """``q, rank, id``: what is found, and after it the chunks that calls and headers link to it, within a budget."""
@@ -124,63 +136,124 @@ class Index:
         more = graph.expand(found, self.edges, tokens, hops, budget).select("q", (F.col("hop") * 1_000_000 + F.col("rank")).alias("rank"), "id")
         return graph.ranked_union(found, more)
 
-    def spans(self, questions: DataFrame, k: int = 10) -> DataFrame:
-        """The context of each question, adjacent chunks merged: ``q, file_rank, path, start, end, content``."""
-        found = self.contexts(questions, k).join(self.chunks, F.col("id") == F.col("chunk_id"))
+    def reranked(self, questions: DataFrame, ranked: DataFrame, rerank: Rerank | None = None, keep: int = retrieval.KEEP) -> DataFrame:
+        """The best ``keep`` of ``ranked(q, rank, id)``.
+
+        ``rerank`` gets ``q, prompt`` of the questions with more than ``keep`` candidates and gives ``q, answer``, in which the
+        model names snippets by number.  Without it, or where it gives nothing of use, the order stays.
+        """
+        orders = ranked.select("q", F.lit(None).cast("array<int>").alias("order")).limit(0)
+        if rerank is not None:
+            shown = ranked.join(self.chunks.select(F.col("chunk_id").alias("id"), "path", "symbol_name", "start_line", "end_line", "content"), "id")
+            place = F.format_string("%d. [%s:%d-%d] ", F.col("rank"), "path", "start_line", "end_line")
+            told = F.concat(place, F.coalesce("symbol_name", F.lit("")), F.lit("\n"), F.substring("content", 1, SNIPPET))
+            # A question has at most as many candidates as the search and the budget of expansion let through.
+            listed = shown.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("rank", told.alias("told")))).alias("snippets")).where(F.col("n") > keep)
+            prompt = F.concat(F.col("question"), F.lit("\n\n"), F.array_join(F.transform("snippets", lambda x: x["told"]), "\n\n"))
+            prompts = written(listed.join(questions.select("q", "question"), "q").select("q", "n", prompt.alias("prompt")), "prompts")
+            named = rerank(prompts.select("q", "prompt")).join(prompts.select("q", "n"), "q")
+            orders = named.select("q", fn.rerank_order(F.col("answer"), F.col("n")).alias("order"))
+        return retrieval.reranked(ranked, orders, keep)
+
+    def spans(self, questions: DataFrame, k: int = 10, rerank: Rerank | None = None) -> DataFrame:
+        """The context of each question, reranked, adjacent chunks merged: ``q, file_rank, path, start, end, content``."""
+        return self._merged(self.reranked(questions, written(self.contexts(questions, k), "contexts"), rerank))
+
+    def _merged(self, ranked: DataFrame) -> DataFrame:
+        found = ranked.join(self.chunks, F.col("id") == F.col("chunk_id"))
         rows = found.select("q", "rank", "id", "path", F.col("start_line").alias("start"), F.col("end_line").alias("end"), F.col("symbol_name").alias("symbol"), "content")
         return retrieval.merge_adjacent(rows)
 
     def definitions(self, questions: DataFrame) -> DataFrame:
-        """``q, text``: where the first name of a question that is defined is defined; other questions have no row."""
+        """``q, ord, line, path, start_line, end_line, symbol``: where the first name of a question that is defined is defined;
+        other questions have no row."""
         names = questions.select("q", F.posexplode(fn.candidate_names(F.col("question"))).alias("priority", "name"))
         found = structured.located(names, extraction.symbols(self.facts))
         line = F.concat(F.format_string("`%s` (%s) is defined in [%s:%d-%d]", "name", "kind", "path", "start_line", "end_line"), F.coalesce(F.concat(F.lit(" — "), F.split("docstring", "\n")[0]), F.lit("")))
-        item = F.struct((~F.col("is_exported")).alias("hidden"), "path", "start_line", line.alias("line"))
-        return found.groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["line"]), "\n").alias("text"))
+        order = F.struct((~F.col("is_exported")).cast("string").alias("a"), F.col("path").alias("b"), F.col("start_line").cast("long").alias("c"), line.alias("d"))
+        return found.select("q", order.alias("ord"), line.alias("line"), "path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.col("name").alias("symbol"))
 
     def listed(self, route: str) -> DataFrame:
-        """One row ``text``: the answer that lists all dependencies or endpoints, its first ``LISTED`` lines written out."""
+        """``ord, line, path, start_line, end_line, symbol``: the lines of the answer that lists all dependencies or endpoints.
+
+        Dependencies have one line a manifest, cut at ``NAMES`` names, so that a line is bounded.
+        """
         if route == "dependencies":
             spec = F.when(F.coalesce("version", F.lit("")) == "", F.col("name")).otherwise(F.concat("name", F.lit(" ("), "version", F.lit(")")))
-            names = F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("name", spec.alias("spec")))), 1, LISTED), lambda x: x["spec"]), ", ")
-            rows = self.dependencies().groupBy("path").agg(F.count(F.lit(1)).alias("n"), names.alias("names"))
-            line, order, none = F.concat(F.format_string("**%s** [%s:1-1] — %d dependencies: ", "path", "path", "n"), "names"), ["path"], "No dependency manifest was found."
+            numbered = self.dependencies().withColumn("spec", spec).withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy("name", "spec")) - 1)
+            parts = numbered.groupBy("path", F.floor(F.col("place") / NAMES).alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "spec"))), lambda x: x["spec"]), ", ").alias("names"))
+            rows = parts.join(numbered.groupBy("path").agg(F.count(F.lit(1)).alias("n")), "path")
+            head = F.when(F.col("part") == 0, F.format_string("**%s** [%s:1-1] — %d dependencies: ", "path", "path", "n")).otherwise(F.format_string("**%s** [%s:1-1], continued: ", "path", "path"))
+            line, key, at, symbol = F.concat(head, "names"), (F.col("path"), F.lit(""), F.col("part")), F.lit(1), F.lit(None).cast("string")
         else:
             rows = self.endpoints()
             told = F.format_string("- `%s %s`", F.coalesce("method", F.lit("ANY")), "route")
             handler = F.coalesce(F.concat(F.lit(" -> `"), "handler", F.lit("`")), F.lit(""))
             auth = F.coalesce(F.concat(F.lit(" (requires auth: "), "auth", F.lit(")")), F.lit(""))
-            line, order, none = F.concat(told, handler, auth, F.format_string(" [%s:%d-%d]", "path", "line", "line")), ["path", "line", "route", "method"], "No API endpoints were found."
-        shown = rows.select(*order, line.alias("text_line")).orderBy(*order).limit(LISTED)
-        item = F.struct(*order, "text_line")
-        body = shown.agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["text_line"]), "\n").alias("body"))
-        total = rows.agg(F.count(F.lit(1)).alias("total"))
-        head = F.lit("") if route == "dependencies" else F.format_string("%d endpoint(s):\n\n", "total")
-        # Both sides are one row.
-        return body.crossJoin(F.broadcast(total)).select(F.when(F.col("total") == 0, F.lit(none)).otherwise(F.concat(head, "body")).alias("text"))
-
-    def answered(self, questions: DataFrame, k: int = 10) -> DataFrame:
-        """``q, route, text, n_valid, n_invalid, validity, unsupported_claim`` of ``questions(q, question)``.
+            line, key, at, symbol = F.concat(told, handler, auth, F.format_string(" [%s:%d-%d]", "path", "line", "line")), (F.col("path"), F.lit(""), F.col("line")), F.col("line"), F.col("handler")
+        order = F.struct(key[0].alias("a"), key[1].alias("b"), key[2].cast("long").alias("c"), line.alias("d"))
+        return rows.select(order.alias("ord"), line.alias("line"), "path", at.cast("long").alias("start_line"), at.cast("long").alias("end_line"), symbol.alias("symbol"))
+
+    def answer_lines(self, questions: DataFrame, k: int = 10, rerank: Rerank | None = None) -> Answers:
+        """What answers consist of, a row a line, whatever their length.
 
         Dependencies and endpoints are listed, names are located, an overview is the root's summary; whatever has no
-        such answer is answered from its context, sentence by sentence with its place.  Answers are checked.
+        such answer is answered from its context, sentence by sentence with its place.
         """
-        routed = questions.withColumn("route", F.coalesce(fn.route_question(F.col("question")), F.lit("explain")))
+        routed = written(questions.withColumn("route", F.coalesce(fn.route_question(F.col("question")), F.lit("explain"))), "routed")
         of = lambda route: routed.where(F.col("route") == route)
-        made = self.definitions(of("locate")).select("q", "text")
-        root = self.summaries().where("scope = 'repo' AND content <> ''").select(F.col("content").alias("text"))
-        for route, text in (("dependencies", self.listed("dependencies")), ("endpoints", self.listed("endpoints")), ("overview", root)):
-            made = made.unionByName(of(route).select("q").crossJoin(F.broadcast(text)))  # one row
+        columns = ["q", "ord", "line", "path", "start_line", "end_line", "symbol"]
+        made = self.definitions(of("locate")).select(columns)
+        nowhere = [F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("start_line"), F.lit(None).cast("long").alias("end_line"), F.lit(None).cast("string").alias("symbol")]
+        first = F.struct(F.lit("").alias("a"), F.lit("").alias("b"), F.lit(0).cast("long").alias("c"), F.lit("").alias("d")).alias("ord")
+        root = self.summaries().where("scope = 'repo' AND content <> ''").select(first, F.col("content").alias("line"), *nowhere)
+        made = made.unionByName(of("overview").select("q").crossJoin(F.broadcast(root)))  # one row
+        for route, none in (("dependencies", "No dependency manifest was found."), ("endpoints", "No API endpoints were found.")):
+            rows = written(self.listed(route), route)
+            if rows.isEmpty():
+                made = made.unionByName(of(route).select("q", first, F.lit(none).alias("line"), *nowhere))
+                continue
+            # Every question of the route gets the same lines: a join on a constant, dealt by Spark.
+            heads = [] if route == "dependencies" else [of(route).select("q", first, F.lit(f"{rows.count()} endpoint(s):\n").alias("line"), *nowhere)]
+            whole = of(route).select("q", "route").join(rows.withColumn("route", F.lit(route)), "route")
+            for part in [whole.select(columns), *heads]:
+                made = made.unionByName(part)
         made = written(made, "structured")
-        rest = written(routed.join(made.select("q"), "q", "left_anti"), "rest")
-        spans = self.spans(rest.select("q", "question"), k)
+        rest = written(routed.join(made.select("q").distinct(), "q", "left_anti"), "rest")
+        ranked = written(self.contexts(rest.select("q", "question"), k), "contexts")
+        spans = written(self._merged(self.reranked(rest, ranked, rerank)), "spans")
         line = F.concat(first_sentence(F.col("content")), F.lit(" "), F.format_string("[%s:%d-%d]", "path", "start", "end"))
-        body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_rank", "start", line.alias("line")))), lambda x: x["line"]), "\n")
-        made = made.unionByName(spans.groupBy("q").agg(body.alias("text")))
-        rows = written(routed.join(made, "q", "left").select("q", "route", F.coalesce("text", F.lit("")).alias("text")), "answers")
+        order = F.struct(F.lit("").alias("a"), F.lit("").alias("b"), (F.col("file_rank") * (1 << 32) + F.col("start")).cast("long").alias("c"), line.alias("d"))
+        found = spans.select("q", order.alias("ord"), line.alias("line"), "path", F.col("start").cast("long").alias("start_line"), F.col("end").cast("long").alias("end_line"), "symbol")
+        how = routed.join(rest.select("q", F.lit(True).alias("searched")), "q", "left").withColumn("searched", F.coalesce("searched", F.lit(False)))
+        sizes = how.select("q").join(ranked.groupBy("q").agg(F.count(F.lit(1)).alias("candidates")), "q", "left").join(spans.groupBy("q").agg(F.count(F.lit(1)).alias("seeds")), "q", "left").fillna(0)
+        return Answers(written(how.join(sizes, "q"), "how"), made.unionByName(found))
+
+    def answered(self, questions: DataFrame, k: int = 10, rerank: Rerank | None = None, most: int | None = None) -> DataFrame:
+        """``q, route, text, n_valid, n_invalid, validity, unsupported_claim`` of ``questions(q, question)``, answers checked.
+
+        A text is one value and holds all lines; with ``most`` its first so many, for callers with a limit.  Answers of
+        any length are the rows of ``answer_lines``.
+        """
+        made = self.answer_lines(questions, k, rerank)
+        lines = made.lines
+        if most is not None:
+            lines = lines.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("ord"))).where(F.col("place") <= most)
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias("text")
+        texts = lines.groupBy("q").agg(text)
+        rows = written(made.how.join(texts, "q", "left").select("q", "route", F.coalesce("text", F.lit("")).alias("text")), "answers")
         checked = answers.verification(rows.select(F.col("q").alias("answer_id"), "text"), self.files.select("path", "loc"))
         return rows.join(checked.withColumnRenamed("answer_id", "q"), "q")
 
+    def events(self, questions: DataFrame, k: int = 10, rerank: Rerank | None = None, tools: DataFrame | None = None, failures: DataFrame | None = None) -> DataFrame:
+        """``q, seq, event, data``: all events of all answers, in order.
+
+        ``tools(q, place, name, input, result_summary)`` are the calls that an agent made, ``failures(q, message)`` what ended an
+        answer early.
+        """
+        made = self.answer_lines(questions, k, rerank)
+        return answers.ordered_events(made.how, made.lines, self.files.select("path", "loc"), tools, failures)
+
     def evaluated(self, golden: DataFrame, k: int = 10) -> DataFrame:
         """``question_id, route, recall_hit, citation_validity`` of a question set: whether an expected file is in a
         question's context or among its citations."""
@@ -194,11 +267,13 @@ class Index:
         return rows.select(F.col("q").alias("question_id"), "route", (F.col("route") == F.col("expected_route")).alias("route_hit"), hit.alias("recall_hit"), F.col("validity").alias("citation_validity"))
 
 
-def _versions(spark: SparkSession, folder: str) -> list[str]:
+def _last_version(spark: SparkSession, folder: str) -> Row | None:
     try:
-        return [r.path for r in spark.read.parquet(f"{folder.rstrip('/')}/versions").orderBy("number").collect()]  # a row a save
-    except AnalysisException:
-        return []
+        return spark.read.parquet(f"{folder.rstrip('/')}/versions").orderBy(F.desc("at"), "path").first()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def _searched(chunks: DataFrame) -> DataFrame:
@@ -230,7 +305,9 @@ def chunks_of(files: DataFrame, facts: DataFrame) -> DataFrame:
     code = code_chunks.definition_chunks(files.where(language.isin(code_chunks.DEFINED)).select("path", "text"), facts)
     windows = chunking.window_chunks(files.where(~language.isin("markdown", *code_chunks.DEFINED)), "path")
     windows = windows.select("path", none.alias("symbol_name"), F.lit("module").alias("symbol_kind"), none.alias("parent_symbol"), "start_line", "end_line", "content")
-    rows = sections.select(*CHUNK).unionByName(code.select(*CHUNK)).unionByName(windows)
+    told = summaries.file_summaries(files.select("path", "text", F.md5("text").alias("content_hash"), F.size(F.split("text", "\n")).alias("loc")))
+    told = told.where("content <> ''").select(F.col("target_path").alias("path"), none.alias("symbol_name"), F.lit("summary").alias("symbol_kind"), none.alias("parent_symbol"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), "content")
+    rows = sections.select(*CHUNK).unionByName(code.select(*CHUNK)).unionByName(windows).unionByName(told)
     rows = rows.join(header_imports(files), "path", "left")
     name = F.xxhash64("path", "start_line", "end_line", F.coalesce("symbol_name", F.lit("")), F.md5("content"))
     header = fn.chunk_header(F.col("path"), F.col("parent_symbol"), F.coalesce("imports", F.array().cast("array<string>")))
@@ -263,7 +340,7 @@ def vectors_of(chunks: DataFrame, dimensions: int = 32) -> DataFrame:
     return retrieval.hash_vectors(chunks.select(F.col("chunk_id").alias("id"), text.alias("text")), "id", dimensions)
 
 
-def within_cap(chunks: DataFrame, most: int = MAX_CHUNKS) -> None:
+def within_cap(chunks: DataFrame, most: int) -> None:
     """Refuse an index of more chunks than ``most``."""
     n = chunks.count()
     if n > most:

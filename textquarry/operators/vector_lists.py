@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
@@ -117,7 +117,12 @@ def built(vectors: DataFrame, centres: np.ndarray | None = None) -> Lists:
     return Lists(own.select("id", "v", block.alias("block")), cells, told)
 
 
-def _block(list_, shell, piece):
+def centres_of(lists: Lists) -> np.ndarray:
+    """The centroids, ``LISTS`` at most."""
+    return np.array([r.c for r in lists.centroids.orderBy("list").collect()], float)
+
+
+def _block(list_: Column, shell: Column, piece: Column) -> Column:
     return F.shiftleft(list_.cast("long"), 40).bitwiseOR(F.shiftleft(shell.cast("long"), 32)).bitwiseOR(piece.cast("long"))
 
 
@@ -125,7 +130,7 @@ def _chosen(questions: DataFrame, lists: Lists, k: int) -> DataFrame:
     """``q, w, block, sure``: cells of each question; the first ones are ``sure``, others have a ``bound``.
 
     ``questions(q, w, limit)`` have a null limit at first; then a limit leaves out the first cells and what exceeds it."""
-    centres = np.array([r.c for r in lists.centroids.orderBy("list").collect()], float)  # LISTS at most
+    centres = centres_of(lists)
     cells = lists.cells.orderBy("list", "shell").collect()  # LISTS * SHELLS at most
     own, lo, hi, n = (np.array([c[f] for c in cells]) for f in ("list", "lo", "hi", "n"))
     names = np.array([c.list << 40 | c.shell << 32 for c in cells], "i8")
