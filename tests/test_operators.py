@@ -119,7 +119,7 @@ def test_budgeted_expansion(spark):
     assert graph.expand(seeds, e, t, budget=0).collect() == []
 
 
-def test_rate_limit_batch_and_stream(spark, tmp_path):
+def test_rate_limit_over_a_table(spark):
     events = spark.read.parquet(f"{SF}/events.parquet").select("event_id", (F.col("user_id") % 5).alias("user_id"), F.col("ts").cast("timestamp").alias("ts"))
     rows = sorted((r.user_id, r.ts, r.event_id) for r in events.collect())
     want, since, n, user = [], None, 0, None
@@ -130,11 +130,6 @@ def test_rate_limit_batch_and_stream(spark, tmp_path):
         want.append((i, u, n, n <= 3))
     batch = stream.rate_limited(events, limit=3, window=86400)
     assert sorted(tuple(r) for r in batch.collect()) == sorted(want)
-    events.coalesce(1).write.parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    q = stream.rate_limited_stream(source, limit=3, window=86400).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted(tuple(r) for r in spark.table("limited").collect()) == sorted(want)
 
 
 def test_rate_limit_of_a_run_that_never_ends(spark):
@@ -342,25 +337,3 @@ def test_large_functions_are_packed_by_statements(spark):
             want.append((a, b))
         assert sorted((r.start_line, r.end_line) for r in got) == sorted(want) and len(want) > 1
         assert all(r.content == "\n".join(lines[r.start_line - 1 : r.end_line]) for r in got)
-
-
-def test_index_follows_arriving_files(spark, tmp_path):
-    """Each micro-batch of new files is merged into the table of files by path."""
-    from textquarry.plans.corpus import as_files
-
-    docs = as_files(spark.read.parquet(f"{SF}/documents.parquet"))
-    (tmp_path / "in").mkdir()
-    table = str(tmp_path / "files")
-    seen = []
-
-    def refresh(batch):
-        seen.append(batch.count())
-        batch.write.mode("append").parquet(table)
-
-    source = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
-    q = stream.refresh_on_arrival(source, refresh, str(tmp_path / "c"))
-    for part in (docs.where("doc_id < 50"), docs.where("doc_id >= 50")):
-        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        q.processAllAvailable()
-    q.stop()
-    assert sum(seen) == docs.count() == spark.read.parquet(table).count()

@@ -84,12 +84,12 @@ class Index:
         lists = vector_lists.built(kept.unionByName(fresh), centres if len(centres) else None)
         return Index(files, chunks, facts, written(edges_of(chunks, facts), "edges"), lists, self.postings.refreshed(_searched(chunks)))
 
-    def saved(self, folder: str) -> Index:
+    def saved(self, folder: str, batch: int | None = None, before_commit: Callable[[], None] | None = None) -> Index:
         """Written as Parquet in a folder of its own and read back; segments that are stored already stay where they are.
 
         The version's name is added to ``versions`` when all its tables are there, so an index may be saved to the
         folder that it was read from, and a job that fails leaves the version before it in place.  Of two savers the
-        later one's version counts.
+        later one's version counts.  ``batch`` is the number of the stream's batch that made the version, stored with its name.
         """
         spark, folder = self.files.sparkSession, folder.rstrip("/")
         path = f"{folder}/version-{uuid.uuid4().hex}"
@@ -98,8 +98,10 @@ class Index:
         self.lists.vectors.repartitionByRange("block").sortWithinPartitions("block").write.parquet(f"{path}/vectors")
         self.lists.cells.write.parquet(f"{path}/cells")
         self.lists.centroids.write.parquet(f"{path}/centroids")
-        version = [(time.time_ns(), path, self.postings.saved(folder))]
-        spark.createDataFrame(version, "at long, path string, postings string").coalesce(1).write.mode("append").parquet(f"{folder}/versions")
+        version = [(time.time_ns(), path, self.postings.saved(folder), batch)]
+        if before_commit is not None:
+            before_commit()
+        spark.createDataFrame(version, "at long, path string, postings string, batch long").coalesce(1).write.mode("append").parquet(f"{folder}/versions")
         return Index.opened(spark, folder)
 
     @classmethod

@@ -1,13 +1,9 @@
-"""Event-time windows, the anchored rate limit and index refreshes, over streams and over tables alike."""
+"""Event-time windows and the anchored rate limit, over tables; ``keyed`` and ``reindex`` have what streams need besides."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.scratch import written
 
@@ -92,27 +88,3 @@ def rate_limited(events: DataFrame, limit: int = LIMIT, window: int = WINDOW) ->
     # An event without a time is in no other's window.
     placed = placed.unionByName(rows.where("t IS NULL").select("event_id", "u.user_id", F.lit(1).cast("long").alias("place")))
     return placed.select("event_id", "user_id", "place", (F.lit(True) if limit <= 0 else F.col("place") <= limit).alias("allowed"))
-
-
-def rate_limited_stream(events: DataFrame, limit: int = LIMIT, window: int = WINDOW) -> DataFrame:
-    """The same over a stream of ``(event_id, user_id, ts)``: a key's state is its window's start and count."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since, n = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        places = []
-        for t in rows["ts"].astype("int64") // (10**3 if rows["ts"].dtype == "datetime64[ns]" else 1):
-            if since is None or t - since >= window * 1_000_000:
-                since, n = int(t), 0
-            n += 1
-            places.append(n)
-        state.update((since, n))
-        yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "place": places, "allowed": [limit <= 0 or p <= limit for p in places]})
-
-    schema = "event_id long, user_id long, place long, allowed boolean"
-    return events.groupBy("user_id").applyInPandasWithState(run, schema, "since long, n int", "append", GroupStateTimeout.NoTimeout)
-
-
-def refresh_on_arrival(stream: DataFrame, refresh: Callable[[DataFrame], None], checkpoint: str):
-    """Run ``refresh`` on each micro-batch of new files."""
-    return stream.writeStream.foreachBatch(lambda df, _: refresh(df)).option("checkpointLocation", checkpoint).start()
