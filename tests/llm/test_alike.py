@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from textquarry.llm import alike, simhash
+from textquarry.llm import alike
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,7 +62,7 @@ def test_copies_around_the_threshold(spark):
 @pytest.mark.parametrize("group,grams", [(8, 1 << 22), (4096, 3000), (16, 5000)])
 def test_large_groups_lose_no_link(spark, monkeypatch, group, grams):
     """Blocks far smaller than the groups: a core of near copies, chains that leave it, and texts that are not alike."""
-    monkeypatch.setattr(simhash, "GROUP", group)
+    monkeypatch.setattr(alike, "GROUP", group)
     monkeypatch.setattr(alike, "SHINGLES", grams)
     rng = random.Random(5)
     one = [f"w{i}" for i in range(200)]

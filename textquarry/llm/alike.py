@@ -8,7 +8,7 @@ Two texts are alike if the Jaccard similarity of their sets of word shingles is
 * **Verification.**  Only texts in a cluster are read again.  Within a cluster pivot tables and then the fingerprints discard
   pairs, and the shingle sets of what is left are intersected, exactly up to 64-bit hashes of shingles.  A cluster is
   searched from one text outwards, which leaves a spanning forest of its verified links, not its pairs.
-* **Large clusters and bands**, above ``simhash.GROUP`` texts or ``SHINGLES`` shingles, are dealt in blocks.  Each block is
+* **Large clusters and bands**, above ``GROUP`` texts or ``SHINGLES`` shingles, are dealt in blocks.  Each block is
   searched by itself together with the cluster's first text; then every text outside the cluster's largest component so
   found is compared with every block.  Texts inside that component are linked already, so no link is lost.
 
@@ -32,6 +32,8 @@ from .common import broadcast_if_small, filter_bit, filter_bits, membership, pos
 from .components import stars
 
 SIMILARITY = 0.8
+#: Texts of a cluster, or of one of its blocks, that are searched together.
+GROUP = 512
 #: Shingles of a cluster, or of one of its blocks, that are searched together.
 SHINGLES = 1 << 22
 #: Columns of a text in a search: its group, whether it asks (null: all are compared), and the component that it is in.
@@ -192,7 +194,7 @@ def block_links(rows: DataFrame, words: int, distance: int, similarity: float, s
     comps = written(joined.select("key", "node", "parts", F.coalesce("root", "node").alias("comp")), "comps")
     sizes = written(comps.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")), "sizes")
     cores = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("core"), F.sum("n").alias("n"), F.max("n").alias("inside"))
-    cores = broadcast_if_small(written(cores.select("key", "core", F.ceil((F.col("n") - F.col("inside")) / simhash.GROUP).alias("asking")), "cores"))
+    cores = broadcast_if_small(written(cores.select("key", "core", F.ceil((F.col("n") - F.col("inside")) / GROUP).alias("asking")), "cores"))
     labelled = rows.join(comps.select("key", "node", "comp"), ["key", "node"]).join(cores, "key").where("asking > 0")
     each = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(name)
     asking = labelled.where("comp <> core").select("key", "node", "comp", F.pmod(F.xxhash64(F.lit(7), "node"), "asking").alias("i"), each("parts", "j"), *own)
@@ -205,11 +207,13 @@ def block_links(rows: DataFrame, words: int, distance: int, similarity: float, s
 def _all_links(rows: DataFrame, sizes: DataFrame, words: int, distance: int, similarity: float, sets: bool) -> DataFrame:
     """Links of the groups of ``rows(key, node, f0 ..., [grams])``; ``sizes(key, parts)`` names those of more than one block."""
     nothing = [F.lit(None).cast("boolean").alias("asks"), F.lit(None).cast("long").alias("comp")]
+    # Without sets a group is what ``simhash`` searches, many small ones at a time.
+    plain = lambda df: _searched(df.select("*", *nothing), words, distance, similarity, True) if sets else simhash._linked(df.withColumn("band", F.lit(0)), words, distance)
     if sizes.isEmpty():
-        return _searched(rows.select("*", *nothing), words, distance, similarity, sets)
-    small = rows.join(broadcast_if_small(sizes), "key", "left_anti").select("*", *nothing)
+        return plain(rows)
+    small = rows.join(broadcast_if_small(sizes), "key", "left_anti")
     large = written(rows.join(broadcast_if_small(sizes), "key"), "large")
-    return _searched(small, words, distance, similarity, sets).union(block_links(large, words, distance, similarity, sets))
+    return plain(small).union(block_links(large, words, distance, similarity, sets))
 
 
 def clusters(nodes: DataFrame, words: int, distance: int) -> DataFrame:
@@ -219,7 +223,7 @@ def clusters(nodes: DataFrame, words: int, distance: int) -> DataFrame:
     groups = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
     size = filter_bits(groups.count())
     met = possible_members(rows.withColumn("bit", filter_bit(F.col("key"), size)), membership(groups.select(filter_bit(F.col("key"), size).alias("bit"))))
-    parts = F.ceil(F.col("n") / simhash.GROUP)
+    parts = F.ceil(F.col("n") / GROUP)
     large = written(groups.where(parts > 1).select("key", parts.alias("parts")), "parts")
     links = _all_links(met, large, words, distance, 0.0, False)
     roots = written(stars(links), "roots")
@@ -239,7 +243,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 8, distance:
     read = prints(again, shingle, words, id_col, text_col, True).drop("id", "n").dropDuplicates(["node"])
     texts = written(read.join(cluster, "node").withColumnRenamed("cluster", "key"), "texts")
     counted = texts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("grams") / 8).alias("grams"))
-    parts = F.greatest(F.ceil(F.col("n") / simhash.GROUP), F.ceil(F.col("grams") / SHINGLES))
+    parts = F.greatest(F.ceil(F.col("n") / GROUP), F.ceil(F.col("grams") / SHINGLES))
     large = written(counted.where(parts > 1).select("key", parts.alias("parts")), "parts")
     return simhash.named(own, written(_all_links(texts, large, words, distance, similarity, True), "links"), F.col("n")).withColumnRenamed("fp", "n")
 
