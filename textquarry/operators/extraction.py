@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.text import controller_route, join_route, one_break, pep508_name, pep508_version, redact_secrets
 from ..sources.files import base_name, detect_language, lines_of, safe_path
 from ..sources.yaml_files import yaml_as_json
+from .spring import spring_routes
 
 # How languages spell imports, one line at a time.
 IMPORTS = {
@@ -274,10 +275,8 @@ def nest_endpoints(files: DataFrame) -> DataFrame:
 
 def spring_endpoints(files: DataFrame) -> DataFrame:
     """A method without a path of its own is at the controller's prefix."""
-    quoted = r"""(?:\(\s*(?:(?:value|path)\s*=\s*)?(?:"([^"]*)")?)?"""
-    prefix = r"""@(?:RestController|Controller|RequestMapping)\b(?:\(\s*(?:(?:value|path)\s*=\s*)?"([^"]*)")?"""
-    method = r"^\s*(?:@\w+(?:\([^()]*\))?\s+)*(?:public|protected|private)\s+[\w<>\[\], ?]+\s+(\w+)\s*\("
-    return _annotated(files, ["java"], "spring", prefix, "@(Get|Post|Put|Patch|Delete|Request)Mapping" + quoted, r"@(PreAuthorize|Secured|RolesAllowed)\b", method, slash=False)
+    rows = spring_routes(files)
+    return _endpoints(rows, "spring", F.col("method"), F.col("route"), F.col("handler"), F.col("line"), F.when(F.col("guarded"), "auth"))
 
 
 #: Columns of facts: what a symbol's, a call's and an endpoint's rows hold.

@@ -1,14 +1,15 @@
 """Definitions and calls in sources of languages whose grammar is not at hand: JavaScript, TypeScript, Go, Java,
 Rust, Ruby.
 
-A small helper inside Arrow batches reads one text: it blanks comments and strings, follows brackets (Ruby: blocks
-and their ``end``) and finds what heads a definition at the start of a line.  Like a parser it gives up a file whose
+A small helper inside Arrow batches reads one text: ``lexer`` blanks what is no code, then brackets (Ruby: blocks and
+their ``end``) are followed to what heads a definition at the start of a line.  Like a parser it gives up a file whose
 brackets do not match: such a file has no facts.  As with Python, nothing inside a function is a definition, and
 whatever stands in a class or the like has that as its parent.
 
+Statements of functions above ``LARGE`` characters are facts too, so that chunks hold whole ones.
+
 Not seen: definitions that do not begin a line, functions that are values (arrow functions, methods of object
-literals), grouped ``type (...)`` of Go, methods of Java enums; a regular expression literal with a quote or an
-unmatched bracket, or a TypeScript return type in braces, may end a definition early.
+literals), Java's enums, records and their methods.
 """
 
 from __future__ import annotations
@@ -22,26 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.files import detect_language
+from .chunking import MAX_TOKENS
 from .extraction import FACTS, FACT_TYPES, python_facts
+from .lexer import SCRIPTS, blanked, brackets, statements
 
 SCANNED = ["javascript", "typescript", "tsx", "go", "java", "rust", "ruby"]
 #: Kinds that hold further definitions.
 CONTAINERS = ["class", "interface", "struct", "impl", "trait", "enum", "module"]
 
-# What to blank.  Every alternative matches to the end where its own end is missing, so a text is read once.
-_LINE, _BLOCK = r"//[^\n]*", r"/\*.*?(?:\*/|\Z)"
-_QUOTED = r"""(?P<s>"(?:\\.|[^"\\\n])*(?:"|(?=\n)|\Z)|'(?:\\.|[^'\\\n])*(?:'|(?=\n)|\Z)"""
-_TICKED = r"|`(?:\\.|[^`\\])*(?:`|\Z))"
-_SCRIPT = re.compile(rf"(?s){_LINE}|{_BLOCK}|{_QUOTED}{_TICKED}")
-_BLANKED = {
-    "javascript": _SCRIPT,
-    "typescript": _SCRIPT,
-    "tsx": _SCRIPT,
-    "go": re.compile(rf"(?s){_LINE}|{_BLOCK}|{_QUOTED}|`[^`]*(?:`|\Z))"),
-    "java": re.compile(rf'(?s){_LINE}|{_BLOCK}|(?P<t>""".*?(?:"""|\Z))|{_QUOTED})'),
-    "rust": re.compile(rf"""(?s){_LINE}|{_BLOCK}|\br(?P<h>#*)".*?(?:"(?P=h)|\Z)|(?P<s>"(?:\\.|[^"\\])*(?:"|\Z)|'(?:\\[^\n']+|[^'\\\n])')"""),
-    "ruby": re.compile(rf"(?s)^=begin\b.*?(?:^=end\b|\Z)|\#(?!\{{)[^\n]*|{_QUOTED})", re.M),
-}
+#: Characters above which a function's statements are told.
+LARGE = 4 * MAX_TOKENS
 
 # Heads and calls.  Blanks are taken possessively, so that long runs of them are read once.
 _EXPORT = r"^[ \t]*+(?P<shown>export\s++(?:default\s++)?)?(?:declare\s++)?"
@@ -75,29 +66,23 @@ _WITHIN = {
 _COMPILED = {(lang, part): [(kind, re.compile(p, re.M)) for kind, p in heads] for part, table in (("any", _HEADS), ("within", _WITHIN)) for lang, heads in table.items()}
 #: Heads that are definitions without a body too: up to ``;``, or in Go up to the line's end.
 _BODILESS = {("java", "method"), ("rust", "struct"), ("go", "type")}
+#: What stands before a brace that begins a type, not a body.
+_TYPED = re.compile(r"(?:\)\s*+:|[<,|&:]|\bextends\s)\s*+\Z")
 _CLOSES = {")": "(", "}": "{"}
 _CALL = re.compile(r"(?<![\w$#])([A-Za-z_$][\w$]*)\s*+(?=\()")
 _RUBY_CALL = re.compile(r"(?<=\.)([A-Za-z_]\w*)(?![\w?!])|(?<![\w@$:.?!])([A-Za-z_]\w*)(?=\()|^[ \t]*+([a-z_]\w*)(?=[ \t]++[\w:\"'@\[])", re.M)
 _BEFORE = re.compile(r"(?:\b(\w+)\s++|(::|@)\s*+)\Z")
 _NO_CALL = set("if for while switch catch try synchronized return throw function func fn pub def class new match loop until unless elsif case when else do end then in and or not await typeof yield module begin rescue ensure self nil true false".split())
 _NOT_AFTER = {"function", "func", "fn", "def", "new", "class", "interface", "type"}
+#: By language, names before a parenthesis that are no calls, and a parenthesis behind which a name was declared.
+_NO_CALLS = {**dict.fromkeys(SCRIPTS, {"super"}), "java": {"super", "this"}, "go": {"type", "const", "var", "import"}, "rust": {"Fn", "FnMut", "FnOnce"}, "ruby": set()}
+_DECLARED = {**dict.fromkeys(SCRIPTS, re.compile(r"\)\s*+\{")), "java": re.compile(r"\)\s*+(?:throws\s[\w.,\s]*+)?\{")}
+_ARROW = re.compile(r"\)\s*+(?::[^=;{}]*+)?=>")
 _RUBY_HEAD = re.compile(r"^[ \t]*+(?:(?P<def>def)\s++(?:self\.|\w+\.)?(?P<name>[A-Za-z_]\w*[?!=]?|[^\w\s(]+)|(?P<kind>class|module)\s++(?P<holder>[A-Z][\w:]*))")
 _RUBY_OPENS = re.compile(r"^[ \t]*+(?:class|module|def|if|unless|case|while|until|for|begin)\b|[=(]\s*+(?:if|unless|case|begin|while)\b|\bdo\b[ \t]*+(?:\|[^|\n]*\|)?[ \t]*+$")
 _RUBY_SINGLE = re.compile(r"^[ \t]*+def\s[^\n=(]*+(?:\([^)\n]*+\))?[ \t]*+=[ \t]|;[ \t]*+end\b[ \t]*+$|^[ \t]*+(?:def|class|module)\b.*\bend[ \t]*+$")
 
 
-def _blank(text: str, language: str) -> str:
-    """The text with comments and insides of strings as blanks, as long as before and with the same lines."""
-
-    def bare(m: re.Match) -> str:
-        whole = m[0]
-        inner = re.sub(r"[^\n]", " ", whole)
-        quoted = len(whole) > 1 and whole[0] in "\"'`" and whole[-1] == whole[0]
-        return whole[0] + inner[1:-1] + whole[-1] if quoted else inner
-
-    return _BLANKED[language].sub(bare, text)
-
-
 def _named(kind: str, m: re.Match) -> str:
     if kind != "impl":
         return m["name"]
@@ -157,6 +142,8 @@ def _braced(bare: str, language: str) -> tuple[list[tuple], set[int]] | None:
             own.add(m.start("name"))
         elif mark in "({":
             body = waiting if mark == "{" and waiting and len(stack) == waiting[6] else None
+            if body and language in SCRIPTS and _TYPED.search(bare, max(at - 80, 0), at):
+                body = None  # a type in braces, before the body
             if body:
                 waiting = None
                 scope.append((body[0], body[1], body[5]))
@@ -212,14 +199,18 @@ def _annotated(lines: list[str], start: int) -> int:
 
 def scanned(text: str, language: str) -> Iterator[tuple]:
     """The facts of one source, with the columns that ``python_facts`` has after the path."""
-    bare = _blank(text, language)
+    bare = blanked(text, language)
     read = _blocks(bare) if language == "ruby" else _braced(bare, language)
     if read is None:
         return
     found, own = read
+    pairs = (brackets(bare) or {}) if language != "ruby" else {}
+    if language == "go":
+        found += _grouped(bare, pairs)
     starts = [0, *(m.end() for m in re.finditer("\n", text))]
     lines = bare.split("\n")
     line = lambda at: bisect_right(starts, at)
+    opens = {close: at for at, close in pairs.items()}
     bodies = []
     for kind, name, parent, first, last, shown in sorted(found, key=lambda f: (f[3], -f[4])):
         start, end = line(first), line(last)
@@ -230,17 +221,67 @@ def scanned(text: str, language: str) -> Iterator[tuple]:
         if kind not in CONTAINERS:
             bodies.append((first, last, name))
         yield ("symbol", kind, name, parent, start, end, signature.strip(), shown, None)
+        if kind not in CONTAINERS and last - first > LARGE:
+            if language == "ruby":
+                parts = _ruby_statements(lines, start + 1, end - 1)
+            else:
+                inner = statements(bare, pairs, opens[last] + 1, last, language in (*SCRIPTS, "go")) if last in opens else ()
+                parts = ((line(a), line(z)) for a, z in inner)
+            for a, z in parts:
+                yield ("statement", None, name, parent, a, z, None, None, None)
     opened = [b[0] for b in bodies]
+    listed = _not_called(bare, language, found, pairs)
     for m in (_RUBY_CALL if language == "ruby" else _CALL).finditer(bare):
         name, at = m[m.lastindex], m.start(m.lastindex)
         before = _BEFORE.search(bare[max(at - 40, 0) : at])
-        if at in own or name in _NO_CALL or before and (before[1] in _NOT_AFTER or before[2] == "::" or before[2] == "@" and language == "java"):
+        if at in own or name in _NO_CALL or name in _NO_CALLS[language] or before and (before[1] in _NOT_AFTER or before[2] == "::" or before[2] == "@" and language == "java"):
+            continue
+        close = pairs.get(m.end())
+        if close is not None and (language in _DECLARED and _DECLARED[language].match(bare, close) or name == "async" and _ARROW.match(bare, close)):
+            continue
+        if language == "java" and before and before[1] == "record" or any(a < at < z for a, z in listed[max(bisect_right(listed, (at,)) - 1, 0) :][:1]) and (language == "rust" or not bare[bare.rfind("\n", 0, at) + 1 : at].strip()):
             continue
         i = bisect_right(opened, at) - 1
         inside = bodies[i] if i >= 0 and at <= bodies[i][1] else None
         yield ("call", None, name, inside and inside[2], line(at), line(at), None, None, None)
 
 
+def _grouped(bare: str, pairs: dict[int, int]) -> list[tuple]:
+    """Types of Go that are declared together."""
+    found = []
+    for m in re.finditer(r"^type[ \t]*+\(", bare, re.M):
+        for first, last in statements(bare, pairs, m.end(), pairs[m.end() - 1], True):
+            name = re.compile(r"\w+").match(bare, first)
+            if name:
+                found.append(("type", name[0], None, first, last, name[0][:1].isupper()))
+    return found
+
+
+def _not_called(bare: str, language: str, found: list[tuple], pairs: dict[int, int]) -> list[tuple[int, int]]:
+    """Where names before parentheses are members that are told, not called: interfaces of Go, enums of Rust."""
+    if language == "go":
+        return sorted((m.end() - 1, pairs[m.end() - 1]) for m in re.finditer(r"\binterface\s*+\{", bare))
+    return sorted((first, last) for kind, _, _, first, last, _ in found if kind == "enum") if language == "rust" else []
+
+
+def _ruby_statements(lines: list[str], first: int, last: int) -> Iterator[tuple[int, int]]:
+    """Lines of the statements between two lines, blocks as wholes."""
+    depth, begin = 0, first
+    for n in range(first, last + 1):
+        bare = lines[n - 1]
+        if re.match(r"[ \t]*end\b", bare):
+            depth -= 1
+        elif _RUBY_OPENS.search(bare) and not _RUBY_SINGLE.search(bare):
+            depth += 1
+        depth += sum(bare.count(c) for c in "([{") - sum(bare.count(c) for c in ")]}")
+        goes_on = n < last and re.match(r"[ \t]*[.&]", lines[n])
+        if depth <= 0 and bare.strip() and not goes_on and not re.search(r"[,\\+|&.=]\s*$", bare):
+            yield begin, n
+            begin, depth = n + 1, 0
+    if begin <= last and any(x.strip() for x in lines[begin - 1 : last]):
+        yield begin, last
+
+
 def source_facts(files: DataFrame) -> DataFrame:
     """Symbols, calls and endpoints of all sources in languages that are known."""
 

@@ -142,21 +142,27 @@ def python_chunks(t: Tables) -> DataFrame:
     return cc.definition_chunks(files, ex.python_facts(files)).select("path", "symbol_name", "symbol_kind", "parent_symbol", "start_line", "end_line")
 
 
-#: A source in each language; ``K`` stands for a part's key.
-SOURCES = {
-    "ts": "export class CK {\n  // function no() {\n  run(a) {\n    return helpK(a)\n  }\n}\nfunction helpK(a) { return `}` }\n",
-    "go": "package p\n\ntype TK struct {\n\tn int\n}\n\nfunc (t *TK) RunK() int {\n\treturn helpK(t.n)\n}\n",
-    "java": "package p;\n@Service\npublic class CK {\n    public int run(String a) {\n        return this.helpK(\"}\");\n    }\n    abstract void later();\n}\n",
-    "rs": "pub struct SK;\nimpl SK {\n    pub fn run(&self) -> i32 { helpK('{') }\n}\n",
-    "rb": "class CK\n  def run(a)\n    a.each do |x|\n      helpK(x)\n    end\n  end\nend\n",
-}
+#: Sources in each language; ``K`` stands for a part's key.  Each language has a plain one and one with what looks like
+#: definitions, calls or brackets and is none.
+SOURCES = [
+    ("ts", "export class CK {\n  // function no() {\n  run(a) {\n    return helpK(a)\n  }\n}\nfunction helpK(a) { return `}` }\n"),
+    ("go", "package p\n\ntype TK struct {\n\tn int\n}\n\nfunc (t *TK) RunK() int {\n\treturn helpK(t.n)\n}\n"),
+    ("java", "package p;\n@Service\npublic class CK {\n    public int run(String a) {\n        return this.helpK(\"}\");\n    }\n    abstract void later();\n}\n"),
+    ("rs", "pub struct SK;\nimpl SK {\n    pub fn run(&self) -> i32 { helpK('{') }\n}\n"),
+    ("rb", "class CK\n  def run(a)\n    a.each do |x|\n      helpK(x)\n    end\n  end\nend\n"),
+    ("ts", "export function pageK(r): { n: number } {\n  return `<ul>${r.map(x => `<b>${oneK(x)}{</b>`)}`\n}\nconst f = async (a) => { a.replace(/[{\"]/, '') }\n"),
+    ("go", "package p\n\ntype (\n\tAK struct {\n\t\tn int\n\t}\n\tbK int\n)\n\ntype SK interface {\n\tArea() float64\n}\n\nfunc fK() { gK(`{`) }\n"),
+    ("java", "record PK(int x) {\n  PK(int y, int z) { this(y); }\n}\nenum EK {\n  A;\n  int n() { return cK(1); }\n}\npublic class QK extends PK {\n  QK() { super(\"{\"); }\n}\n"),
+    ("rs", "fn aK<F: Fn(i32) -> i32>(f: F) { f(1); /* /* } */ { */ }\nenum SK { Circle(f64) }\nfn mK() { bK(r#\"{\"#) }\n"),
+    ("rb", "class CK\n  def sqlK\n    runK(<<~SQL)\n      end\n    SQL\n  end\n\n  def wK\n    splitK(/end {/)\n  end\nend\n"),
+]
 
 
 def _sources(t: Tables) -> DataFrame:
-    """A file for each part, in one language after the other."""
-    kinds, key = list(SOURCES.items()), F.col("p_partkey").cast("string")
-    choice = (F.col("p_partkey") % len(kinds)).cast("int")
-    ending, text = (F.element_at(F.array(*[F.lit(k[i]) for k in kinds]), choice + 1) for i in (0, 1))
+    """A file for each part, in one source after the other."""
+    key = F.col("p_partkey").cast("string")
+    choice = (F.col("p_partkey") % len(SOURCES)).cast("int")
+    ending, text = (F.element_at(F.array(*[F.lit(k[i]) for k in SOURCES]), choice + 1) for i in (0, 1))
     return t.part.select(F.concat(F.lit("src/p"), key, F.lit("."), ending).alias("path"), F.replace(text, F.lit("K"), key).alias("text"))
 
 
@@ -166,18 +172,25 @@ WITH v AS (SELECT * FROM (VALUES
 (1, 'go', 'TK', 'type', NULL, 3, 5, true), (1, 'go', 'RunK', 'method', NULL, 7, 9, true),
 (2, 'java', 'CK', 'class', NULL, 2, 8, true), (2, 'java', 'run', 'method', 'CK', 4, 6, true), (2, 'java', 'later', 'method', 'CK', 7, 7, false),
 (3, 'rs', 'SK', 'struct', NULL, 1, 1, true), (3, 'rs', 'SK', 'impl', NULL, 2, 4, false), (3, 'rs', 'run', 'function', 'SK', 3, 3, true),
-(4, 'rb', 'CK', 'class', NULL, 1, 7, true), (4, 'rb', 'run', 'method', 'CK', 2, 6, true)) v(l, ending, name, kind, parent, s, e, shown))
+(4, 'rb', 'CK', 'class', NULL, 1, 7, true), (4, 'rb', 'run', 'method', 'CK', 2, 6, true),
+(5, 'ts', 'pageK', 'function', NULL, 1, 3, true),
+(6, 'go', 'AK', 'type', NULL, 4, 6, true), (6, 'go', 'bK', 'type', NULL, 7, 7, false), (6, 'go', 'SK', 'type', NULL, 10, 12, true), (6, 'go', 'fK', 'function', NULL, 14, 14, false),
+(7, 'java', 'QK', 'class', NULL, 8, 10, true), (7, 'java', 'QK', 'method', 'QK', 9, 9, false),
+(8, 'rs', 'aK', 'function', NULL, 1, 1, false), (8, 'rs', 'SK', 'enum', NULL, 2, 2, false), (8, 'rs', 'mK', 'function', NULL, 3, 3, false),
+(9, 'rb', 'CK', 'class', NULL, 1, 11, true), (9, 'rb', 'sqlK', 'method', 'CK', 2, 6, true), (9, 'rb', 'wK', 'method', 'CK', 8, 10, true)) v(l, ending, name, kind, parent, s, e, shown))
 SELECT concat('src/p', p_partkey, '.', ending) AS path, replace(name, 'K', p_partkey::VARCHAR) AS name, kind, replace(parent, 'K', p_partkey::VARCHAR) AS parent_symbol,
        s AS start_line, e AS end_line, shown AS is_exported
-FROM part JOIN v ON p_partkey % 5 = l""")
+FROM part JOIN v ON p_partkey % 10 = l""")
 def source_symbols(t: Tables) -> DataFrame:
     return ex.symbols(sf.source_facts(_sources(t))).select("path", "name", "kind", "parent_symbol", "start_line", "end_line", "is_exported")
 
 
 @registered("""
-WITH v AS (SELECT * FROM (VALUES (0, 'ts', 'helpK', 'run', 4), (1, 'go', 'helpK', 'RunK', 8), (2, 'java', 'helpK', 'run', 5), (3, 'rs', 'helpK', 'run', 3), (4, 'rb', 'each', 'run', 3), (4, 'rb', 'helpK', 'run', 4)) v(l, ending, name, caller, line))
+WITH v AS (SELECT * FROM (VALUES (0, 'ts', 'helpK', 'run', 4), (1, 'go', 'helpK', 'RunK', 8), (2, 'java', 'helpK', 'run', 5), (3, 'rs', 'helpK', 'run', 3), (4, 'rb', 'each', 'run', 3), (4, 'rb', 'helpK', 'run', 4),
+(5, 'ts', 'map', 'pageK', 2), (5, 'ts', 'oneK', 'pageK', 2), (5, 'ts', 'replace', NULL, 4), (6, 'go', 'gK', 'fK', 14), (7, 'java', 'cK', NULL, 6), (8, 'rs', 'f', 'aK', 1), (8, 'rs', 'bK', 'mK', 3),
+(9, 'rb', 'runK', 'sqlK', 3), (9, 'rb', 'splitK', 'wK', 9)) v(l, ending, name, caller, line))
 SELECT concat('src/p', p_partkey, '.', ending) AS path, replace(name, 'K', p_partkey::VARCHAR) AS target_name, replace(caller, 'K', p_partkey::VARCHAR) AS caller, line
-FROM part JOIN v ON p_partkey % 5 = l""")
+FROM part JOIN v ON p_partkey % 10 = l""")
 def source_calls(t: Tables) -> DataFrame:
     return ex.calls(sf.source_facts(_sources(t)))
 
@@ -188,10 +201,15 @@ WITH v AS (SELECT * FROM (VALUES
 (1, 'go', NULL, 'module', NULL, 1, 1), (1, 'go', 'TK', 'type', NULL, 3, 5), (1, 'go', 'RunK', 'method', NULL, 7, 9),
 (2, 'java', NULL, 'module', NULL, 1, 1), (2, 'java', 'CK', 'class', NULL, 2, 3), (2, 'java', 'run', 'method', 'CK', 4, 6), (2, 'java', 'later', 'method', 'CK', 7, 7),
 (3, 'rs', 'SK', 'struct', NULL, 1, 1), (3, 'rs', 'SK', 'impl', NULL, 2, 2), (3, 'rs', 'run', 'function', 'SK', 3, 3),
-(4, 'rb', 'CK', 'class', NULL, 1, 1), (4, 'rb', 'run', 'method', 'CK', 2, 6)) v(l, ending, name, kind, parent, s, e))
+(4, 'rb', 'CK', 'class', NULL, 1, 1), (4, 'rb', 'run', 'method', 'CK', 2, 6),
+(5, 'ts', 'pageK', 'function', NULL, 1, 3), (5, 'ts', NULL, 'module', NULL, 4, 4),
+(6, 'go', NULL, 'module', NULL, 1, 3), (6, 'go', 'AK', 'type', NULL, 4, 6), (6, 'go', 'bK', 'type', NULL, 7, 7), (6, 'go', NULL, 'module', NULL, 8, 8), (6, 'go', 'SK', 'type', NULL, 10, 12), (6, 'go', 'fK', 'function', NULL, 14, 14),
+(7, 'java', NULL, 'module', NULL, 1, 7), (7, 'java', 'QK', 'class', NULL, 8, 8), (7, 'java', 'QK', 'method', 'QK', 9, 9),
+(8, 'rs', 'aK', 'function', NULL, 1, 1), (8, 'rs', 'SK', 'enum', NULL, 2, 2), (8, 'rs', 'mK', 'function', NULL, 3, 3),
+(9, 'rb', 'CK', 'class', NULL, 1, 1), (9, 'rb', 'sqlK', 'method', 'CK', 2, 6), (9, 'rb', 'wK', 'method', 'CK', 8, 10)) v(l, ending, name, kind, parent, s, e))
 SELECT concat('src/p', p_partkey, '.', ending) AS path, replace(name, 'K', p_partkey::VARCHAR) AS symbol_name, kind AS symbol_kind, replace(parent, 'K', p_partkey::VARCHAR) AS parent_symbol,
        s AS start_line, e AS end_line
-FROM part JOIN v ON p_partkey % 5 = l""")
+FROM part JOIN v ON p_partkey % 10 = l""")
 def source_chunks(t: Tables) -> DataFrame:
     files = _sources(t)
     return cc.definition_chunks(files, sf.source_facts(files)).select("path", "symbol_name", "symbol_kind", "parent_symbol", "start_line", "end_line")
