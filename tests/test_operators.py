@@ -72,7 +72,7 @@ def test_reading_a_tree(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     kept, skipped = src.read_tree(spark, f"file://{tmp_path}")
     assert [(r.path, r.language, r.loc, r.size_bytes) for r in kept.collect()] == [("src/a.py", "python", 1, 6)]
-    assert {r.path: r.reason for r in skipped.collect()} == {"logo.png": "binary_ext", "bad.dat2": "non_utf8", "go.sum": "lockfile", "wide.md": "avg_line_too_long", "long.md": "too_many_lines"}
+    assert {r.path: r.reason for r in skipped.collect()} == {"logo.png": "binary_ext", "bad.dat2": "non_utf8", "go.sum": "lockfile", "wide.md": "avg_line_too_long", "long.md": "too_many_lines", "empty.md": "empty"}
 
 
 def test_phrases_count_in_bm25(spark):

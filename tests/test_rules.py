@@ -56,8 +56,8 @@ def test_a_tree_with_its_own_ignore_file(spark, tmp_path):
     for name, text in {".gitignore": "*.log\n!keep.log\n", "a.log": "x", "keep.log": "x", "a.py": "x"}.items():
         (tmp_path / name).write_text(text)
     kept, skipped = src.read_tree(spark, f"file://{tmp_path}")
-    assert {r.path for r in kept.collect()} == {"keep.log", "a.py"} and [(r.path, r.reason) for r in skipped.collect()] == [("a.log", "gitignored")]
-    assert src.read_tree(spark, f"file://{tmp_path}", ignore=[])[0].count() == 3
+    assert {r.path for r in kept.collect()} == {".gitignore", "keep.log", "a.py"} and [(r.path, r.reason) for r in skipped.collect()] == [("a.log", "gitignored")]
+    assert src.read_tree(spark, f"file://{tmp_path}", ignore=[])[0].count() == 4
     with pytest.raises(ValueError):
         src.read_tree(spark, f"file://{tmp_path}", max_bytes=2)
 

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from textquarry.operators import incremental
+from textquarry.operators import incremental, jobs
 from textquarry.operators.index import Index
 from textquarry.streaming import events as tables
 from textquarry.streaming import keyed, reindex
@@ -75,6 +75,50 @@ def test_sessions_are_remembered_and_forgotten(spark, tmp_path, store):
     assert any(r.turns for r in want.collect()) and progress.stateOperators[0].numRowsTotal <= 8
 
 
+def folded(rows):
+    """The state machine in plain Python: ``(job, seq, event, legal, state, stage, progress)``."""
+    out, now = [], {}
+    for job, at, seq, event, done, total in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        reached, progress = now.get(job, (None, 0.0))
+        order = [*jobs.STAGES, *jobs.ENDS]
+        place = min(order.index(event), jobs.LAST) if event in order else None
+        legal = place is not None and (place == 0 if reached is None else order.index(reached) < jobs.LAST and place > 0 and place >= order.index(reached))
+        if legal:
+            low, high = {b[0]: b[1:] for b in jobs.BANDS}.get(event, (1.0, 1.0) if event == "succeeded" else (0.0, 0.0))
+            reached, progress = event, max(progress, low + (high - low) * min(max(done / total if total else 0.0, 0.0), 1.0))
+        now[job] = reached, progress
+        state = reached if reached in (None, "queued", *jobs.ENDS) else "running"
+        stage = None if reached in (None, "queued") else "ready" if reached == "succeeded" else reached
+        out.append((job, seq, event, legal, state, stage, round(progress, 9)))
+    return sorted(out)
+
+
+def test_job_states_over_tables_and_streams(spark, tmp_path, store):
+    rng = random.Random(5)
+    rows, seq = [], 0
+    for job in range(12):
+        at = START
+        for event in rng.sample([*jobs.STAGES, *jobs.ENDS, "nonsense"], 7) if job % 2 else ["queued", "cloning", "parsing", "parsing", "embedding", "parsing", "succeeded", "failed"]:
+            at += timedelta(seconds=rng.randrange(30))
+            seq += 1
+            rows.append((job, at, seq, event, rng.randrange(12), rng.choice([0, 10])))
+    schema = "job_id long, at timestamp, seq long, event string, done long, total long"
+    table = spark.createDataFrame(rows, schema)
+    want = folded(rows)
+    shown = lambda df: sorted((r.job_id, r.seq, r.event, r.legal, r.state, r.stage, round(r.progress, 9)) for r in df.collect())
+    assert shown(jobs.job_steps(table)) == want and any(not w[3] for w in want)
+    steps = {}
+    for r in jobs.job_steps(table).orderBy("job_id", "at", "seq").collect():
+        assert r.progress >= steps.get(r.job_id, 0.0)
+        steps[r.job_id] = r.progress
+    states = {r.job_id: r for r in jobs.job_states(table).collect()}
+    assert (states[0].state, states[0].stage, states[0].progress, states[0].n_illegal) == ("succeeded", "ready", 1.0, 2)
+    ends = [[(99, START + timedelta(days=9), 9999, "queued", 0, 0)]]
+    batches = [spark.createDataFrame(b, schema) for b in [rows[::2], rows[1::2], *ends]]
+    got, progress = run(spark, table, lambda s: keyed.job_steps_stream(s, late="1 day"), str(tmp_path), "jobs", batches)
+    assert shown(got.where("job_id < 99")) == want and progress.stateOperators[0].numRowsTotal <= 6
+
+
 CHANGES = "path string, text string, gone boolean, at long"
 FIRST = [("a.py", "def one():\n    return 1\n", False, 1), ("b.md", "# Zebra\nStripes.\n", False, 1), ("c.txt", "plain words\n", False, 1)]
 SECOND = [("a.py", "def two():\n    return 2\n", False, 2), ("c.txt", None, True, 2), ("d.txt", "fresh words", False, 3), ("d.txt", "older words", False, 2)]

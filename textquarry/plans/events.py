@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import jobs
 from ..streaming import events as stream
 from .catalogue import Tables, query
 
@@ -55,3 +56,24 @@ SELECT event_id, user_id, place, place <= 10 AS allowed FROM p""")
 def rate_limit(t: Tables) -> DataFrame:
     """Windows of a minute anchored at a user's first event, ten events each."""
     return stream.rate_limited(_events(t), limit=10)
+
+
+@query("""
+WITH e AS (SELECT user_id AS job_id, ts AS tm, event_id AS seq, event_id % 11 AS done,
+                  CASE event_id % 13 WHEN 0 THEN 'queued' WHEN 1 THEN 'queued' WHEN 2 THEN 'cloning' WHEN 3 THEN 'cloning' WHEN 4 THEN 'parsing' WHEN 5 THEN 'parsing' WHEN 6 THEN 'linking'
+                       WHEN 7 THEN 'embedding' WHEN 8 THEN 'embedding' WHEN 9 THEN 'summarizing' WHEN 10 THEN 'succeeded' WHEN 11 THEN 'failed' ELSE 'other' END AS event FROM events),
+b AS (SELECT * FROM (VALUES ('queued', 0, 0.0, 0.0), ('cloning', 1, 0.0, 0.15), ('parsing', 2, 0.15, 0.5), ('linking', 3, 0.5, 0.55), ('embedding', 4, 0.55, 0.9), ('summarizing', 5, 0.9, 0.98), ('succeeded', 6, 1.0, 1.0), ('failed', 6, NULL, NULL)) b(event, rank, low, high)),
+r AS (SELECT e.*, b.rank, CAST(b.low + (b.high - b.low) * least(e.done / 10.0, 1.0) AS DOUBLE) AS share FROM e LEFT JOIN b ON e.event = b.event),
+q AS (SELECT *, coalesce(max(CASE WHEN rank = 0 THEN 1 END) OVER w, 0) AS queued FROM r WINDOW w AS (PARTITION BY job_id ORDER BY tm, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (SELECT *, max(CASE WHEN queued = 1 OR rank = 0 THEN rank END) OVER w AS reached FROM q WINDOW w AS (PARTITION BY job_id ORDER BY tm, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, coalesce(CASE WHEN reached IS NULL THEN rank = 0 ELSE reached < 6 AND rank > 0 AND rank >= reached END, false) AS legal FROM m),
+j AS (SELECT job_id, arg_max(event, (tm, seq)) FILTER (legal) AS now, coalesce(max(share) FILTER (legal), 0) AS progress, max(tm) FILTER (legal) AS updated_at, count(*) AS n_events, count(*) FILTER (NOT legal) AS n_illegal FROM l GROUP BY job_id)
+SELECT job_id, CASE WHEN now IN ('queued', 'succeeded', 'failed') THEN now WHEN now IS NOT NULL THEN 'running' END AS state,
+       CASE WHEN now = 'queued' THEN NULL WHEN now = 'succeeded' THEN 'ready' ELSE now END AS stage, round(progress, 6) AS progress, CAST(updated_at AS VARCHAR) AS updated_at, n_events, n_illegal FROM j""")
+def job_states(t: Tables) -> DataFrame:
+    """Every user's events read as those of a job, many of them out of order."""
+    names = ["queued", "queued", "cloning", "cloning", "parsing", "parsing", "linking", "embedding", "embedding", "summarizing", "succeeded", "failed", "other"]
+    event = F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % 13 + 1).cast("int"))
+    rows = t.events.select(F.col("user_id").alias("job_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), event.alias("event"), (F.col("event_id") % 11).alias("done"), F.lit(10).alias("total"))
+    found = jobs.job_states(rows)
+    return found.withColumns({"progress": F.round("progress", 6), "updated_at": F.col("updated_at").cast("string")})

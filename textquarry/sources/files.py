@@ -106,41 +106,23 @@ def in_skipped_directory(path: Column, migrations: bool = False) -> Column:
     return F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, names)))
 
 
-def ignore_lines(spark: SparkSession, root: str) -> list[str]:
-    """The lines of the ignore file at the root of a tree, none if there is no such file.
-
-    Spark's readers pass over names that begin with a dot, so the file system that they use is asked.
-    """
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.gitignore")
-    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not system.exists(path):
-        return []
-    stream = system.open(path)
-    try:
-        return bytes(stream.readAllBytes()).decode("utf-8", "ignore").splitlines()
-    finally:
-        stream.close()
-
-
 def read_tree(spark: SparkSession, root: str, ignore: list[str] | None = None, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(kept, skipped)`` of a tree that Spark can read.  Names and sizes are judged before bytes are read.
+    """``(kept, skipped)`` of a tree of files.  Names and sizes are judged before bytes are read; empty files are skipped.
 
-    ``ignore`` are lines of an ignore file, by default those of the root's own.  A tree whose files have more than
-    ``max_bytes`` in all is refused.  Spark's reader lists no file without bytes, so empty files are in neither.
+    ``ignore`` are lines of an ignore file, by default those of the root's own.  A root that is no folder, or a tree whose files
+    have more than ``max_bytes`` in all, is refused.
     """
-    ignore = ignore_lines(spark, root) if ignore is None else ignore
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = re.sub(r"^(?:file:)?/*", "", root.rstrip("/"))
-    path = F.regexp_replace(F.regexp_replace("path", r"^(?:[a-z]+:)?/*", ""), "^" + re.escape(base) + "/", "")
-    if max_bytes is not None:
-        total = files.agg(F.sum("length")).first()[0] or 0
-        if total > max_bytes:
-            raise ValueError(f"{root} has {total} bytes, more than {max_bytes}")
-    files = files.withColumn("path", path).where(~in_skipped_directory(F.col("path")))
-    named = files.withColumn("reason", skip_reason(F.col("path"), F.col("length"), ignore=ignore))
-    by_name = named.where("reason IS NOT NULL").select("path", "reason")
-    read = named.where("reason IS NULL").withColumn("reason", skip_reason(F.col("path"), F.col("length"), F.col("content")))
+    from .tree import TreeReader, register
+
+    register(spark)
+    options = {"ignore": "\n".join(ignore)} if ignore is not None else {}
+    options |= {"max_bytes": str(max_bytes)} if max_bytes is not None else {}
+    # Refused here, not when rows are asked for.
+    reader = TreeReader(options | {"path": root})
+    reader.partitions() if max_bytes is not None else reader.checked()
+    files = spark.read.format("tree").options(**options).load(root)
+    by_name = files.where("reason IS NOT NULL").select("path", "reason")
+    read = files.where("reason IS NULL").withColumn("reason", skip_reason(F.col("path"), F.col("size"), F.col("content")))
     kept = read.where("reason IS NULL").select("path", F.col("content").cast("string").alias("text"))
     kept = kept.select("path", "text", detect_language(F.col("path")).alias("language"), F.sha2("text", 256).alias("content_hash"), F.octet_length("text").cast("long").alias("size_bytes"), line_count(one_break(F.col("text"))).alias("loc"), is_test_path(F.col("path")).alias("is_test"))
     return kept, by_name.unionByName(read.where("reason IS NOT NULL").select("path", "reason"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.text import is_follow_up
+from ..operators import jobs
 from .events import LIMIT, WINDOW
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -152,3 +153,34 @@ def remembered(turns: DataFrame, n: int = 3, idle: int = 3600) -> DataFrame:
     held = F.collect_list(F.struct("turn", "question", "answer")).over(before)
     rows = rows.withColumn("held", held)
     return rows.select("session", "turn", "question", F.col("held.turn").alias("turns"), F.col("held.question").alias("questions"), F.col("held.answer").alias("answers"), is_follow_up(F.col("question")).alias("follow_up"))
+
+
+class JobStates(InOrder):
+    """``jobs.job_steps`` of one job, event by event; a job's state ends with it, or when nothing comes for ``idle`` seconds."""
+
+    kept, row = "at long, rank long, progress double, now string", "event string, rank long, share double"
+
+    def __init__(self, idle: int) -> None:
+        self.idle = idle * 1_000_000
+
+    def taken(self, key, state, row):
+        reached, progress, now = state[1:] if state is not None else (None, 0.0, None)
+        legal = row.rank is not None and (row.rank == 0 if reached is None else reached < jobs.LAST and row.rank > 0 and row.rank >= reached)
+        if legal:
+            reached, now = row.rank, row.event
+            progress = max(progress, row.share) if row.share is not None else progress
+        status = now if now is None or now == "queued" or now in jobs.ENDS else "running"
+        stage = None if now in (None, "queued") else "ready" if now == "succeeded" else now
+        return (row.t, reached, progress, now), Row(job_id=key[0], seq=row.ord, event=row.event, legal=legal, state=status, stage=stage, progress=progress)
+
+    def until(self, state):
+        return state[0] + self.idle
+
+
+def job_steps_stream(events: DataFrame, idle: int = 86_400, late: str = "1 minute") -> DataFrame:
+    """The same over a stream of ``(job_id, at, seq, event, done, total)``."""
+    told = jobs.share(F.col("event"), F.col("done"), F.col("total"))
+    rows = _timed(events, "at", late).withColumn("ord", F.col("seq"))
+    rows = rows.withColumns({"rank": jobs.rank(F.col("event")).cast("long"), "share": told})
+    schema = "job_id long, seq long, event string, legal boolean, state string, stage string, progress double"
+    return rows.groupBy("job_id").transformWithState(JobStates(idle), schema, "Append", "EventTime")
