@@ -285,7 +285,7 @@ FACT_TYPES = [pa.string()] * 5 + [pa.int64()] * 2 + [pa.string(), pa.bool_(), pa
 VERBS = {"get", "post", "put", "patch", "delete", "options", "head"}
 
 
-def _python_facts(text: str) -> Iterator[tuple]:
+def facts_of_python(text: str) -> Iterator[tuple]:
     """``fact, kind, name, parent, start, end, extra, exported, docstring`` of one source: symbols, calls, endpoints, and the
     statements that make up a function's body."""
     tree = ast.parse(text)
@@ -343,7 +343,7 @@ def python_facts(files: DataFrame) -> DataFrame:
             rows = []
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    rows += [(path, *fact) for fact in _python_facts(text)]
+                    rows += [(path, *fact) for fact in facts_of_python(text)]
                 except (SyntaxError, ValueError, RecursionError):
                     continue
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(FACT_TYPES), FACT_TYPES)], list(FACTS))

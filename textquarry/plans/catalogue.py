@@ -32,6 +32,11 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query that is registered already, for another way to the same rows."""
+    return _SQL[name]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from . import corpus, events, extraction, maintenance, ranking, relational  # noqa: F401  they register their queries
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..operators import code_chunks as cc
 from ..operators import extraction as ex
 from ..operators import source_facts as sf
-from .catalogue import Tables
+from .catalogue import Tables, sql_of
 from .catalogue import query as registered
 
 #: Parts by the file that they go to: one for each brand and fifty keys, so files grow in number, not in length.
@@ -213,3 +214,51 @@ FROM part JOIN v ON p_partkey % 10 = l""")
 def source_chunks(t: Tables) -> DataFrame:
     files = _sources(t)
     return cc.definition_chunks(files, sf.source_facts(files)).select("path", "symbol_name", "symbol_kind", "parent_symbol", "start_line", "end_line")
+
+
+def _over(t: Tables, name: str, files: DataFrame, columns: str) -> DataFrame:
+    """A table function by name, in SQL, over files."""
+    tables.register(t.spark)
+    return t.spark.sql(f"SELECT {columns} FROM {name}(TABLE(SELECT * FROM {{files}}))", files=files)
+
+
+@registered(sql_of("source_symbols"))
+def table_symbols(t: Tables) -> DataFrame:
+    return _over(t, "symbols", _sources(t), "*")
+
+
+@registered(sql_of("source_calls"))
+def table_calls(t: Tables) -> DataFrame:
+    return _over(t, "calls", _sources(t), "*")
+
+
+@registered("""
+SELECT concat('src/P', p_partkey, '.java') AS path, m.method, concat('/p', p_partkey, m.route) AS route, concat(m.handler, p_partkey) AS handler, m.line, m.guarded
+FROM part, (VALUES ('GET', '/one/{id}', 'one', 4, false), (NULL, '/raw', 'raw', 6, true), ('POST', '', 'add', 9, false)) m(method, route, handler, line, guarded) WHERE p_partkey % 2 = 0""")
+def table_endpoints(t: Tables) -> DataFrame:
+    """A controller for each second part, a class that is none for the others."""
+    key = F.col("p_partkey").cast("string")
+    text = """@KIND("users")
+@RequestMapping("/pK/")
+class PK {
+  @GetMapping("one/{id}") public U oneK(@PathVariable("{") int id) { return f("}"); }
+  // @GetMapping("/no")
+  @RequestMapping("/raw")
+  @PreAuthorize("x")
+  List<Map<String, U>> rawK() { return null; }
+  @PostMapping void addK() {}
+}
+"""
+    kind = F.when(F.col("p_partkey") % 2 == 0, F.lit("RestController")).otherwise(F.lit("FeignClient"))
+    files = t.part.select(F.concat(F.lit("src/P"), key, F.lit(".java")).alias("path"), F.replace(F.replace(F.lit(text), F.lit("KIND"), kind), F.lit("K"), key).alias("text"))
+    return _over(t, "endpoints", files, "*")
+
+
+@registered("""
+WITH d AS (SELECT doc_id, text FROM documents WHERE len(text) > 0), w AS (SELECT doc_id, text, unnest(range(0, CAST(greatest(0, ceil((len(text) - 1500) / 1300.0)) AS BIGINT) + 1)) AS k FROM d),
+c AS (SELECT doc_id, k, substr(text, k * 1300 + 1, 1500) AS content, substr(text, 1, k * 1300) AS before FROM w)
+SELECT CAST(doc_id AS VARCHAR) AS path, k, sha256(content) AS content_hash, 1 + len(before) - len(replace(before, chr(10), '')) AS start_line,
+       1 + len(before) - len(replace(before, chr(10), '')) + len(content) - 1 - len(replace(substr(content, 1, len(content) - 1), chr(10), '')) AS end_line FROM c""")
+def table_chunks(t: Tables) -> DataFrame:
+    files = t.documents.select(F.col("doc_id").cast("string").alias("path"), "text")
+    return _over(t, "chunks", files, "path, k, sha2(content, 256) AS content_hash, start_line, end_line")
