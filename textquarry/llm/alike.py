@@ -33,7 +33,7 @@ from .components import stars
 
 SIMILARITY = 0.8
 #: Texts of a cluster, or of one of its blocks, that are searched together.
-GROUP = 512
+GROUP = 4096
 #: Shingles of a cluster, or of one of its blocks, that are searched together.
 SHINGLES = 1 << 22
 #: Columns of a text in a search: its group, whether it asks (null: all are compared), and the component that it is in.
