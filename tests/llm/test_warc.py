@@ -105,3 +105,37 @@ def test_reading_members_and_broken_records(spark, tmp_path):
     assert got["a"].payload == "<p>\ufffd\ufffd WARC/1.0\r\n" and got["a"].payload_digest == "sha1:X" and got["a"].http_headers == "HTTP/1.1 404 Not Found\r\nServer: x"
     assert (got["b"].http_headers, got["b"].payload, got["b"].truncated) == ("no header", "", False)
     assert got["c"].truncated and got["c"].payload.startswith("cut")
+
+
+def test_charsets_and_encodings(spark, tmp_path):
+    import hashlib
+    import zlib
+
+    def record(name, head, body):
+        block = b"HTTP/1.1 200 OK\r\n" + head + b"\r\n\r\n" + body
+        return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <" + name + b">\r\nContent-Length: " + str(len(block)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    latin, japanese = "café".encode("latin-1"), "<meta charset='Shift_JIS'>日本".encode("shift_jis")
+    packed = gzip.compress("é zipped".encode())
+    chunked = b"5;x=1\r\n" + packed[:5] + b"\r\n" + b"%x\r\n" % len(packed[5:]) + packed[5:] + b"\r\n0\r\n\r\n"
+    raw = zlib.compressobj(wbits=-15)
+    deflated = raw.compress(b"raw deflate") + raw.flush()
+    cases = {
+        "latin": (b"Content-Type: text/html; charset=iso-8859-1", latin, "café", latin),
+        "meta": (b"Content-Type: text/html", japanese, "<meta charset='Shift_JIS'>日本", japanese),
+        "bom": (b"Content-Type: text/html; charset=latin-1", b"\xef\xbb\xbf\xc3\xa9", "é", b"\xef\xbb\xbf\xc3\xa9"),
+        "none": (b"Server: x", "é".encode(), "é", "é".encode()),
+        "unknown": (b"Content-Type: text/html; charset=klingon", "é\xff".encode("latin-1"), "\ufffd\ufffd", b"\xe9\xff"),
+        "gzip": (b"Content-Encoding: gzip\r\nTransfer-Encoding: chunked", chunked, "é zipped", packed),
+        "deflate": (b"content-encoding: deflate", deflated, "raw deflate", deflated),
+        "lying": (b"Content-Encoding: gzip", b"plain", "plain", b"plain"),
+        "cut": (b"Content-Encoding: gzip", gzip.compress(b"whole " * 9_000)[:60], None, gzip.compress(b"whole " * 9_000)[:60]),
+    }
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.warc.gz").write_bytes(b"".join(gzip.compress(record(k.encode(), head, body)) for k, (head, body, _, _) in cases.items()))
+    got = {r.record_id: r for r in warc.read_responses(spark, f"file://{tmp_path}/in").collect()}
+    for name, (_, _, text, payload) in cases.items():
+        assert got[name].payload_digest == "sha256:" + hashlib.sha256(payload).hexdigest(), name
+        assert got[name].payload == text if text is not None else got[name].payload.startswith("whole whole"), name
+    (tmp_path / "empty").mkdir()
+    assert warc.read_responses(spark, f"file://{tmp_path}/empty").collect() == []

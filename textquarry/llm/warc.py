@@ -21,8 +21,10 @@ empty table gives an empty result; other columns are ignored, whatever their nam
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -157,17 +159,80 @@ def _records(pieces: Iterator[tuple[str, bytes]]) -> Iterator[tuple[str, dict[by
     yield from done()
 
 
+_CHARSET = re.compile(rb"""charset\s*=\s*["']?\s*([\w.:-]+)""", re.I)
+_CHUNK = re.compile(rb"[ \t]*([0-9a-fA-F]+)[^\r\n]*\r?\n")
+BOMS = [(b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")]
+#: Bytes of a page in which a declaration of its charset is looked for.
+DECLARED = 1024
+
+
+def http_fields(head: bytes) -> dict[bytes, bytes]:
+    """Header fields by lowered name; of a name that repeats, the last."""
+    return {k.strip().lower(): v.strip() for k, colon, v in (line.partition(b":") for line in head.splitlines()[1:]) if colon}
+
+
+def unchunked(body: bytes) -> bytes:
+    """A chunked body without its sizes; what is no chunk ends it, and a body that has none stays."""
+    parts, at = [], 0
+    while m := _CHUNK.match(body, at):
+        n = int(m[1], 16)
+        if not n:
+            return b"".join(parts)
+        parts.append(body[m.end() : m.end() + n])
+        at = m.end() + n
+        at += 2 if body[at : at + 2] == b"\r\n" else body[at : at + 1] == b"\n"
+    return b"".join(parts) if parts else body
+
+
+def uncompressed(body: bytes, encodings: bytes) -> bytes:
+    """A body without its content encodings, the last applied first; up to where it is broken or cut, and as it is where an
+    encoding is not known or not what the body has."""
+    for name in reversed([e.strip().lower() for e in encodings.split(b",")]):
+        ways = {b"gzip": [31], b"x-gzip": [31], b"deflate": [15, -15]}.get(name, [])
+        for wbits in ways:
+            reader = zlib.decompressobj(wbits)
+            made = bytearray()
+            try:
+                for at in range(0, len(body), 1 << 16):
+                    made += reader.decompress(body[at : at + (1 << 16)])
+            except zlib.error:
+                if not made:
+                    continue
+            body = bytes(made)
+            break
+    return body
+
+
+def text_of(body: bytes, content_type: bytes) -> str:
+    """A body as text: by a byte order mark, the header's charset, the page's own, or as UTF-8; bytes that do not fit are replaced."""
+    for mark, name in BOMS:
+        if body.startswith(mark):
+            return body[len(mark) :].decode(name, "replace")
+    found = _CHARSET.search(content_type) or _CHARSET.search(body, 0, DECLARED)
+    try:
+        return body.decode(found[1].decode("ascii"), "replace") if found else body.decode("utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
+
+
 def _response(fields: dict[bytes, bytes], block: bytes) -> list[str | None]:
     head, blank, body = block.partition(b"\r\n\r\n")
     told = lambda name: fields[name].decode("utf-8", "replace") if name in fields else None
-    return [told(b"warc-record-id").strip("<>"), told(b"warc-target-uri"), told(b"warc-date"), head.decode("utf-8", "replace"), told(b"warc-payload-digest"), body.decode("utf-8", "replace") if blank else ""]
+    http = http_fields(head)
+    if b"chunked" in http.get(b"transfer-encoding", b"").lower():
+        body = unchunked(body)
+    # The payload is what the transfer carried; its digest is of these bytes, not of their text.
+    digest = told(b"warc-payload-digest") or "sha256:" + hashlib.sha256(body).hexdigest()
+    text = text_of(uncompressed(body, http.get(b"content-encoding", b"")), http.get(b"content-type", b"")) if blank else ""
+    return [told(b"warc-record-id").strip("<>"), told(b"warc-target-uri"), told(b"warc-date"), head.decode("utf-8", "replace"), digest, text]
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """Response records of gzipped WARC files: ``id`` (the record's identifier), ``record_id, target_uri, date,
     http_headers, payload_digest, payload, truncated``, as ``derivatives`` takes them.
 
-    A digest that the record lacks is taken of its payload.  Bodies are read as they are stored.
+    Bodies are freed of transfer and content encodings and read by their charset.  A digest that the record lacks is taken of
+    the payload's bytes.  A folder without such files has no records.
     """
     pieces = spark.read.option("lineSep", VERSION.decode()).option("pathGlobFilter", "*.gz").text(path)
     pieces = pieces.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece"))
@@ -181,8 +246,7 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
 
     # A gzipped file is read by one task from its start to its end, so its pieces come in order.
     found = pieces.mapInArrow(run, ", ".join(f"{f} string" for f in FIELDS) + ", truncated boolean")
-    digest = F.coalesce("payload_digest", _digest(F.col("payload")))
-    return found.select(F.col("record_id").alias("id"), "record_id", "target_uri", "date", "http_headers", digest.alias("payload_digest"), "payload", "truncated")
+    return found.select(F.col("record_id").alias("id"), *FIELDS, "truncated")
 
 
 def serialised_responses(found: DataFrame) -> DataFrame:
