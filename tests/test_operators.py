@@ -281,7 +281,7 @@ def test_answers_cite_the_files_they_come_from(spark, tmp_path):
     again = fresh.saved(str(tmp_path))  # into the folder it is read from
     assert key(again.chunks) == key(anew.chunks) and key(index.chunks) != key(anew.chunks)
     vectors = lambda df: sorted((r.id, [round(x, 9) for x in r.v]) for r in df.collect())
-    assert vectors(again.vectors) == vectors(anew.vectors) and key(Index.opened(spark, str(tmp_path)).chunks) == key(anew.chunks)
+    assert vectors(again.lists.vectors) == vectors(anew.lists.vectors) and key(Index.opened(spark, str(tmp_path)).chunks) == key(anew.chunks)
     try:
         within_cap(index.chunks, 3)
         raise AssertionError("the cap must hold")
