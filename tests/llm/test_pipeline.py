@@ -4,7 +4,7 @@ import public_tokenizers
 import tiktoken
 
 import corpus_pipeline as pipeline
-from textquarry.llm import mixing, pu_quality
+from textquarry.llm import pu_quality
 from textquarry.llm.queries import quality_labels
 
 from test_alike import alike_pairs, components
