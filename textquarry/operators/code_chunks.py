@@ -71,8 +71,8 @@ def _with_statements(large: DataFrame, facts: DataFrame) -> DataFrame:
     parts = facts.where("fact = 'statement'").select(F.col("path").alias("p"), F.col("name").alias("of"), F.col("start").alias("at"), F.col("end").alias("till"))
     held = (F.col("path") == F.col("p")) & (F.col("symbol_name") == F.col("of")) & F.col("at").between(F.col("start_line"), F.col("end_line"))
     functions = large.where(~F.col("symbol_kind").isin(CONTAINERS)).select(*own, "symbol_name", "start_line", "end_line")
-    ends = functions.join(parts, held).groupBy(*own).agg(F.array_sort(F.collect_set("till")).alias("ends"))
-    return large.join(ends, own, "left")
+    ends = functions.join(parts.hint("merge"), held).groupBy(*own).agg(F.array_sort(F.collect_set("till")).alias("ends"))
+    return large.join(ends.hint("merge"), own, "left")
 
 
 def _packed(functions: DataFrame, most: int) -> DataFrame:
@@ -89,17 +89,21 @@ def _packed(functions: DataFrame, most: int) -> DataFrame:
 
 
 def definition_chunks(files: DataFrame, facts: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """``path, symbol_name, symbol_kind, parent_symbol, start_line, end_line, content`` of all sources."""
+    """``path, symbol_name, symbol_kind, parent_symbol, start_line, end_line, content`` of all sources.
+
+    Facts are written, so that sources are parsed once.  No join is a broadcast: Spark would judge by the size of the
+    compressed table that files come from, which says little about their lines and symbols.
+    """
     sources = files.where(detect_language(F.col("path")).isin(DEFINED))
+    facts = written(facts.where("fact IN ('symbol', 'statement')"), "definitions")
     symbols = facts.where("fact = 'symbol'").select("path", "kind", "name", "parent", "start", "end").withColumn("range_id", F.xxhash64("path", "start", "end", "name"))
-    lines = lines_of(sources.join(symbols.select("path").distinct(), "path", "left_semi"), "path")
-    owned = smallest_enclosing(lines.select("path", F.col("line").alias("point_id"), "line"), symbols, "path").select("path", "line", "range_id")
+    lines = lines_of(sources.join(symbols.select("path").distinct().hint("merge"), "path", "left_semi"), "path")
     # Blocks of one file may share a name: what lies in a block is its own.
     child = symbols.select(F.col("path").alias("p"), F.col("parent").alias("n"), F.col("start").alias("at"))
     holds = (F.col("path") == F.col("p")) & (F.col("name") == F.col("n")) & F.col("at").between(F.col("start"), F.col("end"))
-    inner = symbols.where(F.col("kind").isin(CONTAINERS)).join(child, holds).groupBy("range_id").agg(F.min("at").alias("inner"))
-    known = symbols.join(inner, "range_id", "left").drop("path")
-    rows = lines.join(owned, ["path", "line"]).join(known, "range_id", "left")
+    inner = symbols.where(F.col("kind").isin(CONTAINERS)).join(child.hint("merge"), holds).groupBy("range_id").agg(F.min("at").alias("inner"))
+    known = symbols.join(inner.hint("merge"), "range_id", "left")
+    rows = smallest_enclosing(lines.select("path", F.col("text").alias("point_id"), "line"), known, "path", "name", "kind", "parent", "inner").withColumnRenamed("point_id", "text")
     defined = rows.where("range_id IS NOT NULL AND (inner IS NULL OR line < inner)")
     named = _pieces(defined, "path", "range_id", "name", "kind", "parent").select("path", "range_id", F.col("name").alias("symbol_name"), F.col("kind").alias("symbol_kind"), F.col("parent").alias("parent_symbol"), "start_line", "end_line", "content")
     rest = rows.where("range_id IS NULL").withColumn("island", F.col("line") - F.row_number().over(Window.partitionBy("path").orderBy("line")))
@@ -113,6 +117,6 @@ def definition_chunks(files: DataFrame, facts: DataFrame, max_tokens: int = MAX_
     large = large.where("ends IS NULL").withColumnsRenamed({"content": "text", "start_line": "top"})
     cut = window_chunks(large, "path", "symbol_name", "symbol_kind", "parent_symbol", "top", size=most)
     cut = cut.withColumn("start_line", F.col("start_line") + F.col("top") - 1).withColumn("end_line", F.col("end_line") + F.col("top") - 1)
-    plain = window_chunks(sources.join(symbols.select("path").distinct(), "path", "left_anti"), "path")
+    plain = window_chunks(sources.join(symbols.select("path").distinct().hint("merge"), "path", "left_anti"), "path")
     plain = plain.select("path", none.alias("symbol_name"), F.lit("module").alias("symbol_kind"), none.alias("parent_symbol"), "start_line", "end_line", "content")
     return small.unionByName(packed.select(*COLUMNS)).unionByName(cut.select(*COLUMNS)).unionByName(plain)

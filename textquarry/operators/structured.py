@@ -27,15 +27,17 @@ def references(refs: DataFrame, symbols: DataFrame, files: DataFrame, names: Dat
     return refs.join(target.join(names, "name"), "resolved_symbol_id").join(place, "from_file_id").join(caller, "from_symbol_id", "left")
 
 
-def smallest_enclosing(points: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
-    """For ``points(key, point_id, line)`` the smallest of ``ranges(key, range_id, start, end)`` around it.
+def smallest_enclosing(points: DataFrame, ranges: DataFrame, key: str, *more: str) -> DataFrame:
+    """For ``points(key, point_id, line)`` the smallest of ``ranges(key, range_id, start, end)`` around it, with ``more`` columns of it.
 
     Ranges are laid out over their lines, of which each keeps the smallest, so the join is by key and line: a file
     with very many lines and ranges is as many groups, and no point meets a range that does not hold it.
     """
-    laid = ranges.where("start <= end").select(F.col(key).alias("of"), F.explode(F.sequence("start", "end")).alias("at"), F.struct((F.col("end") - F.col("start")).alias("size"), "start", "range_id").alias("r"))
+    laid = ranges.where("start <= end").select(F.col(key).alias("of"), F.explode(F.sequence("start", "end")).alias("at"), F.struct((F.col("end") - F.col("start")).alias("size"), "start", "range_id", *more).alias("r"))
     best = laid.groupBy("of", "at").agg(F.min("r").alias("r"))
-    return points.join(best, (F.col(key) == F.col("of")) & (F.col("line") == F.col("at")), "left").select(key, "point_id", "line", F.col("r.range_id").alias("range_id"))
+    # Never broadcast: ranges of a small compressed table are many times what its size tells.
+    found = points.join(best.hint("merge"), (F.col(key) == F.col("of")) & (F.col("line") == F.col("at")), "left")
+    return found.select(key, "point_id", "line", F.col("r.range_id").alias("range_id"), *[F.col(f"r.{c}").alias(c) for c in more])
 
 
 def resolved(calls: DataFrame, symbols: DataFrame) -> DataFrame:
