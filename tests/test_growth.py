@@ -28,3 +28,22 @@ def test_chunks_of_equal_lines(spark):
     got = code_chunks.definition_chunks(python_files(spark, 3), source_facts.source_facts(python_files(spark, 3)))
     rows = sorted((r.path, r.symbol_name or "", r.symbol_kind, r.start_line, r.end_line, r.content) for r in got.collect())
     assert rows == [x for i in range(3) for x in ((f"f{i}.py", "", "module", 5, 5, "d()"), (f"f{i}.py", "A", "class", 1, 1, "class A:"), (f"f{i}.py", "b", "function", 2, 3, "    def b(self):\n        c()"))]
+
+
+def test_parsing_is_dealt_over_tasks(spark):
+    """A table of one partition does not make one task of all parsing."""
+    files = python_files(spark, 400)
+    for facts in (ex.python_facts(files), source_facts.source_facts(files)):
+        assert facts.where("fact = 'symbol'").groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_table_functions_are_dealt_over_tasks(spark):
+    for name in ("table_symbols", "table_calls", "table_endpoints", "table_chunks"):
+        assert catalogue.queries()[name](spark, SF).groupBy(F.spark_partition_id()).count().count() > 1, name
+
+
+def test_a_worker_hands_on_bounded_batches():
+    """One batch of files may hold any number of facts."""
+    facts = (("f.py", "call", None, str(i), None, 1, 1, None, None, None) for i in range(3 * ex.HELD_FACTS + 1))
+    assert [b.num_rows for b in ex.fact_batches(facts)] == [ex.HELD_FACTS] * 3 + [1]
+    assert list(ex.fact_batches(iter(()))) == []

@@ -9,13 +9,14 @@ from __future__ import annotations
 import ast
 import tomllib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import controller_route, join_route, one_break, pep508_name, pep508_version, redact_secrets
-from ..sources.files import base_name, detect_language, lines_of, safe_path
+from ..sources.files import base_name, detect_language, lines_of, safe_path, spread
 from ..sources.yaml_files import yaml_as_json
 from .spring import spring_routes
 
@@ -285,6 +286,16 @@ FACT_TYPES = [pa.string()] * 5 + [pa.int64()] * 2 + [pa.string(), pa.bool_(), pa
 VERBS = {"get", "post", "put", "patch", "delete", "options", "head"}
 
 
+#: Facts that a Python worker holds at most before it hands them on.
+HELD_FACTS = 4096
+
+
+def fact_batches(facts: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Facts as batches of bounded length, whatever number of files they come from."""
+    while rows := list(islice(facts, HELD_FACTS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), FACT_TYPES)], list(FACTS))
+
+
 def facts_of_python(text: str) -> Iterator[tuple]:
     """``fact, kind, name, parent, start, end, extra, exported, docstring`` of one source: symbols, calls, endpoints, and the
     statements that make up a function's body."""
@@ -338,18 +349,21 @@ def facts_of_python(text: str) -> Iterator[tuple]:
 
 def python_facts(files: DataFrame) -> DataFrame:
     """All facts of Python sources in one parse; a source that does not parse has none."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            rows = []
-            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for path, text in zip(*batch.columns):
                 try:
-                    rows += [(path, *fact) for fact in facts_of_python(text)]
+                    own = list(facts_of_python(text.as_py()))  # before any is handed on: a file has all or none
                 except (SyntaxError, ValueError, RecursionError):
                     continue
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(FACT_TYPES), FACT_TYPES)], list(FACTS))
+                yield from ((path.as_py(), *fact) for fact in own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fact_batches(found(batches))
 
     rows = files.where(detect_language(F.col("path")) == "python").select("path", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"`{name}` {type_}" for name, type_ in FACTS.items()))
+    return spread(rows).mapInArrow(run, ", ".join(f"`{name}` {type_}" for name, type_ in FACTS.items()))
 
 
 def symbols(facts: DataFrame) -> DataFrame:

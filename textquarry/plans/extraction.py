@@ -9,6 +9,7 @@ from ..functions import tables
 from ..operators import code_chunks as cc
 from ..operators import extraction as ex
 from ..operators import source_facts as sf
+from ..sources.files import spread
 from .catalogue import Tables, sql_of
 from .catalogue import query as registered
 
@@ -219,7 +220,7 @@ def source_chunks(t: Tables) -> DataFrame:
 def _over(t: Tables, name: str, files: DataFrame, columns: str) -> DataFrame:
     """A table function by name, in SQL, over files."""
     tables.register(t.spark)
-    return t.spark.sql(f"SELECT {columns} FROM {name}(TABLE(SELECT * FROM {{files}}))", files=files)
+    return t.spark.sql(f"SELECT {columns} FROM {name}(TABLE(SELECT * FROM {{files}}))", files=spread(files))
 
 
 @registered(sql_of("source_symbols"))

@@ -201,6 +201,11 @@ def read_slices(files: DataFrame, requests: DataFrame, most: int = 400, redact:
     return rows.select("path", "start", "end", "reason", "first", F.posexplode_outer(cut).alias("at", "text")).select("path", "start", "end", "reason", (F.col("first") + F.col("at")).cast("long").alias("line"), (F.col("text") if redact is None else redact(F.col("text"))).alias("text"))
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """Files dealt by path over all tasks: texts that are made from a small table lie in few partitions, and parsing them is the work."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+
+
 def safe_path(path: Column) -> Column:
     """A relative path with ``.`` and ``..`` folded; null if it is absolute or leaves its root."""
     parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
