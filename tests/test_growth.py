@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from textquarry.operators import code_chunks, source_facts
+from textquarry.operators import code_chunks, source_facts, structured
 from textquarry.operators import extraction as ex
 from textquarry.plans import catalogue
 
@@ -47,3 +47,12 @@ def test_a_worker_hands_on_bounded_batches():
     facts = (("f.py", "call", None, str(i), None, 1, 1, None, None, None) for i in range(3 * ex.HELD_FACTS + 1))
     assert [b.num_rows for b in ex.fact_batches(facts)] == [ex.HELD_FACTS] * 3 + [1]
     assert list(ex.fact_batches(iter(()))) == []
+
+
+def test_located_ranks_names_not_definitions(spark):
+    """A name with very many definitions is chosen without a window over them."""
+    candidates = spark.createDataFrame([(1, 0, "none"), (1, 1, "a"), (1, 2, "b"), (2, 0, "b"), (3, 0, "none")], "q int, priority int, name string")
+    symbols = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "name string, symbol_id int")
+    found = structured.located(candidates, symbols)
+    assert sorted(map(tuple, found.select("q", "name", "symbol_id").collect())) == [(1, "a", 1), (1, "a", 2), (2, "b", 3)]
+    assert "Window" not in plan_of(found)

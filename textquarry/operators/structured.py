@@ -15,8 +15,10 @@ def definitions(symbols: DataFrame, files: DataFrame, names: DataFrame) -> DataF
 
 def located(candidates: DataFrame, symbols: DataFrame) -> DataFrame:
     """Of ``candidates(q, priority, name)`` the first name that has a definition, with all of them."""
-    first = F.dense_rank().over(Window.partitionBy("q").orderBy("priority"))
-    return candidates.join(symbols, "name").withColumn("at", first).where("at = 1").drop("at")
+    # The names are chosen before they meet their definitions, of which one name may have any number.
+    defined = candidates.join(symbols.select("name").distinct(), "name", "left_semi")
+    first = defined.groupBy("q").agg(F.min("priority").alias("priority"))
+    return defined.join(first, ["q", "priority"]).join(symbols, "name")
 
 
 def references(refs: DataFrame, symbols: DataFrame, files: DataFrame, names: DataFrame) -> DataFrame:
