@@ -56,3 +56,11 @@ def test_located_ranks_names_not_definitions(spark):
     found = structured.located(candidates, symbols)
     assert sorted(map(tuple, found.select("q", "name", "symbol_id").collect())) == [(1, "a", 1), (1, "a", 2), (2, "b", 3)]
     assert "Window" not in plan_of(found)
+
+
+def test_manifest_group_takes_whole_brands(spark):
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    got = catalogue.queries()["manifest_group"](spark, SF)
+    assert sorted(r.manifest for r in got.collect()) == sorted(r.p_brand for r in part.select("p_brand").distinct().collect())
+    rows = spark.createDataFrame([("m", "b"), ("m", "a"), ("m", "b"), ("m", None), ("m", "")], "manifest string, name string")
+    assert [tuple(r) for r in structured.by_manifest(rows).collect()] == [("m", 5, ", a, b, b")]

@@ -74,9 +74,14 @@ def nearest_start(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFra
 
 
 def by_manifest(dependencies: DataFrame) -> DataFrame:
-    """``manifest, n, names``: dependencies grouped by manifest, names in order."""
-    names = F.array_join(F.array_sort(F.collect_list("name")), ", ")
-    return dependencies.groupBy("manifest").agg(F.count(F.lit(1)).alias("n"), names.alias("names"))
+    """``manifest, n, names``: dependencies grouped by manifest, names in order.
+
+    Equal names are counted before they move; a manifest gathers its different names and repeats them in its text alone.
+    """
+    counted = dependencies.groupBy("manifest", "name").agg(F.count(F.lit(1)).alias("times"))
+    each = F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "times"))))
+    names = F.array_join(F.transform(each, lambda x: F.substring(F.repeat(F.concat(F.lit(", "), x["name"]), x["times"].cast("int")), 3, (1 << 31) - 1)), ", ")
+    return counted.groupBy("manifest").agg(F.sum("times").alias("n"), names.alias("names"))
 
 
 def best_summary(summaries: DataFrame, paths: DataFrame) -> DataFrame:
