@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from textquarry.operators import code_chunks, source_facts, structured
+from textquarry.operators import code_chunks, graph, source_facts, structured
 from textquarry.operators import extraction as ex
 from textquarry.plans import catalogue
 
@@ -64,3 +64,15 @@ def test_manifest_group_takes_whole_brands(spark):
     assert sorted(r.manifest for r in got.collect()) == sorted(r.p_brand for r in part.select("p_brand").distinct().collect())
     rows = spark.createDataFrame([("m", "b"), ("m", "a"), ("m", "b"), ("m", None), ("m", "")], "manifest string, name string")
     assert [tuple(r) for r in structured.by_manifest(rows).collect()] == [("m", 5, ", a, b, b")]
+
+
+def test_reach_unites_paths_before_they_move(spark):
+    """Negative and far numbers, edges of a set's block, hops by many paths."""
+    pairs = [(s, m) for s in (-300, -1, 0, 63, 64, 255, 256, 1 << 40) for m in range(1000, 1040)]
+    edges = spark.createDataFrame(pairs + [(m, s) for s, m in pairs], "src long, dst long")
+    seeds = spark.createDataFrame([(-300,), (64,), (7,)], "seed long")
+    want = {(s, s, 0) for s in (-300, 64, 7)} | {(s, m, 1) for s in (-300, 64) for m in range(1000, 1040)}
+    want |= {(s, d, 2) for s in (-300, 64) for d, _ in pairs if d != s}
+    found = graph.reach(seeds, edges, 3)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert set(graph._sets(edges, "src", "dst").columns) == {"src", "block", *graph._WORDS}
