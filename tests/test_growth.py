@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from textquarry.operators import code_chunks, graph, source_facts, structured
+from textquarry.operators import code_chunks, graph, retrieval, source_facts, structured
 from textquarry.operators import extraction as ex
 from textquarry.plans import catalogue
 
@@ -76,3 +76,24 @@ def test_reach_unites_paths_before_they_move(spark):
     found = graph.reach(seeds, edges, 3)
     assert sorted(map(tuple, found.collect())) == sorted(want)
     assert set(graph._sets(edges, "src", "dst").columns) == {"src", "block", *graph._WORDS}
+
+
+def test_bm25_of_few_questions_joins_no_postings(spark, monkeypatch):
+    """Terms of rows stay in their task; what is found equals the join of postings, for phrases, ties, odd texts and repeated names."""
+    texts = [None, "", "get_user", "a get user_b get_user", "A b a b", "a b", "b a", "é ² 中文 a", "c " * 40 + "get", *["a b"] * 30]
+    rows = spark.createDataFrame([(i, t, "a_b" if i % 3 else None) for i, t in enumerate(texts)], "id long, content string, symbol_name string")
+    asked = spark.createDataFrame([("x", "get_user a"), ("y", "a A b"), ("z", "a_b"), ("none", "!"), ("far", "zzz"), ("w", "中文 ² é c_c")], "q string, question string")
+
+    def shown(df):
+        return sorted((r.q, r.rank, r.id, round(r.score, 9)) for r in df.collect())
+
+    twice = rows.unionByName(rows.where("id = 5"))
+    found = retrieval.bm25(rows, asked, 4)
+    assert "SortMergeJoin" not in plan_of(found) and "posexplode" not in plan_of(found)
+    got, again, empty = shown(found), shown(retrieval.bm25(twice, asked, 4)), shown(retrieval.bm25(rows.limit(0), asked))
+    monkeypatch.setattr(retrieval, "HELD_TERMS", 3)
+    monkeypatch.setattr(retrieval, "DENSE", 8)
+    assert shown(retrieval.bm25(rows, asked, 4)) == got
+    monkeypatch.setattr(retrieval, "CELLS", 0)
+    assert got == shown(retrieval.bm25(rows, asked, 4)) and len(got) > 9
+    assert again == shown(retrieval.bm25(twice, asked, 4)) and empty == []

@@ -6,9 +6,16 @@ broadcast is Spark's decision by their measured size, never assumed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 # Parameters of the ranking functions.
 K1, B = 1.2, 0.75
 WEIGHTS = {"content": 1.0, "symbol_name": 2.0, "path": 0.5}
@@ -89,9 +96,126 @@ def bm25_over(posted: DataFrame, stats: DataFrame, questions: DataFrame, k: int
     return total.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("q", F.col("rank").cast("long").alias("rank"), "id", "score")
 
 
+#: A batch of questions counts as small by the cells of its table of questions and phrases; entries of a table that a task makes at a time.
+CELLS, DENSE = 1 << 20, 1 << 22
+#: Terms of rows that a worker takes at a time.
+HELD_TERMS = 1 << 20
+#: Slack of scores, above rounding to nine places.
+SLACK = 2e-9
+
+
 def bm25(rows: DataFrame, questions: DataFrame, k: int = 10, weights: dict[str, float] | None = None) -> DataFrame:
-    """The same over ``rows(id, ...)`` that have no stored postings; only terms that some question has move."""
-    return bm25_over(postings(rows, weights), collection_stats(rows, weights), questions, k)
+    """The same over ``rows(id, ...)`` that have no stored postings.
+
+    For a small batch of questions a row's terms stay in its task: the row is cut to the phrases that it holds, and a table of
+    rows and phrases times one of phrases and questions gives its scores.  Many questions, or rows that share an ``id``, are joined.
+    """
+    asked = query_phrases(questions)
+    few = asked.limit(CELLS + 1).collect()
+    if not few or len(few) > CELLS or len({r.q for r in few}) * len({tuple(r.phrase) for r in few}) > CELLS:
+        return bm25_over(postings(rows, weights), collection_stats(rows, weights), questions, k)
+    phrases = sorted({tuple(r.phrase) for r in few})
+    held = written(held_phrases(rows, phrases, weights), "held")
+    stats = held.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"), F.count_distinct("id").alias("ids"), F.count_if(F.col("id").isNull()).alias("nameless")).first()
+    if stats.ids + stats.nameless < stats.n or stats.nameless > 1:
+        return bm25_over(postings(rows, weights), collection_stats(rows, weights), questions, k)
+    df = np.zeros(len(phrases))
+    for r in held.select(F.explode("phrases").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("df")).collect():  # a row a phrase
+        df[r.p] = r.df
+    total = best_held(held, few, phrases, stats.n, stats.avgdl or 1.0, df, k)
+    asking = rows.sparkSession.createDataFrame(list(enumerate(dict.fromkeys(r.q for r in few))), f"place int, q {questions.schema['q'].dataType.simpleString()}")
+    total = total.join(F.broadcast(asking), "place").select("q", "id", "score")  # a row a question, of a small batch
+    best = Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "id")
+    return total.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("q", F.col("rank").cast("long").alias("rank"), "id", "score")
+
+
+def held_phrases(rows: DataFrame, phrases: list[tuple[str, ...]], weights: dict[str, float] | None = None) -> DataFrame:
+    """``id, len, phrases, tf``: of every row its length in terms, the numbers of the phrases that it holds and their weighted counts."""
+    weights = weights or WEIGHTS
+    columns = [c for c in weights if c in rows.columns]
+    terms = pa.array(sorted({t for p in phrases for t in p}), pa.string())
+    number = {t: i for i, t in enumerate(terms.to_pylist())}
+    single = np.full(len(terms) + 1, -1)
+    for i, p in enumerate(phrases):
+        if len(p) == 1:
+            single[number[p[0]]] = i
+    longer: dict[int, list[tuple[int, list[int]]]] = {}
+    for i, p in enumerate(phrases):
+        if len(p) > 1:
+            longer.setdefault(number[p[0]], []).append((i, [number[t] for t in p]))
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def found(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and phrases, one for each place where a phrase begins."""
+        lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+        own = np.repeat(np.arange(len(column)), lengths)
+        codes = pc.fill_null(pc.index_in(column.flatten(), value_set=terms), len(terms)).to_numpy(zero_copy_only=False)
+        at, what = [np.arange(len(codes))], [single[codes]]
+        for first, several in longer.items():
+            begins = np.flatnonzero(codes == first)
+            for phrase, parts in several:
+                here = begins[begins + len(parts) <= len(codes)]
+                for i, part in enumerate(parts):
+                    here = here[(codes[here + i] == part) & (own[here + i] == own[here])]
+                at.append(here)
+                what.append(np.full(len(here), phrase))
+        at, what = np.concatenate(at), np.concatenate(what)
+        return own[at[what >= 0]], what[what >= 0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = sum(pc.list_value_length(batch.column(i + 1)).to_numpy(zero_copy_only=False).astype("i8") for i in range(len(columns)))
+            upto = np.cumsum(lengths) // HELD_TERMS
+            edges = [0, *(np.flatnonzero(upto[1:] != upto[:-1]) + 1).tolist(), batch.num_rows]
+            for start, stop in zip(edges, edges[1:]):
+                if start == stop:
+                    continue
+                part = batch.slice(start, stop - start)
+                pairs, w = [], []
+                for i, c in enumerate(columns):
+                    own, what = found(part.column(i + 1))
+                    pairs.append(own * len(phrases) + what)
+                    w.append(np.full(len(own), float(weights[c])))
+                pair, inverse = np.unique(np.concatenate(pairs), return_inverse=True)
+                tf = np.bincount(inverse, np.concatenate(w), len(pair))
+                pair, tf = pair[tf > 0], tf[tf > 0]
+                offsets = pa.array(np.searchsorted(pair, np.arange(part.num_rows + 1) * len(phrases)).astype("i4"))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((pair % len(phrases)).astype("i4"), tf)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths[start:stop].astype("i4")), *lists], ["id", "len", "phrases", "tf"])
+
+    found_terms = rows.select("id", *[tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"terms{i}") for i, c in enumerate(columns)])
+    return found_terms.mapInArrow(run, f"id {id_type}, len int, phrases array<int>, tf array<double>")
+
+
+def best_held(held: DataFrame, asked: list[Row], phrases: list[tuple[str, ...]], n: int, avgdl: float, df: np.ndarray, k: int) -> DataFrame:
+    """``place, id, score``: for each question, by its place among those of ``asked``, the rows that may be among its best ``k``."""
+    odds = np.log((n - df + 0.5) / (df + 0.5))
+    idf = np.where(odds > 0, odds, 1e-6)
+    places = {q: i for i, q in enumerate(dict.fromkeys(r.q for r in asked))}
+    number = {p: i for i, p in enumerate(phrases)}
+    times = np.zeros((len(phrases), len(places)))
+    for r in asked:
+        times[number[tuple(r.phrase)], places[r.q]] = r.times
+    step = max(1, DENSE // max(times.shape))
+    id_type = held.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                sizes = pc.list_value_length(part.column(2)).to_numpy(zero_copy_only=False)
+                own = np.repeat(np.arange(part.num_rows), sizes)
+                what, tf = (part.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3))
+                length = part.column(1).to_numpy(zero_copy_only=False)[own]
+                table = np.zeros((part.num_rows, len(phrases)))
+                table[own, what] = idf[what] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avgdl))
+                scores = table @ times
+                # Ties at the k-th place stay; ``id`` decides when all rows are known.
+                last = np.partition(scores, -k, axis=0)[-k] if k < len(scores) else np.zeros(len(places))
+                row, place = np.nonzero((scores > 0) & (scores >= last - SLACK))
+                yield pa.RecordBatch.from_arrays([pa.array(place.astype("i4")), part.column(0).take(pa.array(row)), pa.array(scores[row, place])], ["place", "id", "score"])
+
+    return held.mapInArrow(run, f"place int, id {id_type}, score double")
 
 
 def normalised(vector: Column) -> Column:
