@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from textquarry.operators import code_chunks, graph, retrieval, source_facts, structured
+from textquarry.operators import code_chunks, graph, index, retrieval, segments, source_facts, structured
 from textquarry.operators import extraction as ex
 from textquarry.plans import catalogue
 
@@ -97,3 +97,29 @@ def test_bm25_of_few_questions_joins_no_postings(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "CELLS", 0)
     assert got == shown(retrieval.bm25(rows, asked, 4)) and len(got) > 9
     assert again == shown(retrieval.bm25(twice, asked, 4)) and empty == []
+
+
+def test_a_new_index_redacts_once_and_lays_out_no_postings(spark, monkeypatch):
+    """Words of an index that is not stored are searched where they are; stored, it finds the same, copies of a chunk too."""
+    labels = []
+    for module in (index, segments):
+        monkeypatch.setattr(module, "written", lambda df, label, f=module.written: labels.append(label) or f(df, label))
+    texts = ["# A\n" + "abcd efgh ijkl\n" * 9, "ab cd efgh " * 700, "".join(f"word{i % 26} " for i in range(3000)), "x" * 9000]
+    files = spark.createDataFrame([(f"d{i}.txt" if i else "a.md", t, str(i), t.count("\n") + 1) for i, t in enumerate(texts)], "path string, text string, content_hash string, loc long")
+    made = index.Index.build(files)
+    assert labels.count("clean") == 1 and "blocks" not in labels
+    asked = spark.createDataFrame([(1, "efgh abcd"), (2, "word3 ab"), (3, "x" * 1500)], "q long, question string")
+    shown = lambda df: sorted((r.q, r.rank, r.id, round(r.score, 9)) for r in df.collect())
+    once = retrieval.bm25(index._searched(made.chunks), asked, once=True)
+    assert shown(once) == shown(made.segments().bm25(asked)) and "blocks" in labels
+    assert made.chunks.count() > made.chunks.select("chunk_id").distinct().count()
+
+
+def test_words_of_vectors_stay_in_their_task(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "A b a"), (1, "c"), (2, " "), (3, None), (4, "é x y"), (5, "a b a c")], "id long, text string")
+    found = retrieval.hash_vectors(rows, "id", 4)
+    assert "explode" not in plan_of(found)
+    got = {r.id: r.v for r in found.collect()}
+    assert set(got) == {1, 4, 5} and got[1] == got[5]
+    monkeypatch.setattr(retrieval, "HELD_TERMS", 2)
+    assert {r.id: r.v for r in retrieval.hash_vectors(rows, "id", 4).collect()} == got

@@ -46,7 +46,8 @@ class Index:
 
     ``files`` has ``path, text, content_hash, loc``; ``chunks`` has ``chunk_id``, the columns of ``CHUNK``, ``header``
     and ``tokens``; ``facts`` are those of sources in all languages that are known; ``edges`` has ``src, dst, kind, ord``
-    over chunks; ``lists`` are inverted lists of vectors, ``postings`` segments of words.
+    over chunks; ``lists`` are inverted lists of vectors, ``postings`` segments of words.  An index that was never stored has
+    no segments yet: its words are searched where they are, and are laid out when it is saved or refreshed.
     """
 
     files: DataFrame
@@ -54,7 +55,7 @@ class Index:
     facts: DataFrame
     edges: DataFrame
     lists: vector_lists.Lists
-    postings: Segments
+    postings: Segments | None
 
     @classmethod
     def build(cls, files: DataFrame, redact: Callable[[Column], Column] | None = fn.redact_secrets, most: int | None = None) -> Index:
@@ -62,13 +63,17 @@ class Index:
 
         With ``most`` an index of more chunks is refused before anything is made of them.
         """
-        clean = files if redact is None else files.withColumn("text", redact(F.col("text")))
+        # Written, as each kind of chunk reads it: redaction is the dearest step and runs once.
+        clean = files if redact is None else written(files.withColumn("text", redact(F.col("text"))), "clean")
         facts = written(source_facts.source_facts(clean), "facts")
         chunks = written(chunks_of(clean, facts), "chunks")
         if most is not None:
             within_cap(chunks, most)
         edges = written(edges_of(chunks, facts), "edges")
-        return cls(files, chunks, facts, edges, vector_lists.built(vectors_of(chunks)), Segments.of(_searched(chunks)))
+        return cls(files, chunks, facts, edges, vector_lists.built(written(vectors_of(chunks), "vectors")), None)
+
+    def segments(self) -> Segments:
+        return Segments.of(_searched(self.chunks)) if self.postings is None else self.postings
 
     def refreshed(self, files: DataFrame, redact: Callable[[Column], Column] | None = fn.redact_secrets) -> Index:
         """The index of a new snapshot.  Chunks, vectors and facts of unchanged files are kept; new chunks are a segment of
@@ -82,7 +87,7 @@ class Index:
         fresh = vectors_of(chunks.join(vectors.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti"))
         centres = vector_lists.centres_of(self.lists)
         lists = vector_lists.built(kept.unionByName(fresh), centres if len(centres) else None)
-        return Index(files, chunks, facts, written(edges_of(chunks, facts), "edges"), lists, self.postings.refreshed(_searched(chunks)))
+        return Index(files, chunks, facts, written(edges_of(chunks, facts), "edges"), lists, self.segments().refreshed(_searched(chunks)))
 
     def saved(self, folder: str, batch: int | None = None, before_commit: Callable[[], None] | None = None) -> Index:
         """Written as Parquet in a folder of its own and read back; segments that are stored already stay where they are.
@@ -98,7 +103,7 @@ class Index:
         self.lists.vectors.repartitionByRange("block").sortWithinPartitions("block").write.parquet(f"{path}/vectors")
         self.lists.cells.write.parquet(f"{path}/cells")
         self.lists.centroids.write.parquet(f"{path}/centroids")
-        version = [(time.time_ns(), path, self.postings.saved(folder), batch)]
+        version = [(time.time_ns(), path, self.segments().saved(folder), batch)]
         if before_commit is not None:
             before_commit()
         spark.createDataFrame(version, "at long, path string, postings string, batch long").coalesce(1).write.mode("append").parquet(f"{folder}/versions")
@@ -127,9 +132,10 @@ class Index:
         return summaries.hierarchy(summaries.file_summaries(self.files), depth)
 
     def search(self, questions: DataFrame, k: int = 10, top: int = 30) -> DataFrame:
-        """``q, rank, id, score``: BM25 over stored postings and nearest hashed vectors, fused."""
+        """``q, rank, id, score``: BM25, over postings if there are any, and nearest hashed vectors, fused."""
         asked = retrieval.hash_vectors(questions.select("q", F.col("question").alias("text")), "q")
-        return retrieval.reciprocal_rank_fusion([vector_lists.search(self.lists, asked, k), self.postings.bm25(questions, k)], top)
+        words = retrieval.bm25(_searched(self.chunks), questions, k, once=True) if self.postings is None else self.postings.bm25(questions, k)
+        return retrieval.reciprocal_rank_fusion([vector_lists.search(self.lists, asked, k), words], top)
 
     def contexts(self, questions: DataFrame, k: int = 10, hops: int = graph.HOPS, budget: int = graph.BUDGET) -> DataFrame:
         """``q, rank, id``: what is found, and after it the chunks that calls and headers link to it, within a budget."""

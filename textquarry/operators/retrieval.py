@@ -6,6 +6,7 @@ broadcast is Spark's decision by their measured size, never assumed.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,21 +105,36 @@ HELD_TERMS = 1 << 20
 SLACK = 2e-9
 
 
-def bm25(rows: DataFrame, questions: DataFrame, k: int = 10, weights: dict[str, float] | None = None) -> DataFrame:
+def bm25(rows: DataFrame, questions: DataFrame, k: int = 10, weights: dict[str, float] | None = None, once: bool = False) -> DataFrame:
     """The same over ``rows(id, ...)`` that have no stored postings.
 
     For a small batch of questions a row's terms stay in its task: the row is cut to the phrases that it holds, and a table of
-    rows and phrases times one of phrases and questions gives its scores.  Many questions, or rows that share an ``id``, are joined.
+    rows and phrases times one of phrases and questions gives its scores.  Many questions are joined, as are different rows
+    that share an ``id``.  Copies of a row add up; with ``once`` they are one row of the collection, as in stored postings.
     """
+
+    def joined() -> DataFrame:
+        posted = postings(rows, weights)
+        if not once:
+            return bm25_over(posted, collection_stats(rows, weights), questions, k)
+        lengths = posted.select("id", "len").distinct()
+        return bm25_over(posted, lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl")), questions, k)
+
     asked = query_phrases(questions)
     few = asked.limit(CELLS + 1).collect()
     if not few or len(few) > CELLS or len({r.q for r in few}) * len({tuple(r.phrase) for r in few}) > CELLS:
-        return bm25_over(postings(rows, weights), collection_stats(rows, weights), questions, k)
+        return joined()
     phrases = sorted({tuple(r.phrase) for r in few})
+    counts = [F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"), (F.count_distinct("id") + F.max(F.col("id").isNull().cast("int"))).alias("ids")]
     held = written(held_phrases(rows, phrases, weights), "held")
-    stats = held.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"), F.count_distinct("id").alias("ids"), F.count_if(F.col("id").isNull()).alias("nameless")).first()
-    if stats.ids + stats.nameless < stats.n or stats.nameless > 1:
-        return bm25_over(postings(rows, weights), collection_stats(rows, weights), questions, k)
+    stats = held.agg(*counts).first()
+    if stats.n and stats.ids < stats.n:
+        copies = held.groupBy("id", "len", "phrases", "tf").agg(F.count(F.lit(1)).alias("copies"))
+        held = written(copies.select("id", "len", "phrases", F.transform("tf", lambda x: x * F.col("copies")).alias("tf")), "held")
+        merged = held.agg(*counts).first()
+        if merged.ids < merged.n:
+            return joined()
+        stats = merged if once else stats
     df = np.zeros(len(phrases))
     for r in held.select(F.explode("phrases").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("df")).collect():  # a row a phrase
         df[r.p] = r.df
@@ -129,6 +145,17 @@ def bm25(rows: DataFrame, questions: DataFrame, k: int = 10, weights: dict[str,
     return total.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("q", F.col("rank").cast("long").alias("rank"), "id", "score")
 
 
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype("i8")
+
+
+def held_parts(batch: pa.RecordBatch, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A batch by about ``HELD_TERMS``; ``lengths`` are the terms of its rows."""
+    upto = np.cumsum(lengths) // HELD_TERMS
+    edges = [0, *(np.flatnonzero(upto[1:] != upto[:-1]) + 1).tolist(), batch.num_rows]
+    return (batch.slice(start, stop - start) for start, stop in zip(edges, edges[1:]) if start < stop)
+
+
 def held_phrases(rows: DataFrame, phrases: list[tuple[str, ...]], weights: dict[str, float] | None = None) -> DataFrame:
     """``id, len, phrases, tf``: of every row its length in terms, the numbers of the phrases that it holds and their weighted counts."""
     weights = weights or WEIGHTS
@@ -147,8 +174,7 @@ def held_phrases(rows: DataFrame, phrases: list[tuple[str, ...]], weights: dict[
 
     def found(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Rows and phrases, one for each place where a phrase begins."""
-        lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
-        own = np.repeat(np.arange(len(column)), lengths)
+        own = np.repeat(np.arange(len(column)), _sizes(column))
         codes = pc.fill_null(pc.index_in(column.flatten(), value_set=terms), len(terms)).to_numpy(zero_copy_only=False)
         at, what = [np.arange(len(codes))], [single[codes]]
         for first, several in longer.items():
@@ -164,13 +190,8 @@ def held_phrases(rows: DataFrame, phrases: list[tuple[str, ...]], weights: dict[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = sum(pc.list_value_length(batch.column(i + 1)).to_numpy(zero_copy_only=False).astype("i8") for i in range(len(columns)))
-            upto = np.cumsum(lengths) // HELD_TERMS
-            edges = [0, *(np.flatnonzero(upto[1:] != upto[:-1]) + 1).tolist(), batch.num_rows]
-            for start, stop in zip(edges, edges[1:]):
-                if start == stop:
-                    continue
-                part = batch.slice(start, stop - start)
+            for part in held_parts(batch, sum(_sizes(batch.column(i + 1)) for i in range(len(columns)))):
+                lengths = sum(_sizes(part.column(i + 1)) for i in range(len(columns)))
                 pairs, w = [], []
                 for i, c in enumerate(columns):
                     own, what = found(part.column(i + 1))
@@ -181,7 +202,7 @@ def held_phrases(rows: DataFrame, phrases: list[tuple[str, ...]], weights: dict[
                 pair, tf = pair[tf > 0], tf[tf > 0]
                 offsets = pa.array(np.searchsorted(pair, np.arange(part.num_rows + 1) * len(phrases)).astype("i4"))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((pair % len(phrases)).astype("i4"), tf)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths[start:stop].astype("i4")), *lists], ["id", "len", "phrases", "tf"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths.astype("i4")), *lists], ["id", "len", "phrases", "tf"])
 
     found_terms = rows.select("id", *[tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"terms{i}") for i, c in enumerate(columns)])
     return found_terms.mapInArrow(run, f"id {id_type}, len int, phrases array<int>, tf array<double>")
@@ -203,8 +224,7 @@ def best_held(held: DataFrame, asked: list[Row], phrases: list[tuple[str, ...]],
         for batch in batches:
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
-                sizes = pc.list_value_length(part.column(2)).to_numpy(zero_copy_only=False)
-                own = np.repeat(np.arange(part.num_rows), sizes)
+                own = np.repeat(np.arange(part.num_rows), _sizes(part.column(2)))
                 what, tf = (part.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3))
                 length = part.column(1).to_numpy(zero_copy_only=False)[own]
                 table = np.zeros((part.num_rows, len(phrases)))
@@ -253,13 +273,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 10
 def hash_vectors(texts: DataFrame, key: str, dimensions: int = 32) -> DataFrame:
     """``key, v``: signed counts of hashed words as a vector of length one; keys without a word have none.
 
-    A key's sums are columns of one row, so that little more than the vectors moves.
+    Words stay in their task, and each that a part of a batch holds is hashed once; a row's sums move, as rows may share a key.
     """
-    words = texts.select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([^\s]+)"), F.lit(1))).alias("word"))
-    tail = F.conv(F.substring(F.sha2("word", 256), -4, 4), 16, 10).cast("long")  # the last bits decide both
-    hashed = words.select(key, (tail % dimensions).cast("int").alias("dim"), F.when(F.floor(tail / dimensions) % 2 == 0, 1).otherwise(-1).alias("sign"))
-    sums = [F.sum(F.when(F.col("dim") == i, F.col("sign")).otherwise(0)).cast("double").alias(f"d{i}") for i in range(dimensions)]
-    rows = hashed.groupBy(key).agg(*sums).select(key, F.array(*[f"d{i}" for i in range(dimensions)]).alias("raw"))
+    key_type = texts.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in held_parts(batch, _sizes(batch.column(1))):
+                sizes = _sizes(part.column(1))
+                told = part.column(1).flatten().dictionary_encode()
+                # The last bits decide both the place and the sign.
+                tail = np.array([int.from_bytes(hashlib.sha256(w.encode()).digest()[-2:], "big") for w in told.dictionary.to_pylist()], "i8")[told.indices.to_numpy()]
+                sign = np.where(tail // dimensions % 2 == 0, 1, -1)
+                sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * dimensions + tail % dimensions, sign, len(sizes) * dimensions)
+                held = np.flatnonzero(sizes)
+                lists = pa.ListArray.from_arrays(pa.array((np.arange(len(held) + 1) * dimensions).astype("i4")), pa.array(sums.reshape(-1, dimensions)[held].ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(held)), lists], [key, "raw"])
+
+    words = texts.select(key, F.regexp_extract_all(F.lower("text"), F.lit(r"([^\s]+)"), F.lit(1)).alias("words"))
+    sums = [F.sum(F.get("raw", F.lit(i))).alias(f"d{i}") for i in range(dimensions)]
+    rows = words.mapInArrow(run, f"{key} {key_type}, raw array<double>").groupBy(key).agg(*sums).select(key, F.array(*[f"d{i}" for i in range(dimensions)]).alias("raw"))
     return rows.select(key, normalised(F.col("raw")).alias("v"))
 
 
