@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from textquarry.operators import code_chunks, graph, index, retrieval, segments, source_facts, structured
 from textquarry.operators import extraction as ex
-from textquarry.plans import catalogue
+from textquarry.plans import catalogue, ranking
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,6 +78,56 @@ def test_reach_unites_paths_before_they_move(spark):
     assert set(graph._sets(edges, "src", "dst").columns) == {"src", "block", *graph._WORDS}
 
 
+def test_expansion_deals_rows_by_their_number(spark, monkeypatch):
+    """A task gets a bounded number of rows, few or many, batches cut a fold anywhere; hops end where budgets are spent."""
+    edges = [(s, 100 + (s * 7 + i) % 60, i % 3, i % 5) for s in range(8) for i in range(40)] + [(100 + i, s, 0, s) for i in range(60) for s in range(i % 3, 8, 3)]
+    cost = {n: n % 9 + 1 for n in (*range(8), *range(100, 160))}
+    e, t = spark.createDataFrame(edges, "src long, dst long, kind int, ord long"), spark.createDataFrame(list(cost.items()), "id long, tokens long")
+    seeds = spark.createDataFrame([(f"q{s}", 0, s) for s in range(8)], "q string, rank int, id long")
+
+    def brute(budget):
+        for s in range(8):
+            seen, frontier, spent = {s}, [s], 0
+            for hop in (1, 2, 3):
+                best = {}
+                for rank, node in enumerate(frontier):
+                    for src, dst, kind, at in edges:
+                        if src == node and dst not in seen:
+                            best[dst] = min(best.get(dst, (99,)), (rank, kind, at))
+                frontier = []
+                for d in sorted(best, key=lambda d: (best[d], d)):
+                    if spent < budget and (spent + cost[d] <= budget or spent == 0):
+                        spent += cost[d]
+                        frontier.append(d)
+                        yield f"q{s}", hop, len(frontier) - 1, d
+                seen |= set(best)
+
+    made = []
+    monkeypatch.setattr(graph, "written", lambda df, label, f=graph.written: made.append((label, df.rdd.getNumPartitions())) or f(df, label))
+    shown = lambda budget: sorted(map(tuple, graph.expand(seeds, e, t, 3, budget).collect()))
+    assert shown(30) == sorted(brute(30)) and [x for x, _ in made].count("hop") == 1
+    assert shown(230) == sorted(brute(230)) and max(r[1] for r in brute(230)) > 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for name, least in (("FEW", 0), ("ROWS", 10), ("SPREAD", 9), ("MOST", 20)):
+            monkeypatch.setattr(graph, name, least)
+        made.clear()
+        assert shown(230) == sorted(brute(230))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # 320 paths of the first hop, at most 20 of them a task.
+    assert [n for label, n in made if label == "hop"][0] >= 16 <= [n for label, n in made if label == "picked"][0]
+
+
+def test_links_are_dealt_before_they_are_distinct(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(ranking, "written", lambda df, label, f=ranking.written: plans.append(plan_of(df)) or f(df, label))
+    links = ranking._supply(catalogue.Tables(spark, SF))
+    assert links.count() == links.distinct().count() > 0
+    # Below the exchange there is no aggregate that would hold a file's links.
+    assert "HashAggregate" in plans[0].split("Exchange")[0] and "HashAggregate" not in plans[0].split("Exchange", 1)[1]
+
+
 def test_bm25_of_few_questions_joins_no_postings(spark, monkeypatch):
     """Terms of rows stay in their task; what is found equals the join of postings, for phrases, ties, odd texts and repeated names."""
     texts = [None, "", "get_user", "a get user_b get_user", "A b a b", "a b", "b a", "é ² 中文 a", "c " * 40 + "get", *["a b"] * 30]
