@@ -78,6 +78,65 @@ def test_reach_unites_paths_before_they_move(spark):
     assert set(graph._sets(edges, "src", "dst").columns) == {"src", "block", *graph._WORDS}
 
 
+def moved(spark, df):
+    """Rows that are written to shuffles while ``df`` is made and read."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        none = spark._jvm.java.util.ArrayList()
+        stages = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    rows = sorted(map(tuple, df().collect()))
+    return rows, written() - before
+
+
+def test_reach_moves_no_more_rows_with_more_tasks(spark, monkeypatch):
+    """Parts of one cluster share their neighbours: what is united of a seed does not come once from each task."""
+    pairs = [(2 * (c * 8 + s), 2 * (c * 80 + p) + 1) for c in range(40) for s in range(8) for p in range(80)]
+    edges = spark.createDataFrame(pairs + [(p, s) for s, p in pairs], "src long, dst long")
+    seeds = spark.createDataFrame([(2 * s,) for s in range(320)], "seed long")
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        few, n = moved(spark, lambda: graph.reach(seeds, edges, 2))
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        monkeypatch.setattr(graph, "ROWS", 1000)
+        many, m = moved(spark, lambda: graph.reach(seeds, edges, 2))
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    assert few == many and len(few) == 320 * (1 + 80 + 7)
+    # 320 seeds; from each of 64 tasks they would be about 40 times as many.
+    assert m - n < 20 * 320
+
+
+@pytest.mark.parametrize("wide, rows, parts, ranges", [(1 << 17, 200, 8, 24), (0, 1, 1 << 20, 24)])
+def test_reach_equals_brute_force(spark, monkeypatch, wide, rows, parts, ranges):
+    """Frontiers as bits or not, ranges of all sizes or single nodes; edges that repeat, lead back or nowhere, seeds that repeat or have none."""
+    for name, value in (("WIDE", wide), ("ROWS", rows), ("PARTS", parts), ("RANGES", ranges)):
+        monkeypatch.setattr(graph, name, value)
+    nodes = [(i * i * 37) % 3000 - 700 for i in range(90)] + [1 << 40, -(1 << 40), (1 << 62) + 5]
+    pairs = [(a, nodes[(i * k + 11) % len(nodes)]) for i, a in enumerate(nodes) for k in (1, 3, 8)] + [(nodes[0], nodes[0]), (nodes[1], None), (None, nodes[2])]
+    edges, seeds = spark.createDataFrame(pairs * 2, "src long, dst long"), spark.createDataFrame([(s,) for s in [*nodes[::7], nodes[0], 5555, *nodes[-3:]]], "seed long")
+    want = []
+    for s in [r.seed for r in seeds.collect()]:
+        want.append((s, s, 0))
+    for s in {r.seed for r in seeds.collect()}:
+        seen, frontier = {s}, {s}
+        for hop in range(1, 4):
+            frontier = {b for a, b in pairs if a in frontier and b is not None} - seen
+            seen |= frontier
+            want += [(s, x, hop) for x in frontier]
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    assert sorted(map(tuple, graph.reach(seeds, edges, 3).collect())) == sorted(want)
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == before
+    assert graph.reach(seeds, edges.limit(0), 2).count() == seeds.count()
+    assert graph.reach(seeds.limit(0), edges, 2).count() == 0
+
+
 def test_expansion_deals_rows_by_their_number(spark, monkeypatch):
     """A task gets a bounded number of rows, few or many, batches cut a fold anywhere; hops end where budgets are spent."""
     edges = [(s, 100 + (s * 7 + i) % 60, i % 3, i % 5) for s in range(8) for i in range(40)] + [(100 + i, s, 0, s) for i in range(60) for s in range(i % 3, 8, 3)]
